@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing
+from . import decontaminate, licenses, mixing, simhash, toxicity
 from .common import table
 
 
@@ -10,9 +10,29 @@ def op2_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark, sf_dir):
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_source_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op10_source_mixing)}
-ORACLES = {"op2_license_scan": licenses.oracle_sql(), "op10_source_mixing": mixing.oracle_sql()}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_license_scan, op3_simhash_near_dedup, op4_toxicity, op9_decontamination, op10_source_mixing)
+}
+#: fingerprints hash with XXH64, and models are fitted: no SQL for those
+ORACLES = {
+    "op2_license_scan": licenses.oracle_sql(),
+    "op9_decontamination": decontaminate.oracle_sql(),
+    "op10_source_mixing": mixing.oracle_sql(),
+}

@@ -1,20 +1,53 @@
-"""The corpus pipeline: toxicity, near-duplicates, benchmark passages, mixing."""
+"""The corpus pipeline: toxic documents go, one of each group of near copies stays, documents that hold benchmark items
+go, and the rest is mixed to target weights.
+
+Each stage takes (spark, docs, sf_dir), works on every row of docs, and returns a DataFrame; all but the last
+return the columns of docs. A stage's result is written as Parquet and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
-from assayer.llm import mixing
+import os
+import tempfile
+import uuid
+
+from assayer.llm import decontaminate, mixing, simhash, toxicity
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def clean(spark, docs, sf_dir):
+    return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
+
+
+def dedupe(spark, docs, sf_dir):
+    return simhash.keep_one(docs)
+
+
+def decontaminated(spark, docs, sf_dir):
+    return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark, docs, sf_dir):
     return mixing.mix_sources(docs)
 
 
-STAGES = [("mixing", mix)]
+STAGES = [("toxicity", clean), ("near_dedup", dedupe), ("decontamination", decontaminated), ("mixing", mix)]
+
+#: the first stage is a fitted model, which SQL can't express
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """Applies the stages to documents. Between them, tables stand in the folder of ``spark.checkpoint.dir``."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayer-")
+    docs = _table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = os.path.join(base, f"pipeline-{uuid.uuid4().hex}", name)
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

@@ -1,4 +1,651 @@
-"""Driver queries of the core operators."""
+"""Driver queries: each applies an operator to inputs derived from the test tables, and has an independent SQL form.
 
+Inputs are written in SQL that Spark and DuckDB both read, so both sides start from the same rows.
+"""
+
+from __future__ import annotations
+
+import tempfile
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from .functions import labels as L
+from .functions import vocab as V
+from .operators import graph, images, inject, picks, points, reconcile, responses, review, runs
+from .sources import readers
+from .streaming import incremental
+
+TABLES = "region nation customer supplier part orders lineitem events documents labels pages".split()
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+class Tables:
+    """The tables of a folder as views, for the inputs below."""
+
+    def __init__(self, spark, sf_dir):
+        self.spark, self.dir, self.seen = spark, sf_dir, set()
+
+    def __call__(self, sql: str):
+        for t in TABLES:
+            if t in sql and t not in self.seen:
+                self.spark.read.parquet(f"{self.dir}/{t}.parquet").createOrReplaceTempView(t)
+                self.seen.add(t)
+        return self.spark.sql(sql)
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        def run(spark, sf_dir):
+            return f(Tables(spark, sf_dir))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def save(df):
+    """Computed once, in the shared checkpoint folder that the session names."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayer-"))
+    return df.checkpoint()
+
+
+# --- SQL forms of the label functions, for DuckDB
+def K(x):
+    tok = f"list_filter(string_split_regex(upper(regexp_replace(trim({x}), '(?i)^DEV[0-9]+_', '')), '[^0-9A-Za-z]+'), lambda t: t <> '')"
+    return f"nullif(array_to_string(list_transform({tok}, lambda t: CASE WHEN regexp_matches(t, '^[0-9]+$') THEN CASE WHEN ltrim(t, '0') = '' THEN '0' ELSE ltrim(t, '0') END ELSE t END), '_'), '')"
+
+
+def M(x):
+    return f"array_to_string(list_transform(regexp_extract_all(upper({x}), '[A-Z]+|[0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]+$') THEN CASE WHEN ltrim(t, '0') = '' THEN '0' ELSE ltrim(t, '0') END ELSE t END), '')"
+
+
+def MAPPED(x):
+    return f"CASE upper({x}) WHEN 'VAVRH' THEN 'VAV-RH-HW' WHEN '' THEN 'UNRESOLVED' ELSE upper({x}) END"
+
+
+OFFICIAL = ", ".join(f"'{t}'" for t in V.OFFICIAL_TYPES)
+
+
+def MAP_REASON(x):
+    return f"CASE WHEN upper({x}) = 'VAVRH' THEN '{V.VAVRH_REASON}' WHEN upper({x}) = 'FPTU' THEN '{V.FPTU_REASON}' WHEN upper({x}) IN ({OFFICIAL}) THEN '' ELSE 'unrecognized raw type ''' || {x} || '''; not in the current vocabulary' END"
+
+
+# --- inputs
+LABELS = "SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'DEV12_' || s_name WHEN 1 THEN 'dev7_' || replace(s_name, '#', ' 0') WHEN 2 THEN replace(s_name, '#', '-') ELSE replace(s_name, 'Supplier#', 'AHU 02 A') END AS label FROM supplier UNION ALL SELECT c_custkey + 1000000 AS id, replace(c_name, '#', '__') AS label FROM customer"
+TOPICS = "SELECT 'p' || (s_suppkey % 4) AS property_id, 'Floor_0' || (s_suppkey % 3 + 1) AS floor, s_suppkey AS seq, CASE WHEN s_suppkey % 2 = 0 THEN 'DEV9_' || s_name ELSE replace(s_name, '#', '-') END AS raw_label, CASE WHEN s_nationkey % 5 = 0 THEN '' WHEN s_nationkey % 3 = 0 THEN 'AHU' ELSE 'VAV' END AS inferred_raw_type, s_suppkey % 11 = 0 AS review_required, CASE WHEN s_suppkey % 22 = 0 THEN 'weak evidence' ELSE '' END AS review_reason FROM supplier WHERE s_suppkey % 5 <> 0"
+DRAWINGS = "SELECT 'p' || (l_suppkey % 4) AS property_id, 'Floor_0' || (l_suppkey % 3 + 1) AS floor, l_orderkey * 10 + l_linenumber AS seq, l_partkey AS tie, 'supplier ' || CASE WHEN l_linenumber % 2 = 0 THEN '00' ELSE '' END || l_suppkey AS raw_label, CASE WHEN l_linenumber = 1 THEN '' ELSE 'S_' || l_suppkey END AS llm_proposed_canonical_name, CASE WHEN l_suppkey % 3 = 0 THEN 'AHU' ELSE 'VAV' END AS equipment_type, 'f' || (l_orderkey % 3) || '.png' AS source_filename, CASE WHEN l_orderkey % 13 = 0 THEN 'parse_failed' ELSE 'succeeded' END AS run_status, l_suppkey % 9 = 0 AND l_quantity > 49 AS review_required, CASE WHEN l_suppkey % 9 = 0 AND l_quantity > 49 AND l_linenumber > 2 THEN 'r' || l_linenumber ELSE '' END AS review_reason FROM lineitem WHERE l_suppkey % 7 <> 0"
+DRAWINGS = f"SELECT *, row_number() OVER (PARTITION BY property_id, floor ORDER BY seq, tie, raw_label, source_filename, review_reason) AS ord FROM ({DRAWINGS})"
+CONTESTED = "SELECT 'p' || (s_suppkey % 4) AS property_id, 'Floor_0' || (s_suppkey % 3 + 1) AS floor, s_suppkey AS seq, s_name AS raw_label, CASE WHEN s_suppkey % 2 = 0 THEN 'paths disagree' ELSE '' END AS review_reason FROM supplier WHERE s_nationkey IN (3, 7)"
+
+
+def _sides(t, contested=False):
+    d = t(DRAWINGS).withColumn("seq", F.col("ord")).drop("ord", "tie")
+    return reconcile.reconcile(t(TOPICS), d, t(CONTESTED) if contested else None)
+
+
+def normalized_sql(contested: bool) -> str:
+    c = f"SELECT property_id, floor, key, coalesce(nullif(trim(arg_max(review_reason, seq)), ''), '{reconcile.CONTESTED}') AS c_reason FROM (SELECT *, {K('raw_label')} AS key FROM ({CONTESTED})) GROUP BY ALL"
+    return f"""
+t AS (SELECT * FROM (SELECT *, {K('raw_label')} AS key, row_number() OVER (PARTITION BY property_id, floor, {K('raw_label')} ORDER BY seq) AS rn FROM ({TOPICS})) WHERE rn = 1),
+d0 AS (SELECT *, {K('raw_label')} AS key FROM ({DRAWINGS}) WHERE run_status = 'succeeded'),
+dr AS (SELECT property_id, floor, key, string_agg(review_reason, '; ' ORDER BY o) AS d_reason FROM (SELECT property_id, floor, key, review_reason, min(ord) AS o FROM d0 WHERE review_reason <> '' GROUP BY ALL) GROUP BY ALL),
+d AS (SELECT property_id, floor, key, arg_min(raw_label, ord) AS raw_label, arg_min(llm_proposed_canonical_name, ord) AS proposed, arg_min(equipment_type, ord) AS equipment_type,
+  string_agg(DISTINCT source_filename, ';' ORDER BY source_filename) AS source_files, bool_or(review_required) AS d_review FROM d0 GROUP BY ALL),
+j AS (SELECT *, t.key IS NOT NULL AS in_topics, d.key IS NOT NULL AS in_drawings, coalesce(t.inferred_raw_type, '') AS tt, coalesce(d.equipment_type, '') AS dt, coalesce(t.raw_label, '') AS tl, coalesce(d.raw_label, '') AS dl
+  FROM t FULL JOIN d USING (property_id, floor, key) LEFT JOIN dr USING (property_id, floor, key) {f'LEFT JOIN ({c}) c USING (property_id, floor, key)' if contested else 'LEFT JOIN (SELECT NULL::VARCHAR AS c_reason) c ON true'}),
+g AS (SELECT *, CASE WHEN c_reason IS NOT NULL THEN 'floor_ambiguous' WHEN in_topics AND in_drawings AND tt <> '' AND dt <> '' AND tt <> dt THEN 'type_mismatch' WHEN in_topics AND in_drawings THEN 'matched' WHEN in_topics THEN 'topics_only' ELSE 'drawing_only' END AS category,
+  coalesce(review_required, false) AS tf, coalesce(d_review, false) AS df, coalesce(review_reason, '') AS tr, coalesce(d_reason, '') AS d_r FROM j),
+normalized AS (SELECT property_id, floor, key AS canonical_key, coalesce(nullif(proposed, ''), nullif(regexp_replace(tl, '(?i)^DEV[0-9]+_', ''), ''), regexp_replace(dl, '(?i)^DEV[0-9]+_', '')) AS canonical_name,
+  coalesce(nullif(tt, ''), nullif(dt, ''), 'unknown') AS equipment_type, category AS discrepancy_category,
+  CASE WHEN category = 'floor_ambiguous' THEN 'floor_ambiguous' WHEN category <> 'matched' OR tf OR df THEN 'review_required' ELSE 'settled' END AS status, in_topics, in_drawings,
+  tl AS topics_raw_label, tt AS topics_inferred_type, dl AS drawing_raw_label, dt AS drawing_equipment_type, coalesce(source_files, '') AS source_files, category <> 'matched' OR tf OR df AS review_required,
+  concat_ws('; ', CASE category WHEN 'floor_ambiguous' THEN c_reason WHEN 'type_mismatch' THEN 'type mismatch: topics=' || tt || ' drawings=' || dt WHEN 'topics_only' THEN 'present in BMS topics but absent from drawing evidence' WHEN 'drawing_only' THEN 'extracted from drawings but absent from BMS topics' END,
+    nullif(tr, ''), CASE WHEN tf AND tr = '' THEN '{reconcile.UNEXPLAINED['topics']}' END, nullif(d_r, ''), CASE WHEN df AND d_r = '' THEN '{reconcile.UNEXPLAINED['drawing']}' END) AS review_reason FROM g)"""
+
+
+NORM = normalized_sql(False)
+NORM_C = normalized_sql(True)
+
+
+@query(f"SELECT id, {K('label')} AS key, regexp_replace(label, '(?i)^DEV[0-9]+_', '') AS stripped FROM ({LABELS})")
+def canonical_key(t):
+    return t(LABELS).select("id", L.canonical_key(F.col("label")).alias("key"), L.strip_device_prefix(F.col("label")).alias("stripped"))
+
+
+@query(f"SELECT id, {M('label')} AS key FROM ({LABELS})")
+def match_key_fuzzy(t):
+    return t(LABELS).select("id", L.match_key(F.col("label")).alias("key"))
+
+
+@query(f"WITH {NORM} SELECT * FROM normalized")
+def reconcile_full_outer(t):
+    return _sides(t)
+
+
+@query(f"WITH {NORM_C} SELECT * FROM normalized")
+def contested_override(t):
+    return _sides(t, True)
+
+
+CAT_COUNTS = ", ".join(f"count(*) FILTER (discrepancy_category = '{c}') AS {c}" for c in V.CATEGORY_STATUS)
+
+
+@query(f"WITH {NORM_C} SELECT count(*) AS total, {CAT_COUNTS}, count(*) FILTER (review_required) AS review_required FROM normalized")
+def gap_summary(t):
+    return reconcile.summary(_sides(t, True))
+
+
+HIGH = ", ".join(f"'{x}'" for x in V.HIGH_SEVERITY)
+STATUS = "CASE discrepancy_category " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in V.CATEGORY_STATUS.items()) + " END"
+# suppliers' keys never begin with an equipment type, so their names are kept as keys
+REPORT = f"""report AS (SELECT property_id AS building, floor, {MAPPED('equipment_type')} AS equipment_type, canonical_key AS equipment_id, in_topics AS in_points, in_drawings, {STATUS} AS status,
+  topics_raw_label AS evidence_point, drawing_raw_label AS evidence_drawing, CASE WHEN discrepancy_category IN ('matched', 'type_mismatch') THEN 'low' WHEN discrepancy_category = 'floor_ambiguous' THEN 'medium' WHEN {MAPPED('equipment_type')} IN ({HIGH}) THEN 'high' ELSE 'medium' END AS severity_hint FROM normalized)"""
+
+
+def _report(t):
+    return reconcile.gap_report(reconcile.canonicalize(_sides(t, True)))
+
+
+@query(f"WITH {NORM_C}, {REPORT} SELECT * FROM report")
+def gap_report(t):
+    return _report(t)
+
+
+@query(f"WITH {NORM_C}, {REPORT} SELECT severity_hint, status, count(*) AS n FROM report GROUP BY ALL")
+def gap_severity(t):
+    return _report(t).groupBy("severity_hint", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {NORM_C}, {REPORT} SELECT status, count(*) AS n FROM report GROUP BY ALL")
+def discrepancy_status(t):
+    return review.discrepancy_view(_report(t))
+
+
+@query(f"WITH {NORM_C}, {REPORT} SELECT coalesce('floor=' || floor, 'type=' || equipment_type, 'severity=' || severity_hint) AS dim, count(*) AS n FROM report GROUP BY GROUPING SETS ((floor), (equipment_type), (severity_hint))")
+def discrepancy_view(t):
+    return review.discrepancy_view(_report(t), "all")
+
+
+@query(f"WITH {NORM_C}, {REPORT} SELECT floor, equipment_type, status, count(*) AS n, regexp_replace(floor, '_0*', ' ') || ': ' || count(*) || ' ' || equipment_type || CASE WHEN count(*) <> 1 THEN 's' ELSE '' END || ' ' || replace(status, '_', ' ') AS text FROM report WHERE status IN ('missing_from_drawings', 'missing_from_points') GROUP BY floor, equipment_type, status")
+def rollups(t):
+    return review.headlines(_report(t))
+
+
+@query(f"WITH {NORM_C}, {REPORT} SELECT equipment_id, building, floor, severity_hint, row_number() OVER (PARTITION BY equipment_type ORDER BY CASE severity_hint WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, equipment_id) AS place FROM report")
+def ranked_groups(t):
+    return review.ranked_groups(_report(t)).select("equipment_id", "building", "floor", "severity_hint", F.col("place").cast("long").alias("place"))
+
+
+UNITS = "SELECT p_partkey AS id, 'p' || (p_partkey % 3) AS property_id, 'Floor_0' || (p_size % 3 + 1) AS floor, CASE p_partkey % 5 WHEN 0 THEN 'AHU' WHEN 1 THEN 'VAV' WHEN 2 THEN 'FCU' WHEN 3 THEN 'VAVRH' ELSE 'FPTU' END AS raw, CASE p_partkey % 4 WHEN 0 THEN '_' || (p_size % 3 + 1) || '_' || p_size WHEN 1 THEN '_0' || (p_size % 3 + 1) || 'A' WHEN 2 THEN '_PM_' || (p_size % 3 + 1) || '_' || (p_partkey % 13) ELSE '_X' || p_size END AS tail FROM part"
+NAMES = f"""named AS (SELECT id, property_id, floor, raw || tail AS key, raw, regexp_extract(floor, '[1-9]') AS fd, string_split(substr(tail, 2), '_') AS us FROM ({UNITS})),
+placed AS (SELECT *, list_filter(generate_series(1, len(us)), lambda i: us[i] = fd OR us[i] = '0' || fd) AS ex, list_filter(generate_series(1, len(us)), lambda i: starts_with(us[i], fd) OR starts_with(us[i], '0' || fd)) AS inl FROM named),
+units AS (SELECT *, CASE WHEN len(ex) > 0 THEN list_concat(us[1:ex[1] - 1], us[ex[1] + 1:]) WHEN len(inl) > 0 THEN list_filter(list_transform(generate_series(1, len(us)), lambda i: CASE WHEN i = inl[1] THEN CASE WHEN starts_with(us[i], '0' || fd) THEN substr(us[i], 3) ELSE substr(us[i], 2) END ELSE us[i] END), lambda x: x <> '') ELSE us END AS lf FROM placed),
+joined AS (SELECT *, array_to_string(CASE WHEN len(lf) = 0 THEN us ELSE lf END, '_') AS unit FROM units),
+final AS (SELECT id, property_id, floor, key, {MAPPED('raw')} AS kind, {MAPPED('raw')} || '_' || fd || '-' || regexp_replace(unit, '(^|_)([0-9])$', '\\10\\2') AS name,
+  concat_ws('; ', CASE WHEN len(ex) > 0 THEN NULL WHEN len(inl) > 0 THEN 'floor digit inferred from inline token ''' || us[inl[1]] || '''' ELSE 'could not isolate a floor token; floor assumed from snapshot' END, CASE WHEN len(lf) = 0 THEN 'could not derive a unit identifier' END) AS reason FROM joined)"""
+
+
+def _named(t):
+    d = t(UNITS).withColumn("key", F.concat("raw", "tail"))
+    kind, _, _ = V.mapped_type(F.col("raw"))
+    name, _, reason = V.canonical_name(F.col("key"), kind, L.floor_digits(F.col("floor")))
+    return d.select("id", "property_id", "floor", "key", kind.alias("kind"), name.alias("name"), reason.alias("reason"))
+
+
+@query(f"WITH {NAMES} SELECT * FROM final")
+def canonical_names(t):
+    return _named(t)
+
+
+@query(f"WITH {NAMES} SELECT property_id, floor, name, count(*) AS n FROM final GROUP BY ALL HAVING count(*) > 1")
+def name_collisions(t):
+    return _named(t).groupBy("property_id", "floor", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+TYPES = "SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN 'vavrh' WHEN 1 THEN 'FPTU' WHEN 2 THEN 'ahu' WHEN 3 THEN '' WHEN 4 THEN 'CHW-PLANT' WHEN 5 THEN 'OAVAV' ELSE p_type END AS raw FROM part"
+
+
+@query(f"SELECT id, {MAPPED('raw')} AS mapped, {MAP_REASON('raw')} <> '' AS review, {MAP_REASON('raw')} AS reason FROM ({TYPES})")
+def type_mapping(t):
+    kind, flag, why = V.mapped_type(F.col("raw"))
+    return t(TYPES).select("id", kind.alias("mapped"), flag.alias("review"), why.alias("reason"))
+
+
+PATHS = "SELECT 'p' || (o_custkey % 3) AS property_id, 'Floor_0' || (o_custkey % 4 + 1) AS floor, CASE WHEN o_orderkey % 19 = 0 THEN 'lost/path' ELSE 'Floor_0' || (o_custkey % 4 + 1) || '/DEV' || (o_custkey % 97) || '_' || CASE o_custkey % 4 WHEN 0 THEN 'AHU' WHEN 1 THEN 'VAVRH' WHEN 2 THEN 'OAVAV' ELSE 'XY' END || '_' || (o_custkey % 701) || '/pt' || o_orderkey END AS topic_name FROM orders"
+
+
+@query(f"""WITH c AS (SELECT property_id, floor, split_part(topic_name, '/', 2) AS ctx FROM ({PATHS}) WHERE topic_name LIKE 'Floor%')
+SELECT property_id, floor, ctx AS raw_equipment_context, regexp_replace(ctx, '^DEV[0-9]+_', '') AS raw_label, CASE WHEN contains(ctx, 'VAVRH') THEN 'VAVRH' WHEN contains(ctx, 'OAVAV') THEN 'OAVAV' WHEN contains(ctx, 'AHU') THEN 'AHU' ELSE 'UNRESOLVED' END AS inferred_raw_type, count(*) AS topic_count,
+  CASE WHEN count(*) = 1 THEN 'weak_single_point_evidence' ELSE 'multiple_point_evidence' END AS evidence_strength, count(*) = 1 AS review_required, CASE WHEN count(*) = 1 THEN 'single supporting point' ELSE '' END AS review_reason FROM c GROUP BY property_id, floor, ctx""")
+def topic_units(t):
+    return points.units(t(PATHS))
+
+
+PARSED = "SELECT o_orderkey AS id, 'AHU_' || (o_orderkey % 50) AS raw_label, CASE WHEN o_orderkey % 6 = 0 THEN 'VAV-RH-HW' ELSE 'AHU' END AS equipment_type, 'Floor_02' AS floor, CASE o_orderkey % 3 WHEN 0 THEN array('Floor_02/A/x', 'Floor_02/A/y') WHEN 1 THEN array('Floor_02/A/x', 'Floor_02/B/y') ELSE array('Floor_03/A/x') END AS source_topics, false AS review_required, '' AS review_reason FROM orders"
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS n_contexts, o_orderkey % 3 <> 0 OR o_orderkey % 6 = 0 AS review_required, concat_ws('; ', CASE o_orderkey % 3 WHEN 1 THEN 'topics come from several path contexts' WHEN 2 THEN 'no topic path names this unit' END, CASE WHEN o_orderkey % 6 = 0 THEN 'type not in label' END) AS review_reason FROM orders")
+def path_check(t):
+    return points.path_checked(t(PARSED)).select("id", "n_contexts", "review_required", "review_reason")
+
+
+EXPECTED, ASSIGNED = ("SELECT event_type || '_' || (user_id % 40) AS topic FROM events WHERE event_id % 5 <> 0", "SELECT event_type || '_' || (user_id % 43) AS topic FROM events WHERE event_id % 3 <> 0")
+
+
+@query(f"""WITH e AS ({EXPECTED}), a AS ({ASSIGNED}), lost AS (SELECT * FROM e EXCEPT ALL SELECT * FROM a), extra AS (SELECT * FROM a EXCEPT ALL SELECT * FROM e)
+SELECT 'missing' AS kind, topic AS value, count(*) AS n FROM lost GROUP BY ALL UNION ALL SELECT CASE WHEN topic IN (SELECT topic FROM e) THEN 'duplicate' ELSE 'unexpected' END AS kind, topic AS value, count(*) AS n FROM extra GROUP BY ALL""")
+def topic_coverage(t):
+    return points.coverage(t(EXPECTED), t(ASSIGNED), "topic")
+
+
+CANON = "SELECT 'p' AS property_id, 'Floor_02' AS floor, c_custkey AS seq, c_name AS canonical_name, c_name AS topics_raw_label, '' AS drawing_raw_label, false AS review_required, '' AS review_reason FROM customer"
+REFS = "SELECT 'p' AS property_id, 'Floor_02' AS floor, o_orderkey AS seq, replace('Customer#' || lpad(cast(o_custkey AS string), 9, '0'), '#', '-') AS child, '' AS child_raw, 'N' || (o_orderkey % 3) AS parent, '' AS parent_raw, CASE WHEN o_orderkey % 2 = 0 THEN 'airRef' ELSE 'hotWaterRef' END AS ref_type, o_orderstatus = 'P' AS conflict, '' AS conflict_reason, o_orderpriority LIKE '1%' AS review_required, '' AS review_reason FROM orders WHERE o_orderkey % 4 < 3"
+
+
+@query(f"""WITH c AS ({CANON}), e AS (SELECT c.canonical_name AS unit, e.* FROM ({REFS}) e JOIN c ON {K('c.canonical_name')} = {K('e.child')}),
+l AS (SELECT unit, ref_type, list({{'c': conflict, 'p': parent, 'r': review_required}} ORDER BY e.seq) AS xs FROM e GROUP BY ALL),
+f AS (SELECT unit, ref_type, list_reduce(xs, lambda a, x: {{'cell': CASE WHEN x.c THEN a.cell WHEN a.cell <> '' AND a.cell <> x.p THEN a.cell || ';' || x.p ELSE x.p END, 'flag': a.flag OR x.c OR x.r OR (a.cell <> '' AND a.cell <> x.p), 'c': false, 'p': '', 'r': false}}, {{'cell': '', 'flag': false, 'c': false, 'p': '', 'r': false}}) AS s FROM (SELECT unit, ref_type, list_transform(xs, lambda x: {{'cell': '', 'flag': false, 'c': x.c, 'p': x.p, 'r': x.r}}) AS xs FROM l))
+SELECT c.canonical_name, coalesce(max(s.cell) FILTER (ref_type = 'airRef'), '') AS airRef, coalesce(max(s.cell) FILTER (ref_type = 'hotWaterRef'), '') AS hotWaterRef, coalesce(bool_or(s.flag), false) AS review_required FROM c LEFT JOIN f ON f.unit = c.canonical_name GROUP BY c.canonical_name""")
+def ref_fold(t):
+    return reconcile.fold_refs(t(CANON), t(REFS)).select("canonical_name", "airRef", "hotWaterRef", "review_required")
+
+
+@query(f"WITH c AS ({CANON}) SELECT count(*) FILTER (NOT conflict AND c.seq IS NOT NULL) AS joined_edges, 0::BIGINT AS valid_uncolumned_edges FROM ({REFS}) e LEFT JOIN c ON {K('c.canonical_name')} = {K('e.child')}")
+def ref_join_counts(t):
+    return reconcile.ref_join_counts(t(CANON), t(REFS))
+
+
+EQUIP = "SELECT s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'AHU' WHEN 1 THEN 'VAV' WHEN 2 THEN 'FCU' ELSE 'CHW-PLANT' END AS type FROM supplier"
+ALIAS = "SELECT 'unit ' || (s_suppkey % 60) AS alias, s_name AS name FROM supplier"
+EDGES = "SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_partkey % 10 = 0 THEN 'lost ' || (l_partkey % 7) ELSE 'Supplier-' || l_suppkey END AS child, '' AS child_raw, 'Supplier 0' || (l_suppkey % 9) AS parent, CASE WHEN l_partkey % 25 = 0 THEN 'unit ' || (l_partkey % 60) ELSE '' END AS parent_raw, CASE WHEN l_linenumber % 2 = 0 THEN 'airRef' ELSE 'chilledWaterRef' END AS ref_type, round(1 - l_discount * 4, 2) AS confidence, l_returnflag = 'R' AND l_linenumber = 3 AS conflict, '' AS conflict_reason, l_tax > 0.07 AS review_required, CASE WHEN l_tax > 0.07 THEN 'tax' ELSE '' END AS review_reason, l_shipdate AS shipped, l_suppkey FROM lineitem WHERE l_orderkey % 3 = 0"
+EDGES = f"SELECT row_number() OVER (PARTITION BY l_suppkey ORDER BY seq, child, parent, parent_raw, confidence, shipped) * 1000000 + l_suppkey AS rid, * FROM ({EDGES})"
+RESOLVED = f"""eq AS ({EQUIP}), al AS (SELECT {M('name')} AS key, name FROM eq UNION SELECT {M('alias')} AS key, name FROM ({ALIAS})), ed AS ({EDGES}),
+said AS (SELECT rid, ref_type, 'child' AS role, child AS a, child_raw AS b FROM ed UNION ALL SELECT rid, ref_type, 'parent', parent, parent_raw FROM ed),
+tg AS (SELECT key, count(DISTINCT name) AS n, min(name) AS one, list_sort(list(DISTINCT name)) AS ts FROM al GROUP BY key),
+ends AS (SELECT rid, role, ref_type, {M('a')} AS identity, len(list_distinct(list_concat(coalesce(x.ts, []::VARCHAR[]), coalesce(y.ts, []::VARCHAR[])))) AS n, list_distinct(list_concat(coalesce(x.ts, []::VARCHAR[]), coalesce(y.ts, []::VARCHAR[])))[1] AS canonical
+  FROM said LEFT JOIN tg x ON x.key = {M('a')} LEFT JOIN tg y ON b <> '' AND y.key = {M('b')}),
+good AS (SELECT ed.rid, c.canonical AS child, p.canonical AS parent, ed.ref_type FROM ed JOIN ends c ON c.rid = ed.rid AND c.role = 'child' AND c.n = 1 JOIN ends p ON p.rid = ed.rid AND p.role = 'parent' AND p.n = 1 WHERE NOT conflict)"""
+
+
+def _edges(t):
+    return t(EDGES).withColumn("seq", F.col("rid")).drop("rid", "shipped", "l_suppkey")
+
+
+def _ends(t):
+    return graph.resolve(_edges(t), t(EQUIP), t(ALIAS))
+
+
+def _good(t):
+    e = _edges(t)
+    return graph.accepted(e, graph.resolve(e, t(EQUIP), t(ALIAS)))
+
+
+@query(f"WITH {RESOLVED} SELECT role, ref_type, identity, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 THEN 'resolved' ELSE 'unresolved' END AS status, count(*) AS edges FROM ends GROUP BY ALL")
+def endpoint_resolution(t):
+    return _ends(t).groupBy("role", "ref_type", "identity", "status").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query(f"WITH {RESOLVED} SELECT name, type FROM eq WHERE type IN ('VAV', 'FCU') AND name NOT IN (SELECT child FROM good WHERE ref_type = 'airRef')")
+def orphans(t):
+    return graph.orphans(_good(t), t(EQUIP))
+
+
+@query(f"WITH {RESOLVED} SELECT child, array_to_string(list_sort(list(DISTINCT parent)), ',') AS parents FROM good WHERE ref_type = 'airRef' GROUP BY child HAVING count(DISTINCT parent) > 1")
+def multi_parent(t):
+    return graph.multiple_parents(_good(t)).withColumn("parents", F.array_join("parents", ","))
+
+
+@query(f"WITH {RESOLVED}, s AS (SELECT e.role, e.ref_type, e.canonical AS name, eq.type, CASE WHEN ref_type = 'airRef' AND role = 'child' AND type NOT IN ('VAV', 'FCU') THEN 'child is not a terminal' WHEN ref_type = 'airRef' AND role = 'parent' AND type <> 'AHU' THEN 'parent is not an air source' WHEN ref_type <> 'airRef' AND role = 'parent' AND type <> 'CHW-PLANT' THEN 'parent is not a plant' END AS check_ FROM ends e JOIN eq ON eq.name = e.canonical WHERE n = 1) SELECT name, role, check_ AS finding, count(*) AS n FROM s WHERE check_ IS NOT NULL GROUP BY ALL")
+def ref_sanity(t):
+    d = graph.ref_sanity(_ends(t).where("status = 'resolved'"), t(EQUIP))
+    return d.groupBy("name", "role", F.col("check").alias("finding")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH ed AS ({EDGES}) SELECT rid AS seq, child, parent, confidence < 0.75 AS low, conflict, review_required FROM ed WHERE confidence < 0.75 OR conflict OR review_required")
+def review_items(t):
+    e = _edges(t)
+    found = graph.review_items(e).select("seq")
+    return e.join(found, "seq").select(F.col("seq").cast("long").alias("seq"), "child", "parent", (F.col("confidence") < 0.75).alias("low"), "conflict", "review_required")
+
+
+CYCLE = "SELECT DISTINCT user_id AS child, (user_id * user_id + 1) % 150 AS parent FROM events"
+
+
+@query(f"WITH RECURSIVE e AS ({CYCLE}), r(child, parent) AS (SELECT child, parent FROM e UNION SELECT r.child, e.parent FROM r JOIN e ON r.parent = e.child) SELECT DISTINCT child AS node FROM r WHERE child = parent")
+def graph_cycles(t):
+    return graph.cycle_nodes(t(CYCLE), save)
+
+
+@query(f"""WITH {RESOLVED}, bad AS (SELECT DISTINCT identity, n > 1 AS amb FROM ends WHERE n <> 1), a AS (SELECT child FROM good WHERE ref_type = 'airRef' GROUP BY child HAVING count(DISTINCT parent) > 1),
+st AS (SELECT e.ref_type, e.role, eq.type FROM ends e JOIN eq ON eq.name = e.canonical WHERE n = 1), ge AS (SELECT DISTINCT child, parent FROM good),
+cyc AS (WITH RECURSIVE r(c, p) AS (SELECT child, parent FROM ge UNION SELECT r.c, ge.parent FROM r JOIN ge ON r.p = ge.child) SELECT count(DISTINCT c) AS n FROM r WHERE c = p)
+SELECT (SELECT count(*) FROM bad) + (SELECT count(*) FROM a) + (SELECT n FROM cyc) + (SELECT count(*) FROM st WHERE (ref_type = 'airRef' AND role = 'child' AND type NOT IN ('VAV', 'FCU')) OR (ref_type = 'airRef' AND role = 'parent' AND type <> 'AHU') OR (ref_type <> 'airRef' AND role = 'parent' AND type <> 'CHW-PLANT')) AS errors,
+  (SELECT count(*) FROM eq WHERE type IN ('VAV', 'FCU') AND name NOT IN (SELECT child FROM good WHERE ref_type = 'airRef')) AS orphans, (SELECT count(*) FROM bad) + (SELECT count(*) FROM ed WHERE confidence < 0.75 OR conflict OR review_required) AS review_items, false AS passed""")
+def graph_report(t):
+    return graph.report(graph.validate(_edges(t), t(EQUIP), t(ALIAS), save=save))
+
+
+@query(f"WITH ed AS ({EDGES}) SELECT DISTINCT node FROM (SELECT child AS node FROM ed UNION ALL SELECT parent FROM ed)")
+def node_set(t):
+    return graph.node_set(_edges(t))
+
+
+PAGES = "SELECT event_id AS seq, 'img' || (event_id % 50) AS source_image, CASE user_id % 3 WHEN 0 THEN 'OAVAV_02_' || (user_id % 9) WHEN 1 THEN 'AHU-2-' || (user_id % 5) ELSE 'FCU 2 ' || user_id END AS page_title, event_type, value, user_id FROM events"
+
+
+@query(f"""WITH p AS ({PAGES}), w AS (SELECT *, CASE event_type WHEN 'click' THEN 'AHU 2' WHEN 'purchase' THEN 'OAVAV-2' WHEN 'view' THEN 'doas 1' ELSE 'other' END AS label FROM p)
+SELECT source_image, page_title, CASE WHEN user_id % 4 = 0 THEN 'no_linked_widget' WHEN label = 'AHU 2' THEN 'linked_widget_ahu' WHEN label = 'OAVAV-2' THEN 'linked_widget_oavav' WHEN label = 'doas 1' THEN 'linked_widget_doas' ELSE 'linked_widget_other' END AS evidence_kind, count(*) AS n FROM w GROUP BY ALL
+UNION ALL SELECT source_image, page_title, 'valve_points', count(*) FROM w WHERE user_id % 5 = 0 GROUP BY ALL""")
+def evidence_flatten(t):
+    label = F.expr("CASE event_type WHEN 'click' THEN 'AHU 2' WHEN 'purchase' THEN 'OAVAV-2' WHEN 'view' THEN 'doas 1' ELSE 'other' END")
+    widget = F.struct(label.alias("label"), (F.col("value") > 50).alias("values_live"), F.array(F.lit("SAT")).alias("points_shown"))
+    none = F.array().cast("array<struct<label: string, values_live: boolean, points_shown: array<string>>>")
+    valves = F.struct((F.col("user_id") % 5 == 0).alias("chilled_water"), F.lit(False).alias("hot_water"), F.lit("").alias("detail"))
+    p = t(PAGES).select("source_image", F.struct("page_title", F.when(F.col("user_id") % 4 == 0, none).otherwise(F.array(widget)).alias("linked_widgets"), valves.alias("water_valves")).alias("payload"))
+    return graph.flatten_pages(p).groupBy("source_image", "page_title", "evidence_kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+EVIDENCE = f"SELECT seq, source_image, page_title, CASE event_type WHEN 'click' THEN 'linked_widget_ahu' WHEN 'purchase' THEN 'linked_widget_oavav' WHEN 'view' THEN 'linked_widget_doas' ELSE 'valve_points' END AS evidence_kind, CASE event_type WHEN 'click' THEN 'AHU_2_1' WHEN 'purchase' THEN 'OAVAV_2_7' WHEN 'view' THEN 'DOAS_22_' || (user_id % 2) ELSE 'CHW+WW' END AS object_raw, CASE WHEN value > 50 THEN 'live_synced' ELSE 'offline' END AS link_state, '' AS detail FROM ({PAGES})"
+CONF = "CASE WHEN evidence_kind = 'valve_points' THEN CASE WHEN page_title LIKE 'AHU%' THEN 0.90 ELSE 0.85 END WHEN link_state = 'live_synced' THEN 0.95 ELSE 0.85 END"
+
+
+@query(f"""WITH e AS ({EVIDENCE}) SELECT page_title AS child_raw, object_raw AS parent_raw, 'airRef' AS ref_type, {CONF}::DOUBLE AS confidence, count(*) AS n FROM e WHERE evidence_kind <> 'valve_points' GROUP BY ALL
+UNION ALL SELECT page_title, x, y, {CONF}::DOUBLE, count(*) FROM e, (VALUES ('CHW-PLANT_1', 'chilledWaterRef'), ('HW-PLANT_1', 'hotWaterRef')) v(x, y) WHERE evidence_kind = 'valve_points' GROUP BY ALL""")
+def evidence_fusion(t):
+    return graph.fuse(t(EVIDENCE), extrapolate=False).groupBy("child_raw", "parent_raw", "ref_type", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH e AS ({EVIDENCE}), doas AS (SELECT * FROM e WHERE evidence_kind = 'linked_widget_doas'), seen AS (SELECT object_raw AS child_raw FROM e WHERE evidence_kind = 'linked_widget_oavav' UNION SELECT page_title FROM e WHERE page_title LIKE 'OAVAV%')
+SELECT child_raw, (SELECT arg_max(object_raw, seq) FROM doas) AS parent_raw, 0.55::DOUBLE AS confidence FROM seen WHERE child_raw NOT IN (SELECT page_title FROM doas) AND (SELECT count(DISTINCT page_title) FROM doas) >= 2""")
+def extrapolate(t):
+    return graph.extrapolated(t(EVIDENCE)).select("child_raw", "parent_raw", "confidence")
+
+
+FIRST, SECOND = (f"SELECT DISTINCT child, parent, ref_type FROM ({EDGES}) WHERE rid % 4 = 0", f"SELECT DISTINCT child, parent, ref_type FROM ({EDGES}) WHERE rid % 4 = 1")
+
+
+@query(f"WITH a AS ({FIRST}), b AS ({SECOND}) SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.child = b.child AND a.ref_type = b.ref_type)")
+def merge_secondary(t):
+    return graph.merge_secondary(t(FIRST), t(SECOND))
+
+
+TILE = "SELECT l_orderkey * 10 + l_linenumber AS s, l_suppkey AS child, l_returnflag AS ref_type, l_orderkey % 50 AS parent, CASE WHEN l_linenumber = 4 THEN NULL ELSE l_discount END AS confidence, l_linestatus = 'F' AND l_linenumber = 2 AS conflict, 'why' || (l_partkey % 5) AS conflict_reason, 'd' || (l_partkey % 3) AS source_drawing, l_partkey AS pk, l_extendedprice AS px FROM lineitem"
+TILE = f"SELECT row_number() OVER (PARTITION BY child ORDER BY s, pk, px) AS seq, child, ref_type, parent, confidence, conflict, conflict_reason, source_drawing FROM ({TILE})"
+
+
+@query(f"""WITH e AS ({TILE}), d AS (SELECT child, ref_type, parent, string_agg(source_drawing, ';' ORDER BY s) AS source_drawings FROM (SELECT child, ref_type, parent, source_drawing, min(seq) AS s FROM e GROUP BY ALL) GROUP BY ALL)
+SELECT child, ref_type, parent, max(confidence) AS confidence, bool_or(conflict) AS conflict, arg_min(conflict_reason, seq) FILTER (conflict) AS conflict_reason, any_value(source_drawings) AS source_drawings, count(*) AS tile_hits FROM e JOIN d USING (child, ref_type, parent) GROUP BY child, ref_type, parent""")
+def edge_union(t):
+    return graph.union_edges(t(TILE))
+
+
+GOOD = '{"equipment": [{"raw_label": "AHU 1", "canonical_name": "x", "equipment_type": "AHU", "confidence": 0.9}]}'
+RESPONSES = f"SELECT event_id AS id, CASE event_id % 8 WHEN 0 THEN '{GOOD}' WHEN 1 THEN '```json' || chr(10) || '{GOOD}' || chr(10) || '```' WHEN 2 THEN '{GOOD} extra' WHEN 3 THEN '[1]' WHEN 4 THEN '' WHEN 5 THEN '{{\"equipment\": []}}' WHEN 6 THEN replace('{GOOD}', '0.9', '1.9') ELSE substr('{GOOD}', 1, 30) || props END AS raw_text FROM events"
+
+
+@query("SELECT event_id AS id, CASE event_id % 8 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'succeeded' WHEN 5 THEN 'validation_failed' WHEN 6 THEN 'validation_failed' ELSE 'parse_failed' END AS run_status FROM events")
+def strict_json(t):
+    return responses.parsed(t(RESPONSES)).select("id", "run_status")
+
+
+BEST = "SELECT l_suppkey AS image, l_partkey % 40 AS item, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS seq, l_quantity AS confidence FROM lineitem"
+
+
+@query(f"WITH b AS ({BEST}) SELECT image, item, max(confidence) AS confidence, arg_min(seq, struct_pack(a := -confidence, b := seq)) AS seq, min(seq) AS first_seq FROM b GROUP BY image, item")
+def dedupe_best(t):
+    d = picks.best_per_key(t(BEST), ["image", "item"], "confidence")
+    return d.withColumns({c: F.col(c).cast("long") for c in ("seq", "first_seq")})
+
+
+LOG = "SELECT user_id, event_type, event_id, ts, cast(user_id AS string) AS key, CASE event_type WHEN 'click' THEN 'failed' ELSE 'succeeded' END AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events"
+
+
+@query(f"WITH l AS ({LOG}) SELECT key, arg_max(status, seq) AS status, arg_max(event_id, seq) AS event_id FROM l GROUP BY key")
+def checkpoint_latest(t):
+    return runs.checkpoint_state(t(LOG)).select("key", "status", "event_id")
+
+
+ROUTES = "SELECT cast(c_custkey AS string) AS key FROM customer"
+
+
+@query(f"WITH l AS (SELECT key, arg_max(status, seq) AS status FROM ({LOG}) GROUP BY key) SELECT key FROM ({ROUTES}) WHERE key NOT IN (SELECT key FROM l WHERE status = 'succeeded')")
+def checkpoint_pending(t):
+    return runs.pending(t(ROUTES), t(LOG))
+
+
+@query(f"WITH l AS (SELECT key, arg_max(status, seq) AS status FROM ({LOG}) GROUP BY key) SELECT status, count(*) AS n FROM l GROUP BY status")
+def checkpoint_counts(t):
+    return runs.status_counts(t(LOG))
+
+
+ATTEMPTS = "SELECT l_orderkey AS id, l_linenumber AS tier, max(l_discount) AS score, 'r' || cast(max(l_partkey) AS string) AS result FROM lineitem GROUP BY l_orderkey, l_linenumber"
+
+
+@query(f"WITH a AS ({ATTEMPTS}) SELECT id, coalesce(min(tier) FILTER (score >= 0.08), max(tier)) AS tier, coalesce(arg_min(result, tier) FILTER (score >= 0.08), arg_max(result, tier)) AS result, bool_or(score >= 0.08) AS accepted, string_agg(tier::VARCHAR, ',' ORDER BY tier) AS trail FROM a GROUP BY id")
+def escalation_pick(t):
+    return runs.escalated(t(ATTEMPTS), "id", F.col("score") >= 0.08)
+
+
+TILES = "SELECT l_orderkey AS image, CASE WHEN l_quantity < 8 THEN 'blank' WHEN l_returnflag = 'A' THEN 'transport_failed' WHEN l_returnflag = 'R' AND l_discount > 0.07 THEN 'parse_failed' ELSE 'parsed' END AS outcome, l_linenumber % 2 AS labels FROM lineitem"
+
+
+@query(f"""WITH d AS (SELECT image, count(*) AS tiles, count(*) FILTER (outcome <> 'blank') AS content_tiles, count(*) FILTER (outcome = 'parsed') AS ok, count(*) FILTER (outcome = 'transport_failed') AS tf, count(*) FILTER (outcome = 'parse_failed') AS pf, coalesce(sum(labels) FILTER (outcome = 'parsed'), 0) AS n FROM ({TILES}) GROUP BY image)
+SELECT image, tiles, content_tiles, ok AS succeeded_tiles, CASE WHEN content_tiles = 0 THEN 'succeeded' WHEN ok = 0 THEN CASE WHEN tf >= pf THEN 'transport_failed' ELSE 'parse_failed' END WHEN ok = content_tiles AND n > 0 THEN 'succeeded' ELSE 'validation_failed' END AS status FROM d""")
+def drawing_status(t):
+    return runs.drawing_status(t(TILES))
+
+
+USAGE = "SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'small-2026' WHEN 'AUTOMOBILE' THEN 'large' WHEN 'MACHINERY' THEN 'medium-x' ELSE 'other' END AS model, o_orderstatus = 'F' AS batch, cast(floor(l_quantity) AS bigint) AS input_tokens, cast(floor(l_extendedprice) AS bigint) AS output_tokens, l_partkey % 100 AS cache_read_input_tokens, l_suppkey % 10 AS cache_creation_input_tokens FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"
+COSTED = f"""u AS (SELECT model, batch, count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_read_input_tokens)::BIGINT AS cache_read_input_tokens, sum(cache_creation_input_tokens)::BIGINT AS cache_creation_input_tokens FROM ({USAGE}) GROUP BY model, batch),
+c AS (SELECT u.*, round(coalesce(((input_tokens + 0.1::DOUBLE * cache_read_input_tokens + 1.25::DOUBLE * cache_creation_input_tokens) * a + output_tokens * b) / 1e6 * CASE WHEN batch THEN 0.5::DOUBLE ELSE 1 END, 0), 6) AS cost FROM u LEFT JOIN (VALUES ('small', 1.0::DOUBLE, 5.0::DOUBLE), ('medium', 3.0, 15.0), ('large', 5.0, 25.0)) p(n, a, b) ON starts_with(u.model, p.n))"""
+
+
+@query(f"WITH {COSTED} SELECT * FROM c")
+def usage_cost(t):
+    return runs.usage_costs(t(USAGE), runs.price_list(t.spark))
+
+
+@query(f"WITH {COSTED} SELECT model, batch, sum(calls)::BIGINT AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_read_input_tokens)::BIGINT AS cache_read_input_tokens, sum(cache_creation_input_tokens)::BIGINT AS cache_creation_input_tokens, round(sum(cost), 6) AS cost, grouping(model)::INT AS is_total FROM c GROUP BY GROUPING SETS ((model, batch), ())")
+def usage_totals(t):
+    return runs.usage_costs(t(USAGE), runs.price_list(t.spark), totals=True)
+
+
+RESULTS = "SELECT l_orderkey AS request_id, CASE WHEN min(l_quantity) < 5 THEN 'parse_failed' ELSE 'succeeded' END AS status FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY l_orderkey"
+
+
+@query(f"SELECT o_orderkey AS request_id, coalesce(status, 'failed') AS status FROM orders LEFT JOIN ({RESULTS}) ON request_id = o_orderkey")
+def batch_attach(t):
+    return runs.attach(t("SELECT o_orderkey AS request_id FROM orders"), t(RESULTS))
+
+
+EQ_ITEMS, REL_ITEMS = "SELECT cast(user_id AS string) AS item_key FROM events", "SELECT user_id || '|airRef|' || (user_id % 7) AS item_key FROM events"
+ACTIONS = "SELECT 's' || (user_id % 20) AS session_id, 'equipment' AS item_type, cast(user_id AS string) AS item_key, CASE event_type WHEN 'click' THEN 'approve' WHEN 'view' THEN 'edit' WHEN 'purchase' THEN 'reject' ELSE 'clear' END AS action, ts AS created_at, event_id AS action_id, event_id % 3 = 0 AS applied, 'because' AS reason, props AS payload, props AS source_item FROM events"
+SESSIONS = "SELECT DISTINCT 's' || (user_id % 20) AS session_id, 'p' || (user_id % 2) AS property_id, 'Floor_02' AS floor FROM events"
+
+
+@query(f"""WITH k AS (SELECT DISTINCT item_type, item_key FROM ({ACTIONS}) a JOIN ({SESSIONS}) s USING (session_id) WHERE applied AND property_id = 'p1')
+SELECT * FROM (SELECT DISTINCT 'equipment' AS item_type, item_key FROM ({EQ_ITEMS}) UNION SELECT DISTINCT 'relationship', item_key FROM ({REL_ITEMS})) i WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.item_type = i.item_type AND k.item_key = i.item_key)""")
+def review_inbox(t):
+    return review.inbox(t(EQ_ITEMS), t(REL_ITEMS), review.applied_keys(t(ACTIONS), t(SESSIONS), "p1", "Floor_02"))
+
+
+LIVE = f"live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, item_type, item_key ORDER BY created_at DESC, action_id DESC) AS rn FROM ({ACTIONS})) WHERE rn = 1 AND action <> 'clear')"
+
+
+@query(f"WITH {LIVE} SELECT session_id, item_key, action, action_id FROM live")
+def latest_action(t):
+    return review.live_actions(t(ACTIONS)).select("session_id", "item_key", "action", "action_id")
+
+
+TOTALS = "SELECT 's' || (user_id % 20) AS session_id, count(DISTINCT user_id) AS n_total FROM events GROUP BY 's' || (user_id % 20)"
+
+
+@query(f"WITH {LIVE}, n AS (SELECT session_id, count(*) FILTER (action IN ('approve', 'edit')) AS a, count(*) FILTER (action = 'reject') AS r FROM live GROUP BY session_id) SELECT session_id, coalesce(a, 0) AS n_approved, coalesce(r, 0) AS n_rejected, greatest(n_total - coalesce(a, 0) - coalesce(r, 0), 0) AS n_pending FROM ({TOTALS}) LEFT JOIN n USING (session_id)")
+def session_counts(t):
+    return review.session_counts(review.live_actions(t(ACTIONS)), t(TOTALS))
+
+
+@query(f"SELECT coalesce(a.session_id, c.session_id) AS session_id, coalesce(n_applied, 0) AS n_applied, coalesce(n_corrections, 0) AS n_corrections FROM (SELECT session_id, count(*) AS n_applied FROM ({ACTIONS}) WHERE applied AND action <> 'reject' GROUP BY 1) a FULL JOIN (SELECT session_id, count(*) AS n_corrections FROM ({ACTIONS}) WHERE action IN ('reject', 'edit') GROUP BY 1) c USING (session_id)")
+def committed_counts(t):
+    a = t(ACTIONS)
+    return review.committed_counts(a, review.corrections(a))
+
+
+@query(f"SELECT session_id, item_key, source_item AS original, CASE WHEN action = 'edit' THEN payload END AS corrected FROM ({ACTIONS}) WHERE action IN ('reject', 'edit')")
+def corrections(t):
+    return review.corrections(t(ACTIONS)).select("session_id", "item_key", "original", "corrected")
+
+
+EDITS = "SELECT l_suppkey * 2 AS s_suppkey, 'edited ' || count(*) AS s_name, cast(NULL AS double) AS s_acctbal FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY l_suppkey"
+
+
+@query(f"SELECT coalesce(s.s_suppkey, e.s_suppkey) AS s_suppkey, coalesce(e.s_name, s.s_name) AS s_name, coalesce(e.s_acctbal, s.s_acctbal) AS s_acctbal, CASE WHEN s.s_suppkey IS NULL THEN 'insert' WHEN e.s_suppkey IS NOT NULL THEN 'update' ELSE 'keep' END AS change FROM supplier s FULL JOIN ({EDITS}) e ON s.s_suppkey = e.s_suppkey")
+def commit_upsert(t):
+    return review.upsert(t("SELECT s_suppkey, s_name, s_acctbal FROM supplier"), t(EDITS), "s_suppkey", ["s_name", "s_acctbal"])
+
+
+MASTER = "SELECT s_name AS name, cast(NULL AS string) AS airRef, 'old' AS hotWaterRef FROM supplier"
+REF_EDITS = "SELECT 'Supplier#' || lpad(cast(l_suppkey AS string), 9, '0') AS child, CASE WHEN l_linenumber % 2 = 0 THEN 'airRef' ELSE 'hotWaterRef' END AS ref_type, cast(l_partkey AS string) AS parent_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS seq FROM lineitem WHERE l_suppkey % 5 < 3 AND l_orderkey % 7 = 0"
+
+
+@query(f"WITH r AS (SELECT child, ref_type, arg_max(parent_id, seq) AS p FROM ({REF_EDITS}) GROUP BY ALL) SELECT m.name, coalesce(max(p) FILTER (ref_type = 'airRef'), any_value(m.airRef)) AS airRef, coalesce(max(p) FILTER (ref_type = 'hotWaterRef'), any_value(m.hotWaterRef)) AS hotWaterRef FROM ({MASTER}) m LEFT JOIN r ON r.child = m.name GROUP BY m.name")
+def commit_refs(t):
+    return review.refs_applied(t(MASTER), t(REF_EDITS))
+
+
+@query(f"WITH ed AS ({EDGES}), x AS (SELECT rid, 'child' AS role, child AS name FROM ed UNION ALL SELECT rid, 'parent', parent FROM ed) SELECT role, name, count(*) AS n FROM x WHERE name NOT IN (SELECT s_name FROM supplier) GROUP BY ALL")
+def missing_endpoints(t):
+    return review.missing_endpoints(_edges(t), t("SELECT s_name AS name FROM supplier")).groupBy("role", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+SCORED = "SELECT d.doc_id, d.source, cast(l.quality AS double) AS confidence, false AS review_required FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+
+
+@query(f"SELECT doc_id, confidence, coalesce(confidence < 0.75, false) AS attention FROM ({SCORED})")
+def review_sort(t):
+    rows = review.sorted_for_review(t(SCORED), "doc_id", attention=True)
+    return rows.select("doc_id", "confidence", F.coalesce(F.col("confidence") < 0.75, F.lit(False)).alias("attention"))
+
+
+@query("WITH l AS (SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id) SELECT event_id, user_id FROM l ORDER BY event_id DESC LIMIT 50")
+def last_corrections(t):
+    return picks.latest_n(t("SELECT event_id, user_id FROM events"), "user_id", 50, "event_id")
+
+
+POOL = "SELECT event_id AS correction_id FROM events WHERE event_id % 3 = 0"
+
+
+@query("SELECT event_id AS correction_id, user_id FROM events WHERE event_id % 3 <> 0")
+def outbox_new(t):
+    return review.outbox(t("SELECT event_id AS correction_id, user_id FROM events"), t(POOL))
+
+
+REMOTE, LOCAL = "SELECT url || CASE page_id % 3 WHEN 0 THEN '/f' || page_id || '.png' WHEN 1 THEN '/f' || page_id || '.pdf' ELSE '/f' || page_id || '.txt' END AS key, length(html) AS size FROM pages", "SELECT 'f' || page_id || CASE page_id % 3 WHEN 0 THEN '.png' ELSE '.pdf' END AS filename, length(html) + page_id % 2 AS size FROM pages WHERE page_id % 5 <> 0"
+
+
+@query(f"WITH r AS (SELECT *, regexp_extract(key, '[^/]+$') AS filename FROM ({REMOTE})) SELECT r.filename, r.size, CASE WHEN r.filename LIKE '%.txt' THEN 'skipped' WHEN l.size IS NULL THEN 'new' WHEN l.size <> r.size THEN 'changed' ELSE 'up_to_date' END AS status FROM r LEFT JOIN ({LOCAL}) l USING (filename)")
+def sync_plan(t):
+    return images.sync_plan(t(REMOTE), t(LOCAL)).select("filename", F.col("size").cast("long").alias("size"), "status")
+
+
+SIZES = "SELECT p_partkey AS id, p_size * 40 AS width, p_size * 31 + p_partkey % 700 AS height FROM part"
+
+
+@query(f"SELECT id, greatest(width, height) >= 1000 AND least(width, height) >= 750 AS passes, CASE WHEN width * height > 8000000 THEN 'drawing' ELSE 'screenshot' END AS class FROM ({SIZES})")
+def quality_gate(t):
+    ok, _ = L.image_quality(F.col("width"), F.col("height"))
+    return t(SIZES).select("id", ok.alias("passes"), L.image_class(F.col("width").cast("long") * F.col("height")).alias("class"))
+
+
+GRID = "SELECT p_partkey AS id, cast(p_size * 300 AS int) AS width, cast(p_size * 170 + 11 AS int) AS height FROM part"
+
+
+def _starts(x):
+    n = f"greatest(ceil(({x} - 128) / 2372.0)::INT, 2)"
+    return f"CASE WHEN {x} <= 2500 THEN [0] ELSE list_transform(range(0, {n}), lambda i: round_even(i * ({x} - 2500) / ({n} - 1)::DOUBLE, 0)::INT) END"
+
+
+@query(f'WITH g AS (SELECT *, unnest({_starts("width")}) AS x FROM ({GRID})), h AS (SELECT *, unnest({_starts("height")}) AS y FROM g) SELECT id, x AS "left", y AS top, least(x + 2500, width) AS "right", least(y + 2500, height) AS bottom FROM h')
+def tile_grid(t):
+    return images.tile_boxes(t(GRID)).select("id", "left", "top", "right", "bottom")
+
+
+@query("SELECT d.doc_id AS key, count(l.doc_id) AS n_evidence FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.doc_id")
+def evidence_attach(t):
+    ev = t("SELECT doc_id AS key, 'labels' AS source, cast(quality AS string) AS detail FROM labels")
+    return review.evidence_attached(t("SELECT doc_id AS key FROM documents"), ev).select("key", F.col("n_evidence").cast("long").alias("n_evidence"))
+
+
+WRAPPED = "SELECT event_id AS id, '[{\"raw_label\": \"' || event_type || '\", \"confidence\": \"' || (event_id % 10) || '\"}, {\"equipment_type\": \"AHU\", \"review_required\": \"yes\"}]' AS payload FROM events"
+
+
+@query("SELECT event_id AS id, event_type AS raw_label, 'UNRESOLVED' AS equipment_type, (event_id % 10)::DOUBLE AS confidence, false AS review_required FROM events UNION ALL SELECT event_id, '', 'AHU', 0.0, true FROM events")
+def unit_parse(t):
+    return responses.unit_rows(t(WRAPPED), "payload").drop("review_reason")
+
+
+@query("WITH d AS (SELECT DISTINCT event_type AS category, 'u' || user_id AS value FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY value) AS rn FROM d) SELECT category, string_agg(value, ',' ORDER BY value) FILTER (rn <= 3) AS examples, greatest(count(*) - 3, 0) AS more FROM r GROUP BY category")
+def top_examples(t):
+    return picks.top_examples(t("SELECT event_type AS category, 'u' || user_id AS value FROM events"), "category", "value")
+
+
+@query()
+def file_inventory(t):
+    """Size and type of the tables' own files."""
+    return readers.listing(t.spark, t.dir).select(F.regexp_extract("key", r"([^/]+/?[^/]+)$", 1).alias("name"), "size", L.file_type(F.col("key")).alias("file_type"))
+
+
+@query()
+def raw_plan(t):
+    f = readers.listing(t.spark, t.dir).select(F.regexp_extract("key", r"([^/]+/[^/]+)$", 1).alias("relative_path"), L.file_type(F.col("key")).alias("file_type"))
+    return images.preservation_plan(f, f.limit(0).select(F.lit("").alias("key")), "raw")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE upper(event_type) END AS payload, CASE WHEN event_id % 9 = 0 THEN 'parse_failure' ELSE 'succeeded' END AS run_status FROM events")
+def map_extract(t):
+    def fn(row):
+        if row["event_id"] % 9 == 0:
+            raise ValueError("unreadable")
+        return row["event_type"].upper()
+
+    return inject.extracted(t("SELECT event_id, event_type FROM events"), fn, "event_id").drop("error")
+
+
+@query("SELECT regexp_extract(url, '//([^/]+)/', 1) AS host, count(*) AS n, max(page_id) AS last_page FROM pages GROUP BY 1")
+def group_points(t):
+    def fn(d: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [d["host"].iloc[0]], "n": [len(d)], "last_page": [d["page_id"].max()]})
+
+    return inject.grouped(t("SELECT regexp_extract(url, '//([^/]+)/', 1) AS host, page_id FROM pages"), ["host"], fn, "host string, n long, last_page long")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0 WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS tier, event_id % 2 = 0 OR event_id % 3 = 0 OR event_id % 5 = 0 AS accepted FROM events")
+def ladder(t):
+    tiers = [lambda r, m=m: "ok" if r["event_id"] % m == 0 else "no" for m in (2, 3, 5)]
+    return inject.ladder(t("SELECT event_id FROM events"), tiers, "event_id", F.col("result") == "ok").select("event_id", "tier", "accepted")
+
+
+@query("SELECT event_id AS correction_id, user_id FROM events")
+def stream_outbox(t):
+    """Events through a file stream into the pool, twice; the second run adds nothing."""
+    spark, base = t.spark, t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayer-")
+    import uuid
+
+    root = f"{base}/stream-{uuid.uuid4().hex}"
+    t("SELECT event_id AS correction_id, user_id FROM events").write.parquet(f"{root}/in")
+    schema = spark.read.parquet(f"{root}/in").schema
+    for k in range(2):
+        incremental.outbox(spark.readStream.schema(schema).parquet(f"{root}/in"), f"{root}/pool", f"{root}/log{k}")
+    return spark.read.parquet(f"{root}/pool")
+
+
+#: the query with which the package introduces itself
+FLAGSHIP = "reconcile_full_outer"

@@ -265,7 +265,7 @@ def ref_join_counts(t):
 
 EQUIP = "SELECT s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'AHU' WHEN 1 THEN 'VAV' WHEN 2 THEN 'FCU' ELSE 'CHW-PLANT' END AS type FROM supplier"
 ALIAS = "SELECT 'unit ' || (s_suppkey % 60) AS alias, s_name AS name FROM supplier"
-EDGES = "SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_partkey % 10 = 0 THEN 'lost ' || (l_partkey % 7) ELSE 'Supplier-' || l_suppkey END AS child, '' AS child_raw, 'Supplier 0' || (l_suppkey % 9) AS parent, CASE WHEN l_partkey % 25 = 0 THEN 'unit ' || (l_partkey % 60) ELSE '' END AS parent_raw, CASE WHEN l_linenumber % 2 = 0 THEN 'airRef' ELSE 'chilledWaterRef' END AS ref_type, round(1 - l_discount * 4, 2) AS confidence, l_returnflag = 'R' AND l_linenumber = 3 AS conflict, '' AS conflict_reason, l_tax > 0.07 AS review_required, CASE WHEN l_tax > 0.07 THEN 'tax' ELSE '' END AS review_reason, l_shipdate AS shipped, l_suppkey FROM lineitem WHERE l_orderkey % 3 = 0"
+EDGES = "SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_partkey % 10 = 0 THEN 'lost ' || (l_partkey % 7) ELSE 'Supplier-' || l_suppkey END AS child, '' AS child_raw, 'Supplier 0' || (l_partkey % 9) AS parent, CASE WHEN l_partkey % 25 = 0 THEN 'unit ' || (l_partkey % 60) ELSE '' END AS parent_raw, CASE WHEN l_linenumber % 2 = 0 AND l_suppkey % 6 <> 1 THEN 'airRef' ELSE 'chilledWaterRef' END AS ref_type, round(1 - l_discount * 4, 2) AS confidence, l_returnflag = 'R' AND l_linenumber = 3 AS conflict, '' AS conflict_reason, l_tax > 0.07 AS review_required, CASE WHEN l_tax > 0.07 THEN 'tax' ELSE '' END AS review_reason, l_shipdate AS shipped, l_suppkey FROM lineitem WHERE l_orderkey % 3 = 0"
 EDGES = f"SELECT row_number() OVER (PARTITION BY l_suppkey ORDER BY seq, child, parent, parent_raw, confidence, shipped) * 1000000 + l_suppkey AS rid, * FROM ({EDGES})"
 RESOLVED = f"""eq AS ({EQUIP}), al AS (SELECT {M('name')} AS key, name FROM eq UNION SELECT {M('alias')} AS key, name FROM ({ALIAS})), ed AS ({EDGES}),
 said AS (SELECT rid, ref_type, 'child' AS role, child AS a, child_raw AS b FROM ed UNION ALL SELECT rid, ref_type, 'parent', parent, parent_raw FROM ed),

@@ -46,7 +46,7 @@ def checked(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFra
 def unit_rules() -> dict[str, Column]:
     return {
         "from a source": F.expr("in_topics OR in_drawings"),
-        "settled or under review": F.expr("(status = 'settled') = NOT review_required"),
+        "settled or under review": F.expr("(status = 'settled') = (NOT review_required)"),
         "review has a reason": F.expr("NOT review_required OR coalesce(review_reason, '') <> ''"),
         "contested status and category agree": F.expr("(status = 'floor_ambiguous') = (discrepancy_category = 'floor_ambiguous')"),
     }

@@ -9,12 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import settled
+
 #: share of the largest possible entropy, log(number of sources)
 TARGET_ENTROPY = 0.97
 #: most often that a source's tokens may be repeated; None: no limit
 MAX_REPEATS = 4.0
 BLOCKS = 64
 STEPS = 40
+#: a plan of at most so many sources (some 10 MB) is broadcast; a larger one is joined by a shuffle
+BROADCAST_SOURCES = 100_000
 
 
 def token_count(text: Column) -> Column:
@@ -55,17 +59,12 @@ def mixing_weights(
         least = F.expr(bisect.format(test=f"{most} <= {max_repeats}D", **down) + ".hi")
         alpha = F.greatest(alpha, least) if target_entropy is not None else least
     one = one.select("total", "ps", F.round(F.when(F.size("ps") > 1, alpha).otherwise(1.0), 6).alias("exponent"))
-    one = one.select("total", "exponent", F.expr("aggregate(ps, 0D, (a, p) -> a + pow(p, exponent))").alias("z"))
-    share = F.col("n_tokens") / F.col("total")
-    weight = F.when(F.col("n_tokens") > 0, F.round(F.pow(share, F.col("exponent")) / F.col("z"), 9)).otherwise(0.0)
-    # one row, put beside each source by an equal key
-    return (
-        sources.withColumn("_k", F.lit(1))
-        .join(F.broadcast(one.withColumn("_k", F.lit(1))), "_k")
-        .select("source", "n_docs", "n_tokens", "exponent", weight.alias("weight"), "total")
-        .withColumn("budget", F.floor(F.col("weight") * F.col("total")).cast("long"))
-        .drop("total")
-    )
+    r = one.select("total", "exponent", F.expr("aggregate(ps, 0D, (a, p) -> a + pow(p, exponent))").alias("z")).first()  # three numbers
+    total, exponent, z = (float(r[c] or 0.0) for c in ("total", "exponent", "z"))
+    share = F.col("n_tokens") / F.lit(total)
+    weight = F.when(F.col("n_tokens") > 0, F.round(F.pow(share, F.lit(exponent)) / F.lit(z), 9)).otherwise(0.0)
+    out = sources.select("source", "n_docs", "n_tokens", F.lit(exponent).alias("exponent"), weight.alias("weight"))
+    return out.withColumn("budget", F.floor(F.col("weight") * F.lit(total)).cast("long"))
 
 
 def mix_sources(
@@ -89,14 +88,16 @@ def mix_sources(
     Empty input gives no rows. Other columns are ignored.
     """
     d = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), token_count(F.col("text")).alias("n_tokens"))
-    per = d.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    d = settled(d)  # texts are read once; what follows works on ids and counts
+    per = settled(d.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens")))
+    few = per.count() <= BROADCAST_SOURCES
     plan = mixing_weights(per, target_entropy, max_repeats).select(
         "source", "budget", "weight", "exponent", F.col("n_tokens").alias("have"),
         F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("n_docs") / 512.0))).cast("int").alias("digits"),
         F.when(F.col("n_tokens") > 0, F.ceil(F.col("budget") / F.col("n_tokens"))).otherwise(1).cast("long").alias("epochs"),
     )
     laid = (
-        d.join(plan, "source")
+        d.join(F.broadcast(plan) if few else plan, "source")
         .withColumn("epoch", F.explode(F.expr("sequence(0L, greatest(epochs, 1L) - 1L)")))
         .withColumn("rank_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))))
         .withColumn("bucket", F.expr("substring(rank_key, 1, digits)"))

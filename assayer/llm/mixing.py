@@ -30,7 +30,10 @@ def token_count(text: Column) -> Column:
 
 
 def mixing_weights(
-    sources: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max_repeats: float | None = MAX_REPEATS
+    sources: DataFrame,
+    target_entropy: float | None = TARGET_ENTROPY,
+    max_repeats: float | None = MAX_REPEATS,
+    budget_tokens: int | None = None,
 ) -> DataFrame:
     """``sources(source, n_docs, n_tokens)`` gains exponent, weight (sum 1) and budget (tokens).
 
@@ -38,7 +41,8 @@ def mixing_weights(
     largest whose entropy reaches ``target_entropy * log(sources)``; entropy falls as it grows, so it is
     bisected. Then it is raised, where it must be, to the least exponent at which no source is repeated more than
     ``max_repeats`` times. It is rounded to six places. The table has one row per source.
-    The sum of the budgets is that of the tokens, save the rounding down. Sources without tokens get weight 0.
+    The budgets divide ``budget_tokens``; where none is given, the least number of tokens with which no source loses a
+    document: the most down-weighted source is then taken once. Sources without tokens get weight 0.
     """
     one = sources.agg(
         F.sort_array(F.collect_list(F.when(F.col("n_tokens") > 0, F.col("n_tokens").cast("double")))).alias("ts"),
@@ -49,7 +53,8 @@ def mixing_weights(
     mid = "((s.lo + s.hi) / 2)"
     z = f"aggregate(ps, 0D, (a, p) -> a + pow(p, {mid}))"
     entropy = f"(ln({z}) - aggregate(ps, 0D, (a, p) -> a + pow(p, {mid}) * {mid} * ln(p)) / {z})"
-    most = f"(pow(ps[0], {mid} - 1) / {z})"  # the smallest source is the one repeated most
+    # the smallest source is the one repeated most
+    most = f"pow(ps[0] / ps[size(ps) - 1], {mid} - 1)" if budget_tokens is None else f"(pow(ps[0], {mid} - 1) / {z} * {budget_tokens}D / total)"
     up = dict(n=STEPS, yes_lo=mid, yes_hi="s.hi", no_lo="s.lo", no_hi=mid)
     down = dict(n=STEPS, yes_lo="s.lo", yes_hi=mid, no_lo=mid, no_hi="s.hi")
     alpha = F.lit(1.0)
@@ -64,7 +69,9 @@ def mixing_weights(
     share = F.col("n_tokens") / F.lit(total)
     weight = F.when(F.col("n_tokens") > 0, F.round(F.pow(share, F.lit(exponent)) / F.lit(z), 9)).otherwise(0.0)
     out = sources.select("source", "n_docs", "n_tokens", F.lit(exponent).alias("exponent"), weight.alias("weight"))
-    return out.withColumn("budget", F.floor(F.col("weight") * F.lit(total)).cast("long"))
+    if budget_tokens is None:
+        budget_tokens = out.where("weight > 0").agg(F.max(F.col("n_tokens") / F.col("weight"))).first()[0] or 0.0
+    return out.withColumn("budget", F.ceil(F.round(F.col("weight") * F.lit(float(budget_tokens)), 3)).cast("long"))
 
 
 def mix_sources(
@@ -73,6 +80,7 @@ def mix_sources(
     max_repeats: float | None = MAX_REPEATS,
     blocks: int = BLOCKS,
     seed: int = 7,
+    budget_tokens: int | None = None,
 ) -> DataFrame:
     """The mixed corpus as places: source, doc_id, epoch, n_tokens, start, block, rank_key, and how often the row stands.
 
@@ -91,7 +99,7 @@ def mix_sources(
     d = settled(d)  # texts are read once; what follows works on ids and counts
     per = settled(d.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens")))
     few = per.count() <= BROADCAST_SOURCES
-    plan = mixing_weights(per, target_entropy, max_repeats).select(
+    plan = mixing_weights(per, target_entropy, max_repeats, budget_tokens).select(
         "source", "budget", "weight", "exponent", F.col("n_tokens").alias("have"),
         F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("n_docs") / 512.0))).cast("int").alias("digits"),
         F.when(F.col("n_tokens") > 0, F.ceil(F.col("budget") / F.col("n_tokens"))).otherwise(1).cast("long").alias("epochs"),
@@ -138,10 +146,10 @@ up(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
     SELECT i, lo, hi, (SELECT ln(sum(pow(p, (lo + hi) / 2))) - sum(pow(p, (lo + hi) / 2) * (lo + hi) / 2 * ln(p)) / sum(pow(p, (lo + hi) / 2)) >= {target_entropy} * ln(count(*)) FROM ps) AS ok FROM up WHERE i < {STEPS})),
 down(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
   SELECT i + 1, CASE WHEN ok THEN lo ELSE (lo + hi) / 2 END, CASE WHEN ok THEN (lo + hi) / 2 ELSE hi END FROM (
-    SELECT i, lo, hi, (SELECT pow(min(p), (lo + hi) / 2 - 1) / sum(pow(p, (lo + hi) / 2)) <= {max_repeats} FROM ps) AS ok FROM down WHERE i < {STEPS})),
+    SELECT i, lo, hi, (SELECT pow(min(p) / max(p), (lo + hi) / 2 - 1) <= {max_repeats} FROM ps) AS ok FROM down WHERE i < {STEPS})),
 a AS (SELECT CASE WHEN (SELECT count(*) FROM ps) > 1 THEN round(greatest((SELECT max(lo) FROM up), (SELECT min(hi) FROM down)), 6) ELSE 1.0 END AS e),
-plan AS (SELECT per.source, have, coalesce(weight, 0.0) AS weight, coalesce(floor(weight * (SELECT sum(have) FROM per)::DOUBLE), 0)::BIGINT AS budget FROM per LEFT JOIN (
-  SELECT source, round(pow(p, e) / (SELECT sum(pow(p, e)) FROM ps), 9) AS weight FROM ps, a) USING (source)),
+ws AS (SELECT source, have, round(pow(p, e) / (SELECT sum(pow(p, e)) FROM ps), 9) AS weight FROM ps, a),
+plan AS (SELECT per.source, per.have, coalesce(weight, 0.0) AS weight, coalesce(ceil(round(weight * (SELECT max(have / weight) FROM ws WHERE weight > 0), 3)), 0)::BIGINT AS budget FROM per LEFT JOIN ws USING (source)),
 laid AS (SELECT source, doc_id, n_tokens, have, budget, weight, e.epoch, md5(concat_ws(':', '{seed}', e.epoch::VARCHAR, coalesce(doc_id::VARCHAR, '-'))) AS rank_key
   FROM d JOIN plan USING (source) JOIN (SELECT unnest(range(0, 1000)) AS epoch) e ON e.epoch = 0 OR e.epoch * have < budget),
 placed AS (SELECT *, (epoch * have + coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY rank_key, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM laid)

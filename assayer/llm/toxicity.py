@@ -34,7 +34,7 @@ class Lexicon:
 
     States of the intersection are sets of (trie node, edits so far); they are made when first reached and kept, so
     a word is read in one step a letter. ``accepts`` gives 0 for no term, 1 for a term (or a word that
-    begins with a stem), 2 for a word one edit from a long enough term.
+    goes on behind a stem), 2 for a word one edit from a long enough term.
     """
 
     def __init__(self, words, stems):
@@ -56,7 +56,7 @@ class Lexicon:
         self.within = [False] * len(self.nodes)
         for n in range(len(self.nodes) - 1, -1, -1):
             self.within[n] = self.word.get(n, 0) >= FUZZY_FROM or any(self.within[m] for m in self.nodes[n].values())
-        self.states, self.names, self.steps, self.verdicts = [], {}, [], []
+        self.states, self.names, self.steps, self.verdicts, self.begun = [], {}, [], [], []
         self._state(frozenset({(0, 0)}))
 
     def _state(self, items: frozenset) -> int:
@@ -73,8 +73,8 @@ class Lexicon:
             self.steps.append({})
             exact = any(e == 0 and n in self.word for n, e in closed)
             near = any(e == 1 and self.word.get(n, 0) >= FUZZY_FROM for n, e in closed)
-            stem = any(e == 0 and n in self.stem for n, e in items)
-            self.verdicts.append(3 if stem else 1 if exact else 2 if near else 0)
+            self.begun.append(any(e == 0 and n in self.stem for n, e in items))
+            self.verdicts.append(1 if exact else 2 if near else 0)
         return self.names[items]
 
     def _step(self, state: int, c: str) -> int:
@@ -91,17 +91,17 @@ class Lexicon:
         return to
 
     def accepts(self, word: str) -> int:
-        at, steps, verdicts = 0, self.steps, self.verdicts
+        at, steps, begun = 0, self.steps, self.begun
         for c in word:
+            if begun[at]:  # a stem, and more behind it
+                return 1
             to = steps[at].get(c)
             if to is None:
                 to = self._step(at, c)
             if to < 0:
                 return 0
-            if verdicts[to] == 3:
-                return 1
             at = to
-        return verdicts[at]
+        return self.verdicts[at]
 
 
 class Scanner:
@@ -155,48 +155,75 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
+def _bare(text: str) -> list[str]:
+    return [x for w in text.lower().split() if (x := w if w.isalnum() else _EDGES.sub("", w))]
+
+
+def _terms(word: str) -> list[str]:
+    """The word as a whole, and its first 3 to 6 letters where more follow."""
+    return [f"{word}$", *(word[:k] for k in STEM_SIZES if len(word) > k)]
+
+
+def _excess(nt: int, nn: int, tried: int):
+    """Column condition: found far more often with toxic documents (of nt) than with others (of nn), by likelihood ratio.
+
+    The bound on the ratio rises with the number of terms tried.
+    """
+    share, both = nt / (nt + nn), F.col("t") + F.col("n")
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * p))).otherwise(0.0)
+    return (F.col("t") / nt > 8 * F.col("n") / nn) & (2 * (part("t", share) + part("n", 1 - share)) > 4 + 2 * math.log(max(tried, 1)))
+
+
 def learn_lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
-    """Words and stems that toxic documents hold far more often than others, by likelihood ratio.
+    """Words and stems that toxic documents hold far more often than others.
 
-    Documents are counted by word and by its first 3 to 6 letters, partly in each task, then by a grouped sum.
-    The bound on the ratio rises with the number of terms tried. A stem is taken instead of its words only where
-    it is found in clearly more documents than any of them, that is, where its endings vary.
+    First documents are counted by term, partly in each task, then by a grouped sum. What stands out is counted once more,
+    by the different pairs of neighbouring words it stands between: copies of one toxic document repeat all its
+    words, but only between the same neighbours. A stem is taken instead of its words only where it is
+    found clearly more often than any of them, that is, where its endings vary.
     """
 
-    def run(batches):
+    def by_document(batches):
         for b in batches:
             n, t = Counter(), Counter()
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = {x for w in set(text.lower().split()) if (x := _EDGES.sub("", w))}
-                terms = {f"{w}$" for w in own} | {w[:k] for w in own for k in STEM_SIZES if len(w) > k} | {"$"}
-                (t if toxic else n).update(terms)
+                (t if toxic else n).update({x for w in set(_bare(text)) for x in _terms(w)} | {"$"})
             terms = list(t.keys() | n.keys())
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([t[x] for x in terms], pa.int64()), pa.array([n[x] for x in terms], pa.int64())], ["term", "t", "n"])
 
-    counts = train.mapInArrow(run, "term string, t long, n long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    counts = train.mapInArrow(by_document, "term string, t long, n long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     counts = counts.where("t + n >= 3").persist()
     try:
         whole = counts.where("term = '$'").first()
         if not whole or not whole["t"] or not whole["n"]:
             return [], []
         nt, nn, tried = whole["t"], whole["n"], counts.count()
-        share = nt / (nt + nn)
-        both = F.col("t") + F.col("n")
-        part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * p))).otherwise(0.0)
-        ratio = 2 * (part("t", share) + part("n", 1 - share))
-        rows = (
-            counts.where("term <> '$'").where((F.col("t") / nt > 8 * F.col("n") / nn) & (ratio > 4 + 2 * math.log(tried)))
-            .orderBy(F.desc("t"), "term").limit(MAX_TERMS).collect()
-        )
+        first = counts.where("term <> '$'").where(_excess(nt, nn, tried)).orderBy(F.desc("t"), "term").limit(MAX_TERMS).collect()
     finally:
         counts.unpersist()
-    found = {r["term"]: r["t"] for r in rows}
+    likely = {r["term"] for r in first}
+
+    def by_neighbours(batches):
+        for b in batches:
+            seen = set()
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ws = _bare(text)
+                for i, w in enumerate(ws):
+                    for x in _terms(w):
+                        if x in likely:
+                            seen.add((x, f"{ws[i - 1] if i else ''} {ws[i + 1] if i + 1 < len(ws) else ''}", toxic))
+            cols = list(zip(*seen, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], ["term", "between", "toxic"])
+
+    places = train.mapInArrow(by_neighbours, "term string, between string, toxic int").distinct()
+    apart = places.groupBy("term").agg(F.sum(F.col("toxic").cast("long")).alias("t"), F.count_if(F.col("toxic") == 0).alias("n"))
+    found = {r["term"]: r["t"] for r in apart.where(_excess(nt, nn, tried)).collect()}  # MAX_TERMS rows at most
     stems = []
     for p in sorted((x for x in found if x[-1] != "$"), key=len):
         longer = [c for x, c in found.items() if x != p and x.startswith(p) and x != f"{p}$"]
-        if found[p] > 1.2 * max(longer, default=0) and not p.startswith(tuple(stems)):
+        if found[p] > 1.5 * max(longer, default=0) and not p.startswith(tuple(stems)):
             stems.append(p)
-    return [x[:-1] for x in found if x[-1] == "$" and not x.startswith(tuple(stems))], stems
+    return sorted(x[:-1] for x in found if x[-1] == "$" and not (len(x) > 1 and x[:-1] not in stems and x.startswith(tuple(stems)))), stems
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

@@ -102,7 +102,7 @@ def blocks(page: str | None):
 @functools.lru_cache(65536)
 def _path_features(path: tuple) -> tuple[str, ...]:
     leaf = path[-1][0] if path else "none"
-    tags = {f"in:{t}" for t, _ in path[:-1] if t not in ("html", "body")}
+    tags = {f"in:{t}" for t, _ in path if t not in ("html", "body")}
     hints = [h for _, h in path if h]
     return (f"leaf:{leaf}", *sorted(tags), *sorted({f"hint:{h}" for h in hints}), f"last:{hints[-1] if hints else '-'}", f"depth:{min(len(path), 6)}")
 
@@ -150,7 +150,7 @@ def labelled_page(rng: random.Random) -> list[tuple[tuple, str, int, int]]:
         for _ in range(rng.randint(1, 2)):
             add("header", "head", rng.choice(("h1", "p", None)), say(1, 5), 0)
     for _ in range(rng.randint(0, 8)):
-        add("nav", "menu", "li", say(1, 2), 0, 1.0)
+        add("nav", "menu", rng.choice(("li", "li", "li", None)), say(1, 3), 0, rng.choice((1.0, 1.0, 0.7)))
     if some(0.4):
         add("div", "notice", rng.choice(("p", None)), prose(5, 30), 0)
     for _ in range(rng.randint(0, 2)):
@@ -164,8 +164,9 @@ def labelled_page(rng: random.Random) -> list[tuple[tuple, str, int, int]]:
             main(rng.choices(("p", "h2", "h3", "li", "blockquote", "pre", "td", "figcaption", None), (20, 2, 1, 3, 1, 1, 1, 1, 1))[0], prose(1, rng.choice((3, 12, 40, 90))) if some(0.9) else " | ".join(say(1, 2) for _ in range(rng.randint(2, 9))), rng.choice((0, 0, 0, 0.2, 0.6)))
             if some(0.08):
                 x = rng.choice(("advert", "share", "side", "form", "notice"))
-                path = base + (("article" if semantic else "div", "main"), (rng.choice(("div", "aside") if x != "form" else ("form", "div")), x), ("p", None))
-                rows.append((path, prose(2, 12), 0, 0))
+                tag = rng.choice(("div", "aside") if x != "form" else ("form", "div"))
+                inner = (("article" if semantic else "div", "main"), (tag, x if tag == "div" or some(0.5) else None))
+                rows.append((base + inner + ((("p", None),) if some(0.6) else ()), prose(2, 12), 0, 0))
     for _ in range(rng.randint(0, 4)):
         add("aside", "side", rng.choice(("li", "p", "h3")), prose(2, 12), 0, rng.choice((0, 1.0)))
     if some(0.2):

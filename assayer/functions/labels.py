@@ -54,7 +54,7 @@ def path_context(path: Column, floor: Column) -> Column:
     return F.when((F.size(parts) >= 3) & (F.get(parts, F.lit(0)) == floor) & (context != ""), context)
 
 
-#: tried in this order
+# Types, tried in this order.
 TOPIC_TYPES = ("VAVRH", "OAVAV", "EAVAV", "FPTU", "AHU", "FCU", "VAV")
 PREFIX_TYPES = ("VAVRH", "EAVAV", "EVAV", "OAVAV", "FPTU", "FCU", "AHU", "VAV", "DOAS", "IDU", "TF")
 

@@ -11,6 +11,7 @@ from ..functions import vocab
 from ..functions.labels import append_reason, canonical_key, match_key, to_bool, type_prefix, widget_kind
 from .picks import first_by, ordered_distinct
 
+# Review threshold, confidence by link state and kind, and the notes attached to edges.
 LOW = 0.75
 CONFIDENCE = {"live": 0.95, "live_synced": 0.95, "offline": 0.85}
 EXTRAPOLATED, VALVE_AHU, VALVE_OTHER = 0.55, 0.90, 0.85

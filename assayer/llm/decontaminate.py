@@ -28,7 +28,8 @@ class Items:
     n - need at most, so it holds one of the item's n - need + 1 smallest hash values: that bottom sketch loses
     nothing, where bands of whole-document signatures would (a short item's Jaccard similarity to a long
     document is near zero). Partitions by powers of two of n let documents skip those whose items need more
-    shingles than the document has.
+    shingles than the document has. Every word of the items has a number, and shingles are kept and compared as rows of
+    these numbers: 28 bytes each with the hash value.
     """
 
     def __init__(self, items: list[tuple[int, str]], width: int = SHINGLE, threshold: float = THRESHOLD):
@@ -41,9 +42,10 @@ class Items:
             if not own:
                 continue
             need = math.ceil(threshold * len(own) - 1e-9)
-            codes = self.hashed(np.array([[self.ids[w] for w in s] for s in own], np.uint64).T)
+            rows = np.array([[self.ids[w] for w in s] for s in own], np.uint32)
+            codes = self.hashed(rows.T)
             order = np.argsort(codes)
-            self.items.setdefault(item, []).append((own, need, codes))
+            self.items.setdefault(item, []).append((rows, need, codes))
             partitions.setdefault(len(own).bit_length(), []).append((item, need, codes[order[: len(own) - need + 1]]))
         self.partitions = []
         for part in partitions.values():
@@ -86,11 +88,12 @@ class Items:
                 found.update(names[o] for o in owners[a:b].tolist())
         out = []
         for item in sorted(found):
-            for own, need, own_codes in self.items[item]:
+            for rows, need, own_codes in self.items[item]:
                 hits = at[np.isin(codes, own_codes)]
-                shared = len({tuple(words[i : i + self.width]) for i in hits.tolist()} & own)
+                here = set(zip(*(ids[hits + k].tolist() for k in range(self.width)), strict=True))
+                shared = len(here & set(map(tuple, rows.tolist())))
                 if shared >= need:
-                    out.append((item, shared, len(own)))
+                    out.append((item, shared, len(rows)))
         return out
 
 

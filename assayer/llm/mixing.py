@@ -17,6 +17,8 @@ TARGET_ENTROPY = 0.97
 MAX_REPEATS = 4.0
 BLOCKS = 64
 STEPS = 40
+#: a source's documents are dealt to buckets of at most about so many
+BUCKET_DOCS = 512
 #: a plan of at most so many sources (some 10 MB) is broadcast; a larger one is joined by a shuffle
 BROADCAST_SOURCES = 100_000
 
@@ -81,6 +83,7 @@ def mix_sources(
     blocks: int = BLOCKS,
     seed: int = 7,
     budget_tokens: int | None = None,
+    bucket_docs: int = BUCKET_DOCS,
 ) -> DataFrame:
     """The mixed corpus as places: source, doc_id, epoch, n_tokens, start, block, rank_key, and how often the row stands.
 
@@ -89,8 +92,9 @@ def mix_sources(
     the source's tokens before the place; ``block`` is ``start`` in ``blocks``ths of the budget, so every block
     holds each source by its weight. Order within a block is that of ``rank_key``.
 
-    Positions are prefix sums in two levels: tokens by (source, epoch, hash bucket), buckets of some hundred documents,
-    and a running sum inside each bucket. So a source with a third of all rows is dealt over many tasks.
+    Positions are prefix sums in three levels, by the digits of the hash: tokens of a source's heads (the first half of a
+    bucket's digits), of buckets of at most about ``bucket_docs`` documents inside a head, and of documents inside a bucket. So a source
+    with a third of all rows is dealt over many tasks, and no window holds more than about the root of its buckets.
     A null source counts as the source ''; documents without words stand at no budget and come once in epoch 0;
     rows that share a doc_id are kept apart by their token count and counted as one place each.
     Empty input gives no rows. Other columns are ignored.
@@ -101,7 +105,7 @@ def mix_sources(
     few = per.count() <= BROADCAST_SOURCES
     plan = mixing_weights(per, target_entropy, max_repeats, budget_tokens).select(
         "source", "budget", "weight", "exponent", F.col("n_tokens").alias("have"),
-        F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("n_docs") / 512.0))).cast("int").alias("digits"),
+        F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("n_docs") / float(bucket_docs)))).cast("int").alias("digits"),
         F.when(F.col("n_tokens") > 0, F.ceil(F.col("budget") / F.col("n_tokens"))).otherwise(1).cast("long").alias("epochs"),
     )
     laid = (
@@ -111,12 +115,18 @@ def mix_sources(
         .withColumn("bucket", F.expr("substring(rank_key, 1, digits)"))
         .drop("epochs", "digits")
     )
-    by_bucket = Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    before = lambda w: F.coalesce(F.sum("_in").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = (
         laid.groupBy("source", "epoch", "bucket")
         .agg(F.sum("n_tokens").alias("_in"))
-        .withColumn("_before", F.coalesce(F.sum("_in").over(by_bucket), F.lit(0)))
-        .drop("_in")
+        .withColumn("head", F.expr("substring(bucket, 1, int((length(bucket) + 1) / 2))"))
+    )
+    heads = buckets.groupBy("source", "epoch", "head").agg(F.sum("_in").alias("_in"))
+    heads = heads.select("source", "epoch", "head", before(Window.partitionBy("source", "epoch").orderBy("head")).alias("_ahead"))
+    offsets = (
+        buckets.withColumn("_near", before(Window.partitionBy("source", "epoch", "head").orderBy("bucket")))
+        .join(heads, ["source", "epoch", "head"])
+        .select("source", "epoch", "bucket", (F.col("_ahead") + F.col("_near")).alias("_before"))
     )
     inside = (
         Window.partitionBy("source", "epoch", "bucket")

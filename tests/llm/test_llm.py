@@ -367,6 +367,9 @@ def test_mixing(spark, empty):
     rows = [(i, " ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(1, 30))), "en", "big" if i % 5 else f"s{i % 20}", 0, 1) for i in range(3000)]
     rows += [(9001, None, "en", None, 0, 1), (9002, "one two", "en", None, 0, 1), (9003, "", "en", "big", 0, 1), (9004, "x", "en", "big", 0, 1), (9004, "x", "en", "big", 0, 1)]
     out = mixing.mix_sources(spark.createDataFrame(rows, DOC)).toPandas()
+    fine = mixing.mix_sources(spark.createDataFrame(rows, DOC), bucket_docs=1).toPandas()  # buckets of three digits, under heads of two
+    order = ["source", "epoch", "start", "rank_key", "doc_id", "n_tokens"]
+    assert fine.sort_values(order).reset_index(drop=True).equals(out.sort_values(order).reset_index(drop=True))
     have = {}
     for r in rows:
         have[r[3] or ""] = have.get(r[3] or "", 0) + len((r[1] or "").split())

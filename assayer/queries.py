@@ -80,8 +80,8 @@ def MAP_REASON(x):
 
 # --- inputs
 LABELS = "SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'DEV12_' || s_name WHEN 1 THEN 'dev7_' || replace(s_name, '#', ' 0') WHEN 2 THEN replace(s_name, '#', '-') ELSE replace(s_name, 'Supplier#', 'AHU 02 A') END AS label FROM supplier UNION ALL SELECT c_custkey + 1000000 AS id, replace(c_name, '#', '__') AS label FROM customer"
-TOPICS = "SELECT 'p' || (s_suppkey % 4) AS property_id, 'Floor_0' || (s_suppkey % 3 + 1) AS floor, s_suppkey AS seq, CASE WHEN s_suppkey % 2 = 0 THEN 'DEV9_' || s_name ELSE replace(s_name, '#', '-') END AS raw_label, CASE WHEN s_nationkey % 5 = 0 THEN '' WHEN s_nationkey % 3 = 0 THEN 'AHU' ELSE 'VAV' END AS inferred_raw_type, s_suppkey % 11 = 0 AS review_required, CASE WHEN s_suppkey % 22 = 0 THEN 'weak evidence' ELSE '' END AS review_reason FROM supplier WHERE s_suppkey % 5 <> 0"
-DRAWINGS = "SELECT 'p' || (l_suppkey % 4) AS property_id, 'Floor_0' || (l_suppkey % 3 + 1) AS floor, l_orderkey * 10 + l_linenumber AS seq, l_partkey AS tie, 'supplier ' || CASE WHEN l_linenumber % 2 = 0 THEN '00' ELSE '' END || l_suppkey AS raw_label, CASE WHEN l_linenumber = 1 THEN '' ELSE 'S_' || l_suppkey END AS llm_proposed_canonical_name, CASE WHEN l_suppkey % 3 = 0 THEN 'AHU' ELSE 'VAV' END AS equipment_type, 'f' || (l_orderkey % 3) || '.png' AS source_filename, CASE WHEN l_orderkey % 13 = 0 THEN 'parse_failed' ELSE 'succeeded' END AS run_status, l_suppkey % 9 = 0 AND l_quantity > 49 AS review_required, CASE WHEN l_suppkey % 9 = 0 AND l_quantity > 49 AND l_linenumber > 2 THEN 'r' || l_linenumber ELSE '' END AS review_reason FROM lineitem WHERE l_suppkey % 7 <> 0"
+TOPICS = "SELECT 'p' || (s_suppkey % 4) AS property_id, 'Floor_0' || (s_suppkey % 3 + 1) AS floor, s_suppkey AS seq, CASE WHEN s_suppkey % 5 = 0 THEN 'Spare ' || s_suppkey WHEN s_suppkey % 2 = 0 THEN 'DEV9_' || s_name ELSE replace(s_name, '#', '-') END AS raw_label, CASE WHEN s_nationkey % 5 = 0 THEN '' WHEN s_nationkey % 3 = 0 THEN 'AHU' ELSE 'VAV' END AS inferred_raw_type, s_suppkey % 11 = 0 AS review_required, CASE WHEN s_suppkey % 22 = 0 THEN 'weak evidence' ELSE '' END AS review_reason FROM supplier"
+DRAWINGS = "SELECT 'p' || (l_suppkey % 4) AS property_id, 'Floor_0' || (l_suppkey % 3 + 1) AS floor, l_orderkey * 10 + l_linenumber AS seq, l_partkey AS tie, CASE WHEN l_suppkey % 7 = 0 THEN 'sketch ' ELSE 'supplier ' END || CASE WHEN l_linenumber % 2 = 0 THEN '00' ELSE '' END || l_suppkey AS raw_label, CASE WHEN l_linenumber = 1 THEN '' ELSE 'S_' || l_suppkey END AS llm_proposed_canonical_name, CASE WHEN l_suppkey % 3 = 0 THEN 'AHU' ELSE 'VAV' END AS equipment_type, 'f' || (l_orderkey % 3) || '.png' AS source_filename, CASE WHEN l_orderkey % 13 = 0 THEN 'parse_failed' ELSE 'succeeded' END AS run_status, l_suppkey % 9 = 0 AND l_quantity > 49 AS review_required, CASE WHEN l_suppkey % 9 = 0 AND l_quantity > 49 AND l_linenumber > 2 THEN 'r' || l_linenumber ELSE '' END AS review_reason FROM lineitem"
 DRAWINGS = f"SELECT *, row_number() OVER (PARTITION BY property_id, floor ORDER BY seq, tie, raw_label, source_filename, review_reason) AS ord FROM ({DRAWINGS})"
 CONTESTED = "SELECT 'p' || (s_suppkey % 4) AS property_id, 'Floor_0' || (s_suppkey % 3 + 1) AS floor, s_suppkey AS seq, s_name AS raw_label, CASE WHEN s_suppkey % 2 = 0 THEN 'paths disagree' ELSE '' END AS review_reason FROM supplier WHERE s_nationkey IN (3, 7)"
 
@@ -237,7 +237,7 @@ def path_check(t):
     return points.path_checked(t(PARSED)).select("id", "n_contexts", "review_required", "review_reason")
 
 
-EXPECTED, ASSIGNED = ("SELECT event_type || '_' || (user_id % 40) AS topic FROM events WHERE event_id % 5 <> 0", "SELECT event_type || '_' || (user_id % 43) AS topic FROM events WHERE event_id % 3 <> 0")
+EXPECTED, ASSIGNED = ("SELECT event_type || '_' || (user_id % 40) AS topic FROM events", "SELECT event_type || '_' || (user_id % 43) AS topic FROM events")
 
 
 @query(f"""WITH e AS ({EXPECTED}), a AS ({ASSIGNED}), lost AS (SELECT * FROM e EXCEPT ALL SELECT * FROM a), extra AS (SELECT * FROM a EXCEPT ALL SELECT * FROM e)
@@ -247,7 +247,7 @@ def topic_coverage(t):
 
 
 CANON = "SELECT 'p' AS property_id, 'Floor_02' AS floor, c_custkey AS seq, c_name AS canonical_name, c_name AS topics_raw_label, '' AS drawing_raw_label, false AS review_required, '' AS review_reason FROM customer"
-REFS = "SELECT 'p' AS property_id, 'Floor_02' AS floor, o_orderkey AS seq, replace('Customer#' || lpad(cast(o_custkey AS string), 9, '0'), '#', '-') AS child, '' AS child_raw, 'N' || (o_orderkey % 3) AS parent, '' AS parent_raw, CASE WHEN o_orderkey % 2 = 0 THEN 'airRef' ELSE 'hotWaterRef' END AS ref_type, o_orderstatus = 'P' AS conflict, '' AS conflict_reason, o_orderpriority LIKE '1%' AS review_required, '' AS review_reason FROM orders WHERE o_orderkey % 4 < 3"
+REFS = "SELECT 'p' AS property_id, 'Floor_02' AS floor, o_orderkey AS seq, replace('Customer#' || lpad(cast(o_custkey AS string), 9, '0'), '#', '-') AS child, '' AS child_raw, 'N' || (o_orderkey % 3) AS parent, '' AS parent_raw, CASE WHEN o_orderkey % 2 = 0 THEN 'airRef' ELSE 'hotWaterRef' END AS ref_type, o_orderstatus = 'P' AS conflict, '' AS conflict_reason, o_orderpriority LIKE '1%' AS review_required, '' AS review_reason FROM orders"
 
 
 @query(f"""WITH c AS ({CANON}), e AS (SELECT c.canonical_name AS unit, e.* FROM ({REFS}) e JOIN c ON {K('c.canonical_name')} = {K('e.child')}),
@@ -265,7 +265,7 @@ def ref_join_counts(t):
 
 EQUIP = "SELECT s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'AHU' WHEN 1 THEN 'VAV' WHEN 2 THEN 'FCU' ELSE 'CHW-PLANT' END AS type FROM supplier"
 ALIAS = "SELECT 'unit ' || (s_suppkey % 60) AS alias, s_name AS name FROM supplier"
-EDGES = "SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_partkey % 10 = 0 THEN 'lost ' || (l_partkey % 7) ELSE 'Supplier-' || l_suppkey END AS child, '' AS child_raw, 'Supplier 0' || (l_partkey % 9) AS parent, CASE WHEN l_partkey % 25 = 0 THEN 'unit ' || (l_partkey % 60) ELSE '' END AS parent_raw, CASE WHEN l_linenumber % 2 = 0 AND l_suppkey % 6 <> 1 THEN 'airRef' ELSE 'chilledWaterRef' END AS ref_type, round(1 - l_discount * 4, 2) AS confidence, l_returnflag = 'R' AND l_linenumber = 3 AS conflict, '' AS conflict_reason, l_tax > 0.07 AS review_required, CASE WHEN l_tax > 0.07 THEN 'tax' ELSE '' END AS review_reason, l_shipdate AS shipped, l_suppkey FROM lineitem WHERE l_orderkey % 3 = 0"
+EDGES = "SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_partkey % 10 = 0 THEN 'lost ' || (l_partkey % 7) ELSE 'Supplier-' || l_suppkey END AS child, '' AS child_raw, 'Supplier 0' || (l_partkey % 9) AS parent, CASE WHEN l_partkey % 25 = 0 THEN 'unit ' || (l_partkey % 60) ELSE '' END AS parent_raw, CASE WHEN l_linenumber % 2 = 0 AND l_suppkey % 6 <> 1 THEN 'airRef' ELSE 'chilledWaterRef' END AS ref_type, round(1 - l_discount * 4, 2) AS confidence, l_returnflag = 'R' AND l_linenumber = 3 AS conflict, '' AS conflict_reason, l_tax > 0.07 AS review_required, CASE WHEN l_tax > 0.07 THEN 'tax' ELSE '' END AS review_reason, l_shipdate AS shipped, l_suppkey FROM lineitem"
 EDGES = f"SELECT row_number() OVER (PARTITION BY l_suppkey ORDER BY seq, child, parent, parent_raw, confidence, shipped) * 1000000 + l_suppkey AS rid, * FROM ({EDGES})"
 RESOLVED = f"""eq AS ({EQUIP}), al AS (SELECT {M('name')} AS key, name FROM eq UNION SELECT {M('alias')} AS key, name FROM ({ALIAS})), ed AS ({EDGES}),
 said AS (SELECT rid, ref_type, 'child' AS role, child AS a, child_raw AS b FROM ed UNION ALL SELECT rid, ref_type, 'parent', parent, parent_raw FROM ed),
@@ -369,7 +369,7 @@ def extrapolate(t):
     return graph.extrapolated(t(EVIDENCE)).select("child_raw", "parent_raw", "confidence")
 
 
-FIRST, SECOND = (f"SELECT DISTINCT child, parent, ref_type FROM ({EDGES}) WHERE rid % 4 = 0", f"SELECT DISTINCT child, parent, ref_type FROM ({EDGES}) WHERE rid % 4 = 1")
+FIRST, SECOND = (f"SELECT DISTINCT child, parent, ref_type FROM ({EDGES}) WHERE confidence >= 0.8", f"SELECT DISTINCT child, parent, ref_type FROM ({EDGES}) WHERE confidence < 0.8")
 
 
 @query(f"WITH a AS ({FIRST}), b AS ({SECOND}) SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.child = b.child AND a.ref_type = b.ref_type)")
@@ -458,7 +458,7 @@ def usage_totals(t):
     return runs.usage_costs(t(USAGE), runs.price_list(t.spark), totals=True)
 
 
-RESULTS = "SELECT l_orderkey AS request_id, CASE WHEN min(l_quantity) < 5 THEN 'parse_failed' ELSE 'succeeded' END AS status FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY l_orderkey"
+RESULTS = "SELECT l_orderkey AS request_id, CASE WHEN min(l_quantity) < 5 THEN 'parse_failed' ELSE 'succeeded' END AS status FROM lineitem GROUP BY l_orderkey HAVING max(l_quantity) >= 30"
 
 
 @query(f"SELECT o_orderkey AS request_id, coalesce(status, 'failed') AS status FROM orders LEFT JOIN ({RESULTS}) ON request_id = o_orderkey")
@@ -504,7 +504,7 @@ def corrections(t):
     return review.corrections(t(ACTIONS)).select("session_id", "item_key", "original", "corrected")
 
 
-EDITS = "SELECT l_suppkey * 2 AS s_suppkey, 'edited ' || count(*) AS s_name, cast(NULL AS double) AS s_acctbal FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY l_suppkey"
+EDITS = "SELECT l_suppkey * 2 AS s_suppkey, 'edited ' || count(*) AS s_name, cast(NULL AS double) AS s_acctbal FROM lineitem GROUP BY l_suppkey"
 
 
 @query(f"SELECT coalesce(s.s_suppkey, e.s_suppkey) AS s_suppkey, coalesce(e.s_name, s.s_name) AS s_name, coalesce(e.s_acctbal, s.s_acctbal) AS s_acctbal, CASE WHEN s.s_suppkey IS NULL THEN 'insert' WHEN e.s_suppkey IS NOT NULL THEN 'update' ELSE 'keep' END AS change FROM supplier s FULL JOIN ({EDITS}) e ON s.s_suppkey = e.s_suppkey")
@@ -513,7 +513,7 @@ def commit_upsert(t):
 
 
 MASTER = "SELECT s_name AS name, cast(NULL AS string) AS airRef, 'old' AS hotWaterRef FROM supplier"
-REF_EDITS = "SELECT 'Supplier#' || lpad(cast(l_suppkey AS string), 9, '0') AS child, CASE WHEN l_linenumber % 2 = 0 THEN 'airRef' ELSE 'hotWaterRef' END AS ref_type, cast(l_partkey AS string) AS parent_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS seq FROM lineitem WHERE l_suppkey % 5 < 3 AND l_orderkey % 7 = 0"
+REF_EDITS = "SELECT 'Supplier#' || lpad(cast(l_suppkey AS string), 9, '0') AS child, CASE WHEN l_linenumber % 2 = 0 THEN 'airRef' ELSE 'hotWaterRef' END AS ref_type, cast(l_partkey AS string) AS parent_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS seq FROM lineitem"
 
 
 @query(f"WITH r AS (SELECT child, ref_type, arg_max(parent_id, seq) AS p FROM ({REF_EDITS}) GROUP BY ALL) SELECT m.name, coalesce(max(p) FILTER (ref_type = 'airRef'), any_value(m.airRef)) AS airRef, coalesce(max(p) FILTER (ref_type = 'hotWaterRef'), any_value(m.hotWaterRef)) AS hotWaterRef FROM ({MASTER}) m LEFT JOIN r ON r.child = m.name GROUP BY m.name")
@@ -540,15 +540,15 @@ def last_corrections(t):
     return picks.latest_n(t("SELECT event_id, user_id FROM events"), "user_id", 50, "event_id")
 
 
-POOL = "SELECT event_id AS correction_id FROM events WHERE event_id % 3 = 0"
+POOL = "SELECT event_id AS correction_id FROM events WHERE event_type = 'click'"
 
 
-@query("SELECT event_id AS correction_id, user_id FROM events WHERE event_id % 3 <> 0")
+@query("SELECT event_id AS correction_id, user_id FROM events WHERE event_type <> 'click'")
 def outbox_new(t):
     return review.outbox(t("SELECT event_id AS correction_id, user_id FROM events"), t(POOL))
 
 
-REMOTE, LOCAL = "SELECT url || CASE page_id % 3 WHEN 0 THEN '/f' || page_id || '.png' WHEN 1 THEN '/f' || page_id || '.pdf' ELSE '/f' || page_id || '.txt' END AS key, length(html) AS size FROM pages", "SELECT 'f' || page_id || CASE page_id % 3 WHEN 0 THEN '.png' ELSE '.pdf' END AS filename, length(html) + page_id % 2 AS size FROM pages WHERE page_id % 5 <> 0"
+REMOTE, LOCAL = "SELECT url || CASE page_id % 3 WHEN 0 THEN '/f' || page_id || '.png' WHEN 1 THEN '/f' || page_id || '.pdf' ELSE '/f' || page_id || '.txt' END AS key, length(html) AS size FROM pages", "SELECT CASE WHEN page_id % 5 = 0 THEN 'old' ELSE 'f' END || page_id || CASE page_id % 3 WHEN 0 THEN '.png' ELSE '.pdf' END AS filename, length(html) + page_id % 2 AS size FROM pages"
 
 
 @query(f"WITH r AS (SELECT *, regexp_extract(key, '[^/]+$') AS filename FROM ({REMOTE})) SELECT r.filename, r.size, CASE WHEN r.filename LIKE '%.txt' THEN 'skipped' WHEN l.size IS NULL THEN 'new' WHEN l.size <> r.size THEN 'changed' ELSE 'up_to_date' END AS status FROM r LEFT JOIN ({LOCAL}) l USING (filename)")

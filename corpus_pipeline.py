@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from assayer.llm import decontaminate, mixing, simhash, toxicity
+from assayer.llm import decontaminate, mixing, neardup, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -23,7 +23,7 @@ def clean(spark, docs, sf_dir):
 
 
 def dedupe(spark, docs, sf_dir):
-    return simhash.keep_one(docs)
+    return neardup.keep_one(docs)
 
 
 def decontaminated(spark, docs, sf_dir):

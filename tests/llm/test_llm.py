@@ -426,3 +426,58 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     want = {i for i in range(300) if i % 5} | {1002}
     assert got <= want and len(got) >= 0.9 * len(want)
     assert 1000 not in got and 1001 not in got
+
+
+def jaccard_roots(rows):
+    """Brute force: the smallest doc_id reachable by Jaccard similarity 0.8 of five-word shingles."""
+    ws = {i: (t or "").encode().lower().split() for i, t in rows}
+    sets = {i: set(zip(*(w[k:] for k in range(5)), strict=False)) or {tuple(w)} for i, w in ws.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_pipeline_drops_edited_copies(spark, monkeypatch, block):
+    import corpus_pipeline as cp
+    from assayer.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows = [(900, None), (901, ""), (902, "One two"), (903, "one  TWO"), (904, "one two three")]
+    for k in range(25):
+        last = [word() for _ in range(rng.choice([12, 60, 120, 300]))]
+        for i in range(8):  # from the first text or from the last, so that chains come up as well
+            ws = list(last)
+            for _ in range(rng.choice([0, 1, 1, 2, max(1, len(ws) // 50), max(2, len(ws) // 45)])):
+                ws[rng.randrange(len(ws))] = word()
+            rows.append((k * 10 + i, " ".join(ws)))
+            last = ws if i % 3 else last
+    want = jaccard_roots(rows)
+    assert 30 < len(set(want.values())) < 150
+    d = docs(spark, [*rows, (None, "no id"), rows[7]])
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(d).collect()} == want
+    kept = cp.dedupe(spark, d, None)
+    assert kept.columns == d.columns
+    assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(set(want.values())) and kept.where("doc_id IS NULL").count() == 1
+
+
+def test_edited_copies_by_blocks():
+    from assayer.llm import neardup
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**62, 400)
+    sets = [np.unique(np.concatenate([base[rng.random(400) < p], rng.integers(0, 2**62, k)])) for p in (0.85, 0.9, 0.95, 1.0) for k in (0, 9, 40) for _ in range(4)]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(c := {*sets[a].tolist()} & {*sets[b].tolist()}) >= 0.8 * (len(sets[a]) + len(sets[b]) - len(c)) - 1e-9}
+    assert 0 < len(want) < len(sets) * (len(sets) - 1) // 2 and set(zip(*(x.tolist() for x in neardup.block_links(sets)), strict=True)) == want

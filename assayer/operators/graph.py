@@ -81,7 +81,12 @@ def extrapolated(evidence: DataFrame) -> DataFrame:
     ).distinct()
     doas = evidence.where(F.col("evidence_kind") == "linked_widget_doas")
     pages = doas.select(F.col("page_title").alias("child_raw")).distinct()
-    one = doas.agg(F.max_by("object_raw", "seq").alias("parent_raw"), F.count_distinct("page_title").alias("_n"), F.array_join(F.array_sort(F.collect_list("source_image")), ", ").alias("source_drawing")).where("_n >= 2")
+    # an image is named once for each row, but gathered once, with its count
+    images = doas.where("source_image IS NOT NULL").groupBy("source_image").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    images = images.agg(F.array_sort(F.collect_list(F.struct("source_image", "n"))).alias("each"))
+    named = F.array_join(F.flatten(F.transform("each", lambda x: F.array_repeat(x["source_image"], x["n"]))), ", ")
+    one = doas.agg(F.max_by("object_raw", "seq").alias("parent_raw"), F.count_distinct("page_title").alias("_n")).where("_n >= 2")
+    one = one.crossJoin(images).select("parent_raw", named.alias("source_drawing"))
     left = seen.join(pages, "child_raw", "left_anti").withColumn("_k", F.lit(1))
     return left.join(F.broadcast(one.withColumn("_k", F.lit(1))), "_k").select(
         "child_raw", "parent_raw", F.lit("airRef").alias("ref_type"), F.lit("primary_air").alias("link_kind"), F.lit(EXTRAPOLATED).alias("confidence"), "source_drawing",
@@ -104,10 +109,14 @@ def merge_secondary(edges: DataFrame, secondary: DataFrame) -> DataFrame:
 def union_edges(edges: DataFrame) -> DataFrame:
     """One row for each (child, ref_type, parent): best confidence, any conflict and its first reason, drawings in order, hits."""
     flag = F.coalesce("conflict", F.lit(False))
-    return edges.groupBy("child", "ref_type", "parent").agg(
-        F.max("confidence").alias("confidence"), F.bool_or(flag).alias("conflict"),
-        first_by(F.col("conflict_reason"), F.col("seq"), flag).alias("conflict_reason"),
-        F.array_join(ordered_distinct(F.col("source_drawing"), F.col("seq")), ";").alias("source_drawings"), F.count(F.lit(1)).alias("tile_hits"),
+    each = edges.groupBy("child", "ref_type", "parent", "source_drawing").agg(
+        F.max("confidence").alias("confidence"), F.bool_or(flag).alias("conflict"), F.min("seq").alias("seq"), F.min(F.when(flag, F.col("seq"))).alias("_at"),
+        first_by(F.col("conflict_reason"), F.col("seq"), flag).alias("conflict_reason"), F.count(F.lit(1)).alias("tile_hits"),
+    )
+    return each.groupBy("child", "ref_type", "parent").agg(
+        F.max("confidence").alias("confidence"), F.bool_or("conflict").alias("conflict"),
+        first_by(F.col("conflict_reason"), F.col("_at")).alias("conflict_reason"),
+        F.array_join(ordered_distinct(F.col("source_drawing"), F.col("seq")), ";").alias("source_drawings"), F.sum("tile_hits").alias("tile_hits"),
     )
 
 
@@ -218,7 +227,7 @@ def validate(edges: DataFrame, equipment: DataFrame, aliases=None, declared=None
     ends = save(resolve(edges, equipment, aliases, declared))
     good = save(accepted(edges, ends))
     row = lambda d, check, sev, node, detail: d.select(F.lit(check).alias("check_id"), F.lit(sev).alias("severity"), node.alias("node"), detail.alias("detail"))
-    issue = ends.where("status <> 'resolved'").groupBy("identity", "status").agg(F.count_distinct("seq").alias("n"), F.bool_or("declared").alias("declared"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("targets")))), ",").alias("targets"))
+    issue = ends.where("status <> 'resolved'").groupBy("identity", "status").agg(F.count_distinct("seq").alias("n"), F.bool_or("declared").alias("declared"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("targets")))), ",").alias("targets"))
     times = F.concat(F.lit("referenced by "), F.col("n").cast("string"), F.lit(" edge(s)"))
     unknown, unsure = issue.where("status = 'unresolved'"), issue.where("status = 'ambiguous'")
     name, blank = F.col("identity"), F.lit("")

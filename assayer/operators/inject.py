@@ -10,10 +10,35 @@ from pyspark.sql import functions as F
 
 from .runs import escalated
 
+#: keys whose merged rows a task holds before it passes them on
+HELD = 10_000
 
-def grouped(points: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``fn`` on the points of each key; a key's points (one floor) fit one task."""
-    return points.groupBy(*keys).applyInPandas(fn, schema)
+
+def grouped(points: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
+    """``fn`` on the points of each key.
+
+    With ``merge``, ``fn`` gets parts of a key's points, a batch at most, and ``merge`` makes one row of a key's rows from ``fn``
+    or ``merge``: in each task, then over tasks, so no key has to fit one. Without it a key's points stand in one frame.
+    """
+    if merge is None:
+        return points.groupBy(*keys).applyInPandas(fn, schema)
+
+    def each(d: pd.DataFrame, f) -> pd.DataFrame:
+        return pd.concat([f(part) for _, part in d.groupby(keys, dropna=False)], ignore_index=True)
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if len(b):
+                own = each(b, fn)
+                held = own if held is None else each(pd.concat([held, own], ignore_index=True), merge)
+            if held is not None and len(held) > HELD:
+                yield held
+                held = None
+        if held is not None:
+            yield held
+
+    return points.mapInPandas(run, schema).groupBy(*keys).applyInPandas(merge, schema)
 
 
 def extracted(rows: DataFrame, fn: Callable[[dict], str], key: str) -> DataFrame:

@@ -24,7 +24,10 @@ def best_per_key(df: DataFrame, keys: list[str], score: str, seq: str = "seq") -
 
 
 def ordered_distinct(value: Column, seq: Column) -> Column:
-    """Aggregate: distinct non-blank values in the order of their first place."""
+    """Aggregate: distinct non-blank values in the order of their first place.
+
+    It lists what it is given: reduce the rows to one for each key and value, with the smallest seq, before.
+    """
     pairs = F.sort_array(F.collect_list(F.when(F.coalesce(value, F.lit("")) != "", F.struct(seq.alias("s"), value.alias("v")))))
     return F.array_distinct(F.transform(pairs, lambda x: x["v"]))
 

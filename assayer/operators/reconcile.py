@@ -38,11 +38,18 @@ def reconcile(topics: DataFrame, drawings: DataFrame, contested: DataFrame | Non
     )
     ok = F.coalesce("run_status", F.lit("")).isin("", "succeeded")
     d = (
-        keyed(drawings.where(ok))[0].groupBy(*SCOPE, "key")
+        keyed(drawings.where(ok))[0].groupBy(*SCOPE, "key", "review_reason")
         .agg(
             F.min_by(F.struct("raw_label", "llm_proposed_canonical_name", "equipment_type"), "seq").alias("d"),
-            F.array_join(F.array_sort(F.collect_set(F.nullif("source_filename", F.lit("")))), ";").alias("source_files"),
+            F.collect_set(F.nullif("source_filename", F.lit(""))).alias("files"),
             F.bool_or(F.coalesce("review_required", F.lit(False))).alias("d_review"),
+            F.min("seq").alias("seq"),
+        )
+        .groupBy(*SCOPE, "key")
+        .agg(
+            F.min_by("d", "seq").alias("d"),
+            F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("files")))), ";").alias("source_files"),
+            F.bool_or("d_review").alias("d_review"),
             F.array_join(ordered_distinct(F.col("review_reason"), F.col("seq")), "; ").alias("d_reason"),
         )
     )

@@ -624,7 +624,10 @@ def group_points(t):
     def fn(d: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [d["host"].iloc[0]], "n": [len(d)], "last_page": [d["page_id"].max()]})
 
-    return inject.grouped(t("SELECT regexp_extract(url, '//([^/]+)/', 1) AS host, page_id FROM pages"), ["host"], fn, "host string, n long, last_page long")
+    def merge(d: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [d["host"].iloc[0]], "n": [d["n"].sum()], "last_page": [d["last_page"].max()]})
+
+    return inject.grouped(t("SELECT regexp_extract(url, '//([^/]+)/', 1) AS host, page_id FROM pages"), ["host"], fn, "host string, n long, last_page long", merge)
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0 WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS tier, event_id % 2 = 0 OR event_id % 3 = 0 OR event_id % 5 = 0 AS accepted FROM events")

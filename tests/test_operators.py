@@ -228,3 +228,37 @@ def test_second_opinion(spark):
     d = points.second_opinion(spark.createDataFrame(rows, "id int, equipment_type string, review_required boolean, review_reason string, seen string"), F.col("seen"))
     got = {r["id"]: (r["review_required"], r["review_reason"]) for r in d.collect()}
     assert got[1] == (False, "") and got[2][0] and "image shows FCU" in got[2][1] and got[3] == (False, "")
+
+
+def test_groups_are_reduced_before_they_meet(spark):
+    import pandas as pd
+
+    part = lambda d: pd.DataFrame({"host": [d["host"].iloc[0]], "n": [len(d)], "most": [len(d)]})
+    merge = lambda d: pd.DataFrame({"host": [d["host"].iloc[0]], "n": [d["n"].sum()], "most": [d["most"].max()]})
+    d = spark.range(60_000).selectExpr("CASE WHEN id % 3 > 0 THEN 'h' WHEN id % 6 = 0 THEN 'g' END AS host", "id")
+    got = {r["host"]: (r["n"], r["most"] <= 10_000) for r in inject.grouped(d, ["host"], part, "host string, n long, most long", merge).collect()}
+    assert got == {"h": (40_000, True), "g": (10_000, True), None: (10_000, True)}
+
+    tiles = spark.range(3000).selectExpr("id AS seq", "'c' AS child", "'r' AS ref_type", "'p' AS parent", "0.5D AS confidence", "id > 7 AS conflict", "'w' || id AS conflict_reason", "elt(int(id % 3) + 1, 'd2', 'd0', '') AS source_drawing")
+    r = graph.union_edges(tiles)
+    assert listed_over(r) and r.first()[3:] == (0.5, True, "w8", "d2;d0", 3000)
+    drawn = spark.range(3000).selectExpr("'p' AS property_id", "'2' AS floor", "id AS seq", "'VAV 1' AS raw_label", "'' AS llm_proposed_canonical_name", "'VAV' AS equipment_type", "'f' || (id % 2) AS source_filename",
+                                         "'' AS run_status", "true AS review_required", "'why' || (7 - id % 3) AS review_reason")
+    topics = spark.createDataFrame([], "property_id string, floor string, seq long, raw_label string, inferred_raw_type string, review_required boolean, review_reason string")
+    r = reconcile.reconcile(topics, drawn)
+    assert listed_over(r) and "why7; why6; why5" in str(r.first()) and "f0;f1" in str(r.first())
+
+
+def listed_over(df):
+    """Whether rows are listed only after an aggregate has reduced them."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, x in enumerate(plan) if "collect_list(" in x)
+    return any("Aggregate [" in x and "min(seq" in x for x in plan[at + 1 :])
+
+
+def test_extrapolated_names_each_image_for_each_row(spark):
+    rows = [(k, f"i{k % 2}", f"OAVAV_02_0{k % 3}", "linked_widget_doas", "DOAS_22_1", "offline", "") for k in range(5)] + [(9, "i9", "FCU_2_1", "linked_widget_oavav", "OAVAV_02_06", "offline", "")]
+    r = graph.extrapolated(spark.createDataFrame(rows, EV))
+    assert r.first()["source_drawing"] == "i0, i0, i0, i1, i1"
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(source_image" not in plan

@@ -84,20 +84,44 @@ def test_licenses(spark, empty):
 
 def test_template_blocks_brute_force(spark):
     rng = random.Random(3)
-    words = sorted({w for _, t in licenses.TEMPLATES for w in t.split()}) + ["zz", "yy"]
+    words = sorted({w for t in licenses.TEMPLATES for w in [*t.words, *t.barred.split()]}) + ["zz", "yy"]
     rows = []
-    for i in range(150):
-        ws = rng.choice(licenses.TEMPLATES)[1].split()
+    for i in range(200):
+        ws = rng.choice(licenses.TEMPLATES).notice.split()
         for _ in range(rng.randrange(4)):
             ws[rng.randrange(len(ws))] = rng.choice(words)
-        rows.append((i, " ".join(rng.sample(ws, len(ws)))))
+        for _ in range(rng.randrange(3)):
+            ws[(at := rng.randrange(len(ws) + 1)) : at] = ["zz"] * rng.randrange(9)
+        rows.append((i, " ".join(["yy"] * rng.randrange(40) + (ws if i % 3 else rng.sample(ws, len(ws))) + ["zz"] * rng.randrange(40))))
     want = set()
-    for i, t in rows:
-        for k, (_, template) in enumerate(licenses.TEMPLATES):
-            own = set(template.split())
-            if len(own & set(t.split())) >= math.ceil(0.9 * len(own) - 1e-9):
-                want.add((i, k))
-    assert {(r["doc_id"], r["template"]) for r in licenses.template_blocks(docs(spark, rows)).collect()} == want
+    for i, text in rows:
+        ws = text.split()
+        for k, t in enumerate(licenses.TEMPLATES):
+            for at in range(0, len(ws), t.length):
+                block = set(ws[at : at + 2 * t.length])
+                if len(block & set(t.words)) >= math.ceil(0.9 * len(t.words) - 1e-9) and block >= set(t.must.split()) and not block & set(t.barred.split()):
+                    want.add((i, k, at // t.length))
+    texts = licenses.read_texts(docs(spark, rows))
+    ids = {r["row"]: r["doc_id"] for r in texts.select("row", "doc_id").collect()}
+    assert len(want) > 50 and {(ids[r["row"]], r["template"], r["block"]) for r in licenses.template_blocks(texts).collect()} == want
+
+
+def test_license_labels(spark):
+    gap = " ".join(["w"] * 3000)
+    rows = [
+        (1, "This text is under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+        (2, "This library is free; you can redistribute it and/or modify it under the terms of the GNU Lesser General\n * Public License as published by the Free Software Foundation", "lgpl"),
+        (3, "this work is licensed under the general public license version 3", ""),
+        (4, f"mit {gap} released {gap} under {gap} the {gap} license", ""),
+        (5, "Redistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that\nthe following conditions are met:", "bsd"),
+        (6, "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and\n# associated documentation files", "mit"),
+        (7, f"{gap} Creative Commons Attribution 4.0\nInternational License {gap}", "cc-by"),
+        (8, "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by\nthe Free Software Foundation", "gpl"),
+        (9, f"RELEASED UNDER THE MIT LICEN\u212aE {gap}", ""),
+        (9, "Licensed under the GNU Affero General Public License, version 3", "agpl"),
+    ]
+    got = {(r["doc_id"], r["n_words"]): r["labels"] for r in licenses.scan_licenses(docs(spark, [r[:2] for r in rows])).collect()}
+    assert sorted(got.values()) == sorted(x for _, _, x in rows) and got[9, 10] == "agpl"
 
 
 # --- 3

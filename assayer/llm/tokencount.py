@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import ahocorasick
@@ -14,16 +15,33 @@ UNKNOWN_PENALTY = 10.0
 MEMORY = 1_000_000  # distinct stretches a task remembers before it starts over
 
 
+def by_rank(ranks: list[int]) -> list[float]:
+    """Log-probabilities of pieces by their ranks from 1: p in proportion to 1 / (rank + 2.7), the Zipf-Mandelbrot law."""
+    weights = [1.0 / (r + 2.7) for r in ranks]
+    total = math.fsum(weights)
+    return [math.log(w / total) for w in weights]
+
+
 def vocabulary(path: str = MODEL) -> list[tuple[str, float]]:
-    """Pieces and scores of a sentencepiece file, without its control, unknown, unused and byte pieces."""
+    """Pieces and log-probabilities of a unigram vocabulary, from a sentencepiece file.
+
+    Control, unknown, unused and byte pieces are left out. A unigram file's scores are log-probabilities and are taken as
+    they are. The scores of a byte-pair file are the numbers of its merges and no probabilities, so its pieces get
+    those of ``by_rank`` in that order: merges, then single characters, then the runs of blanks that the file
+    lists apart. Nothing is trained.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [
+    plain = [
         (sp.id_to_piece(i), sp.get_score(i))
         for i in range(sp.get_piece_size())
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))
     ]
+    if any(s != int(s) for _, s in plain):
+        return plain
+    order = sorted(plain, key=lambda p: (-p[1], len(p[0])))
+    return list(zip((p for p, _ in order), by_rank(list(range(1, len(order) + 1))), strict=True))
 
 
 class Counter:

@@ -321,6 +321,17 @@ def test_token_counts(spark, empty):
     assert got[900] == got[901] == 0 and tokencount.count_tokens(empty).count() == 0
 
 
+def test_vocabulary_is_of_log_probabilities():
+    import sentencepiece
+
+    voc = dict(tokencount.vocabulary())
+    assert math.fsum(math.exp(s) for s in voc.values()) == pytest.approx(1) and len(voc) > 31_000
+    count, own = tokencount.Counter(list(voc.items())).count, sentencepiece.SentencePieceProcessor(model_file=tokencount.MODEL)
+    for text in ("the quick brown fox", "unbelievable tokenization happening", "a   b", "Hello   world\n\n x", "Der Hund und die Katze"):
+        assert count(text)[0] == len(own.encode(text)), text
+    assert count("ab " * 200_000)[0] == 200_001  # a very long text
+
+
 @given(st.text(alphabet="abcx", min_size=1, max_size=9))
 @settings(max_examples=200, deadline=None)
 def test_viterbi_ties_and_unknowns(text):
@@ -329,7 +340,7 @@ def test_viterbi_ties_and_unknowns(text):
     from tokenizers import Tokenizer, models
 
     ref = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], 0, False))
-    # the reference's unknown score counts <unk> in its minimum, which is not below the pieces' here
+    # the library's unknown score counts <unk> in its minimum, which is not below the pieces' here
     assert c.count(text)[0] == len(ref.encode(text).tokens)
 
 

@@ -15,36 +15,64 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S
 )
 _HINTED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-RAW = frozenset("script style textarea title template svg noframes iframe select option button math object".split())
+RAW = frozenset("script style textarea title template svg noframes iframe select option button object annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var".split()
+    "strong sub sup time tt u var math semantics mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder "
+    "munderover mfenced mtable mtr mtd".split()
 )
 #: tags that end the open element of the same group
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-#: kinds of class, id and role names, tried in this order
-HINTS = tuple(
-    (name, re.compile(pattern))
-    for name, pattern in (
-        ("comment", r"comment|disqus|repl(y|ies)|respond|discussion|guestbook"),
-        ("advert", r"(^|[-_ ])ads?($|[-_ \d])|advert|sponsor|promo|banner|outbrain|taboola|dfp|commercial"),
-        ("notice", r"cookie|consent|gdpr|notice|alert|popup|modal|paywall|overlay|toast|disclaimer"),
-        ("form", r"form|subscribe|newsletter|signup|login|search|poll"),
-        ("side", r"side-?bar|aside|widget|related|recommend|popular|trending|rail|complementary|teaser|most-?read"),
-        ("share", r"share|social|follow|tool-?bar|print|tags?($|[-_ ])|author-?box|byline-?box"),
-        ("menu", r"nav|menu|breadcrumb|crumb|pagination|pager|skip|toc"),
-        ("foot", r"foot|copyright|legal|imprint|colophon|contentinfo"),
-        ("head", r"header|masthead|logo|site-?title|top-?bar|brand"),
-        ("main", r"article|content|post|entry|story|main|body|text|prose|markdown"),
+#: kinds of class, id and role names, by the words these are made of; tried in this order
+HINTS = {
+    name: frozenset(words.split())
+    for name, words in (
+        ("comment", "comment comments commentlist disqus reply replies respond discussion guestbook"),
+        ("advert", "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners outbrain taboola dfp commercial"),
+        ("notice", "cookie cookies consent gdpr notice notices alert alerts popup modal paywall overlay toast disclaimer"),
+        ("form", "form forms subscribe subscription newsletter signup login signin search searchbox poll"),
+        ("side", "sidebar sidebars aside widget widgets related recommended recommendations popular trending rail complementary teaser teasers mostread"),
+        ("share", "share sharing social follow toolbar print tag tags tagcloud authorbox bylinebox"),
+        ("menu", "nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs pagination pager skip skiplink toc"),
+        ("foot", "foot footer copyright legal imprint colophon contentinfo"),
+        ("head", "head header masthead logo sitetitle topbar brand branding"),
+        ("main", "article articles content post posts entry story main body text prose markdown"),
     )
+}
+#: words that tell where or what a box is, and leave the kind of the word beside them as it is
+PLAIN = frozenset(
+    "site page global primary secondary top bottom left right upper lower box block bar list item items wrapper wrap container outer inner section area "
+    "panel module group row col column links link small large fixed sticky user my the a of in on and main content article post entry c js mobile desktop".split()
 )
+#: words that mean one kind whatever stands beside them
+SURE = frozenset("disqus outbrain taboola gdpr navbar breadcrumb breadcrumbs colophon masthead contentinfo sidebar sidebars adsense guestbook".split())
+_CASES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+
+
+@functools.lru_cache(65536)
+def _kind_of(name: str) -> tuple[str, bool] | None:
+    """(kind, sure) of one class, id or role name: sure where it holds a kind's word and otherwise plain ones, as in
+    site-footer; not sure where other words stand beside it, as in popular-science or legal-news."""
+    words = [w.lower() for w in _CASES.findall(name)]
+    joined = "".join(words)
+    for kind, own in HINTS.items():
+        if joined in own or any(w in own for w in words):
+            rest = [w for w in words if w not in own and w not in PLAIN]
+            if kind == "head" and any(w in HINTS["main"] for w in words):  # entry-header: the article's own
+                kind = "main"
+            return kind, joined in own or not rest or not SURE.isdisjoint(words)
+    return None
 
 
 @functools.lru_cache(4096)
 def _hint(attributes: str) -> str | None:
-    found = [v.strip("\"'").lower() for _, v in _HINTED.findall(attributes)]
-    return next((name for name, pattern in HINTS if any(pattern.search(v) for v in found)), None)
+    """The kind that an element's names tell: the first sure one, else the first with a question mark."""
+    found = [k for _, v in _HINTED.findall(attributes) for n in v.strip("\"'").split() if (k := _kind_of(n))]
+    order = {k: i for i, k in enumerate(HINTS)}
+    sure = sorted({k for k, s in found if s}, key=order.get)
+    doubtful = sorted({k for k, s in found if not s}, key=order.get)
+    return sure[0] if sure else f"{doubtful[0]}?" if doubtful else None
 
 
 def blocks(page: str | None):
@@ -101,10 +129,14 @@ def blocks(page: str | None):
 
 @functools.lru_cache(65536)
 def _path_features(path: tuple) -> tuple[str, ...]:
+    """Tags and kinds above a block. A header inside an article or main element is its own, not the page's, and so is a footer."""
     leaf = path[-1][0] if path else "none"
-    tags = {f"in:{t}" for t, _ in path if t not in ("html", "body")}
+    tags, inside = set(), False
+    for t, h in path:
+        tags.add(f"own:{t}" if inside and t in ("header", "footer") else f"in:{t}")
+        inside = inside or t in ("article", "main") or h == "main"
     hints = [h for _, h in path if h]
-    return (f"leaf:{leaf}", *sorted(tags), *sorted({f"hint:{h}" for h in hints}), f"last:{hints[-1] if hints else '-'}", f"depth:{min(len(path), 6)}")
+    return (f"leaf:{leaf}", *sorted(tags - {"in:html", "in:body"}), *sorted({f"hint:{h}" for h in hints}), *(["doubt"] if any(h[-1] == "?" for h in hints) else []), f"last:{hints[-1] if hints else '-'}", f"depth:{min(len(path), 6)}")
 
 
 def text_features(text: str, linked: int, k: int, n: int) -> tuple[str, ...]:
@@ -117,12 +149,7 @@ def text_features(text: str, linked: int, k: int, n: int) -> tuple[str, ...]:
     )
 
 
-_NAMES = {
-    "comment": ("comments", "comment-list", "user-comment", "reply"), "advert": ("ad", "advert", "ads-top", "sponsored", "promo-box"),
-    "notice": ("cookie-notice", "consent", "alert-bar", "gdpr"), "form": ("newsletter", "search-form", "subscribe"), "side": ("sidebar", "related", "widget", "popular"),
-    "share": ("share-bar", "social"), "menu": ("nav", "main-menu", "breadcrumbs"), "foot": ("footer", "site-footer", "copyright"),
-    "head": ("header", "masthead", "site-title"), "main": ("content", "article-body", "post", "entry-content", "story", "main-text"),
-}
+_KINDS = tuple(HINTS)
 
 
 def labelled_page(rng: random.Random) -> list[tuple[tuple, str, int, int]]:
@@ -132,11 +159,16 @@ def labelled_page(rng: random.Random) -> list[tuple[tuple, str, int, int]]:
     say = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
     prose = lambda a=4, b=70: say(a, b).capitalize() + rng.choice(".....!?")
     base, rows = (("html", None), ("body", None)), []
+    misled = f"{rng.choice(_KINDS)}?" if rng.random() < 0.5 else None
     wrap = ((rng.choice(("div", "section", "main")), None),) if rng.random() < 0.4 else ()
 
     def add(tag, kind, leaf, text, label, link=0.0, keep_hint=None):
         tagged = semantic and tag != "div"
         hint = kind if (classed or not tagged if keep_hint is None else keep_hint) else None
+        if misled and kind == "main":  # a name such as popular-science
+            hint = misled
+        elif hint and kind != "main" and rng.random() < 0.03:
+            hint = f"{hint}?"
         outer = base + wrap + ((tag if tagged else "div", hint),)
         path = outer + ((leaf, None),) if leaf else outer
         if rng.random() < 0.15 and leaf:
@@ -158,15 +190,21 @@ def labelled_page(rng: random.Random) -> list[tuple[tuple, str, int, int]]:
     if some(0.85):
         bare = not semantic and some(0.3)
         main = lambda leaf, text, link=0.0: add("article" if some(0.8) else "main", "main", leaf, text, 1, link, False if bare else None)
-        if some(0.8):
+        if some(0.25):  # a header of the article's own: heading, perhaps a standfirst
+            box = (("article" if semantic else "div", misled or "main"), ("header", "head" if some(0.3) else None))
+            rows.extend((base + box + ((leaf, None),), say(2, 9) if leaf == "h1" else prose(4, 20), 0, 1) for leaf in ("h1", "p")[: rng.randint(1, 2)])
+        elif some(0.8):
             main(rng.choice(("h1", "h2")), say(2, 9) + rng.choice(("", ".")))
         for _ in range(rng.randint(1, 14)):
             main(rng.choices(("p", "h2", "h3", "li", "blockquote", "pre", "td", "figcaption", None), (20, 2, 1, 3, 1, 1, 1, 1, 1))[0], prose(1, rng.choice((3, 12, 40, 90))) if some(0.9) else " | ".join(say(1, 2) for _ in range(rng.randint(2, 9))), rng.choice((0, 0, 0, 0.2, 0.6)))
             if some(0.08):
                 x = rng.choice(("advert", "share", "side", "form", "notice"))
                 tag = rng.choice(("div", "aside") if x != "form" else ("form", "div"))
-                inner = (("article" if semantic else "div", "main"), (tag, x if tag == "div" or some(0.5) else None))
+                inner = (("article" if semantic else "div", misled or "main"), (tag, x if tag == "div" or some(0.5) else None))
                 rows.append((base + inner + ((("p", None),) if some(0.6) else ()), prose(2, 12), 0, 0))
+        if some(0.15):  # a footer of the article's own
+            box = (("article" if semantic else "div", misled or "main"), ("footer", None))
+            rows.append((base + box + (("p", None),), say(1, 6), 0, 0))
     for _ in range(rng.randint(0, 4)):
         add("aside", "side", rng.choice(("li", "p", "h3")), prose(2, 12), 0, rng.choice((0, 1.0)))
     if some(0.2):
@@ -247,7 +285,8 @@ def main_text(page: str | None, weights: dict[str, float], trans) -> str:
 def extract_pages(pages: DataFrame, training_pages: int = 400) -> DataFrame:
     """page_id, url, text, n_chars of every page, whole pages without any cap.
 
-    Null and empty pages, and pages without main text, give ''. Repeated rows give repeated rows; null ids and urls stay
+    A header inside the article (its heading and standfirst) belongs to the article; a footer inside it doesn't. Formulas stay
+    in their sentence. Null and empty pages, and pages without main text, give ''. Repeated rows give repeated rows; null ids and urls stay
     null. Other columns are ignored. The model is trained on ``training_pages`` made, labelled pages.
     """
     weights, trans = trained(training_pages)

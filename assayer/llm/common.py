@@ -25,16 +25,21 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(WORD_BYTES).split() if text else []
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder, without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``. Only a local session without one gets a new
+    temporary folder; on a cluster executors couldn't share that, so it is an error."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="assayer-")
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``; only where none is
-    named (tests, a local session) a new temporary folder is taken.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder, without its lineage."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayer-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import settled, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -98,11 +98,21 @@ class Items:
 
 
 def item_passes(benchmark: DataFrame) -> list[DataFrame]:
-    """The items in parts that are small enough to carry: all at once, or by a hash of the item beyond ``PASS_CHARS``."""
-    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, math.ceil(chars / PASS_CHARS))
-    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
+    """The distinct items in parts of at most ``PASS_CHARS`` characters (or one item): one part, or more by a hash of the row."""
+    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    n = math.ceil((items.agg(F.sum(F.length("text"))).first()[0] or 0) / PASS_CHARS)
+    if n <= 1:
+        return [items]
+    while True:
+        dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+        sizes = dealt.groupBy("part").agg(F.sum(F.length("text")).alias("size"), F.count(F.lit(1)).alias("n"))
+        if not sizes.where(f"size > {PASS_CHARS} AND n > 1").limit(1).count():
+            return [dealt.where(F.col("part") == k).drop("part") for k in range(n)]
+        n += math.ceil(n / 4)
+
+
+def _finder(part: DataFrame, threshold: float) -> Items:
+    return Items([(r["item_id"], r["text"]) for r in part.collect()], threshold=threshold)  # PASS_CHARS at most
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -111,11 +121,13 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 
     Words are lower-cased runs of ASCII letters, digits and non-ASCII characters. Items of fewer than five words have
     no shingle and match nothing; neither do null texts or null item ids. Repeated rows give a pair once.
-    Whole documents are searched, one batch after another; nothing is shuffled but the pairs.
+    Whole documents, however long, are searched, one batch after another; nothing is shuffled but the pairs. A benchmark of
+    more than one part is searched part by part, each of which is done and let go before the next is read.
     """
-    out = None
-    for part in item_passes(benchmark):
-        items = Items([(r["item_id"], r["text"]) for r in part.collect()], threshold=threshold)
+    passes, out = item_passes(benchmark), None
+    own = docs.select(F.col("doc_id").cast("long"), "text")
+    for part in passes:
+        items = _finder(part, threshold)
 
         def run(batches, items=items):
             for b in batches:
@@ -123,24 +135,39 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
                 cols = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_shared", "n_shingles"])
 
-        pairs = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-            run, "doc_id long, item_id long, n_shared long, n_shingles long"
-        )
+        pairs = own.mapInArrow(run, "doc_id long, item_id long, n_shared long, n_shingles long")
+        pairs = settled(pairs) if len(passes) > 1 else pairs
         out = pairs if out is None else out.unionByName(pairs)
     return out.distinct().withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that contain an item; rows and columns otherwise as they are, nothing is shuffled."""
-    for part in item_passes(benchmark):
-        items = Items([(r["item_id"], r["text"]) for r in part.collect()], threshold=threshold)
+    """``docs`` without the documents that contain an item; rows and columns otherwise as they are.
 
-        def run(batches, items=items):
+    Nothing is shuffled where the benchmark is one part. Where it is more, each part's documents are found and kept as
+    digests of (doc_id, text), and all of them are dropped by one join.
+    """
+    passes = item_passes(benchmark)
+    if len(passes) == 1:
+        items = _finder(passes[0], threshold)
+
+        def clean(batches):
             for b in batches:
                 yield b.filter(pa.array([not items.within(t) for t in b.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.mapInArrow(clean, docs.schema)
+    digest, found = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))), 256), None
+    own = docs.select(digest.alias("_digest"), "text")
+    for part in passes:
+        items = _finder(part, threshold)
+
+        def search(batches, items=items):
+            for b in batches:
+                yield b.select(["_digest"]).filter(pa.array([bool(items.within(t)) for t in b.column("text").to_pylist()], pa.bool_()))
+
+        here = settled(own.mapInArrow(search, "_digest string").distinct())
+        found = here if found is None else found.unionByName(here)
+    return docs.withColumn("_digest", digest).join(found.distinct(), "_digest", "left_anti").select(docs.columns)
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:

@@ -17,6 +17,10 @@ SEED = 42
 RADIUS = 3
 #: distinct fingerprints that a shard is meant to hold
 SHARD_ROWS = 4096
+#: a shard of more rows is divided again, over all bits
+SHARD_LIMIT = 65_536
+#: at most so many shards are divided by a broadcast of their vantage points, some 40 bytes each
+BROADCAST_SHARDS = 100_000
 LEAF = 256
 
 
@@ -33,6 +37,11 @@ def fingerprint(raw: bytes | None, width: int = SHINGLE, seed: int = SEED) -> in
         end = np.cumsum(sizes + 1) - 1
         spans = zip((end - sizes)[: len(words) - width + 1].tolist(), end[width - 1 :].tolist(), strict=True)
         hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - width + 1)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hash values, as a signed integer."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -124,18 +133,45 @@ def shard_links(x: np.ndarray, which: int, radius: int = RADIUS) -> list[tuple[i
     return links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id (smallest doc_id reachable by links of at most 3 bits).
+def divided(dealt: DataFrame, limit: int | None = None, rounds: int = 12) -> DataFrame:
+    """``dealt(shard, fp, id)`` with shards beyond ``limit`` rows divided by vantage points of their own over all 64 bits.
 
-    Equal fingerprints are one node, so copies cost nothing beyond their own row. If two fingerprints differ in at
-    most 3 bits, one of their halves differs in at most 1: for each half, a tree of vantage points deals the
-    nodes to shards with its boundary copied, and each shard searches its own tree and returns links that
-    connect its pairs, not all pairs. The depth follows the number of nodes; no node or link reaches the driver.
-    Null or empty texts have fingerprint 0 and link like others. A null doc_id can't name a component: it takes
-    that of its fingerprint, or null. Repeated rows give repeated rows. Other columns are ignored.
+    The vantage point of a shard is one of its fingerprints, the cut the median distance from it; rows up to RADIUS beyond the cut
+    go to both sides, so two rows within RADIUS of each other stay together somewhere. A shard whose larger side would
+    keep over 0.8 of it is one dense family, which its task connects row by row; it stays as it is.
+    """
+    limit = SHARD_LIMIT if limit is None else limit
+    left, done = dealt, None
+    for k in range(rounds):
+        big = settled(left.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias("point")).where(F.col("n") > limit))
+        n = big.count()
+        if not n:
+            break
+        small = F.broadcast if n <= BROADCAST_SHARDS else lambda d: d
+        rest = left.join(small(big.select("shard")), "shard", "left_anti")
+        far = left.join(small(big), "shard").withColumn("far", F.bit_count(F.col("fp").bitwiseXOR(F.col("point"))))
+        cut = far.groupBy("shard").agg(F.percentile_approx("far", 0.5).alias("cut"))
+        far = far.join(small(cut), "shard").withColumn("inner", F.col("far") <= F.col("cut") + RADIUS).withColumn("outer", F.col("far") > F.col("cut"))
+        sides = far.groupBy("shard").agg(F.greatest(F.count_if("inner"), F.count_if("outer")).alias("worst"), F.max("n").alias("n"))
+        good = settled(sides.select("shard", (F.col("worst") <= 0.8 * F.col("n")).alias("good")))
+        far = far.join(small(good), "shard")
+        side = F.explode(F.array_compact(F.array(F.when(F.col("inner"), 0), F.when(F.col("outer"), 1))))
+        named = F.xxhash64("shard", "side").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("shard").bitwiseAND(F.lit(1)))  # the last bit names the half
+        halves = far.where("good").withColumn("side", side).select(named.alias("shard"), "fp", "id")
+        rest = rest.unionByName(far.where("NOT good").select("shard", "fp", "id"))
+        done = rest if done is None else done.unionByName(rest)
+        left = settled(halves)
+    return left if done is None else done.unionByName(left)
+
+
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the ids of ``nodes(id, fp)``, distinct fingerprints, that connect what lies within RADIUS bits.
+
+    If two fingerprints differ in at most 3 bits, one of their halves differs in at most 1: for each half, a tree of vantage
+    points deals the nodes to shards with its boundary copied; shards that are still large are divided again. Each shard
+    searches its own tree and returns links that connect its pairs, not all pairs. The depth follows the
+    number of nodes; no node or link reaches the driver.
     """
-    fps = settled(fingerprints(docs))
-    nodes = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
     depth = max(0, math.ceil(math.log2(max(1, nodes.count()) / SHARD_ROWS)))
 
     def deal(batches):
@@ -154,21 +190,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = np.array(shard_links(x, int(t.column("shard")[0].as_py()) & 1), np.int64).reshape(-1, 2)
         return pa.table({"a": ids[links[:, 0]].astype(np.int64), "b": ids[links[:, 1]].astype(np.int64)})
 
-    dealt = nodes.where("id IS NOT NULL").mapInArrow(deal, "shard long, fp long, id long")
-    roots = components(dealt.groupBy("shard").applyInArrow(search, "a long, b long"))
+    dealt = settled(nodes.select("fp", "id").mapInArrow(deal, "shard long, fp long, id long"))
+    return divided(dealt).groupBy("shard").applyInArrow(search, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (hex), component_id (smallest doc_id reachable by links of at most 3 bits).
+
+    Equal fingerprints are one node, so copies cost nothing beyond their own row; the nodes are searched by
+    ``fingerprint_links``. Null or empty texts have fingerprint 0 and link like others. A null doc_id can't name a
+    component: it takes that of its fingerprint, or null. Repeated rows give repeated rows. Other columns are ignored.
+    """
+    fps = settled(fingerprints(docs))
+    nodes = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    roots = components(fingerprint_links(nodes.where("id IS NOT NULL")))
     named = nodes.join(roots, nodes["id"] == roots["node"], "left").select(
         "fp", F.coalesce("root", "id").alias("component_id")
     )
     return fps.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id names it. Columns as they are.
-
-    Repeated rows of that document count once; rows without a doc_id stay.
-    """
-    ids = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -1,4 +1,10 @@
-"""Near copies by exact Jaccard similarity of five-word shingles: candidates by MinHash bands, links that connect them."""
+"""Near copies by exact Jaccard similarity of five-word shingles, for the pipeline: candidates by the SimHash operator's
+vantage-point trees and by MinHash bands, links that connect them.
+
+Trees alone can't find them: texts at a similarity of 0.8 differ in some 10 of 64 bits, 18 for the last of a thousand
+pairs, and around unlike texts (32 bits apart, give or take 4) no triangle bound of 18 bits prunes anything. Bands find
+what the trees, at 3 bits, leave.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, settled
+from .simhash import fingerprint_links, majority
 
 SHINGLE = 5
 #: a link is a Jaccard similarity of at least OF[0] / OF[1]
@@ -19,6 +26,8 @@ SEED = 42
 #: a bucket of more nodes is compared in pairs of blocks of about this size
 BLOCK = 256
 COLUMNS = 4096
+#: at most so many ids with their marks are broadcast, some 60 MB
+BROADCAST_ROWS = 1_000_000
 _DRAWN = np.random.default_rng(11).integers(0, 2**63, (BANDS * ROWS + ROWS, 1), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS, MIX = _DRAWN[: BANDS * ROWS], _DRAWN[BANDS * ROWS :, 0]
 
@@ -81,9 +90,11 @@ def connecting(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, node (digest of the words), component_id: the smallest doc_id reachable by links of Jaccard similarity 0.8 or more.
+    """doc_id, mark (of the text), node (digest of its words), component_id: the smallest doc_id reachable by links of Jaccard
+    similarity 0.8 or more.
 
-    Texts of equal words, without regard to case and white space, are one node. Nodes that share a band are candidates. First each is compared
+    Texts of equal words, without regard to case and white space, are one node. Candidates are nodes whose five-word SimHash
+    fingerprints lie within 3 bits, and nodes that share a band. First each node is compared
     with the smallest of its bucket; buckets that this doesn't make one component are then compared in full, in
     pairs of blocks. So a family of copies costs a row for each copy, not one for each pair, and every link is
     confirmed by its shingles. Null and empty texts are copies of each other. Rows without a doc_id are left out.
@@ -94,7 +105,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         for b in batches:
             got = [node(x) for x in b.column(1).cast(pa.binary()).to_pylist()]
             keys = pa.array([bands(h) for _, h in got], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d for d, _ in got], pa.binary()), keys], ["doc_id", "node", "bands"])
+            fps = pa.array([majority(h) for _, h in got], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([d for d, _ in got], pa.binary()), fps, keys], ["doc_id", "mark", "node", "fp", "bands"])
 
     def shingled(batches):
         for b in batches:
@@ -103,17 +115,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 sets = pa.array([h.view(np.int64) for _, h in got], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.binary()), sets], ["node", "shingles"])
 
-    signed = settled(own.mapInArrow(sign, "doc_id long, node binary, bands array<long>"))
-    nodes = settled(signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")))
+    signed = settled(own.withColumn("mark", text_mark()).mapInArrow(sign, "doc_id long, mark long, node binary, fp long, bands array<long>"))
+    nodes = settled(signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+    heads = settled(nodes.groupBy("fp").agg(F.min_by("node", "id").alias("head"), F.min("id").alias("id")))
+    twins = nodes.join(heads.select("fp", "head"), "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    named = lambda c: heads.select(F.col("id").alias(c), F.col("head").alias(f"{c}_n"))
+    close = fingerprint_links(heads.select("id", "fp")).distinct().join(named("a"), "a").join(named("b"), "b").select(F.col("a_n").alias("a"), F.col("b_n").alias("b"))
+    close = settled(twins.unionByName(close))
     slots = nodes.select("node", "id", F.posexplode("bands").alias("t", "key"))
     shared = slots.groupBy("t", "key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = settled(slots.join(shared.drop("n"), ["t", "key"]))
-    need = settled(met.select("node", "id").distinct())
+    also = nodes.join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "id")
+    need = settled(met.select("node", "id").unionByName(also).distinct())
     texts = own.join(need.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = texts.mapInArrow(shingled, "node binary, shingles array<long>").join(need.select("node"), "node", "left_semi")
     sets = settled(sets.dropDuplicates(["node"]))
 
-    pairs = met.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    pairs = met.where("node <> b").select(F.col("node").alias("a"), "b").unionByName(close).distinct()
     sided = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_s"))
     both = pairs.join(sided("a"), "a").join(sided("b"), "b")
     near = alike(F.size(F.array_intersect("a_s", "b_s")), F.size("a_s") + F.size("b_s"))
@@ -138,14 +156,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = settled(components(links.unionByName(more)))
     named = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")
-    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id")
+    return signed.select("doc_id", "mark", "node").join(named, "node").select("doc_id", "mark", "node", "component_id")
+
+
+def text_mark(text: str = "text"):
+    """A number for a text, by which its row is told from others of the same doc_id."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(text).isNull())
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id names it. Columns as they are.
+    """``docs`` with one row of each component: of those whose doc_id names it, the one with the smallest mark. Columns as they are.
 
-    Repeated rows of that document count once; rows without a doc_id stay.
+    A doc_id that stands for several texts is judged text by text. Rows without a doc_id stay. Decisions are made on ids and
+    marks; texts are not shuffled where what goes is at most ``BROADCAST_ROWS`` rows, and once beyond.
     """
-    ids = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    rows = near_duplicates(docs).groupBy("component_id", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    best = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
+    rows = settled(rows.join(best, "component_id").select("doc_id", "mark", "n", (F.col("best") == F.struct("doc_id", "mark")).alias("first")))
+    gone = rows.where("NOT first").select("doc_id", "mark")
+    again = rows.where("first AND n > 1").select("doc_id", "mark")
+    few = lambda d: F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
+    marked, keys = docs.withColumn("_mark", text_mark()), lambda d: [F.col("doc_id") == d["_id"], F.col("_mark") == d["_of"]]
+    named = lambda d: d.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"))
+    lost = few(named(gone))
+    kept = marked.join(lost, keys(lost), "left_anti")
+    if again.limit(1).count():  # repeated rows of a kept text: the only ones that have to meet
+        more = few(named(again))
+        once = kept.join(more, keys(more), "left_semi").dropDuplicates(["doc_id", "_mark"])
+        kept = kept.join(more, keys(more), "left_anti").unionByName(once)
+    return kept.select(docs.columns)

@@ -156,8 +156,31 @@ def test_simhash(spark, empty):
     assert len(got) == len(rows)
     assert all((r["fingerprint"], r["component_id"]) == (f"{fps[r['doc_id']]:016x}", find(r["doc_id"])) for r in got)
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.keep_one(docs(spark, [*rows, (None, "orphan row")]))
-    assert kept.count() == len({find(i) for i in fps}) + 1 and kept.columns == docs(spark, rows[:1]).columns
+
+
+@pytest.mark.parametrize("limit", [8, 40])
+def test_large_shards_are_divided(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "SHARD_LIMIT", limit)
+    rng = np.random.default_rng(8)
+    far = rng.integers(0, 2**62, 300)
+    half = (rng.integers(0, 2**30, 300) << 32) | 12345  # one half in common
+    near = np.concatenate([x[:150] ^ (1 << rng.integers(0, 60, 150)) ^ (1 << rng.integers(0, 60, 150)) for x in (far, half)])
+    fps = [int(x) for x in np.unique(np.concatenate([far, half, near]))]
+    nodes = spark.createDataFrame(list(enumerate(fps)), "id long, fp long")
+    got = {r["node"]: r["root"] for r in components(simhash.fingerprint_links(nodes)).collect()}
+    want = {(a, b) for a, x in enumerate(fps) for b, y in enumerate(fps) if a < b and (x ^ y).bit_count() <= 3}
+    assert len(want) > 200 and all(got[a] == got[b] for a, b in want)
+    root = {n: n for e in want for n in e}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in want:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert got == {n: find(n) for n in root}
 
 
 @pytest.mark.parametrize("depth", [0, 3, 6])
@@ -508,6 +531,23 @@ def test_pipeline_drops_edited_copies(spark, monkeypatch, block):
     assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(set(want.values())) and kept.where("doc_id IS NULL").count() == 1
 
 
+def test_keep_one_judges_texts_not_ids(spark, empty, monkeypatch):
+    from assayer.llm import neardup
+
+    rng = random.Random(16)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(3, a), (5, b), (5, a + " tail"), (7, c), (7, c), (8, None), (9, ""), (None, a)]
+    for few in (1_000_000, 0):
+        monkeypatch.setattr(neardup, "BROADCAST_ROWS", few)
+        kept = neardup.keep_one(docs(spark, rows).withColumn("mark", F.lit(1)).withColumn("node", F.lit("x")))
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(3, a), (5, b), (7, c), (8, None), (None, a)], key=str)
+        assert kept.columns[-2:] == ["mark", "node"]
+    assert neardup.keep_one(empty).count() == 0
+    long = docs(spark, [(1, "w " * 200_000 + "x"), (2, "W " * 200_000 + "x"), (3, "w " * 100_000 + "y z")])
+    assert {r["doc_id"] for r in neardup.keep_one(long).collect()} == {1, 3}
+
+
 def test_edited_copies_by_blocks():
     from assayer.llm import neardup
 

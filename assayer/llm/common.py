@@ -35,6 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="assayer-")
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """A table that nothing reads any more, taken from its store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder, without its lineage."""
     sc = df.sparkSession.sparkContext

@@ -3,23 +3,20 @@ go, and the rest is mixed to target weights.
 
 Each stage takes (spark, docs, sf_dir), works on every row of docs, and returns a DataFrame; all but the last
 return the columns of docs. A stage's result is written as Parquet and read again as the next one's docs.
+Null, empty and very long texts, repeated rows, empty tables and further columns pass through as the stages' operators
+say: null and empty texts are clean and copies of each other, so one of them stays; rows without a doc_id are kept by every stage.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
-from assayer.llm import decontaminate, mixing, neardup, toxicity
-
-
-def _table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from assayer.llm import common, decontaminate, mixing, neardup, toxicity
 
 
 def clean(spark, docs, sf_dir):
-    return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, common.table(spark, sf_dir, "labels"))
 
 
 def dedupe(spark, docs, sf_dir):
@@ -27,7 +24,7 @@ def dedupe(spark, docs, sf_dir):
 
 
 def decontaminated(spark, docs, sf_dir):
-    return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark, docs, sf_dir):
@@ -41,13 +38,16 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Applies the stages to documents. Between them, tables stand in the folder of ``spark.checkpoint.dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayer-")
-    docs = _table(spark, sf_dir, "documents")
+    """Applies the stages to documents. Between them, tables stand in a folder of ``spark.checkpoint.dir``; each goes
+    when the next one is written, and the last one stays for the result to be read from."""
+    base = os.path.join(common.shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            path = os.path.join(base, f"pipeline-{uuid.uuid4().hex}", name)
+            path = f"{base}/{k}-{name}"
             docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            if before:
+                common.removed(spark, before)
+            docs, before = spark.read.parquet(path), path
     return docs

@@ -11,20 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settled
+
 #: labelled rows that the lexicon and the weights are fitted on: those with the smallest hashes
 MAX_TRAIN = 20_000
-MAX_TERMS = 2_000
-STEM_SIZES = (3, 4, 5, 6)
-#: words of this length or more are also matched with one edit
-FUZZY_FROM = 5
+#: likely terms of at most so many bytes are carried to the tasks that count their neighbours; more are joined instead
+CARRIED_BYTES = 32_000_000
+STEM_SIZES = (3, 4, 5, 6, 7, 8)
+#: words and stems of these lengths or more are also matched with one edit
+FUZZY_FROM, FUZZY_STEM = 5, 6
 WINDOW = 5
 FEATURES = 7
 MEMORY = 1_000_000  # distinct words a task remembers before it starts over
 
-REPORTING = frozenset(
-    "said says say called calls calling word words term terms quote quoted quotes wrote writes write alleged "
-    "reported sagte sagt wort nannte dit mot appelé dijo palabra llamó".split()
-)
 OPENING, CLOSING = "\"'“‘«„(", "\"'”’»“)"
 _EDGES = re.compile(r"^\W+|\W+$")
 
@@ -39,7 +38,7 @@ class Lexicon:
 
     def __init__(self, words, stems):
         self.nodes: list[dict] = [{}]
-        self.word, self.stem = {}, set()
+        self.word, self.stem = {}, {}
         for terms, mark in ((words, self.word), (stems, self.stem)):
             for t in terms:
                 at = 0
@@ -48,17 +47,17 @@ class Lexicon:
                         self.nodes[at][c] = len(self.nodes)
                         self.nodes.append({})
                     at = self.nodes[at][c]
-                if mark is self.stem:
-                    mark.add(at)
-                else:
-                    mark[at] = len(t)
-        # within[n]: whether a word long enough for an edit ends below
+                mark[at] = len(t)
+        # within[n]: whether a word or stem long enough for an edit ends below
         self.within = [False] * len(self.nodes)
         for n in range(len(self.nodes) - 1, -1, -1):
-            self.within[n] = self.word.get(n, 0) >= FUZZY_FROM or any(self.within[m] for m in self.nodes[n].values())
+            self.within[n] = self._fuzzy(n) or any(self.within[m] for m in self.nodes[n].values())
         self.states, self.names, self.steps, self.verdicts, self.begun = [], {}, [], [], []
         self._state(frozenset({(0, 0)}))
 
+    def _fuzzy(self, n: int) -> bool:
+        return self.word.get(n, 0) >= FUZZY_FROM or self.stem.get(n, 0) >= FUZZY_STEM
+
     def _state(self, items: frozenset) -> int:
         if items not in self.names:
             closed, todo = set(items), list(items)
@@ -73,7 +72,9 @@ class Lexicon:
             self.steps.append({})
             exact = any(e == 0 and n in self.word for n, e in closed)
             near = any(e == 1 and self.word.get(n, 0) >= FUZZY_FROM for n, e in closed)
-            self.begun.append(any(e == 0 and n in self.stem for n, e in items))
+            stem = any(e == 0 and n in self.stem for n, e in items)
+            stem_near = any(e == 1 and self.stem.get(n, 0) >= FUZZY_STEM for n, e in closed)
+            self.begun.append(1 if stem else 2 if stem_near else 0)
             self.verdicts.append(1 if exact else 2 if near else 0)
         return self.names[items]
 
@@ -91,26 +92,27 @@ class Lexicon:
         return to
 
     def accepts(self, word: str) -> int:
-        at, steps, begun = 0, self.steps, self.begun
+        at, steps, begun, near = 0, self.steps, self.begun, 0
         for c in word:
             if begun[at]:  # a stem, and more behind it
-                return 1
+                if begun[at] == 1:
+                    return 1
+                near = 2
             to = steps[at].get(c)
             if to is None:
                 to = self._step(at, c)
             if to < 0:
-                return 0
+                return near
             at = to
-        return self.verdicts[at]
+        return self.verdicts[at] or near
 
 
 class Scanner:
-    def __init__(self, words, stems):
-        self.lexicon, self.seen, self.hits = Lexicon(words, stems), set(), {}
+    def __init__(self, words, stems, reporting=()):
+        self.lexicon, self.seen, self.hits, self.reporting = Lexicon(words, stems), set(), {}, frozenset(reporting)
 
-    def features(self, text: str | None) -> list[float]:
-        """1, terms outside and inside quotation, misspelled terms, share of words, whether any, terms near another."""
-        ws = text.lower().split() if text else []
+    def places(self, ws: list[str]) -> list[tuple[int, int]]:
+        """(place, kind) of the terms among the words of a text."""
         distinct = set(ws)
         if new := distinct - self.seen:
             if len(self.seen) > MEMORY:
@@ -120,13 +122,20 @@ class Scanner:
                 if kind := self.lexicon.accepts(w if w.isalnum() else _EDGES.sub("", w)):
                     self.hits[w] = kind
         if self.hits.keys().isdisjoint(distinct):
+            return []
+        return [(i, self.hits[w]) for i, w in enumerate(ws) if w in self.hits]
+
+    def features(self, text: str | None) -> list[float]:
+        """1, terms outside and inside quotation, misspelled terms, share of words, whether any, terms near another."""
+        ws = text.lower().split() if text else []
+        at = self.places(ws)
+        if not at:
             return [1.0] + [0.0] * (FEATURES - 1)
-        at = [(i, self.hits[w]) for i, w in enumerate(ws) if w in self.hits]
         plain = quoted = fuzzy = close = 0
         for k, (i, kind) in enumerate(at):
             before, after = ws[max(0, i - WINDOW) : i + 1], ws[i : i + WINDOW + 1]
             marks = any(w[0] in OPENING for w in before) and any(w[-1] in CLOSING or w[-2:-1] in CLOSING and w[-2:-1] for w in after)
-            if marks or not REPORTING.isdisjoint(before[:-1]):
+            if marks or not self.reporting.isdisjoint(before[:-1]):
                 quoted += 1
             elif kind == 2:
                 fuzzy += 1
@@ -160,7 +169,7 @@ def _bare(text: str) -> list[str]:
 
 
 def _terms(word: str) -> list[str]:
-    """The word as a whole, and its first 3 to 6 letters where more follow."""
+    """The word as a whole, and its first 3 to 8 letters where more follow."""
     return [f"{word}$", *(word[:k] for k in STEM_SIZES if len(word) > k)]
 
 
@@ -198,10 +207,11 @@ def learn_lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
         if not whole or not whole["t"] or not whole["n"]:
             return [], []
         nt, nn, tried = whole["t"], whole["n"], counts.count()
-        first = counts.where("term <> '$'").where(_excess(nt, nn, tried)).orderBy(F.desc("t"), "term").limit(MAX_TERMS).collect()
+        first = counts.where("term <> '$'").where(_excess(nt, nn, tried)).select("term").persist()
+        carried = (first.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0) <= CARRIED_BYTES
     finally:
         counts.unpersist()
-    likely = {r["term"] for r in first}
+    likely = {r["term"] for r in first.collect()} if carried else None
 
     def by_neighbours(batches):
         for b in batches:
@@ -210,20 +220,47 @@ def learn_lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
                 ws = _bare(text)
                 for i, w in enumerate(ws):
                     for x in _terms(w):
-                        if x in likely:
+                        if likely is None or x in likely:
                             seen.add((x, f"{ws[i - 1] if i else ''} {ws[i + 1] if i + 1 < len(ws) else ''}", toxic))
             cols = list(zip(*seen, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], ["term", "between", "toxic"])
 
     places = train.mapInArrow(by_neighbours, "term string, between string, toxic int").distinct()
+    places = places if carried else places.join(first, "term", "left_semi")
     apart = places.groupBy("term").agg(F.sum(F.col("toxic").cast("long")).alias("t"), F.count_if(F.col("toxic") == 0).alias("n"))
-    found = {r["term"]: r["t"] for r in apart.where(_excess(nt, nn, tried)).collect()}  # MAX_TERMS rows at most
+    found = {r["term"]: r["t"] for r in apart.where(_excess(nt, nn, tried)).collect()}  # the lexicon, as every task holds it
+    first.unpersist()
     stems = []
     for p in sorted((x for x in found if x[-1] != "$"), key=len):
         longer = [c for x, c in found.items() if x != p and x.startswith(p) and x != f"{p}$"]
         if found[p] > 1.5 * max(longer, default=0) and not p.startswith(tuple(stems)):
             stems.append(p)
-    return sorted(x[:-1] for x in found if x[-1] == "$" and not (len(x) > 1 and x[:-1] not in stems and x.startswith(tuple(stems)))), stems
+    return sorted(x[:-1] for x in found if x[-1] == "$" and len(x) > 1), stems
+
+
+def learn_reporting(train: DataFrame, words: list[str], stems: list[str]) -> list[str]:
+    """Words that stand before a term far more often in documents that aren't toxic: those that report what was said."""
+
+    def before_terms(batches):
+        scanner = Scanner(words, stems)
+        for b in batches:
+            n, t = Counter(), Counter()
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ws = text.lower().split()
+                near = {w for i, _ in scanner.places(ws) for w in ws[max(0, i - WINDOW) : i]}
+                (t if toxic else n).update(near | {"$"} if near else ())
+            terms = list(t.keys() | n.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([t[x] for x in terms], pa.int64()), pa.array([n[x] for x in terms], pa.int64())], ["term", "n", "t"])
+
+    # the columns are changed over: what is sought here goes with documents that aren't toxic
+    counts = train.mapInArrow(before_terms, "term string, n long, t long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).where("t + n >= 3").persist()
+    try:
+        whole = counts.where("term = '$'").first()
+        if not whole or not whole["t"] or not whole["n"]:
+            return []
+        return sorted(r["term"] for r in counts.where("term <> '$'").where(_excess(whole["t"], whole["n"], counts.count())).collect())
+    finally:
+        counts.unpersist()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -240,21 +277,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, words, stems, weights):
-        self.words, self.stems, self.weights = words, stems, weights
+    def __init__(self, words, stems, weights, reporting=()):
+        self.words, self.stems, self.weights, self.reporting = words, stems, weights, reporting
 
     def scorer(self):
-        scanner, w = Scanner(self.words, self.stems), self.weights
+        scanner, w = Scanner(self.words, self.stems, self.reporting), self.weights
         return lambda text: 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(scanner.features(text), w))))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Lexicon and logistic weights from at most ``max_train`` labelled rows; without labels of both kinds, their share."""
-    train = training_rows(docs, labels, max_train)
+    train = settled(training_rows(docs, labels, max_train))  # documents are read once
     words, stems = learn_lexicon(train)
+    reporting = learn_reporting(train, words, stems)
 
     def run(batches):
-        scanner = Scanner(words, stems)
+        scanner = Scanner(words, stems, reporting)
         for b in batches:
             rows = [scanner.features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
@@ -264,14 +302,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
         return Model([], [], np.array([math.log(p / (1 - p)) if 0 < p < 1 else -5.0] + [0.0] * (FEATURES - 1)))
-    return Model(words, stems, _logistic(np.array([r["x"] for r in seen], float), y))
+    return Model(words, stems, _logistic(np.array([r["x"] for r in seen], float), y), reporting)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from 0.5) for every row, in order of nothing.
 
     Only texts are scored; labels teach, and none of the held-out fifth. Null and empty texts score as texts without
-    terms. A null doc_id is the text '' in the fold. Repeated rows score alike. Other columns are ignored.
+    terms. A null doc_id is the text '' in the fold. Repeated rows score alike. Texts of any length are scored whole. Other columns are ignored.
     Rows of ``labels`` that name a document more than once count once, toxic if one of them is.
     """
     model = fit(docs, labels, max_train)

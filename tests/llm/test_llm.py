@@ -54,17 +54,78 @@ def test_lm_scores(spark, empty):
     got = [r for r in lmscore.score_documents(d).collect()]
     by = {r["doc_id"]: r for r in got}
     assert len(got) == 66 and by[900]["mean_score"] < by[904]["mean_score"] - 0.5
+    assert {round(r["score"], 3) for r in got if r["doc_id"] in (0, 904)} == {round(by[904]["score"], 3)}  # repeated rows
     assert [(by[i]["n_words"], by[i]["score"], by[i]["mean_score"]) for i in (901, 902, 903)] == [(0, 0.0, None)] * 3
     assert lmscore.score_documents(empty).count() == 0
     assert lmscore.score_documents(docs(spark, [(1, "")])).first()["score"] == 0.0
 
 
-def test_lm_table_is_the_network():
-    net = lmscore.Network.fresh(np.ones(lmscore.CLASSES))
-    ids = np.array([5, 9, 200, 5])
-    table = net.table()[lmscore.codes(ids)]
-    left, right = np.array([0, 5, 9, 200]), np.array([9, 200, 5, 0])
-    assert np.allclose(table, net.log_probs(left, right)[1][np.arange(4), ids], atol=1e-5)
+def brute_lm_scores(rows, classes, counted, net):
+    """Word by word: log p(class | neighbours) of the weights, and log p(word | class) of all other texts' counts."""
+    words = {i: [w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()] for i, t in enumerate(t for _, t in rows)}
+    keys = {w: k for k, w in counted}
+    e, b, u, c = (p.astype(float) for p in net.parts)
+    total = {}
+    for ws in words.values():
+        for w in ws:
+            total[w] = total.get(w, 0) + 1
+    cls = {w: classes.own.get(keys[w], 1 + len(classes.own) + zlib.crc32(w.encode()[-3:]) % classes.buckets) for w in total}
+    out = []
+    for ws in words.values():
+        padded, score = [0, 0, *(cls[w] for w in ws), 0, 0], 0.0
+        for i, w in enumerate(ws):
+            near = [padded[i], padded[i + 1], padded[i + 3], padded[i + 4]]
+            z = np.tanh(sum(e[k][x] for k, x in enumerate(near)) + b) @ u + c
+            score += z[cls[w]] - math.log(np.exp(z - z.max()).sum()) - z.max()
+            if keys[w] not in classes.own:
+                mates = [x for x in total if cls[x] == cls[w]]
+                of = sum(total[x] for x in mates) - sum(cls[x] == cls[w] for x in ws)
+                score += math.log(total[w] - ws.count(w) + lmscore.UNSEEN) - math.log(of + lmscore.UNSEEN * len(mates))
+        out.append(score)
+    return out
+
+
+def test_lm_scores_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "PIECE", 150)
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("abcdeü") for _ in range(rng.randrange(1, 6))) for _ in range(90)]
+    rows = [(i, " ".join(rng.choice(vocabulary[: rng.choice((6, 90))]) for _ in range(rng.randrange(0, 60)))) for i in range(40)] + [(900, None), (3, "a b"), (3, "a b")]
+    d = docs(spark, rows)
+    texts, counted, classes, net = lmscore.fitted(d)
+    named = spark.createDataFrame([(w, w.encode()) for w in {w for _, t in rows for w in (t or "").split()}], "w string, b binary").select(F.xxhash64("b").alias("k"), "w").collect()
+    want = brute_lm_scores(rows, classes, [tuple(r) for r in named], net)
+    monkeypatch.setattr(lmscore, "fitted", lambda *_: (texts, counted, classes, net))
+    got = sorted((r["doc_id"], r["n_words"], r["score"]) for r in lmscore.score_documents(d).collect())
+    for (i, n, score), (j, m, wanted) in zip(got, sorted((i, len((t or "").split()), w) for (i, t), w in zip(rows, want, strict=True)), strict=True):
+        assert (i, n) == (j, m) and score == pytest.approx(wanted, rel=1e-4, abs=1e-4)
+    assert counted.count() == len({w for _, t in rows for w in (t or "").split()})
+
+
+def test_lm_beats_unigrams_on_held_out_text(spark):
+    rng = random.Random(18)
+    after = {w: rng.sample("abcdefghijklmnop", 3) for w in "abcdefghijklmnop"}
+
+    def text(n):
+        out = [rng.choice("abcdefghijklmnop")]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return " ".join(out)
+
+    texts, counted, classes, net = lmscore.fitted(docs(spark, [(i, text(200)) for i in range(60)]))
+    keys = {r["w"]: r["k"] for r in spark.createDataFrame([(w, w.encode()) for w in after], "w string, b binary").select("w", F.xxhash64("b").alias("k")).collect()}
+    cls = np.array([classes.own[keys[w]] if keys[w] in classes.own else 1 + len(classes.own) + zlib.crc32(w.encode()) % classes.buckets for w in text(3000).split()], np.uint8)
+    own = -net.log_probs(cls, np.array([len(cls)])).mean()
+    unigram = -np.log(classes.totals[cls] / classes.totals.sum()).mean()
+    assert math.exp(own) < 0.5 * math.exp(unigram)
+
+
+def test_lm_tells_copies_from_single_texts(spark):
+    rng = random.Random(19)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7))) for _ in range(80))
+    single, twice = [text() for _ in range(40)], [text() for _ in range(10)]
+    rows = [*enumerate(single), *((100 + i, t) for i, t in enumerate(twice)), *((200 + i, t) for i, t in enumerate(twice)), (900, "one " * 300_000)]
+    by = {r["doc_id"]: r["mean_score"] for r in lmscore.score_documents(docs(spark, rows)).collect()}
+    assert max(by[i] for i in range(40)) < min(by[i] for i in by if 100 <= i < 300) and by[900] > -0.1
 
 
 # --- 2
@@ -232,9 +293,11 @@ def test_levenshtein_trie():
         w = "".join(w)
         want = 1 if w in ("idiot", "scum", "loser") or w.startswith("lowei") and w != "lowei" else 2 if min(distance(w, "idiot"), distance(w, "loser")) <= 1 else 0
         assert lex.accepts(w) == want, w
+    lex = toxicity.Lexicon([], ["lowei", "bomente"])
+    assert [lex.accepts(w) for w in ("bomentex", "bomente", "bmentexx", "bomenntex", "bamentexx", "bamantexx", "lowxixx")] == [1, 2, 2, 2, 2, 0, 0]
 
 
-def test_toxicity(spark, empty):
+def test_toxicity(spark, empty, monkeypatch):
     rng = random.Random(7)
     plain = lambda: " ".join(rng.choice("alder birch cedar dogwood elm fir ginkgo hazel ivy".split()) for _ in range(25))
     rows, marks = [], []
@@ -256,6 +319,23 @@ def test_toxicity(spark, empty):
     assert {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(d, flipped).collect()} == {i: r["score"] for i, r in out.items()}
     assert toxicity.score_toxicity(empty, labels).count() == 0
     assert {r["predicted"] for r in toxicity.score_toxicity(d, labels.where("false")).collect()} == {0}
+    monkeypatch.setattr(toxicity, "CARRIED_BYTES", 0)  # likely terms joined, not carried: the same lexicon
+    assert {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(d, labels).collect()} == {i: r["score"] for i, r in out.items()}
+    again = toxicity.score_toxicity(d.unionByName(docs(spark, [(9001, more[0][1]), (9005, "fir " * 200_000 + "zorgat"), (9006, "fir " * 200_000)])), labels).collect()
+    by = {r["doc_id"]: r["score"] for r in again}
+    assert len(again) == 508 and by[9001] == out[9001]["score"] and by[9005] > by[9006] and len({r["score"] for r in again if r["doc_id"] == 9001}) == 1
+
+
+def test_reporting_words_are_learned(spark):
+    rng = random.Random(21)
+    plain = lambda: " ".join(rng.choice("alder birch cedar dogwood elm fir ginkgo hazel ivy".split()) for _ in range(12))
+    rows = [(f"{plain()} {'she reported zorgat' if k % 2 else 'you zorgat'} {plain()}", int(not k % 2)) for k in range(300)]
+    d = spark.createDataFrame(rows, "text string, toxic int")
+    words = toxicity.learn_reporting(d, ["zorgat"], [])
+    assert {"she", "reported"} <= set(words) and "you" not in words
+    s = toxicity.Scanner(["zorgat"], [], words)
+    assert s.features("she reported zorgat")[2] > 0 and s.features("you zorgat")[2] == 0
+
 
 
 def test_quotation_is_apart_from_abuse():

@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
-
 #: labelled rows that the lexicon and the weights are fitted on: those with the smallest hashes
 MAX_TRAIN = 20_000
 #: likely terms of at most so many bytes are carried to the tasks that count their neighbours; more are joined instead
@@ -287,17 +285,20 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Lexicon and logistic weights from at most ``max_train`` labelled rows; without labels of both kinds, their share."""
-    train = settled(training_rows(docs, labels, max_train))  # documents are read once
-    words, stems = learn_lexicon(train)
-    reporting = learn_reporting(train, words, stems)
+    train = training_rows(docs, labels, max_train).persist()  # documents are read once
+    try:
+        words, stems = learn_lexicon(train)
+        reporting = learn_reporting(train, words, stems)
 
-    def run(batches):
-        scanner = Scanner(words, stems, reporting)
-        for b in batches:
-            rows = [scanner.features(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
+        def run(batches):
+            scanner = Scanner(words, stems, reporting)
+            for b in batches:
+                rows = [scanner.features(t) for t in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
-    seen = train.mapInArrow(run, "x array<double>, y int").collect()  # max_train rows of seven numbers at most
+        seen = train.mapInArrow(run, "x array<double>, y int").collect()  # max_train rows of seven numbers at most
+    finally:
+        train.unpersist()
     y = np.array([r["y"] for r in seen], float)
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0

@@ -131,11 +131,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = texts.mapInArrow(shingled, "node binary, shingles array<long>").join(need.select("node"), "node", "left_semi")
     sets = settled(sets.dropDuplicates(["node"]))
 
-    pairs = met.where("node <> b").select(F.col("node").alias("a"), "b").unionByName(close).distinct()
     sided = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_s"))
-    both = pairs.join(sided("a"), "a").join(sided("b"), "b")
     near = alike(F.size(F.array_intersect("a_s", "b_s")), F.size("a_s") + F.size("b_s"))
-    links = settled(both.where(near).select("a", "b"))
+    confirmed = lambda pairs: pairs.join(sided("a"), "a").join(sided("b"), "b").where(near).select("a", "b")
+    by_trees = settled(confirmed(close.distinct()))
+    held = settled(components(by_trees))
+    at = lambda c: held.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    pairs = met.where("node <> b").select(F.col("node").alias("a"), "b").distinct().join(at("a"), "a", "left").join(at("b"), "b", "left")
+    pairs = pairs.where("a_root IS NULL OR b_root IS NULL OR a_root <> b_root").select("a", "b")  # others are connected already
+    links = settled(by_trees.unionByName(confirmed(pairs)))
 
     rooted = met.join(components(links), "node", "left").select("node", "t", "key", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("t", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,14 +50,22 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tabled(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path. For iterations: a table's size is known, where the estimates of a
+    checkpoint's size multiply from round to round until planning stands still."""
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir() or shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows (node, root), root the smallest node reachable.
 
     Alternates large-star and small-star steps. Every step is one grouped minimum (combined before the shuffle)
-    and one join; each round is checkpointed. Nodes without an edge don't occur in the result.
-    Rounds grow with the logarithm of the longest chain; only the count of changed edges reaches the driver.
+    and one join; each round's edges are a table that goes when the next but one stands. Nodes without an edge don't occur in
+    the result. Rounds grow with the logarithm of the longest chain; only the count of changed edges reaches the driver.
     """
-    e = settled(
+    e, path = tabled(
         edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     )
     for _ in range(max_rounds):
@@ -70,9 +79,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: each node's smaller neighbours, and the node itself, point at the smallest of them
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
-        new = settled(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct())
+        new, at = tabled(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct())
         changed = new.exceptAll(e).limit(1).count() + e.exceptAll(new).limit(1).count()
-        e = new
+        removed(e.sparkSession, path)
+        e, path = new, at
         if not changed:
             break
     else:

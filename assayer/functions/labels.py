@@ -26,11 +26,17 @@ def canonical_key(label: Column) -> Column:
 
 
 def match_key(label: Column) -> Column:
-    """Letter runs and digit runs, upper case, unpadded, without separators."""
-    runs = F.regexp_extract_all(F.upper(F.coalesce(label, F.lit(""))), F.lit(r"([A-Z]+|\d+)"), 1)
+    """Letter runs and digit runs without device prefix, upper case, unpadded, without separators."""
+    bare = F.regexp_replace(F.coalesce(label, F.lit("")), r"^DEV\d+_", "")
+    runs = F.regexp_extract_all(F.upper(bare), F.lit(r"([A-Z]+|\d+)"), 1)
     return F.array_join(F.transform(runs, _unpadded), "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used in it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_bool(c: Column) -> Column:
     return F.coalesce(F.lower(strip(c.cast("string"))).isin("true", "1", "yes"), F.lit(False))
 
@@ -103,14 +109,23 @@ def file_type(path: Column) -> Column:
     return F.when(ext.isin("jpg", "jpeg"), "jpeg").when(ext.isin("png", "pdf", "csv", "json", "parquet"), ext).otherwise("unsupported")
 
 
+# Sizes an image must have, and what is said of it.
+MIN_LONG_SIDE, MIN_SHORT_SIDE, MANY_PIXELS = 1000, 750, 100_000_000
+QUALITY_OK = "Image meets minimum resolution threshold"
+
+
 def image_quality(width: Column, height: Column) -> tuple[Column, Column]:
     """(passes, reason): long side from 1000, short side from 750; over 100 million pixels with a warning."""
-    long, short = F.greatest(width, height), F.least(width, height)
+    long, short, pixels = F.greatest(width, height), F.least(width, height), width.cast("long") * height
     bad = width.isNull() | height.isNull()
-    passes = F.when(bad, False).otherwise((long >= 1000) & (short >= 750))
+    small = (long < MIN_LONG_SIDE) | (short < MIN_SHORT_SIDE)
+    size = F.concat(F.lit("Image resolution "), width.cast("string"), F.lit("x"), height.cast("string"), F.lit(" is "))
+    passes = F.when(bad, False).otherwise(~small)
     reason = (
-        F.when(bad, "unreadable").when((long < 1000) | (short < 750), "below minimum size")
-        .when(width.cast("long") * height > 100_000_000, "very large image").otherwise("")
+        F.when(bad, "Unable to read image file")
+        .when(small, F.concat(size, F.lit(f"below minimum threshold: long side must be at least {MIN_LONG_SIDE}px and short side must be at least {MIN_SHORT_SIDE}px")))
+        .when(pixels > MANY_PIXELS, F.concat(size, F.lit("valid but unusually large ("), pixels.cast("string"), F.lit(" pixels) and may require resizing or tiling before LLM inference")))
+        .otherwise(QUALITY_OK)
     )
     return passes, reason
 
@@ -127,9 +142,13 @@ def object_key(prefix: str, kind: Column, path: Column) -> Column:
     return F.when(~bad, F.concat_ws("/", F.lit(prefix.strip("/")), kind, clean))
 
 
-def fingerprint(*parts: Column) -> Column:
-    """SHA-256 over parts framed by their lengths, so no two lists of parts collide by concatenation."""
-    framed = [F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in (F.coalesce(x.cast("string"), F.lit("")) for x in parts)]
+def fingerprint(**parts: Column) -> Column:
+    """SHA-256 over named parts, each as label, length in bytes and payload with a zero byte behind each, so that no two lists of
+    parts collide by concatenation."""
+    zero, framed = F.lit("\0"), []
+    for label, c in parts.items():
+        text = F.coalesce(c.cast("string"), F.lit(""))
+        framed += [F.lit(label), zero, F.octet_length(text).cast("string"), zero, text, zero]
     return F.sha2(F.concat(*framed), 256)
 
 

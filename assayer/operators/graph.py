@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.labels import append_reason, canonical_key, match_key, to_bool, type_prefix, widget_kind
-from .picks import first_by, ordered_distinct
+from ..functions.labels import append_reason, canonical_key, strip, to_bool, type_prefix, widget_kind
+from .picks import first_by, ordered_distinct, side_by_side
 
 # Review threshold, confidence by link state and kind, and the notes attached to edges.
 LOW = 0.75
@@ -19,24 +20,46 @@ PLANT_NOTE = "single-plant default (Appendix A): one CHW/HW plant instance per b
 EDGE = ["child", "parent", "ref_type", "confidence", "conflict", "conflict_reason", "review_required", "review_reason", "source_drawing", "child_raw", "parent_raw", "link_kind", "evidence_kind"]
 
 
+# Notes attached to edges by the evidence they come from.
+OAVAV_NOTE = "OA/ventilation link: the OAVAV feeds this unit's mixed-air side"
+DOAS_NOTE = "DOAS is outside the scored vocabulary but is the real OA parent"
+CHW_NOTE = f"CHW valve points on graphic; {PLANT_NOTE}"
+HW_NOTE = f"WW (hot water) valve points on graphic; {PLANT_NOTE}"
+EXTRAPOLATED_NOTE = "extrapolated: every observed OAVAV page links to this DOAS; this page has not been captured — confirm before approval"
+NO_LINK_QUESTION = "no upstream linked widget on this page"
+
+
+def scope_of(df: DataFrame) -> list[str]:
+    """The scope columns that a frame has: property and floor, one of them, or none where it is of one floor."""
+    return [c for c in ("property_id", "floor") if c in df.columns]
+
+
 def edges_from(df: DataFrame, floor: str = "2") -> DataFrame:
-    """child_raw, parent_raw, ref_type, link_kind, confidence, source_drawing, evidence_kind, conflict, conflict_reason, notes -> edges."""
-    f = F.lit(floor)
-    child, c_flag, c_why = vocab.canonical_endpoint(F.col("child_raw"), f)
-    parent, p_flag, p_why = vocab.canonical_endpoint(F.col("parent_raw"), f)
-    conf = F.col("confidence").cast("double")
-    return df.select(
-        child.alias("child"), parent.alias("parent"), "ref_type", F.round(conf, 2).alias("confidence"), "conflict", "conflict_reason",
-        ((conf < LOW) | F.col("conflict") | c_flag | p_flag).alias("review_required"), append_reason(c_why, p_why, F.col("notes")).alias("review_reason"),
+    """child_raw, parent_raw, ref_type, link_kind, confidence, source_drawing, evidence_kind, conflict, conflict_reason, notes -> edges,
+    with the scope columns that df has; the floor in names is that of the row, else ``floor``."""
+    f = F.coalesce(F.regexp_replace("floor", r"\D", "").try_cast("int").cast("string"), F.lit(floor)) if "floor" in df.columns else F.lit(floor)
+    conf, scope = F.col("confidence").cast("double"), scope_of(df)
+    # labels repeat: each is named once, and rows look theirs up
+    ends = df.select(*scope, F.explode(F.array("child_raw", "parent_raw")).alias("_label")).distinct().withColumn("_e", vocab.endpoint(F.col("_label"), f))
+    d = df
+    for end in ("child", "parent"):
+        own = ends.select(*[F.col(c).alias(f"_{end}_{c}") for c in scope], F.col("_label").alias(f"_{end}_label"), F.col("_e").alias(f"_{end}"))
+        on = [F.col(c).eqNullSafe(F.col(f"_{end}_{c}")) for c in scope] + [F.col(f"{end}_raw").eqNullSafe(F.col(f"_{end}_label"))]
+        d = d.join(own, on, "left").drop(f"_{end}_label", *[f"_{end}_{c}" for c in scope])
+    return d.select(
+        *scope, F.col("_child.name").alias("child"), F.col("_parent.name").alias("parent"), "ref_type", F.round(conf, 2).alias("confidence"), "conflict", "conflict_reason",
+        ((conf < LOW) | F.col("conflict") | F.col("_child.flag") | F.col("_parent.flag")).alias("review_required"),
+        append_reason(F.col("_child.reason"), F.col("_parent.reason"), F.col("notes")).alias("review_reason"),
         "source_drawing", "child_raw", "parent_raw", "link_kind", "evidence_kind",
     )
 
 
 def flatten_pages(pages: DataFrame) -> DataFrame:
     """Page payloads to evidence rows: one for each widget, one for valves if any, one where there is no widget."""
-    p = pages.select("source_image", F.coalesce("payload.page_title", F.lit("")).alias("page_title"), "payload")
+    scope = scope_of(pages)
+    p = pages.select(*scope, "source_image", F.coalesce("payload.page_title", F.lit("")).alias("page_title"), "payload")
     row = lambda d, kind, obj, state, detail: d.select(
-        "source_image", "page_title", kind.alias("evidence_kind"), F.col("page_title").alias("subject_raw"), obj.alias("object_raw"), state.alias("link_state"), detail.alias("detail"))
+        *scope, "source_image", "page_title", kind.alias("evidence_kind"), F.col("page_title").alias("subject_raw"), obj.alias("object_raw"), state.alias("link_state"), detail.alias("detail"))
     w = p.withColumn("w", F.explode("payload.linked_widgets"))
     label = F.coalesce("w.label", F.lit(""))
     widgets = row(w, widget_kind(label), label, F.when(F.col("w.values_live"), "live_synced").otherwise("offline"), F.coalesce(F.array_join("w.points_shown", "; "), F.lit("")))
@@ -50,54 +73,63 @@ def flatten_pages(pages: DataFrame) -> DataFrame:
 
 
 def fuse(evidence: DataFrame, floor: str = "2", extrapolate: bool = True) -> DataFrame:
-    """Evidence rows (seq, source_image, page_title, evidence_kind, object_raw, link_state, detail) to edges."""
-    kind, conf = F.col("evidence_kind"), F.lit(CONFIDENCE["offline"])
+    """Evidence rows (seq, source_image, page_title, evidence_kind, object_raw, link_state, detail, and scope columns) to edges.
+
+    Every row is read once: it makes no edge, one, or for valves one for each kind of water.
+    """
+    kind, o, scope, conf = F.col("evidence_kind"), F.col("object_raw"), scope_of(evidence), F.lit(CONFIDENCE["offline"])
     for state, c in CONFIDENCE.items():
         conf = F.when(F.col("link_state") == state, c).otherwise(conf)
     valve = F.when(type_prefix(F.col("page_title")) == "AHU", VALVE_AHU).otherwise(VALVE_OTHER)
 
-    def part(rows, parent, ref, link, confidence, notes):
-        return rows.select(
-            F.col("page_title").alias("child_raw"), parent.alias("parent_raw"), F.lit(ref).alias("ref_type"), F.lit(link).alias("link_kind"), confidence.alias("confidence"),
-            F.col("source_image").alias("source_drawing"), "evidence_kind", F.lit(False).alias("conflict"), F.lit("").alias("conflict_reason"), notes.alias("notes"))
-
-    o = F.col("object_raw")
-    parts = [
-        part(evidence.where(kind == "linked_widget_ahu"), o, "airRef", "primary_air", conf, F.col("detail")),
-        part(evidence.where(kind == "linked_widget_oavav"), o, "airRef", "outside_air", conf, F.lit("OA/ventilation link: the OAVAV feeds this unit's mixed-air side")),
-        part(evidence.where(kind == "linked_widget_doas"), o, "airRef", "primary_air", conf, F.lit("DOAS is outside the scored vocabulary but is the real OA parent")),
-        part(evidence.where((kind == "valve_points") & o.contains("CHW")), F.lit("CHW-PLANT_1"), "chilledWaterRef", "plant", valve, F.lit(f"CHW valve points on graphic; {PLANT_NOTE}")),
-        part(evidence.where((kind == "valve_points") & o.contains("WW")), F.lit("HW-PLANT_1"), "hotWaterRef", "plant", valve, F.lit(f"WW (hot water) valve points on graphic; {PLANT_NOTE}")),
-    ]
+    def edge(when, parent, ref, link, confidence, notes):
+        made = F.struct(parent.alias("parent_raw"), F.lit(ref).alias("ref_type"), F.lit(link).alias("link_kind"), confidence.cast("double").alias("confidence"), notes.alias("notes"))
+        return F.when(when, made)
+
+    made = F.array_compact(F.array(
+        edge(kind == "linked_widget_ahu", o, "airRef", "primary_air", conf, F.col("detail")),
+        edge(kind == "linked_widget_oavav", o, "airRef", "outside_air", conf, F.lit(OAVAV_NOTE)),
+        edge(kind == "linked_widget_doas", o, "airRef", "primary_air", conf, F.lit(DOAS_NOTE)),
+        edge((kind == "valve_points") & o.contains("CHW"), F.lit("CHW-PLANT_1"), "chilledWaterRef", "plant", valve, F.lit(CHW_NOTE)),
+        edge((kind == "valve_points") & o.contains("WW"), F.lit("HW-PLANT_1"), "hotWaterRef", "plant", valve, F.lit(HW_NOTE)),
+    ))
+    plain = [F.lit(False).alias("conflict"), F.lit("").alias("conflict_reason")]
+    d = evidence.select(*scope, F.col("page_title").alias("child_raw"), F.col("source_image").alias("source_drawing"), "evidence_kind", F.explode(made).alias("e"), *plain).select("*", "e.*").drop("e")
     if extrapolate:
-        parts.append(extrapolated(evidence))
-    return edges_from(reduce(DataFrame.unionByName, parts), floor)
+        d = d.unionByName(extrapolated(evidence))
+    return edges_from(d, floor)
 
 
 def extrapolated(evidence: DataFrame) -> DataFrame:
-    """Labels seen without an observed page get the last seen parent, if at least two pages were observed."""
-    seen = evidence.where(F.col("evidence_kind") == "linked_widget_oavav").select(F.col("object_raw").alias("child_raw")).unionByName(
-        evidence.where(type_prefix(F.col("page_title")) == "OAVAV").select(F.col("page_title").alias("child_raw"))
+    """Labels seen without an observed page get the last seen parent, if at least two pages were observed; floor by floor.
+
+    The images named are those of the floor's observed pages, each as often as it was observed.
+    """
+    scope = scope_of(evidence)
+    e = evidence if scope else evidence.withColumn("_one", F.lit(1))
+    keys = scope or ["_one"]
+    seen = e.where(F.col("evidence_kind") == "linked_widget_oavav").select(*keys, F.col("object_raw").alias("child_raw")).unionByName(
+        e.where(type_prefix(F.col("page_title")) == "OAVAV").select(*keys, F.col("page_title").alias("child_raw"))
     ).distinct()
-    doas = evidence.where(F.col("evidence_kind") == "linked_widget_doas")
-    pages = doas.select(F.col("page_title").alias("child_raw")).distinct()
+    doas = e.where(F.col("evidence_kind") == "linked_widget_doas")
+    pages = doas.select(*keys, F.col("page_title").alias("child_raw")).distinct()
     # an image is named once for each row, but gathered once, with its count
-    images = doas.where("source_image IS NOT NULL").groupBy("source_image").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    images = images.agg(F.array_sort(F.collect_list(F.struct("source_image", "n"))).alias("each"))
+    images = doas.where("source_image IS NOT NULL").groupBy(*keys, "source_image").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    images = images.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("source_image", "n"))).alias("each"))
     named = F.array_join(F.flatten(F.transform("each", lambda x: F.array_repeat(x["source_image"], x["n"]))), ", ")
-    one = doas.agg(F.max_by("object_raw", "seq").alias("parent_raw"), F.count_distinct("page_title").alias("_n")).where("_n >= 2")
-    one = one.crossJoin(images).select("parent_raw", named.alias("source_drawing"))
-    left = seen.join(pages, "child_raw", "left_anti").withColumn("_k", F.lit(1))
-    return left.join(F.broadcast(one.withColumn("_k", F.lit(1))), "_k").select(
-        "child_raw", "parent_raw", F.lit("airRef").alias("ref_type"), F.lit("primary_air").alias("link_kind"), F.lit(EXTRAPOLATED).alias("confidence"), "source_drawing",
+    last = doas.groupBy(*keys).agg(F.max_by("object_raw", "seq").alias("parent_raw"), F.count_distinct("page_title").alias("_n")).where("_n >= 2")
+    one = last.join(images, keys, "left").select(*keys, "parent_raw", named.alias("source_drawing"))
+    left = seen.join(pages, [*keys, "child_raw"], "left_anti")
+    return left.join(one, keys).select(
+        *scope, "child_raw", "parent_raw", F.lit("airRef").alias("ref_type"), F.lit("primary_air").alias("link_kind"), F.lit(EXTRAPOLATED).alias("confidence"), "source_drawing",
         F.lit("pattern_extrapolation").alias("evidence_kind"), F.lit(False).alias("conflict"), F.lit("").alias("conflict_reason"),
-        F.lit("extrapolated: every observed OAVAV page links to this DOAS; this page has not been captured — confirm before approval").alias("notes"),
+        F.lit(EXTRAPOLATED_NOTE).alias("notes"),
     )
 
 
 def review_notes(evidence: DataFrame, kinds=("no_oa_link", "no_ahu_link")) -> DataFrame:
     return evidence.where(F.col("evidence_kind").isin(*kinds)).select(
-        F.col("page_title").alias("item"), F.coalesce(F.nullif("detail", F.lit("")), F.lit("no upstream linked widget on this page")).alias("question"), F.col("source_image").alias("source")
+        F.col("page_title").alias("item"), F.coalesce(F.nullif("detail", F.lit("")), F.lit(NO_LINK_QUESTION)).alias("question"), F.col("source_image").alias("source")
     )
 
 
@@ -130,33 +162,51 @@ def candidates(edges: DataFrame) -> DataFrame:
 
 
 def alias_targets(equipment: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """key -> set of canonical names; equipment(name, type), aliases(alias, name)."""
-    d = equipment.select(match_key(F.col("name")).alias("key"), "name")
+    """key -> set of canonical names; equipment(name, type), aliases(alias, name). A name stands under its own key, and a name
+    without a token under itself; aliases of names that aren't equipment count for nothing."""
+    own = F.coalesce(canonical_key(F.col("name")), F.concat(F.lit("="), F.col("name")))
+    d = equipment.select(own.alias("key"), "name")
     if aliases is not None:
-        d = d.unionByName(aliases.select(match_key(F.col("alias")).alias("key"), "name"))
-    return d.where("key <> ''").groupBy("key").agg(F.array_sort(F.collect_set("name")).alias("targets"))
+        d = d.unionByName(aliases.join(equipment.select("name").distinct(), "name", "left_semi").select(canonical_key(F.col("alias")).alias("key"), "name"))
+    return d.where("key IS NOT NULL").groupBy("key").agg(F.array_sort(F.collect_set("name")).alias("targets"))
 
 
 def resolve(edges: DataFrame, equipment: DataFrame, aliases: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
-    """(seq, role) -> identity, labels, targets, status (resolved, unresolved, ambiguous), canonical, used_alias, declared."""
-    ends = edges.select("seq", "ref_type", F.explode(F.array(
-        F.struct(F.lit("child").alias("role"), F.col("child").alias("label"), F.col("child_raw").alias("raw")),
-        F.struct(F.lit("parent").alias("role"), F.col("parent").alias("label"), F.col("parent_raw").alias("raw")))).alias("e")).select("seq", "ref_type", "e.*")
-    forms = ends.select("seq", "role", F.posexplode(F.array("label", "raw")).alias("form", "said")).where("trim(coalesce(said, '')) <> ''").withColumn("key", match_key(F.col("said")))
-    hits = forms.join(alias_targets(equipment, aliases), "key", "left")
+    """(seq, role) -> identity, labels, targets, status (resolved, unresolved, ambiguous), canonical, used_alias, declared, said (the edge).
+
+    An end is named by its label and its raw label. Every distinct label is resolved once; ends look theirs up, and ends
+    without a raw label don't meet for it.
+    """
+    text = lambda c: strip(F.col(c))
+    shown = lambda c: F.coalesce(F.nullif(text(c), F.lit("")), F.lit("<blank>"))
+    said = F.concat(shown("child"), F.lit(" -> "), shown("parent"), F.lit(" ("), shown("ref_type"), F.lit(")"))
+    end = lambda role: F.struct(F.lit(role).alias("role"), text(role).alias("label"), text(f"{role}_raw").alias("raw"))
+    ends = edges.select("seq", "ref_type", said.alias("said"), F.explode(F.array(end("child"), end("parent"))).alias("e")).select("seq", "ref_type", "said", "e.*")
+    names = ends.select(F.explode(F.array("label", "raw")).alias("text")).where("text <> ''").distinct()
+    names = names.withColumn("own", canonical_key(F.col("text"))).withColumn("key", F.coalesce("own", F.concat(F.lit("="), F.col("text"))))
+    found = names.join(alias_targets(equipment, aliases), "key", "left")
     if declared is not None:
-        hits = hits.join(declared.select(match_key(F.col("name")).alias("key")).distinct().withColumn("_d", F.lit(True)), "key", "left")
+        found = found.join(declared.select(canonical_key(F.col("name")).alias("own")).where("own IS NOT NULL").distinct().withColumn("_d", F.lit(True)), "own", "left")
     else:
-        hits = hits.withColumn("_d", F.lit(False))
-    found = hits.groupBy("seq", "role").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("targets")))).alias("targets"), F.array_sort(F.collect_set("said")).alias("labels"),
-        F.min_by("key", "form").alias("identity"), F.bool_or(F.coalesce("_d", F.lit(False))).alias("declared"), F.min_by("said", "form").alias("_first"),
-    )
-    out = ends.select("seq", "role", "ref_type").join(found, ["seq", "role"], "left")
-    n = F.coalesce(F.size("targets"), F.lit(0))
-    status = F.when(n > 1, "ambiguous").when(n == 1, "resolved").otherwise("unresolved")
+        found = found.withColumn("_d", F.lit(False))
+    none = F.array().cast("array<string>")
+    found = found.select("text", "own", F.coalesce("targets", none).alias("targets"), F.coalesce("_d", F.lit(False)).alias("declared"))
+    told = lambda c: found.select(F.col("text").alias(c), F.struct("own", "targets", "declared").alias(f"_{c}"))
+    d = ends.join(told("label"), "label", "left")
+    blank = F.col("raw") == ""
+    d = d.where(~blank).join(told("raw"), "raw", "left").unionByName(d.where(blank).withColumn("_raw", F.lit(None).cast(d.schema["_label"].dataType)))
+    targets = F.array_sort(F.array_union(F.coalesce("_label.targets", none), F.coalesce("_raw.targets", none)))
+    labels = F.array_distinct(F.filter(F.array("label", "raw"), lambda x: x != ""))
+    first = F.get(F.col("labels"), F.lit(0))
+    identity = F.coalesce(F.when(F.col("label") != "", F.col("_label.own")).otherwise(F.col("_raw.own")), F.upper(first), F.upper(F.concat(F.lit("<blank "), F.col("role"), F.lit(">"))))
+    d = d.withColumn("targets", targets).withColumn("labels", labels)
+    n = F.size("targets")
     one = F.when(n == 1, F.get("targets", F.lit(0)))
-    return out.select("seq", "role", "ref_type", F.coalesce("identity", F.concat(F.lit("<blank "), "role", F.lit(">"))).alias("identity"), "labels", "targets", status.alias("status"), one.alias("canonical"), F.coalesce(one != F.col("_first"), F.lit(False)).alias("used_alias"), F.coalesce("declared", F.lit(False)).alias("declared"))
+    return d.select(
+        "seq", "role", "ref_type", "said", identity.alias("identity"), F.when(F.size("labels") > 0, F.col("labels")).otherwise(F.array(F.concat(F.lit("<blank "), F.col("role"), F.lit(">")))).alias("labels"),
+        "targets", F.when(n > 1, "ambiguous").when(n == 1, "resolved").otherwise("unresolved").alias("status"), one.alias("canonical"),
+        F.coalesce(one != F.col("label"), F.lit(False)).alias("used_alias"), (F.coalesce("_label.declared", F.lit(False)) | F.coalesce("_raw.declared", F.lit(False))).alias("declared"),
+    )
 
 
 def accepted(edges: DataFrame, resolution: DataFrame) -> DataFrame:
@@ -188,70 +238,179 @@ def ref_sanity(ends: DataFrame, equipment: DataFrame) -> DataFrame:
 
 
 def review_items(edges: DataFrame) -> DataFrame:
+    """Edges to review with all reasons: low confidence, conflict, a flag that nothing else explains, and what was noted upstream."""
     low, conflict, flagged = F.col("confidence") < LOW, to_bool(F.col("conflict")), to_bool(F.col("review_required"))
     low = F.coalesce(low, F.lit(False))
     why = F.concat_ws(", ", F.when(low, F.concat(F.lit("confidence "), F.col("confidence").cast("string"), F.lit(f" < {LOW}"))), F.when(conflict, "conflict=true"),
-                      F.when(flagged & ~low & ~conflict, "review_required=true"), F.nullif(F.trim("review_reason"), F.lit("")))
+                      F.when(flagged & ~low & ~conflict, "review_required=true"), F.nullif(strip(F.col("review_reason")), F.lit("")))
     return edges.where(low | conflict | flagged).select("seq", "child", "parent", "ref_type", why.alias("reason"))
 
 
-def cycle_nodes(edges: DataFrame, save, max_rounds: int = 1000) -> DataFrame:
-    """Every node on a cycle of child -> parent edges.
-
-    Nodes without a parent or without a child are pruned until none is left; what remains is on a cycle or on a way
-    between two, and its reach is closed by doubling. ``save`` computes a frame once (a checkpoint).
-    """
-    e = save(edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct())
-    n = e.count()
-    for _ in range(max_rounds):
+def _shrunk(e: DataFrame, save, max_rounds: int) -> tuple[DataFrame, list[DataFrame], int]:
+    """Edges without what can't be on a cycle and without chains, the chains' members as (node, child, parent) of the edge that
+    stands for them, and the number of edges left. Every round halves long chains or ends."""
+    members, n = [], e.count()
+    for k in range(max_rounds):
         if not n:
-            return e.select(F.col("child").alias("node"))
+            break
         kept = e.join(e.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(e.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
-        e, before = save(kept.select("child", "parent")), n
+        e = save(kept.select("child", "parent"))
+        # links of a chain: one parent, one child, and not itself
+        up = e.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("n_up"), F.min("parent").alias("parent"))
+        down = e.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n_down"), F.min("child").alias("child"))
+        links = up.join(down, "node").where("n_up = 1 AND n_down = 1 AND parent <> node").select("node", "child", "parent")
+        # of neighbouring links those with the smallest hash go, so that no two that go stand side by side
+        h = F.xxhash64("node", F.lit(k)).alias("h")
+        rank = links.select("node", h)
+        near = links.join(rank, "node").join(rank.select(F.col("node").alias("parent"), F.col("h").alias("hp")), "parent", "left").join(rank.select(F.col("node").alias("child"), F.col("h").alias("hc")), "child", "left")
+        gone = save(near.where("(hp IS NULL OR h < hp) AND (hc IS NULL OR h < hc)").select("node", "child", "parent"))
+        before, n_gone = n, gone.count()
+        if n_gone:
+            members.append(gone)
+            rest = e.join(gone.select(F.col("node").alias("child")), "child", "left_anti").join(gone.select(F.col("node").alias("parent")), "parent", "left_anti")
+            e = save(rest.select("child", "parent").unionByName(gone.select("child", "parent")).distinct())
         n = e.count()
-        if n == before:
+        if n == before and not n_gone:
             break
-    reach, size = e, n
+    return e, members, n
+
+
+def _spread(labels: DataFrame, along: DataFrame, save, max_rounds: int) -> DataFrame:
+    """labels(node, label) after the smallest label of every node that leads to it along edges (a, b) has reached it."""
     for _ in range(max_rounds):
-        more = reach.alias("a").join(reach.alias("b"), F.col("a.parent") == F.col("b.child")).select(F.col("a.child"), F.col("b.parent"))
-        reach = save(reach.unionByName(more).distinct())
-        before, size = size, reach.count()
-        if size == before:
-            break
-    return reach.where("child = parent").select(F.col("child").alias("node")).distinct()
+        came = along.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label")
+        new = save(labels.unionByName(came).groupBy("node").agg(F.min("label").alias("label")))
+        changed = new.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count()
+        labels = new
+        if not changed:
+            return labels
+    raise RuntimeError("labels did not settle")
 
 
-def validate(edges: DataFrame, equipment: DataFrame, aliases=None, declared=None, *, save) -> DataFrame:
-    """All findings of a graph: check_id, severity, node, detail. edges(seq, child, parent, child_raw, parent_raw, ref_type, confidence,
-    conflict, review_required, review_reason); equipment(name, type)."""
+def cycle_nodes(edges: DataFrame, save, max_rounds: int = 1000) -> DataFrame:
+    """Every node on a cycle of child -> parent edges.
+
+    Nodes without a parent or without a child go, and chains shrink to single edges: a long chain or ring takes as many rounds
+    as the logarithm of its length. In what is left, strongly connected parts are found by colours: the smallest name that
+    reaches a node is its colour, and what reaches the colour's own node inside the colour is one part. Rows stay
+    in proportion to nodes and edges; pairs are never listed. ``save`` computes a frame once (a checkpoint).
+    """
+    e = save(edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct())
+    kind = e.schema["child"].dataType.simpleString()
+    e, members, n = _shrunk(e, save, max_rounds)
+    core, left, parts = e, e.where("child <> parent"), None
+    loops = e.where("child = parent").select(F.col("child").alias("node"))
+    for _ in range(max_rounds):
+        left = save(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent")) if n else left
+        if not n or not left.limit(1).count():
+            break
+        own = left.select(F.explode(F.array("child", "parent")).alias("node")).distinct().withColumn("label", F.col("node"))
+        colour = _spread(own, left.select(F.col("child").alias("a"), F.col("parent").alias("b")), save, max_rounds)
+        inside = left.join(colour.select(F.col("node").alias("child"), F.col("label").alias("c1")), "child").join(colour.select(F.col("node").alias("parent"), F.col("label").alias("c2")), "parent").where("c1 = c2")
+        back = save(inside.select(F.col("parent").alias("a"), F.col("child").alias("b")))
+        # from the colour's own node backwards: its name is the smallest, so others' names give way to it only there
+        start = colour.select("node", F.when(F.col("node") == F.col("label"), F.lit(0)).otherwise(1).alias("label"))
+        reached = _spread(start, back, save, max_rounds).where("label = 0").select("node")
+        part = save(reached.join(colour, "node").select("node", F.col("label").alias("part")))
+        parts = part if parts is None else parts.unionByName(part)
+        left = left.join(part.select(F.col("node").alias("child")), "child", "left_anti").join(part.select(F.col("node").alias("parent")), "parent", "left_anti")
+    empty = loops.where("false")
+    if parts is None:
+        parts = empty.withColumn("part", F.col("node"))
+    real = parts.join(parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part"), "part", "left_semi")
+    on = save(real.select("node", "part").unionByName(loops.join(real.select("node"), "node", "left_anti").withColumn("part", F.col("node"))))
+    out = on.select("node")
+    for gone in reversed(members):  # a link is on a cycle where the edge that stands for it is: both ends in one part
+        a, b = on.select(F.col("node").alias("child"), "part"), on.select(F.col("node").alias("parent"), F.col("part").alias("part_b"))
+        found = gone.join(a, "child").join(b, "parent").where("part = part_b").select("node", "part")
+        # two ends that are one node: the link and that node make a ring
+        on = save(on.unionByName(found))
+        out = on.select("node")
+    return out.select(F.col("node").cast(kind).alias("node")).distinct()
+
+
+# Findings and their messages.
+CANDIDATE_NOTE = "declared in equipment_candidates but not approved into canonical equipment"
+ABSENT_NOTE = "not present in canonical equipment or its source-label aliases"
+
+
+class Validation(NamedTuple):
+    """findings(check_id, severity, message, nodes); the resolved ends, the accepted edges and what was checked."""
+
+    findings: DataFrame
+    ends: DataFrame
+    good: DataFrame
+    edges: DataFrame
+    equipment: DataFrame
+
+
+def _listed(c: Column) -> Column:
+    """A list of texts as ['a', 'b']."""
+    return F.when(F.size(c) == 0, "[]").otherwise(F.concat(F.lit("['"), F.array_join(c, "', '"), F.lit("']")))
+
+
+def validate(edges: DataFrame, equipment: DataFrame, aliases=None, declared=None, *, save) -> Validation:
+    """All findings of a graph. edges(seq, child, parent, child_raw, parent_raw, ref_type, confidence, conflict, review_required,
+    review_reason); equipment(name, type); aliases(alias, name); declared(name), candidates that aren't equipment yet.
+
+    Ends that can't be resolved are told once for each identity, with every label they were given and the number of different edges.
+    """
     ends = save(resolve(edges, equipment, aliases, declared))
     good = save(accepted(edges, ends))
-    row = lambda d, check, sev, node, detail: d.select(F.lit(check).alias("check_id"), F.lit(sev).alias("severity"), node.alias("node"), detail.alias("detail"))
-    issue = ends.where("status <> 'resolved'").groupBy("identity", "status").agg(F.count_distinct("seq").alias("n"), F.bool_or("declared").alias("declared"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("targets")))), ",").alias("targets"))
-    times = F.concat(F.lit("referenced by "), F.col("n").cast("string"), F.lit(" edge(s)"))
+
+    def row(d, check, sev, message, nodes):
+        return d.select(F.lit(check).alias("check_id"), F.lit(sev).alias("severity"), message.alias("message"), nodes.alias("nodes"))
+
+    bad = ends.where("status <> 'resolved'")
+    sets = lambda c: bad.select("identity", "status", F.explode(c).alias("x")).distinct().groupBy("identity", "status").agg(F.array_sort(F.collect_list("x")).alias(c))
+    issue = bad.groupBy("identity", "status").agg(F.count_distinct("said").alias("n"), F.bool_or("declared").alias("declared"))
+    issue = save(issue.join(sets("labels"), ["identity", "status"]).join(sets("targets"), ["identity", "status"], "left"))
+    times = F.concat(F.lit("; referenced by "), F.col("n").cast("string"), F.lit(" edge(s)"))
     unknown, unsure = issue.where("status = 'unresolved'"), issue.where("status = 'ambiguous'")
-    name, blank = F.col("identity"), F.lit("")
-    return reduce(DataFrame.unionByName, [
-        row(unknown, "unknown_node", "error", name, F.concat_ws("; ", F.when(F.col("declared"), "declared but not approved"), times)),
-        row(unknown, "unresolved_endpoint", "review", name, times),
-        row(unsure, "ambiguous_node", "error", name, F.concat_ws("; ", "targets", times)),
-        row(unsure, "endpoint_resolution_conflict", "review", name, F.concat_ws("; ", "targets", times)),
-        row(ref_sanity(ends.where("status = 'resolved'"), equipment), "ref_type_sanity", "error", F.col("name"), F.concat_ws(" ", "ref_type", "check")),
-        row(review_items(edges), "review_item", "review", F.col("child"), F.col("reason")),
-        row(multiple_parents(good), "multiple_air_parents", "error", F.col("child"), F.array_join("parents", ",")),
-        row(cycle_nodes(good, save), "cycle", "error", F.col("node"), blank),
-        row(orphans(good, equipment), "orphan_terminal", "orphan", F.col("name"), F.col("type")),
+    lost = F.concat(F.lit("unresolved endpoint "), _listed(F.col("labels")), F.lit(": "), F.when(F.col("declared"), CANDIDATE_NOTE).otherwise(ABSENT_NOTE), times)
+    torn = F.concat(F.lit("endpoint labels "), _listed(F.col("labels")), F.lit(" resolve to multiple canonical units "), _listed(F.col("targets")), times)
+    both = F.concat("labels", "targets")
+    one = lambda c: F.array(F.col(c))
+    sane = F.concat(F.col("ref_type"), F.lit(" "), F.col("role"), F.lit(" '"), F.col("name"), F.lit("' is not "), F.when(F.col("role") == "child", "a terminal").when(F.col("ref_type") == "airRef", "an air source").otherwise("a plant"), F.lit(" ("), F.col("type"), F.lit(")"))
+    item = F.concat(F.lit("edge "), strip(F.col("child")), F.lit(" -> "), strip(F.col("parent")), F.lit(" ("), strip(F.col("ref_type")), F.lit("): "), F.col("reason"))
+    several = F.concat(F.lit("terminal '"), F.col("child"), F.lit("' has "), F.size("parents").cast("string"), F.lit(" airRef parents: "), _listed(F.col("parents")))
+    findings = reduce(DataFrame.unionByName, [
+        row(unknown, "unknown_node", "error", lost, F.col("labels")),
+        row(unknown, "unresolved_endpoint", "review", lost, F.col("labels")),
+        row(unsure, "ambiguous_node", "error", torn, both),
+        row(unsure, "endpoint_resolution_conflict", "review", torn, both),
+        row(ref_sanity(ends.where("status = 'resolved'"), equipment), "ref_type_sanity", "error", sane, one("name")),
+        row(review_items(edges), "review_item", "review", item, F.array(strip(F.col("child")), strip(F.col("parent")))),
+        row(multiple_parents(good), "multiple_air_parents", "error", several, one("child")),
+        row(cycle_nodes(good, save), "cycle", "error", F.concat(F.lit("node participates in a parent cycle: "), F.col("node")), one("node")),
+        row(orphans(good, equipment), "orphan_terminal", "orphan", F.concat(F.lit("terminal '"), F.col("name"), F.lit("' ("), F.col("type"), F.lit(") has no airRef parent")), one("name")),
     ])
+    return Validation(findings, ends, good, edges, equipment)
 
 
-def report(findings: DataFrame) -> DataFrame:
-    return findings.agg(
-        F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "orphan").alias("orphans"), F.count_if(F.col("severity") == "review").alias("review_items"),
-        (F.count_if(F.col("severity").isin("error", "orphan")) == 0).alias("passed"),
+def report(v: Validation) -> DataFrame:
+    """One row: the ten counts of a report. It passes without errors and orphans; review items alone don't fail it."""
+    sev = F.col("severity")
+    found = v.findings.agg(
+        F.count_if(sev == "error").alias("error_count"), F.count_if(sev == "orphan").alias("orphan_count"), F.count_if(sev == "review").alias("review_item_count"),
+        (F.count_if(sev.isin("error", "orphan")) == 0).alias("passed"),
+    )
+    issues = lambda s: F.count_distinct(F.when(F.col("status") == s, F.col("identity")))
+    ends = v.ends.agg(
+        F.count_if(F.col("used_alias") & (F.col("status") == "resolved")).alias("alias_resolution_count"),
+        issues("unresolved").alias("unresolved_endpoint_count"), issues("ambiguous").alias("ambiguous_endpoint_count"),
     )
+    n = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
+    return side_by_side(n(v.edges, "edge_count"), n(v.good, "accepted_edge_count"), v.equipment.agg(F.count_distinct("name").alias("equipment_count")), ends, found)
 
 
-def node_set(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array("child", "parent")).alias("node")).where("node <> ''").distinct()
+def report_document(v: Validation) -> DataFrame:
+    """The report as one JSON document: its counts, and the findings by severity, in order. For one floor; the tables stay the primary form."""
+    lists = {"errors": "error", "orphans": "orphan", "review_items": "review"}
+    body = v.findings.agg(*[F.array_sort(F.collect_list(F.when(F.col("severity") == s, F.struct("check_id", "message", "nodes", "severity")))).alias(k) for k, s in lists.items()])
+    d = side_by_side(report(v), body)
+    return d.select(F.to_json(F.struct(*sorted(d.columns))).alias("document"))
 
 
+def node_set(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("child", "parent")).alias("node")).where("node <> ''").distinct()

@@ -57,11 +57,15 @@ def extracted(rows: DataFrame, fn: Callable[[dict], str], key: str) -> DataFrame
     return rows.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, payload string, run_status string, error string")
 
 
-def ladder(rows: DataFrame, tiers: list[Callable[[dict], str]], key: str, gate) -> DataFrame:
-    """Tier after tier on what no earlier tier got through the gate; first pass wins, else the last attempt."""
+def ladder(rows: DataFrame, tiers: list[Callable[[dict], str]], key: str, gate, *, save) -> DataFrame:
+    """Tier after tier on what no earlier tier got through the gate; first pass wins, else the last attempt.
+
+    ``save`` computes a frame once (a checkpoint): each tier's answers are kept before they are looked at, so no row is put to
+    the same tier twice, and later tiers see the answers that were judged.
+    """
     left, tries = rows, None
     for k, fn in enumerate(tiers):
-        got = extracted(left, fn, key).select(key, F.lit(k).alias("tier"), F.col("payload").alias("result"))
+        got = save(extracted(left, fn, key).select(key, F.lit(k).alias("tier"), F.col("payload").alias("result")))
         tries = got if tries is None else tries.unionByName(got)
         left = left.join(got.where(gate).select(key), key, "left_anti")
     return escalated(tries, key, gate)

@@ -51,3 +51,12 @@ def top_examples(df: DataFrame, category: str, value: str, n: int = 3) -> DataFr
     return ranked.groupBy(category).agg(
         F.array_join(shown, ",").alias("examples"), F.greatest(F.count(F.lit(1)) - n, F.lit(0)).cast("long").alias("more")
     )
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Frames of one row each as one row."""
+    names = [c for r in rows for c in r.columns]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r, allowMissingColumns=True)
+    return every.agg(*[F.max(c).alias(c) for c in names])

@@ -8,19 +8,25 @@ from pyspark.sql.window import Window
 
 from ..functions import vocab
 from ..functions.labels import append_reason, canonical_key, strip, strip_device_prefix
-from .picks import first_by, last_per_key, ordered_distinct
+from .picks import last_per_key, ordered_distinct, side_by_side
 
 SCOPE = ["property_id", "floor"]
+# Reasons attached to rows.
 UNEXPLAINED = {
     "topics": "topics extraction flagged unit for review without a reason",
     "drawing": "drawing extraction flagged unit for review without a reason",
 }
 CONTESTED = "floor contested between topic path and unit-name token; supervisor clarification pending"
+TOPICS_ONLY = "present in BMS topics but absent from drawing evidence"
+DRAWING_ONLY = "extracted from drawings but absent from BMS topics"
+HELD = "floor contested; canonical name preserved as key pending floor ruling"
+COLLISION = "canonical name collision; using canonical key"
 
 
-def keyed(df: DataFrame, label: str = "raw_label") -> tuple[DataFrame, DataFrame]:
-    """(rows with ``key``, quarantined rows whose label has no content)."""
-    d = df.withColumn("key", canonical_key(F.col(label)))
+def keyed(df: DataFrame, *labels: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``key``, of the first of ``labels`` that isn't empty, quarantined rows whose label has no content)."""
+    label = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in labels or ("raw_label",)])
+    d = df.withColumn("key", canonical_key(label))
     return d.where("key IS NOT NULL"), d.where("key IS NULL").drop("key").withColumn("rule", F.lit("label without content"))
 
 
@@ -30,6 +36,8 @@ def reconcile(topics: DataFrame, drawings: DataFrame, contested: DataFrame | Non
     topics: property_id, floor, seq, raw_label, inferred_raw_type, review_required, review_reason. drawings: property_id, floor, seq,
     raw_label, llm_proposed_canonical_name, equipment_type, source_filename, run_status, review_required, review_reason.
     contested: property_id, floor, seq, raw_label, review_reason; its last row for a key overrides the outcome.
+    A drawing is keyed by its proposed name, and by its label only where none is proposed: labels are read as they stand, the
+    proposed name is the form in which the two sources agree.
     Each side is reduced to one row a key before the join, so copies of a label don't multiply.
     """
     t = (
@@ -38,7 +46,9 @@ def reconcile(topics: DataFrame, drawings: DataFrame, contested: DataFrame | Non
     )
     ok = F.coalesce("run_status", F.lit("")).isin("", "succeeded")
     d = (
-        keyed(drawings.where(ok))[0].groupBy(*SCOPE, "key", "review_reason")
+        keyed(drawings.where(ok), "llm_proposed_canonical_name", "raw_label")[0]
+        .withColumn("review_reason", strip(F.col("review_reason"))).withColumn("source_filename", strip(F.col("source_filename")))
+        .groupBy(*SCOPE, "key", "review_reason")
         .agg(
             F.min_by(F.struct("raw_label", "llm_proposed_canonical_name", "equipment_type"), "seq").alias("d"),
             F.collect_set(F.nullif("source_filename", F.lit(""))).alias("files"),
@@ -72,8 +82,8 @@ def reconcile(topics: DataFrame, drawings: DataFrame, contested: DataFrame | Non
     base = (
         F.when(hit, F.col("c_reason"))
         .when(category == "type_mismatch", F.concat(F.lit("type mismatch: topics="), tt, F.lit(" drawings="), dt))
-        .when(category == "matched", "").when(category == "topics_only", "present in BMS topics but absent from drawing evidence")
-        .otherwise("extracted from drawings but absent from BMS topics")
+        .when(category == "matched", "").when(category == "topics_only", TOPICS_ONLY)
+        .otherwise(DRAWING_ONLY)
     )
     t_flag, t_reason = F.coalesce(F.col("t.review_required"), F.lit(False)), strip(F.col("t.review_reason"))
     d_flag, d_reason = F.coalesce("d_review", F.lit(False)), blank(F.col("d_reason"))
@@ -112,25 +122,24 @@ def canonicalize(normalized: DataFrame) -> DataFrame:
     key, raw, cat = F.col("canonical_key"), F.col("equipment_type"), F.col("discrepancy_category")
     floor = F.coalesce(F.regexp_replace(F.col("floor"), r"\D", "").try_cast("int").cast("string"), F.lit("2"))
     kind, kind_flag, kind_why = vocab.mapped_type(raw)
-    named, flag, why = vocab.canonical_name(key, kind, floor)
     prefix, raw_prefix = F.upper(F.substring_index(key, "_", 1)), F.upper(F.coalesce(raw, F.lit("")))
     misread = F.concat(F.lit("label prefix '"), prefix, F.lit("' does not match inferred type '"), raw_prefix, F.lit("' (possible misread); preserved as key"))
     held = (cat == "floor_ambiguous") | (prefix != raw_prefix)
-    name = F.when(held, key).otherwise(named)
+    d = normalized.select("*", kind.alias("mapped_type"), kind_flag.alias("_kind_flag"), kind_why.alias("_kind_why"), held.alias("_held"), floor.alias("_floor"))
+    d = d.withColumn("_n", F.when(~F.col("_held"), vocab.named(key, F.col("mapped_type"), F.col("_floor"))))
     reason = append_reason(
-        F.col("review_reason"), kind_why,
-        F.when(cat == "floor_ambiguous", "floor contested; canonical name preserved as key pending floor ruling").when(prefix != raw_prefix, misread).otherwise(why),
+        strip(F.col("review_reason")), F.col("_kind_why"),
+        F.when(cat == "floor_ambiguous", HELD).when(F.col("_held"), misread).otherwise(F.col("_n.reason")),
     )
-    d = normalized.select(
-        "*", name.alias("_name"), kind.alias("mapped_type"), reason.alias("_reason"), (F.col("review_required") | held | kind_flag | flag).alias("_review")
-    )
-    twice = F.count(F.lit(1)).over(Window.partitionBy("property_id", "floor", "_name")) > 1
-    d = d.withColumn("_twice", twice)
-    clash = F.concat(F.lit("canonical name collision on '"), F.col("_name"), F.lit("'"))
+    d = d.select(
+        *normalized.columns, "mapped_type", F.when(F.col("_held"), key).otherwise(F.col("_n.name")).alias("_name"), reason.alias("_reason"),
+        (F.col("review_required") | F.col("_held") | F.col("_kind_flag") | F.coalesce("_n.flag", F.lit(False))).alias("_review"),
+    )
+    d = d.withColumn("_twice", F.count(F.lit(1)).over(Window.partitionBy("property_id", "floor", "_name")) > 1)
     return (
         d.withColumn("raw_equipment_type", F.col("equipment_type")).withColumn("equipment_type", F.col("mapped_type"))
         .withColumn("canonical_name", F.when(F.col("_twice"), key).otherwise(F.col("_name")))
-        .withColumn("review_reason", F.when(F.col("_twice"), append_reason(F.col("_reason"), clash)).otherwise(F.col("_reason")))
+        .withColumn("review_reason", F.when(F.col("_twice"), append_reason(F.col("_reason"), F.lit(COLLISION))).otherwise(F.col("_reason")))
         .withColumn("review_required", F.col("_review") | F.col("_twice"))
         .drop("_name", "_reason", "_review", "_twice", "mapped_type")
     )
@@ -149,41 +158,51 @@ def gap_report(canonical: DataFrame, building: str = "property_id") -> DataFrame
 
 
 def alias_rows(canonical: DataFrame) -> DataFrame:
-    """(property_id, floor, key) -> the first row of the table with that name or label (seq: the table's order)."""
-    labels = F.explode(F.array("canonical_name", "topics_raw_label", "drawing_raw_label")).alias("label")
-    d = canonical.select(*SCOPE, "seq", F.col("canonical_name").alias("target"), labels).withColumn("key", canonical_key(F.col("label")))
-    return d.where("key IS NOT NULL").groupBy(*SCOPE, "key").agg(F.min_by("target", "seq").alias("target"))
+    """(property_id, floor, key) -> the first row of the table with that key or name (seq: the table's order)."""
+    forms = F.posexplode(F.array("canonical_key", "canonical_name")).alias("form", "label")
+    d = canonical.select(*SCOPE, "seq", F.col("canonical_name").alias("target"), forms).withColumn("key", canonical_key(F.col("label")))
+    return d.where("key IS NOT NULL").groupBy(*SCOPE, "key").agg(F.min_by("target", F.struct("seq", "form")).alias("target"))
 
 
-def fold_refs(canonical: DataFrame, edges: DataFrame) -> DataFrame:
-    """canonical (seq, canonical_name, labels) with a column for each ref type, filled from edges in the order of their seq.
+def joined_edges(canonical: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges of refs that have a column and of two named ends, with the unit they fall on and the parent's name.
 
-    The first parent fills the cell; one that differs from the cell is appended with ';' and flags the row; conflicts only
-    flag it; parents flagged upstream are noted as unconfirmed.
+    The unit is that of the child, else of its raw label; the name that of the parent's unit, else of its raw label's, else the
+    parent as it stands. Edges of no unit are left out. Labels are resolved once each, not once for each edge.
     """
-    alias = alias_rows(canonical)
+    e = edges.where(F.col("ref_type").isin(*vocab.REF_TYPES) & (F.coalesce("child", F.lit("")) != "") & (F.coalesce("parent", F.lit("")) != ""))
+    forms = ("child", "child_raw", "parent", "parent_raw")
+    said = e.select(*SCOPE, F.explode(F.array(*forms)).alias("label")).where("label <> ''").distinct()
+    hits = said.withColumn("key", canonical_key(F.col("label"))).join(alias_rows(canonical), [*SCOPE, "key"]).select(*SCOPE, "label", "target")
+    for form in forms:
+        own = hits.select(*SCOPE, F.col("label").alias(form), F.col("target").alias(f"_{form}"))
+        if form.endswith("_raw"):  # most edges have none: these don't meet in one task
+            there = F.coalesce(F.col(form), F.lit("")) != ""
+            e = e.where(there).join(own, [*SCOPE, form], "left").unionByName(e.where(~there).withColumn(f"_{form}", F.lit(None).cast("string")))
+        else:
+            e = e.join(own, [*SCOPE, form], "left")
+    e = e.withColumn("unit", F.coalesce("_child", "_child_raw")).withColumn("name", F.coalesce("_parent", "_parent_raw", "parent"))
+    return e.where("unit IS NOT NULL").drop(*[f"_{f}" for f in forms])
+
 
-    def resolved(df, end):
-        for form in (end, f"{end}_raw"):
-            a = alias.select(*SCOPE, F.col("key").alias(f"_{form}_key"), F.col("target").alias(f"_{form}_hit"))
-            df = df.withColumn(f"_{form}_key", canonical_key(F.col(form))).join(a, [*SCOPE, f"_{form}_key"], "left")
-        return df
+def fold_refs(canonical: DataFrame, edges: DataFrame) -> DataFrame:
+    """canonical (seq, canonical_key, canonical_name) with a column for each ref type, filled from edges in the order of their seq.
 
-    e = resolved(resolved(edges.where(F.col("ref_type").isin(*vocab.REF_TYPES) & (F.coalesce("child", F.lit("")) != "") & (F.coalesce("parent", F.lit("")) != "")), "child"), "parent")
-    e = e.withColumn("unit", F.coalesce("_child_hit", "_child_raw_hit")).withColumn("name", F.coalesce("_parent_hit", "_parent_raw_hit", "parent"))
+    The first parent fills the cell; one that differs from the cell is appended with ';' and flags the row; conflicts only
+    flag it; parents flagged upstream are noted as unconfirmed. Notes stand in the order of the edges.
+    """
+    e = joined_edges(canonical, edges)
     item = F.struct("seq", "name", F.coalesce("conflict", F.lit(False)).alias("conflict"), F.coalesce("conflict_reason", F.lit("")).alias("why"), F.coalesce("review_required", F.lit(False)).alias("review"), F.coalesce("review_reason", F.lit("")).alias("note"), "parent")
-    folded = F.expr("""aggregate(items, named_struct('cell', '', 'flag', false, 'notes', cast(array() as array<string>)), (a, x) ->
-        CASE WHEN x.conflict THEN named_struct('cell', a.cell, 'flag', true, 'notes', array_append(a.notes, concat(ref_type, ' conflict: ', coalesce(nullif(trim(x.why), ''), concat('evidence points to ', x.parent)))))
-             WHEN a.cell <> '' AND a.cell <> x.name THEN named_struct('cell', concat(a.cell, ';', x.name), 'flag', true, 'notes', array_append(a.notes, concat('multiple ', ref_type, ' parents inferred: ', a.cell, ';', x.name)))
-             ELSE named_struct('cell', x.name, 'flag', a.flag OR x.review, 'notes', CASE WHEN x.review THEN array_append(a.notes, concat(ref_type, ' ', x.name, ' inferred but unconfirmed: ', coalesce(nullif(trim(x.note), ''), 'flagged by relationship extraction'))) ELSE a.notes END) END)""")
-    cells = (
-        e.where("unit IS NOT NULL").groupBy(*SCOPE, "unit", "ref_type").agg(F.sort_array(F.collect_list(item)).alias("items"))
-        .select(*SCOPE, "unit", "ref_type", folded.alias("f"))
-    )
+    noted = lambda text: f"array_append(a.notes, named_struct('seq', x.seq, 'note', {text}))"
+    folded = F.expr(f"""aggregate(items, named_struct('cell', '', 'flag', false, 'notes', cast(array() as array<struct<seq: {e.schema['seq'].dataType.simpleString()}, note: string>>)), (a, x) ->
+        CASE WHEN x.conflict THEN named_struct('cell', a.cell, 'flag', true, 'notes', {noted("concat(ref_type, ' conflict: ', coalesce(nullif(trim(x.why), ''), concat('evidence points to ', x.parent)))")})
+             WHEN a.cell <> '' AND a.cell <> x.name THEN named_struct('cell', concat(a.cell, ';', x.name), 'flag', true, 'notes', {noted("concat('multiple ', ref_type, ' parents inferred: ', a.cell, ';', x.name)")})
+             ELSE named_struct('cell', x.name, 'flag', a.flag OR x.review, 'notes', CASE WHEN x.review THEN {noted("concat(ref_type, ' ', x.name, ' inferred but unconfirmed: ', coalesce(nullif(trim(x.note), ''), 'flagged by relationship extraction'))")} ELSE a.notes END) END)""")
+    cells = e.groupBy(*SCOPE, "unit", "ref_type").agg(F.sort_array(F.collect_list(item)).alias("items")).select(*SCOPE, "unit", "ref_type", folded.alias("f"))
     wide = cells.groupBy(*SCOPE, F.col("unit").alias("canonical_name")).agg(
         *[F.max(F.when(F.col("ref_type") == r, F.nullif("f.cell", F.lit("")))).alias(r) for r in vocab.REF_TYPES],
         F.bool_or("f.flag").alias("_flag"),
-        F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ref_type", "f.notes"))), lambda x: x["notes"])), "; ").alias("_notes"),
+        F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list("f.notes"))), lambda x: x["note"]), "; ").alias("_notes"),
     )
     out = canonical.join(wide, [*SCOPE, "canonical_name"], "left")
     return (
@@ -194,11 +213,19 @@ def fold_refs(canonical: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def ref_join_counts(canonical: DataFrame, edges: DataFrame) -> DataFrame:
-    """joined: edges that fill or extend a cell; uncolumned: edges of a valid ref type that has no column."""
-    alias = alias_rows(canonical).select(*SCOPE, F.col("key").alias("_k"), F.lit(True).alias("_hit"))
-    e = edges.withColumn("_k", canonical_key(F.col("child"))).join(alias, [*SCOPE, "_k"], "left")
-    ref = F.col("ref_type").isin(*vocab.REF_TYPES)
-    return e.agg(
-        F.count_if(ref & F.coalesce("_hit", F.lit(False)) & ~F.coalesce("conflict", F.lit(False))).alias("joined_edges"),
-        F.count_if(F.col("ref_type") == "systemRef").alias("valid_uncolumned_edges"),
-    )
+    """joined_edges: edges that fill or extend a cell; valid_uncolumned_edges: edges of a valid ref type that has no column."""
+    joined = joined_edges(canonical, edges).where(~F.coalesce("conflict", F.lit(False))).agg(F.count(F.lit(1)).alias("joined_edges"))
+    rest = edges.agg(F.count_if(F.col("ref_type").isin(*vocab.UNCOLUMNED_REFS)).alias("valid_uncolumned_edges"))
+    return side_by_side(joined, rest)
+
+
+def stage_counts(canonical: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """What a run of the stage reports: rows, settled and flagged rows, rows with a ref, and with edges the two counts of the join."""
+    filled = F.lit(False)
+    for r in vocab.REF_TYPES:
+        if r in canonical.columns:
+            filled = filled | (F.coalesce(r, F.lit("")) != "")
+    d = canonical.agg(
+        F.count(F.lit(1)).alias("units"), F.count_if(F.col("status") == "settled").alias("settled"), F.count_if("review_required").alias("flagged"), F.count_if(filled).alias("refs_filled"),
+    )
+    return d if edges is None else side_by_side(d, ref_join_counts(canonical, edges))

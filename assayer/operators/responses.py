@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import single_json_object, unfenced
+from ..functions.labels import canonical_key, single_json_object, unfenced
 from .picks import best_per_key
 
 EQUIPMENT = "struct<equipment: array<struct<raw_label: string, canonical_name: string, equipment_type: string, confidence: string>>>"
@@ -27,16 +27,27 @@ def parsed(runs: DataFrame, schema: str = EQUIPMENT, field: str = "equipment", t
     return d.withColumn("run_status", status).drop("_t", "_one", "_p")
 
 
+# The bound below which a candidate is reviewed, and the reason given.
+LOW, LOW_REASON = 0.75, "low_confidence"
+
+
 def flattened(runs: DataFrame, image: str = "image") -> DataFrame:
-    """Succeeded runs to one row an (image, label): best confidence, first place kept, low confidence flagged."""
-    d = runs.where("run_status = 'succeeded'").select(image, F.posexplode("items").alias("seq", "e")).select(image, "seq", "e.raw_label", "e.equipment_type", F.col("e.confidence").cast("double").alias("confidence"))
-    d = d.withColumn("_k", F.upper(F.regexp_replace("raw_label", r"\s+", "")))
-    return best_per_key(d, [image, "_k"], "confidence").drop("_k").withColumn("review_required", F.col("confidence") < 0.75)
+    """Succeeded runs to one row a unit of an image: best confidence, first place kept, low confidence flagged.
+
+    Within an image a unit is told by the key of its proposed name, or of its label where none is proposed; a name without a
+    token by its letters.
+    """
+    d = runs.where("run_status = 'succeeded'").select(image, F.posexplode("items").alias("seq", "e"))
+    d = d.select(image, "seq", "e.raw_label", F.coalesce("e.canonical_name", F.lit("")).alias("llm_proposed_canonical_name"), "e.equipment_type", F.col("e.confidence").cast("double").alias("confidence"))
+    label = F.coalesce(F.nullif("llm_proposed_canonical_name", F.lit("")), F.col("raw_label"))
+    d = d.withColumn("_k", F.coalesce(canonical_key(label), F.upper(F.regexp_replace(label, r"\s+", ""))))
+    low = F.col("confidence") < LOW
+    return best_per_key(d, [image, "_k"], "confidence").drop("_k").withColumn("review_required", low).withColumn("review_reason", F.when(low, LOW_REASON).otherwise(""))
 
 
 def tile_union(labels: DataFrame, keys=("image",)) -> DataFrame:
-    """Labels of all tiles by white-space-free name; the best confidence wins, the first of equals."""
-    d = labels.withColumn("_k", F.upper(F.regexp_replace("raw_label", r"\s+", "")))
+    """Candidates of all tiles by their canonical name without white space; the best confidence wins, the first of equals."""
+    d = labels.withColumn("_k", F.regexp_replace(F.coalesce("canonical_name", F.lit("")), r"\s+", ""))
     return best_per_key(d, [*keys, "_k"], "confidence").drop("_k", "first_seq")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .picks import last_per_key
+from .picks import last_per_key, side_by_side
 
 # USD for a million (input, output) tokens; a longer model name matches by prefix, in this order.
 PRICES = (("small", 1.0, 5.0), ("medium", 3.0, 15.0), ("large", 5.0, 25.0))
@@ -38,7 +38,7 @@ def attach(requests: DataFrame, results: DataFrame, key: str = "request_id") ->
 
 def routed(records: DataFrame, kind: Column, flat: bool = False, large: str = "large", small: str = "small") -> DataFrame:
     tiled = (kind == "drawing") & F.lit(not flat)
-    return records.withColumn("route", F.when(tiled, "tiled").otherwise("flat")).withColumn("model", F.when(tiled, large).otherwise(small))
+    return records.withColumn("route", F.when(tiled, "drawing").otherwise("flat")).withColumn("model", F.when(tiled, large).otherwise(small))
 
 
 def escalated(attempts: DataFrame, key: str, gate: Column) -> DataFrame:
@@ -69,7 +69,8 @@ def drawing_status(tiles: DataFrame, keys=("image",)) -> DataFrame:
 def rates(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """usage with rate_in, rate_out of prices(name, rate_in, rate_out, ord): exact name, else the first prefix; null if none.
 
-    The price list is matched once for each distinct model; models are few.
+    The price list, which the caller writes by hand and which has a row for each model family, is broadcast and matched once
+    for each distinct model; models are few.
     """
     m = usage.select("model").distinct()
     hit = m.join(F.broadcast(prices), F.col("model").startswith(F.col("name")))
@@ -107,3 +108,23 @@ def usage_costs(usage: DataFrame, prices: DataFrame, totals: bool = False) -> Da
 def item_summary(items: DataFrame, rate_in: float, rate_out: float, batch: bool = True) -> DataFrame:
     d = items.agg(F.count_if(F.col("status") == "succeeded").alias("succeeded"), F.count_if(F.col("status") != "succeeded").alias("errored"), *[F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in TOKENS])
     return d.withColumn("cost", cost(F.lit(rate_in), F.lit(rate_out), F.lit(batch)))
+
+
+def outcome(runs: DataFrame, routes: DataFrame, candidates: DataFrame, log: DataFrame) -> DataFrame:
+    """One row of counts for a run. runs(run_status), routes(key, route), candidates(confidence), log: the checkpoints before it."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    done = checkpoint_state(log).where("status = 'succeeded'").select("key", F.lit(True).alias("_done"))
+    images = runs.agg(F.count(F.lit(1)).alias("images_total"), n(F.col("run_status") == "succeeded", "images_succeeded"), n(F.col("run_status") != "succeeded", "images_incomplete"))
+    routed_ = routes.join(done, "key", "left").agg(
+        n(F.col("_done").isNotNull(), "images_reused_from_checkpoint"), n(F.col("_done").isNull(), "images_run"),
+        n(F.col("route") == "drawing", "images_routed_to_tiling"), n(F.col("route") == "flat", "images_routed_flat"),
+    )
+    found = candidates.agg(
+        F.count(F.lit(1)).alias("equipment_candidates_total"), n(F.col("confidence") >= 0.75, "equipment_candidates_confident"),
+        n(~F.coalesce(F.col("confidence") >= 0.75, F.lit(False)), "equipment_candidates_review_required"),
+    )
+    return side_by_side(images, routed_, found)
+
+
+def run_status_counts(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("run_status").agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,7 @@ Inputs are written in SQL that Spark and DuckDB both read, so both sides start f
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -49,12 +50,21 @@ def query(oracle: str | None = None):
     return add
 
 
+def folder(spark) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; only a local session without one gets a temporary one."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="assayer-")
+
+
 def save(df):
-    """Computed once, in the shared checkpoint folder that the session names."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayer-"))
-    return df.checkpoint()
+    """Computed once, as a table in the shared folder. A table rather than a checkpoint: its size is known, where the estimates of
+    a checkpoint's size multiply from round to round of an iteration until planning stands still."""
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # --- SQL forms of the label functions, for DuckDB
@@ -64,7 +74,7 @@ def K(x):
 
 
 def M(x):
-    return f"array_to_string(list_transform(regexp_extract_all(upper({x}), '[A-Z]+|[0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]+$') THEN CASE WHEN ltrim(t, '0') = '' THEN '0' ELSE ltrim(t, '0') END ELSE t END), '')"
+    return f"array_to_string(list_transform(regexp_extract_all(upper(regexp_replace({x}, '^DEV[0-9]+_', '')), '[A-Z]+|[0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]+$') THEN CASE WHEN ltrim(t, '0') = '' THEN '0' ELSE ltrim(t, '0') END ELSE t END), '')"
 
 
 def MAPPED(x):
@@ -81,7 +91,7 @@ def MAP_REASON(x):
 # --- inputs
 LABELS = "SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'DEV12_' || s_name WHEN 1 THEN 'dev7_' || replace(s_name, '#', ' 0') WHEN 2 THEN replace(s_name, '#', '-') ELSE replace(s_name, 'Supplier#', 'AHU 02 A') END AS label FROM supplier UNION ALL SELECT c_custkey + 1000000 AS id, replace(c_name, '#', '__') AS label FROM customer"
 TOPICS = "SELECT 'p' || (s_suppkey % 4) AS property_id, 'Floor_0' || (s_suppkey % 3 + 1) AS floor, s_suppkey AS seq, CASE WHEN s_suppkey % 5 = 0 THEN 'Spare ' || s_suppkey WHEN s_suppkey % 2 = 0 THEN 'DEV9_' || s_name ELSE replace(s_name, '#', '-') END AS raw_label, CASE WHEN s_nationkey % 5 = 0 THEN '' WHEN s_nationkey % 3 = 0 THEN 'AHU' ELSE 'VAV' END AS inferred_raw_type, s_suppkey % 11 = 0 AS review_required, CASE WHEN s_suppkey % 22 = 0 THEN 'weak evidence' ELSE '' END AS review_reason FROM supplier"
-DRAWINGS = "SELECT 'p' || (l_suppkey % 4) AS property_id, 'Floor_0' || (l_suppkey % 3 + 1) AS floor, l_orderkey * 10 + l_linenumber AS seq, l_partkey AS tie, CASE WHEN l_suppkey % 7 = 0 THEN 'sketch ' ELSE 'supplier ' END || CASE WHEN l_linenumber % 2 = 0 THEN '00' ELSE '' END || l_suppkey AS raw_label, CASE WHEN l_linenumber = 1 THEN '' ELSE 'S_' || l_suppkey END AS llm_proposed_canonical_name, CASE WHEN l_suppkey % 3 = 0 THEN 'AHU' ELSE 'VAV' END AS equipment_type, 'f' || (l_orderkey % 3) || '.png' AS source_filename, CASE WHEN l_orderkey % 13 = 0 THEN 'parse_failed' ELSE 'succeeded' END AS run_status, l_suppkey % 9 = 0 AND l_quantity > 49 AS review_required, CASE WHEN l_suppkey % 9 = 0 AND l_quantity > 49 AND l_linenumber > 2 THEN 'r' || l_linenumber ELSE '' END AS review_reason FROM lineitem"
+DRAWINGS = "SELECT 'p' || (l_suppkey % 4) AS property_id, 'Floor_0' || (l_suppkey % 3 + 1) AS floor, l_orderkey * 10 + l_linenumber AS seq, l_partkey AS tie, CASE WHEN l_suppkey % 7 = 0 THEN 'sketch ' WHEN l_suppkey % 5 = 1 THEN 'Supp1ier ' ELSE 'supplier ' END || CASE WHEN l_linenumber % 2 = 0 THEN '00' ELSE '' END || l_suppkey AS raw_label, CASE WHEN l_suppkey % 5 = 1 OR l_linenumber % 3 = 1 THEN 'Supplier_0' || l_suppkey WHEN l_suppkey % 11 = 4 THEN 'S_' || l_suppkey WHEN l_suppkey % 11 = 5 THEN '--' ELSE '' END AS llm_proposed_canonical_name, CASE WHEN l_suppkey % 3 = 0 THEN 'AHU' ELSE 'VAV' END AS equipment_type, 'f' || (l_orderkey % 3) || '.png' AS source_filename, CASE WHEN l_orderkey % 13 = 0 THEN 'parse_failed' ELSE 'succeeded' END AS run_status, l_suppkey % 9 = 0 AND l_quantity > 49 AS review_required, CASE WHEN l_suppkey % 9 = 0 AND l_quantity > 49 AND l_linenumber > 2 THEN 'r' || l_linenumber ELSE '' END AS review_reason FROM lineitem"
 DRAWINGS = f"SELECT *, row_number() OVER (PARTITION BY property_id, floor ORDER BY seq, tie, raw_label, source_filename, review_reason) AS ord FROM ({DRAWINGS})"
 CONTESTED = "SELECT 'p' || (s_suppkey % 4) AS property_id, 'Floor_0' || (s_suppkey % 3 + 1) AS floor, s_suppkey AS seq, s_name AS raw_label, CASE WHEN s_suppkey % 2 = 0 THEN 'paths disagree' ELSE '' END AS review_reason FROM supplier WHERE s_nationkey IN (3, 7)"
 
@@ -95,7 +105,7 @@ def normalized_sql(contested: bool) -> str:
     c = f"SELECT property_id, floor, key, coalesce(nullif(trim(arg_max(review_reason, seq)), ''), '{reconcile.CONTESTED}') AS c_reason FROM (SELECT *, {K('raw_label')} AS key FROM ({CONTESTED})) GROUP BY ALL"
     return f"""
 t AS (SELECT * FROM (SELECT *, {K('raw_label')} AS key, row_number() OVER (PARTITION BY property_id, floor, {K('raw_label')} ORDER BY seq) AS rn FROM ({TOPICS})) WHERE rn = 1),
-d0 AS (SELECT *, {K('raw_label')} AS key FROM ({DRAWINGS}) WHERE run_status = 'succeeded'),
+d0 AS (SELECT * FROM (SELECT *, {K("CASE WHEN llm_proposed_canonical_name <> '' THEN llm_proposed_canonical_name ELSE raw_label END")} AS key FROM ({DRAWINGS}) WHERE run_status = 'succeeded') WHERE key IS NOT NULL),
 dr AS (SELECT property_id, floor, key, string_agg(review_reason, '; ' ORDER BY o) AS d_reason FROM (SELECT property_id, floor, key, review_reason, min(ord) AS o FROM d0 WHERE review_reason <> '' GROUP BY ALL) GROUP BY ALL),
 d AS (SELECT property_id, floor, key, arg_min(raw_label, ord) AS raw_label, arg_min(llm_proposed_canonical_name, ord) AS proposed, arg_min(equipment_type, ord) AS equipment_type,
   string_agg(DISTINCT source_filename, ';' ORDER BY source_filename) AS source_files, bool_or(review_required) AS d_review FROM d0 GROUP BY ALL),
@@ -107,7 +117,7 @@ normalized AS (SELECT property_id, floor, key AS canonical_key, coalesce(nullif(
   coalesce(nullif(tt, ''), nullif(dt, ''), 'unknown') AS equipment_type, category AS discrepancy_category,
   CASE WHEN category = 'floor_ambiguous' THEN 'floor_ambiguous' WHEN category <> 'matched' OR tf OR df THEN 'review_required' ELSE 'settled' END AS status, in_topics, in_drawings,
   tl AS topics_raw_label, tt AS topics_inferred_type, dl AS drawing_raw_label, dt AS drawing_equipment_type, coalesce(source_files, '') AS source_files, category <> 'matched' OR tf OR df AS review_required,
-  concat_ws('; ', CASE category WHEN 'floor_ambiguous' THEN c_reason WHEN 'type_mismatch' THEN 'type mismatch: topics=' || tt || ' drawings=' || dt WHEN 'topics_only' THEN 'present in BMS topics but absent from drawing evidence' WHEN 'drawing_only' THEN 'extracted from drawings but absent from BMS topics' END,
+  concat_ws('; ', CASE category WHEN 'floor_ambiguous' THEN c_reason WHEN 'type_mismatch' THEN 'type mismatch: topics=' || tt || ' drawings=' || dt WHEN 'topics_only' THEN '{reconcile.TOPICS_ONLY}' WHEN 'drawing_only' THEN '{reconcile.DRAWING_ONLY}' END,
     nullif(tr, ''), CASE WHEN tf AND tr = '' THEN '{reconcile.UNEXPLAINED['topics']}' END, nullif(d_r, ''), CASE WHEN df AND d_r = '' THEN '{reconcile.UNEXPLAINED['drawing']}' END) AS review_reason FROM g)"""
 
 
@@ -224,19 +234,49 @@ PATHS = "SELECT 'p' || (o_custkey % 3) AS property_id, 'Floor_0' || (o_custkey %
 
 @query(f"""WITH c AS (SELECT property_id, floor, split_part(topic_name, '/', 2) AS ctx FROM ({PATHS}) WHERE topic_name LIKE 'Floor%')
 SELECT property_id, floor, ctx AS raw_equipment_context, regexp_replace(ctx, '^DEV[0-9]+_', '') AS raw_label, CASE WHEN contains(ctx, 'VAVRH') THEN 'VAVRH' WHEN contains(ctx, 'OAVAV') THEN 'OAVAV' WHEN contains(ctx, 'AHU') THEN 'AHU' ELSE 'UNRESOLVED' END AS inferred_raw_type, count(*) AS topic_count,
-  CASE WHEN count(*) = 1 THEN 'weak_single_point_evidence' ELSE 'multiple_point_evidence' END AS evidence_strength, count(*) = 1 AS review_required, CASE WHEN count(*) = 1 THEN 'single supporting point' ELSE '' END AS review_reason FROM c GROUP BY property_id, floor, ctx""")
+  CASE WHEN count(*) = 1 THEN 'weak_topic_evidence' ELSE 'multiple_point_evidence' END AS evidence_strength, count(*) = 1 AS review_required, CASE WHEN count(*) = 1 THEN 'weak_topic_evidence' ELSE '' END AS review_reason FROM c GROUP BY property_id, floor, ctx""")
 def topic_units(t):
     return points.units(t(PATHS))
 
 
-PARSED = "SELECT o_orderkey AS id, 'AHU_' || (o_orderkey % 50) AS raw_label, CASE WHEN o_orderkey % 6 = 0 THEN 'VAV-RH-HW' ELSE 'AHU' END AS equipment_type, 'Floor_02' AS floor, CASE o_orderkey % 3 WHEN 0 THEN array('Floor_02/A/x', 'Floor_02/A/y') WHEN 1 THEN array('Floor_02/A/x', 'Floor_02/B/y') ELSE array('Floor_03/A/x') END AS source_topics, false AS review_required, '' AS review_reason FROM orders"
+PARSED = "SELECT o_orderkey AS id, 'FCU_' || (o_orderkey % 50) AS raw_label, CASE WHEN o_orderkey % 6 = 0 THEN 'VAV-RH-HW' WHEN o_orderkey % 10 = 3 THEN 'UNRESOLVED' WHEN o_orderkey % 10 = 4 THEN '' ELSE 'AHU' END AS equipment_type, 'Floor_02' AS floor, CASE o_orderkey % 4 WHEN 0 THEN array('Floor_02/DEV7_AHU_1/x', 'Floor_02/AHU_1/y') WHEN 1 THEN array('Floor_02/B/x', 'Floor_02/A/y', 'Floor_02/DEV1_B/z') WHEN 2 THEN array('Floor_02/DEV2_X_' || (o_orderkey % 9) || '/x') ELSE array('Floor_03/A/x', 'Floor_02//y') END AS source_topics, o_orderkey % 13 = 0 AS review_required, CASE WHEN o_orderkey % 13 = 0 THEN 'before' ELSE '' END AS review_reason FROM orders"
+PATHED = """p AS (SELECT o_orderkey AS id, o_orderkey % 4 AS way, CASE WHEN o_orderkey % 6 = 0 THEN 'VAV-RH-HW' WHEN o_orderkey % 10 = 3 THEN 'UNRESOLVED' WHEN o_orderkey % 10 = 4 THEN '' ELSE 'AHU' END AS kind, CASE o_orderkey % 4 WHEN 0 THEN 'AHU_1' WHEN 2 THEN 'X_' || (o_orderkey % 9) END AS label, o_orderkey % 13 = 0 AS flag FROM orders),
+q AS (SELECT *, CASE way WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS n_contexts, CASE WHEN way = 3 THEN 'no deterministic path match (non-standard topic format)' WHEN way = 1 THEN 'topics span multiple path contexts [''A'', ''B'']' WHEN kind NOT IN ('', 'UNRESOLVED') AND NOT contains(label, string_split(kind, '-')[1]) THEN 'type ''' || kind || ''' not evident in path label ''' || label || '''' END AS why FROM p)"""
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS n_contexts, o_orderkey % 3 <> 0 OR o_orderkey % 6 = 0 AS review_required, concat_ws('; ', CASE o_orderkey % 3 WHEN 1 THEN 'topics come from several path contexts' WHEN 2 THEN 'no topic path names this unit' END, CASE WHEN o_orderkey % 6 = 0 THEN 'type not in label' END) AS review_reason FROM orders")
+@query(f"WITH {PATHED} SELECT id, n_contexts, flag OR why IS NOT NULL AS review_required, concat_ws('; ', CASE WHEN flag THEN 'before' END, why) AS review_reason FROM q")
 def path_check(t):
     return points.path_checked(t(PARSED)).select("id", "n_contexts", "review_required", "review_reason")
 
 
+REASONS = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'VAV' ELSE 'AHU' END AS equipment_type, o_orderkey % 7 <> 0 AS review_required, CASE o_orderkey % 9 WHEN 0 THEN replace('type ^FCU^ not evident in path label ^Floor_1^', '^', chr(39)) WHEN 1 THEN 'equipment type  unclear' WHEN 2 THEN 'grouping and type ambiguous' WHEN 3 THEN 'type-only: look again; type conflict' WHEN 4 THEN 'type unknown; floor doubtful' WHEN 5 THEN '' WHEN 6 THEN '[type-only] x' WHEN 7 THEN 'low confidence' ELSE 'type mismatch; ' END AS review_reason, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ahu' WHEN 2 THEN 'VAV' ELSE ' ' END AS detected, o_orderkey % 5 <> 0 AS seen FROM orders"
+
+
+@query(f"""WITH r AS ({REASONS}), x AS (SELECT *, id % 9 IN (0, 1, 3, 6, 8) AS only_type, CASE WHEN seen THEN nullif(trim(detected), '') END AS kind FROM r),
+y AS (SELECT *, CASE WHEN NOT seen THEN 'no screenshot for vision second pass' WHEN kind IS NULL THEN 'vision second pass found no equipment' WHEN upper(kind) = equipment_type AND only_type THEN 'vision second pass CONFIRMED ' || kind
+  WHEN upper(kind) = equipment_type THEN 'vision second pass CONFIRMED ' || kind || '; review retained because prior reasons were not exclusively type-only' ELSE 'vision second pass CONFLICT: sees ' || kind || ', topics say ' || equipment_type END AS note FROM x)
+SELECT id, only_type, review_required AND NOT coalesce(upper(kind) = equipment_type AND only_type, false) AS review_required, concat_ws('; ', nullif(review_reason, ''), CASE WHEN review_required THEN note END) AS review_reason FROM y""")
+def second_opinion(t):
+    d = t(REASONS).withColumn("only_type", points.type_only(F.col("review_reason"))).withColumn("detected", F.when(F.col("seen"), F.col("detected")))
+    return points.second_opinion(d, F.col("detected"), F.col("seen")).select("id", "only_type", "review_required", "review_reason")
+
+
+FLAGGED = "SELECT s_suppkey AS unit_id, 'DEV3_' || replace(s_name, '#', '_') AS raw_context, 'unit ' || (s_suppkey % 40) AS raw_label FROM supplier"
+FOUND = "SELECT l_orderkey * 10 + l_linenumber AS candidate_id, CASE WHEN l_partkey % 3 = 0 THEN 'UNIT_00' || (l_partkey % 90) ELSE '' END AS raw_label, CASE WHEN l_partkey % 4 = 0 THEN 'Supplier ' || (l_partkey % 500) ELSE 'other' END AS canonical_name, CASE WHEN l_linenumber % 3 = 0 THEN ' ' ELSE ' AHU' END AS equipment_type, l_partkey, l_extendedprice FROM lineitem WHERE l_quantity = 7"
+FOUND = f"SELECT row_number() OVER (PARTITION BY candidate_id % 100 ORDER BY candidate_id, l_partkey, l_extendedprice) * 100 + candidate_id % 100 AS candidate_id, raw_label, canonical_name, equipment_type FROM ({FOUND})"
+IMAGES = "SELECT CASE page_id % 3 WHEN 0 THEN 'Supplier_0' || page_id WHEN 1 THEN 'shot/unit-' || (page_id % 50) ELSE 'DEV12_unit' || (page_id % 50) END || CASE WHEN page_id % 7 = 0 THEN '.txt' WHEN page_id % 2 = 0 THEN '.PNG' ELSE '.jpeg' END AS filename FROM pages"
+
+
+@query(f"""WITH u AS (SELECT unit_id, unnest(list_distinct([{M('raw_context')}, {M('raw_label')}])) AS k FROM ({FLAGGED})),
+c AS (SELECT candidate_id, nullif(trim(equipment_type), '') AS kind, unnest(list_distinct([{M('raw_label')}, {M('canonical_name')}])) AS k FROM ({FOUND})),
+m AS (SELECT unit_id, count(DISTINCT candidate_id) AS n, min(kind) AS kind FROM u JOIN c USING (k) WHERE k <> '' GROUP BY unit_id),
+i AS (SELECT filename, {M("regexp_extract(filename, '([^/]+?)([.][^.]*)?$', 1)")} AS k FROM ({IMAGES}) WHERE regexp_matches(filename, '(?i)[.](png|jpg|jpeg|webp)$')),
+s AS (SELECT unit_id, min(filename) AS filename FROM u JOIN i USING (k) WHERE k <> '' GROUP BY unit_id)
+SELECT f.unit_id, CASE WHEN m.n = 1 THEN m.kind END AS detected, s.filename FROM ({FLAGGED}) f LEFT JOIN m USING (unit_id) LEFT JOIN s USING (unit_id)""")
+def vision_candidates(t):
+    return points.only_candidate(points.screenshots(t(FLAGGED), t(IMAGES)), t(FOUND)).select("unit_id", "detected", "filename")
+
+
 EXPECTED, ASSIGNED = ("SELECT event_type || '_' || (user_id % 40) AS topic FROM events", "SELECT event_type || '_' || (user_id % 43) AS topic FROM events")
 
 
@@ -246,19 +286,29 @@ def topic_coverage(t):
     return points.coverage(t(EXPECTED), t(ASSIGNED), "topic")
 
 
-CANON = "SELECT 'p' AS property_id, 'Floor_02' AS floor, c_custkey AS seq, c_name AS canonical_name, c_name AS topics_raw_label, '' AS drawing_raw_label, false AS review_required, '' AS review_reason FROM customer"
-REFS = "SELECT 'p' AS property_id, 'Floor_02' AS floor, o_orderkey AS seq, replace('Customer#' || lpad(cast(o_custkey AS string), 9, '0'), '#', '-') AS child, '' AS child_raw, 'N' || (o_orderkey % 3) AS parent, '' AS parent_raw, CASE WHEN o_orderkey % 2 = 0 THEN 'airRef' ELSE 'hotWaterRef' END AS ref_type, o_orderstatus = 'P' AS conflict, '' AS conflict_reason, o_orderpriority LIKE '1%' AS review_required, '' AS review_reason FROM orders"
-
-
-@query(f"""WITH c AS ({CANON}), e AS (SELECT c.canonical_name AS unit, e.* FROM ({REFS}) e JOIN c ON {K('c.canonical_name')} = {K('e.child')}),
-l AS (SELECT unit, ref_type, list({{'c': conflict, 'p': parent, 'r': review_required}} ORDER BY e.seq) AS xs FROM e GROUP BY ALL),
-f AS (SELECT unit, ref_type, list_reduce(xs, lambda a, x: {{'cell': CASE WHEN x.c THEN a.cell WHEN a.cell <> '' AND a.cell <> x.p THEN a.cell || ';' || x.p ELSE x.p END, 'flag': a.flag OR x.c OR x.r OR (a.cell <> '' AND a.cell <> x.p), 'c': false, 'p': '', 'r': false}}, {{'cell': '', 'flag': false, 'c': false, 'p': '', 'r': false}}) AS s FROM (SELECT unit, ref_type, list_transform(xs, lambda x: {{'cell': '', 'flag': false, 'c': x.c, 'p': x.p, 'r': x.r}}) AS xs FROM l))
-SELECT c.canonical_name, coalesce(max(s.cell) FILTER (ref_type = 'airRef'), '') AS airRef, coalesce(max(s.cell) FILTER (ref_type = 'hotWaterRef'), '') AS hotWaterRef, coalesce(bool_or(s.flag), false) AS review_required FROM c LEFT JOIN f ON f.unit = c.canonical_name GROUP BY c.canonical_name""")
+CANON = "SELECT 'p' AS property_id, 'Floor_02' AS floor, c_custkey AS seq, CASE WHEN c_custkey % 10 = 7 THEN 'Unit ' || c_custkey ELSE c_name END AS canonical_name, replace(c_name, '#', '_') AS canonical_key, false AS review_required, '' AS review_reason FROM customer WHERE c_nationkey <> 3"
+REFS = "SELECT 'p' AS property_id, 'Floor_02' AS floor, o_orderkey AS seq, CASE WHEN o_orderkey % 17 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN 'unknown ' || o_custkey ELSE replace('Customer#' || lpad(cast(o_custkey AS string), 9, '0'), '#', '-') END AS child, CASE WHEN o_orderkey % 14 = 0 THEN 'customer_0' || o_custkey ELSE '' END AS child_raw, CASE WHEN o_orderkey % 23 = 0 THEN '' WHEN o_orderkey % 5 = 0 THEN 'Customer ' || (o_orderkey % 3) ELSE 'N' || (o_orderkey % 3) END AS parent, CASE WHEN o_orderkey % 9 = 1 THEN 'customer 5' ELSE '' END AS parent_raw, CASE WHEN o_orderkey % 29 = 0 THEN 'systemRef' WHEN o_orderkey % 31 = 0 THEN 'madeUp' WHEN o_orderkey % 2 = 0 THEN 'airRef' ELSE 'hotWaterRef' END AS ref_type, o_orderstatus = 'P' AS conflict, CASE WHEN o_orderkey % 4 = 0 THEN ' torn ' ELSE '' END AS conflict_reason, o_orderpriority LIKE '1%' AS review_required, CASE WHEN o_orderkey % 6 = 0 THEN 'late' ELSE '' END AS review_reason FROM orders"
+JOINED = f"""c AS ({CANON}), al AS (SELECT k, arg_min(canonical_name, seq * 2 + form) AS target FROM (SELECT {K('canonical_key')} AS k, canonical_name, seq, 0 AS form FROM c UNION ALL SELECT {K('canonical_name')}, canonical_name, seq, 1 FROM c) GROUP BY k),
+r AS (SELECT *, {K('child')} AS k1, {K('child_raw')} AS k2, {K('parent')} AS k3, {K('parent_raw')} AS k4 FROM ({REFS})),
+e AS (SELECT coalesce(a1.target, a2.target) AS unit, coalesce(a3.target, a4.target, parent) AS name, r.* FROM r LEFT JOIN al a1 ON a1.k = k1 LEFT JOIN al a2 ON a2.k = k2 LEFT JOIN al a3 ON a3.k = k3 LEFT JOIN al a4 ON a4.k = k4
+  WHERE ref_type IN ('airRef', 'hotWaterRef') AND child <> '' AND parent <> '' AND coalesce(a1.target, a2.target) IS NOT NULL)"""
+NOTES = "STRUCT(s BIGINT, n VARCHAR)[]"
+
+
+@query(f"""WITH {JOINED},
+l AS (SELECT unit, ref_type, list({{'seq': seq, 'c': conflict, 'p': name, 'r': review_required, 'why': coalesce(nullif(trim(conflict_reason), ''), 'evidence points to ' || parent), 'note': coalesce(nullif(trim(review_reason), ''), 'flagged by relationship extraction')}} ORDER BY e.seq) AS xs FROM e GROUP BY ALL),
+f AS (SELECT unit, ref_type, list_reduce(list_transform(xs, lambda x: {{'cell': '', 'flag': false, 'notes': []::{NOTES}, 'x': x}}), lambda a, b: {{
+  'cell': CASE WHEN b.x.c THEN a.cell WHEN a.cell <> '' AND a.cell <> b.x.p THEN a.cell || ';' || b.x.p ELSE b.x.p END, 'flag': a.flag OR b.x.c OR b.x.r OR (a.cell <> '' AND a.cell <> b.x.p),
+  'notes': list_concat(a.notes, CASE WHEN b.x.c THEN [{{'s': b.x.seq, 'n': ref_type || ' conflict: ' || b.x.why}}] WHEN a.cell <> '' AND a.cell <> b.x.p THEN [{{'s': b.x.seq, 'n': 'multiple ' || ref_type || ' parents inferred: ' || a.cell || ';' || b.x.p}}]
+    WHEN b.x.r THEN [{{'s': b.x.seq, 'n': ref_type || ' ' || b.x.p || ' inferred but unconfirmed: ' || b.x.note}}] ELSE []::{NOTES} END), 'x': b.x}}, {{'cell': '', 'flag': false, 'notes': []::{NOTES}, 'x': xs[1]}}) AS s FROM l),
+n AS (SELECT unit, string_agg(u.n, '; ' ORDER BY u.s) AS notes FROM (SELECT unit, unnest(s.notes) AS u FROM f) GROUP BY unit),
+g AS (SELECT unit, coalesce(max(s.cell) FILTER (ref_type = 'airRef'), '') AS airRef, coalesce(max(s.cell) FILTER (ref_type = 'hotWaterRef'), '') AS hotWaterRef, bool_or(s.flag) AS flag FROM f GROUP BY unit)
+SELECT c.seq, c.canonical_name, coalesce(airRef, '') AS airRef, coalesce(hotWaterRef, '') AS hotWaterRef, coalesce(flag, false) AS review_required, coalesce(notes, '') AS review_reason FROM c LEFT JOIN g ON g.unit = c.canonical_name LEFT JOIN n ON n.unit = c.canonical_name""")
 def ref_fold(t):
-    return reconcile.fold_refs(t(CANON), t(REFS)).select("canonical_name", "airRef", "hotWaterRef", "review_required")
+    return reconcile.fold_refs(t(CANON), t(REFS)).select("seq", "canonical_name", "airRef", "hotWaterRef", "review_required", "review_reason")
 
 
-@query(f"WITH c AS ({CANON}) SELECT count(*) FILTER (NOT conflict AND c.seq IS NOT NULL) AS joined_edges, 0::BIGINT AS valid_uncolumned_edges FROM ({REFS}) e LEFT JOIN c ON {K('c.canonical_name')} = {K('e.child')}")
+@query(f"WITH {JOINED} SELECT (SELECT count(*) FROM e WHERE NOT conflict) AS joined_edges, (SELECT count(*) FROM r WHERE ref_type IN ('systemRef', 'floorRef')) AS valid_uncolumned_edges")
 def ref_join_counts(t):
     return reconcile.ref_join_counts(t(CANON), t(REFS))
 
@@ -267,11 +317,11 @@ EQUIP = "SELECT s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'AHU' WHEN 1 THEN
 ALIAS = "SELECT 'unit ' || (s_suppkey % 60) AS alias, s_name AS name FROM supplier"
 EDGES = "SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_partkey % 10 = 0 THEN 'lost ' || (l_partkey % 7) ELSE 'Supplier-' || l_suppkey END AS child, '' AS child_raw, 'Supplier 0' || (l_partkey % 9) AS parent, CASE WHEN l_partkey % 25 = 0 THEN 'unit ' || (l_partkey % 60) ELSE '' END AS parent_raw, CASE WHEN l_linenumber % 2 = 0 AND l_suppkey % 6 <> 1 THEN 'airRef' ELSE 'chilledWaterRef' END AS ref_type, round(1 - l_discount * 4, 2) AS confidence, l_returnflag = 'R' AND l_linenumber = 3 AS conflict, '' AS conflict_reason, l_tax > 0.07 AS review_required, CASE WHEN l_tax > 0.07 THEN 'tax' ELSE '' END AS review_reason, l_shipdate AS shipped, l_suppkey FROM lineitem"
 EDGES = f"SELECT row_number() OVER (PARTITION BY l_suppkey ORDER BY seq, child, parent, parent_raw, confidence, shipped) * 1000000 + l_suppkey AS rid, * FROM ({EDGES})"
-RESOLVED = f"""eq AS ({EQUIP}), al AS (SELECT {M('name')} AS key, name FROM eq UNION SELECT {M('alias')} AS key, name FROM ({ALIAS})), ed AS ({EDGES}),
-said AS (SELECT rid, ref_type, 'child' AS role, child AS a, child_raw AS b FROM ed UNION ALL SELECT rid, ref_type, 'parent', parent, parent_raw FROM ed),
-tg AS (SELECT key, count(DISTINCT name) AS n, min(name) AS one, list_sort(list(DISTINCT name)) AS ts FROM al GROUP BY key),
-ends AS (SELECT rid, role, ref_type, {M('a')} AS identity, len(list_distinct(list_concat(coalesce(x.ts, []::VARCHAR[]), coalesce(y.ts, []::VARCHAR[])))) AS n, list_distinct(list_concat(coalesce(x.ts, []::VARCHAR[]), coalesce(y.ts, []::VARCHAR[])))[1] AS canonical
-  FROM said LEFT JOIN tg x ON x.key = {M('a')} LEFT JOIN tg y ON b <> '' AND y.key = {M('b')}),
+RESOLVED = f"""eq AS ({EQUIP}), al AS (SELECT {K('name')} AS key, name FROM eq UNION SELECT {K('alias')} AS key, name FROM ({ALIAS})), ed AS ({EDGES}),
+said AS (SELECT rid, ref_type, 'child' AS role, child AS a, child_raw AS b, child || ' -> ' || parent || ' (' || ref_type || ')' AS edge FROM ed UNION ALL SELECT rid, ref_type, 'parent', parent, parent_raw, child || ' -> ' || parent || ' (' || ref_type || ')' FROM ed),
+tg AS (SELECT key, list_sort(list(DISTINCT name)) AS ts FROM al GROUP BY key),
+ends AS (SELECT *, len(targets) AS n, targets[1] AS canonical FROM (SELECT rid, role, ref_type, edge, a, b, {K('a')} AS identity, list_sort(list_distinct(list_concat(coalesce(x.ts, []::VARCHAR[]), coalesce(y.ts, []::VARCHAR[])))) AS targets
+  FROM said LEFT JOIN tg x ON x.key = {K('a')} LEFT JOIN tg y ON b <> '' AND y.key = {K('b')})),
 good AS (SELECT ed.rid, c.canonical AS child, p.canonical AS parent, ed.ref_type FROM ed JOIN ends c ON c.rid = ed.rid AND c.role = 'child' AND c.n = 1 JOIN ends p ON p.rid = ed.rid AND p.role = 'parent' AND p.n = 1 WHERE NOT conflict)"""
 
 
@@ -309,14 +359,13 @@ def ref_sanity(t):
     return d.groupBy("name", "role", F.col("check").alias("finding")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH ed AS ({EDGES}) SELECT rid AS seq, child, parent, confidence < 0.75 AS low, conflict, review_required FROM ed WHERE confidence < 0.75 OR conflict OR review_required")
+@query(f"WITH ed AS ({EDGES}) SELECT rid AS seq, child, parent, concat_ws(', ', CASE WHEN confidence < 0.75 THEN 'confidence ' || confidence || ' < 0.75' END, CASE WHEN conflict THEN 'conflict=true' END, CASE WHEN review_required AND NOT conflict AND confidence >= 0.75 THEN 'review_required=true' END, nullif(review_reason, '')) AS reason FROM ed WHERE confidence < 0.75 OR conflict OR review_required")
 def review_items(t):
-    e = _edges(t)
-    found = graph.review_items(e).select("seq")
-    return e.join(found, "seq").select(F.col("seq").cast("long").alias("seq"), "child", "parent", (F.col("confidence") < 0.75).alias("low"), "conflict", "review_required")
+    return graph.review_items(_edges(t)).select(F.col("seq").cast("long").alias("seq"), "child", "parent", "reason")
 
 
-CYCLE = "SELECT DISTINCT user_id AS child, (user_id * user_id + 1) % 150 AS parent FROM events"
+CYCLE = "SELECT DISTINCT user_id AS child, (user_id * 7 + event_id % 3) % 1009 AS parent FROM events"
+RINGS = "SELECT p_partkey AS child, CASE WHEN p_partkey % 100 = 99 THEN p_partkey - 99 ELSE p_partkey + 1 END AS parent FROM part UNION ALL SELECT p_partkey + 10000000, p_partkey FROM part"
 
 
 @query(f"WITH RECURSIVE e AS ({CYCLE}), r(child, parent) AS (SELECT child, parent FROM e UNION SELECT r.child, e.parent FROM r JOIN e ON r.parent = e.child) SELECT DISTINCT child AS node FROM r WHERE child = parent")
@@ -324,15 +373,38 @@ def graph_cycles(t):
     return graph.cycle_nodes(t(CYCLE), save)
 
 
-@query(f"""WITH {RESOLVED}, bad AS (SELECT DISTINCT identity, n > 1 AS amb FROM ends WHERE n <> 1), a AS (SELECT child FROM good WHERE ref_type = 'airRef' GROUP BY child HAVING count(DISTINCT parent) > 1),
-st AS (SELECT e.ref_type, e.role, eq.type FROM ends e JOIN eq ON eq.name = e.canonical WHERE n = 1), ge AS (SELECT DISTINCT child, parent FROM good),
-cyc AS (WITH RECURSIVE r(c, p) AS (SELECT child, parent FROM ge UNION SELECT r.c, ge.parent FROM r JOIN ge ON r.p = ge.child) SELECT count(DISTINCT c) AS n FROM r WHERE c = p)
-SELECT (SELECT count(*) FROM bad) + (SELECT count(*) FROM a) + (SELECT n FROM cyc) + (SELECT count(*) FROM st WHERE (ref_type = 'airRef' AND role = 'child' AND type NOT IN ('VAV', 'FCU')) OR (ref_type = 'airRef' AND role = 'parent' AND type <> 'AHU') OR (ref_type <> 'airRef' AND role = 'parent' AND type <> 'CHW-PLANT')) AS errors,
-  (SELECT count(*) FROM eq WHERE type IN ('VAV', 'FCU') AND name NOT IN (SELECT child FROM good WHERE ref_type = 'airRef')) AS orphans, (SELECT count(*) FROM bad) + (SELECT count(*) FROM ed WHERE confidence < 0.75 OR conflict OR review_required) AS review_items, false AS passed""")
+@query("SELECT p_partkey AS node FROM part")
+def graph_rings(t):
+    """Rings of a hundred nodes, each with a node hanging on to it."""
+    return graph.cycle_nodes(t(RINGS), save)
+
+
+FINDINGS = f"""WITH {RESOLVED}, i AS (SELECT identity, n > 1 AS torn, list_sort(list_distinct(flatten(list([a, b])))) AS ls, list_sort(list_distinct(flatten(list(targets)))) AS ts, count(DISTINCT edge) AS k FROM ends WHERE n <> 1 GROUP BY identity, n > 1),
+bad AS (SELECT *, '[''' || array_to_string(list_filter(ls, lambda x: x <> ''), ''', ''') || ''']' AS shown, '[''' || array_to_string(ts, ''', ''') || ''']' AS units FROM i), a AS (SELECT child, list_sort(list(DISTINCT parent)) AS ps FROM good WHERE ref_type = 'airRef' GROUP BY child HAVING count(DISTINCT parent) > 1),
+st AS (SELECT e.ref_type, e.role, eq.type, eq.name FROM ends e JOIN eq ON eq.name = e.canonical WHERE n = 1), ge AS (SELECT DISTINCT child, parent FROM good),
+cyc AS (WITH RECURSIVE r(c, p) AS (SELECT child, parent FROM ge UNION SELECT r.c, ge.parent FROM r JOIN ge ON r.p = ge.child) SELECT DISTINCT c FROM r WHERE c = p),
+lost AS (SELECT 'unresolved endpoint ' || shown || ': not present in canonical equipment or its source-label aliases; referenced by ' || k || ' edge(s)' AS m FROM bad WHERE NOT torn),
+tied AS (SELECT 'endpoint labels ' || shown || ' resolve to multiple canonical units ' || units || '; referenced by ' || k || ' edge(s)' AS m FROM bad WHERE torn),
+f AS (SELECT 'unknown_node' AS check_id, 'error' AS severity, m AS message FROM lost UNION ALL SELECT 'unresolved_endpoint', 'review', m FROM lost UNION ALL SELECT 'ambiguous_node', 'error', m FROM tied UNION ALL SELECT 'endpoint_resolution_conflict', 'review', m FROM tied
+  UNION ALL SELECT 'ref_type_sanity', 'error', CASE WHEN ref_type = 'airRef' AND role = 'child' THEN 'airRef child ''' || name || ''' is not a terminal (' || type || ')' WHEN ref_type = 'airRef' THEN 'airRef parent ''' || name || ''' is not an air source (' || type || ')' ELSE ref_type || ' parent ''' || name || ''' is not a plant (' || type || ')' END
+    FROM st WHERE (ref_type = 'airRef' AND role = 'child' AND type NOT IN ('VAV', 'FCU')) OR (ref_type = 'airRef' AND role = 'parent' AND type <> 'AHU') OR (ref_type <> 'airRef' AND role = 'parent' AND type <> 'CHW-PLANT')
+  UNION ALL SELECT 'review_item', 'review', 'edge ' || child || ' -> ' || parent || ' (' || ref_type || '): ' || concat_ws(', ', CASE WHEN confidence < 0.75 THEN 'confidence ' || confidence || ' < 0.75' END, CASE WHEN conflict THEN 'conflict=true' END, CASE WHEN review_required AND NOT conflict AND confidence >= 0.75 THEN 'review_required=true' END, nullif(review_reason, '')) FROM ed WHERE confidence < 0.75 OR conflict OR review_required
+  UNION ALL SELECT 'multiple_air_parents', 'error', 'terminal ''' || child || ''' has ' || len(ps) || ' airRef parents: [''' || array_to_string(ps, ''', ''') || ''']' FROM a UNION ALL SELECT 'cycle', 'error', 'node participates in a parent cycle: ' || c FROM cyc
+  UNION ALL SELECT 'orphan_terminal', 'orphan', 'terminal ''' || name || ''' (' || type || ') has no airRef parent' FROM eq WHERE type IN ('VAV', 'FCU') AND name NOT IN (SELECT child FROM good WHERE ref_type = 'airRef'))"""
+
+
+@query(f"""{FINDINGS} SELECT (SELECT count(*) FROM ed) AS edge_count, (SELECT count(*) FROM good) AS accepted_edge_count, (SELECT count(*) FROM eq) AS equipment_count, (SELECT count(*) FROM ends WHERE n = 1 AND canonical <> a) AS alias_resolution_count,
+  (SELECT count(*) FROM bad WHERE NOT torn) AS unresolved_endpoint_count, (SELECT count(*) FROM bad WHERE torn) AS ambiguous_endpoint_count, (SELECT count(*) FROM f WHERE severity = 'error') AS error_count, (SELECT count(*) FROM f WHERE severity = 'orphan') AS orphan_count,
+  (SELECT count(*) FROM f WHERE severity = 'review') AS review_item_count, (SELECT count(*) FROM f WHERE severity <> 'review') = 0 AS passed""")
 def graph_report(t):
     return graph.report(graph.validate(_edges(t), t(EQUIP), t(ALIAS), save=save))
 
 
+@query(f"{FINDINGS} SELECT check_id, severity, message, count(*) AS n FROM f GROUP BY ALL")
+def graph_findings(t):
+    return graph.validate(_edges(t), t(EQUIP), t(ALIAS), save=save).findings.groupBy("check_id", "severity", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH ed AS ({EDGES}) SELECT DISTINCT node FROM (SELECT child AS node FROM ed UNION ALL SELECT parent FROM ed)")
 def node_set(t):
     return graph.node_set(_edges(t))
@@ -633,15 +705,13 @@ def group_points(t):
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0 WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS tier, event_id % 2 = 0 OR event_id % 3 = 0 OR event_id % 5 = 0 AS accepted FROM events")
 def ladder(t):
     tiers = [lambda r, m=m: "ok" if r["event_id"] % m == 0 else "no" for m in (2, 3, 5)]
-    return inject.ladder(t("SELECT event_id FROM events"), tiers, "event_id", F.col("result") == "ok").select("event_id", "tier", "accepted")
+    return inject.ladder(t("SELECT event_id FROM events"), tiers, "event_id", F.col("result") == "ok", save=save).select("event_id", "tier", "accepted")
 
 
 @query("SELECT event_id AS correction_id, user_id FROM events")
 def stream_outbox(t):
     """Events through a file stream into the pool, twice; the second run adds nothing."""
-    spark, base = t.spark, t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayer-")
-    import uuid
-
+    spark, base = t.spark, folder(t.spark)
     root = f"{base}/stream-{uuid.uuid4().hex}"
     t("SELECT event_id AS correction_id, user_id FROM events").write.parquet(f"{root}/in")
     schema = spark.read.parquet(f"{root}/in").schema

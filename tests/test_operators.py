@@ -1,5 +1,9 @@
 """Operators on small fixtures with known results."""
 
+import hashlib
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,18 +59,35 @@ def test_reconcile(spark):
     t, d = sides(spark)
     rows = {(r["property_id"], r["canonical_key"]): r for r in reconcile.reconcile(t, d).collect()}
     a = rows["p", "AHU_2_A"]
-    assert (a["discrepancy_category"], a["status"], a["source_files"], a["review_reason"]) == ("matched", "review_required", "a.png;b.png", "r2")
-    assert a["topics_raw_label"] == "DEV1_AHU_02_A" and a["canonical_name"] == "AHU_02A"
+    assert (a["discrepancy_category"], a["status"], a["source_files"], a["review_reason"]) == ("type_mismatch", "review_required", "a.png", "type mismatch: topics=AHU drawings=VAV; r2")
+    assert a["topics_raw_label"] == "DEV1_AHU_02_A" and a["canonical_name"] == "AHU_02_A"
+    assert rows["p", "AHU_02A"]["discrepancy_category"] == "drawing_only"  # by its proposed name, not by its label
     v = rows["p", "VAV_2_1"]
     assert v["discrepancy_category"] == "type_mismatch" and v["review_reason"].endswith(reconcile.UNEXPLAINED["topics"])
     assert rows["p", "FCU_2_9"]["discrepancy_category"] == "drawing_only" and rows["q", "FCU_2_9"]["discrepancy_category"] == "topics_only"
-    assert len(rows) == 5
+    assert len(rows) == 6
     good, bad = readers.checked(reconcile.reconcile(t, d), readers.unit_rules())
     assert bad.count() == 0
     again = reconcile.reconcile(t.orderBy(F.rand(1)).repartition(3), d.orderBy(F.rand(2)).repartition(5))
     assert sorted(map(str, again.collect())) == sorted(map(str, reconcile.reconcile(t, d).collect()))
 
 
+def test_drawings_are_keyed_by_their_proposed_name(spark):
+    topic = lambda label, kind="AHU", flag=False, why="": ("p", "F2", 1, label, kind, flag, why)
+    drawn = lambda seq, label, name, kind="AHU", status="succeeded", flag=False, why="", file="a.png": ("p", "F2", seq, label, name, kind, file, status, flag, why)
+
+    def one(topics, drawings):
+        return {r["canonical_key"]: r for r in reconcile.reconcile(spark.createDataFrame(topics, TOPIC), spark.createDataFrame(drawings, DRAWING)).collect()}
+
+    got = one([topic("AHU-02A")], [drawn(1, "AHU 02 A", "AHU_02A")])
+    assert list(got) == ["AHU_02A"] and (got["AHU_02A"]["discrepancy_category"], got["AHU_02A"]["status"]) == ("matched", "settled")
+    got = one([topic("AHU-02A", flag=True)], [drawn(1, "AHU 02 A", "AHU_02A")])["AHU_02A"]
+    assert (got["discrepancy_category"], got["status"], got["review_reason"]) == ("matched", "review_required", reconcile.UNEXPLAINED["topics"])
+    got = one([topic("AHU-02A")], [drawn(1, "AHU 02 A", "AHU_02A"), drawn(2, "x", "AHU-02A", flag=True, why=" low ", file=" b.png "), drawn(3, "y", "AHU_02A", flag=True, why="low")])["AHU_02A"]
+    assert (got["status"], got["review_reason"], got["source_files"], got["drawing_raw_label"]) == ("review_required", "low", "a.png;b.png", "AHU 02 A")
+    assert list(one([topic("AHU-02A")], [drawn(1, "AHU 02 A", "AHU_02A", status="parse_failed")])) == ["AHU_02A"]
+
+
 def test_contested_and_report(spark):
     t, d = sides(spark)
     c = spark.createDataFrame([("p", "F2", 1, "AHU 2 A", "first"), ("p", "F2", 2, "AHU_02_A", "")], "property_id string, floor string, seq int, raw_label string, review_reason string")
@@ -84,11 +105,13 @@ def test_names_collide(spark):
 
 
 def test_ref_fold_order(spark):
-    canon = spark.createDataFrame([("p", "F", 1, "X_1", "x 1", "", False, "")], "property_id string, floor string, seq int, canonical_name string, topics_raw_label string, drawing_raw_label string, review_required boolean, review_reason string")
-    rows = [("p", "F", i, "zz", "X-01", p, "", "airRef", False, "", False, "") for i, p in enumerate("ABAA")] + [("p", "F", 9, "X 1", "", "P", "", "hotWaterRef", True, "", False, "")]
+    canon = spark.createDataFrame([("p", "F", 1, "X_1", "OLD_7", False, "")], "property_id string, floor string, seq int, canonical_name string, canonical_key string, review_required boolean, review_reason string")
+    rows = [("p", "F", i, "zz", "X-01", p, "", "airRef", False, "", False, "") for i, p in enumerate("ABAA")] + [("p", "F", 9, "old 07", "", "P", "", "hotWaterRef", True, "", False, ""), ("p", "F", 10, "X 1", "", "", "q", "hotWaterRef", False, "", False, ""), ("p", "F", 11, "X 1", "", "Q", "", "systemRef", False, "", False, "")]
     e = spark.createDataFrame(rows, "property_id string, floor string, seq int, child string, child_raw string, parent string, parent_raw string, ref_type string, conflict boolean, conflict_reason string, review_required boolean, review_reason string")
     r = reconcile.fold_refs(canon, e).first()
-    assert (r["airRef"], r["hotWaterRef"], r["review_required"]) == ("A;B;A;A", "", True) and "hotWaterRef conflict: evidence points to P" in r["review_reason"]
+    assert (r["airRef"], r["hotWaterRef"], r["review_required"]) == ("A;B;A;A", "", True) and r["review_reason"].endswith("multiple airRef parents inferred: A;B;A;A; hotWaterRef conflict: evidence points to P")
+    assert tuple(reconcile.ref_join_counts(canon, e).first()) == (4, 1)
+    assert reconcile.stage_counts(reconcile.fold_refs(canon, e).withColumn("status", F.lit("settled")), e).first().asDict() == {"units": 1, "settled": 1, "flagged": 1, "refs_filled": 1, "joined_edges": 4, "valid_uncolumned_edges": 1}
 
 
 def test_coverage_and_examples(spark):
@@ -123,17 +146,40 @@ EDGE = "seq int, child string, parent string, child_raw string, parent_raw strin
 def test_validate(spark):
     eq = spark.createDataFrame([("AHU_2-01", "AHU"), ("VAV_2-01", "VAV"), ("VAV_2-02", "VAV"), ("CHW-PLANT_1", "CHW-PLANT")], "name string, type string")
     rows = [(1, "VAV_2-01", "AHU_2-01", "", "", "airRef", 0.9, False, False, ""), (2, "VAV-2-02", "AHU_2_1", "", "", "airRef", 0.9, False, False, ""), (3, "AHU_2-01", "CHW-PLANT_1", "", "", "chilledWaterRef", 0.9, False, False, "")]
-    ok = graph.report(graph.validate(spark.createDataFrame(rows, EDGE), eq, save=save)).first()
-    assert ok.asDict() == {"errors": 0, "orphans": 0, "review_items": 0, "passed": True}
-    bad = rows[:1] + [(2, "AHU_2-01", "VAV_2-01", "", "", "airRef", 0.5, False, False, "why"), (3, "ghost", "AHU_2-01", "", "", "airRef", None, True, False, "")]
-    f = graph.validate(spark.createDataFrame(bad, EDGE), eq, save=save).groupBy("check_id").count().collect()
-    assert {r["check_id"]: r["count"] for r in f} == {"cycle": 2, "ref_type_sanity": 2, "unknown_node": 1, "unresolved_endpoint": 1, "review_item": 2, "orphan_terminal": 1}
-    none = spark.createDataFrame([], EDGE)
-    assert graph.report(graph.validate(none, eq, save=save)).first()["orphans"] == 2
+    v = graph.validate(spark.createDataFrame(rows, EDGE), eq, save=save)
+    assert graph.report(v).first().asDict() == {"edge_count": 3, "accepted_edge_count": 3, "equipment_count": 4, "alias_resolution_count": 2, "unresolved_endpoint_count": 0, "ambiguous_endpoint_count": 0, "error_count": 0, "orphan_count": 0, "review_item_count": 0, "passed": True}
+    bad = rows[:1] + [(2, "AHU_2-01", "VAV_2-01", "", "", "airRef", 0.5, False, False, "why"), (3, "ghost 1", "AHU_2-01", "Ghost 01", "", "airRef", None, True, False, ""), (4, "", "AHU_2-01", None, "", "airRef", None, False, False, "")]
+    v = graph.validate(spark.createDataFrame(bad, EDGE), eq, spark.createDataFrame([("twin", "AHU_2-01"), ("twin", "VAV_2-02"), ("twin", "nobody")], "alias string, name string"), spark.createDataFrame([("GHOST-1",)], "name string"), save=save)
+    f = v.findings.collect()
+    assert {k: sum(r["check_id"] == k for r in f) for k in {r["check_id"] for r in f}} == {"cycle": 2, "ref_type_sanity": 2, "unknown_node": 2, "unresolved_endpoint": 2, "review_item": 2, "orphan_terminal": 1}
+    told = {r["message"]: list(r["nodes"]) for r in f if r["check_id"] == "unknown_node"}
+    assert told == {f"unresolved endpoint ['Ghost 01', 'ghost 1']: {graph.CANDIDATE_NOTE}; referenced by 1 edge(s)": ["Ghost 01", "ghost 1"], f"unresolved endpoint ['<blank child>']: {graph.ABSENT_NOTE}; referenced by 1 edge(s)": ["<blank child>"]}
+    doc = json.loads(graph.report_document(v).first()["document"])
+    assert doc["unresolved_endpoint_count"] == 2 and len(doc["errors"]) == doc["error_count"] == 6 and not doc["passed"] and doc["orphans"][0]["nodes"] == ["VAV_2-02"]
+    twins = [(1, "VAV_2-01", "twin", "", "", "airRef", 0.9, False, False, "")]
+    v = graph.validate(spark.createDataFrame(twins, EDGE), eq, spark.createDataFrame([("twin", "AHU_2-01"), ("twin", "VAV_2-02")], "alias string, name string"), save=save)
+    assert "endpoint labels ['twin'] resolve to multiple canonical units ['AHU_2-01', 'VAV_2-02']; referenced by 1 edge(s)" in {r["message"] for r in v.findings.collect()}
+    assert graph.report(graph.validate(spark.createDataFrame([], EDGE), eq, save=save)).first()["orphan_count"] == 2
+
+
+def test_cycles_of_any_length(spark):
+    assert graph.cycle_nodes(spark.sql("SELECT id AS child, (id + 1) % 50000 AS parent FROM range(50000) UNION ALL SELECT id + 100000, id FROM range(200) UNION ALL SELECT id + 200000, id + 200001 FROM range(300)"), save).count() == 50_000
+    rng, edges = random.Random(5), set()
+    for _ in range(150):
+        edges.add((rng.randrange(90), rng.randrange(90)))
+    edges |= {(200 + i, 200 + (i + 1) % 7) for i in range(7)} | {(207, 200), (300, 300), (301, 300), (400, 401), (401, 400), (401, 402), (402, 401)}
+    reach = {n: {b for a, b in edges if a == n} for n in {x for e in edges for x in e}}
+    while True:
+        more = {n: r | {y for x in r for y in reach[x]} for n, r in reach.items()}
+        if more == reach:
+            break
+        reach = more
+    got = {r["node"] for r in graph.cycle_nodes(spark.createDataFrame(sorted(edges), "child long, parent long"), save).collect()}
+    assert got == {n for n in reach if n in reach[n]} and len(got) > 15
 
 
 def test_responses(spark):
-    good = '{"equipment": [{"raw_label": "A 1", "equipment_type": "AHU", "confidence": "0.9"}, {"raw_label": "A1", "equipment_type": "AHU", "confidence": 0.95}]}'
+    good = '{"equipment": [{"raw_label": "A 1", "equipment_type": "AHU", "confidence": "0.9"}, {"raw_label": "A-01", "equipment_type": "AHU", "confidence": 0.95}]}'
     rows = [(1, good), (2, f"```json\n{good}\n```"), (3, good + " x"), (4, "[]"), (5, None), (6, '{"equipment": []}'), (7, good.replace("0.95", "2")), (8, good.replace("AHU", "ZZ"))]
     d = responses.parsed(spark.createDataFrame(rows, "image int, raw_text string"))
     got = {r["image"]: r["run_status"] for r in d.collect()}
@@ -219,15 +265,51 @@ def test_live_counters(spark, tmp_path):
 
 
 def test_ladder(spark):
-    d = inject.ladder(spark.range(4), [lambda r: "ok" if r["id"] == 0 else "no", lambda r: "ok" if r["id"] < 2 else "no"], "id", F.col("result") == "ok")
+    d = inject.ladder(spark.range(4), [lambda r: "ok" if r["id"] == 0 else "no", lambda r: "ok" if r["id"] < 2 else "no"], "id", F.col("result") == "ok", save=save)
     assert {r["id"]: (r["tier"], r["trail"], r["accepted"]) for r in d.collect()} == {0: (0, "0", True), 1: (1, "0,1", True), 2: (1, "0,1", False), 3: (1, "0,1", False)}
 
 
 def test_second_opinion(spark):
-    rows = [(1, "VAV", True, "type unknown", "VAV"), (2, "VAV", True, "other", "FCU"), (3, "VAV", False, "", "FCU")]
+    rows = [(1, "VAV", True, "type unknown", "vav"), (2, "VAV", True, "other", "FCU"), (3, "VAV", False, "", "FCU"), (4, "VAV", True, "grouping and type ambiguous", "VAV"), (5, "VAV", True, "x", None)]
     d = points.second_opinion(spark.createDataFrame(rows, "id int, equipment_type string, review_required boolean, review_reason string, seen string"), F.col("seen"))
     got = {r["id"]: (r["review_required"], r["review_reason"]) for r in d.collect()}
-    assert got[1] == (False, "") and got[2][0] and "image shows FCU" in got[2][1] and got[3] == (False, "")
+    assert got == {
+        1: (False, "type unknown; vision second pass CONFIRMED vav"), 2: (True, "other; vision second pass CONFLICT: sees FCU, topics say VAV"), 3: (False, ""),
+        4: (True, f"grouping and type ambiguous; vision second pass CONFIRMED VAV; {points.RETAINED}"), 5: (True, f"x; {points.NOTHING_SEEN}"),
+    }
+
+
+@pytest.mark.parametrize("reason, only", [
+    ("type 'FPTU' not evident in path label 'Floor context'", True), ("type ambiguous", True), ("Equipment  TYPE low confidence", True), ("type-only: look", True), ("[type-only]", True),
+    ("grouping and type ambiguous", False), ("type mismatch; floor unclear", False), ("type", False), ("unknown", False), ("", False), (" ; ", False), (None, False), ("merged types; type conflict", False),
+])
+def test_type_only_reasons(spark, reason, only):
+    assert one(spark, points.type_only(F.lit(reason).cast("string"))) == only
+
+
+def test_tile_union_and_image_duplicates(spark):
+    tiles = spark.createDataFrame([("i", 1, "OAVAV 2-1", 0.90), ("i", 2, "OAVAV2-1", 0.95), ("i", 3, "oavav2-1", 0.5)], "image string, seq int, canonical_name string, confidence double")
+    assert sorted((r["canonical_name"], r["confidence"]) for r in responses.tile_union(tiles).collect()) == [("OAVAV2-1", 0.95), ("oavav2-1", 0.5)]
+    item = lambda label, name, c: f'{{"raw_label": "{label}", "canonical_name": "{name}", "equipment_type": "FCU", "confidence": {c}}}'
+    text = '{"equipment": [' + ", ".join([item("FCU 02 5", "FCU_02_5", 0.7), item("other", "fcu-2-5", 0.74), item("FCU-2-5", "", 0.6), item("--", "", 0.9)]) + "]}"
+    rows = responses.flattened(responses.parsed(spark.createDataFrame([(1, text)], "image int, raw_text string"))).collect()
+    assert sorted((r["raw_label"], r["confidence"], r["first_seq"], r["review_reason"]) for r in rows) == [("--", 0.9, 3, ""), ("other", 0.74, 0, "low_confidence")]
+
+
+def test_identity_and_fingerprint(spark):
+    for name, want in (("VAVRH_2-01", "VAV-RH-HW|2_1"), ("VAV-RH-HW_02_1", "VAV-RH-HW|2_1"), ("Pump 07", "PUMP_7"), ("AHU_", "AHU|")):
+        assert one(spark, V.production_identity(F.lit(name))) == want
+    assert one(spark, L.fingerprint(a=F.lit("xy"), b=F.lit(None).cast("string"))) == hashlib.sha256(b"a\x002\x00xy\x00b\x000\x00\x00").hexdigest()
+
+
+def test_run_outcome(spark):
+    runs_ = spark.createDataFrame([("succeeded",), ("succeeded",), ("parse_failed",)], "run_status string")
+    routes = spark.createDataFrame([("a", "drawing"), ("b", "flat"), ("c", "flat")], "key string, route string")
+    log = spark.createDataFrame([("a", "succeeded", 1), ("b", "succeeded", 1), ("b", "failed", 2)], "key string, status string, seq int")
+    got = runs.outcome(runs_, routes, spark.createDataFrame([(0.9,), (0.75,), (0.1,), (None,)], "confidence double"), log).first().asDict()
+    assert list(got.values()) == [3, 2, 1, 1, 2, 1, 2, 4, 2, 2]
+    with pytest.raises(ValueError, match="Expected 3 topic contexts, found 2"):
+        points.expect_contexts(spark.range(2), 3)
 
 
 def test_groups_are_reduced_before_they_meet(spark):

@@ -93,8 +93,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, mark (of the text), node (digest of its words), component_id: the smallest doc_id reachable by links of Jaccard
     similarity 0.8 or more.
 
-    Texts of equal words, without regard to case and white space, are one node. Candidates are nodes whose five-word SimHash
-    fingerprints lie within 3 bits, and nodes that share a band. First each node is compared
+    Texts of equal words, without regard to case and white space, are one node. Candidates are a node and the head of its family
+    of five-word SimHash fingerprints linked within 3 bits, and nodes that share a band. First each node is compared
     with the smallest of its bucket; buckets that this doesn't make one component are then compared in full, in
     pairs of blocks. So a family of copies costs a row for each copy, not one for each pair, and every link is
     confirmed by its shingles. Null and empty texts are copies of each other. Rows without a doc_id are left out.
@@ -118,23 +118,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = settled(own.withColumn("mark", text_mark()).mapInArrow(sign, "doc_id long, mark long, node binary, fp long, bands array<long>"))
     nodes = settled(signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
     heads = settled(nodes.groupBy("fp").agg(F.min_by("node", "id").alias("head"), F.min("id").alias("id")))
-    twins = nodes.join(heads.select("fp", "head"), "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    named = lambda c: heads.select(F.col("id").alias(c), F.col("head").alias(f"{c}_n"))
-    close = fingerprint_links(heads.select("id", "fp")).distinct().join(named("a"), "a").join(named("b"), "b").select(F.col("a_n").alias("a"), F.col("b_n").alias("b"))
-    close = settled(twins.unionByName(close))
+    # the trees propose one pair a node: it and the head of the family that its fingerprint is in
+    family = components(fingerprint_links(heads.select("id", "fp")))
+    of = heads.join(family, heads["id"] == family["node"], "left").select("fp", F.coalesce("root", "id").alias("root"))
+    of = of.join(heads.select(F.col("id").alias("root"), F.col("head").alias("b")), "root").select("fp", "b")
+    close = settled(nodes.join(of, "fp").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
     slots = nodes.select("node", "id", F.posexplode("bands").alias("t", "key"))
     shared = slots.groupBy("t", "key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = settled(slots.join(shared.drop("n"), ["t", "key"]))
     also = nodes.join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "id")
     need = settled(met.select("node", "id").unionByName(also).distinct())
-    texts = own.join(need.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = own.join(few(need.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
     sets = texts.mapInArrow(shingled, "node binary, shingles array<long>").join(need.select("node"), "node", "left_semi")
     sets = settled(sets.dropDuplicates(["node"]))
 
     sided = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_s"))
     near = alike(F.size(F.array_intersect("a_s", "b_s")), F.size("a_s") + F.size("b_s"))
     confirmed = lambda pairs: pairs.join(sided("a"), "a").join(sided("b"), "b").where(near).select("a", "b")
-    by_trees = settled(confirmed(close.distinct()))
+    by_trees = settled(confirmed(close))
     held = settled(components(by_trees))
     at = lambda c: held.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     pairs = met.where("node <> b").select(F.col("node").alias("a"), "b").distinct().join(at("a"), "a", "left").join(at("b"), "b", "left")
@@ -163,6 +164,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return signed.select("doc_id", "mark", "node").join(named, "node").select("doc_id", "mark", "node", "component_id")
 
 
+def few(d: DataFrame) -> DataFrame:
+    """``d`` to be broadcast if it has at most ``BROADCAST_ROWS`` rows, else to be joined by a shuffle."""
+    return F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
+
+
 def text_mark(text: str = "text"):
     """A number for a text, by which its row is told from others of the same doc_id."""
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(text).isNull())
@@ -179,7 +185,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = settled(rows.join(best, "component_id").select("doc_id", "mark", "n", (F.col("best") == F.struct("doc_id", "mark")).alias("first")))
     gone = rows.where("NOT first").select("doc_id", "mark")
     again = rows.where("first AND n > 1").select("doc_id", "mark")
-    few = lambda d: F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
     marked, keys = docs.withColumn("_mark", text_mark()), lambda d: [F.col("doc_id") == d["_id"], F.col("_mark") == d["_of"]]
     named = lambda d: d.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"))
     lost = few(named(gone))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labels import append_reason, canonical_key, let, strip, type_prefix
@@ -183,3 +183,10 @@ CATEGORY_STATUS = {
 def report_status(category: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in CATEGORY_STATUS.items() for x in kv])
     return F.coalesce(F.try_element_at(table, category), F.nullif(category, F.lit("")), F.lit("matched"))
+
+
+def library_gaps(library: DataFrame) -> DataFrame:
+    """Types that a library(type, point_types, equip_tags) has and the vocabulary lacks, and the other way round: (type, missing_from)."""
+    known = library.sparkSession.createDataFrame([(t,) for t in LIBRARY_TYPES], "type string")
+    own = library.select("type").distinct()
+    return own.join(known, "type", "left_anti").withColumn("missing_from", F.lit("vocabulary")).unionByName(known.join(own, "type", "left_anti").withColumn("missing_from", F.lit("library")))

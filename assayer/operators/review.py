@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.labels import floor_digits, strip
 from ..functions.vocab import REF_TYPES, production_identity
 from .picks import first_per_key, last_per_key
 
-EDITABLE = ("name", "zone", "space_ref", "equipment_type", "reason")
-
 
 def inbox(equipment: DataFrame, relationships: DataFrame, applied: DataFrame) -> DataFrame:
     """(item_type, item_key) still to decide: all of both kinds without those applied in any session of the scope."""
@@ -104,23 +103,158 @@ def overlay(items: DataFrame, payload: Column, fields: list[str]) -> DataFrame:
     return items.withColumns({**{f: F.coalesce(given[f], F.col(f)) for f in fields}, "unknown": F.array_join(F.array_sort(F.array_except(keys, F.array(*map(F.lit, fields)))), ","), "blank": blank})
 
 
-def commit(actions: DataFrame, master: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
-    """All outputs of a commit as new tables: equipment first, then refs against the updated master, corrections, applied flags.
+def opened(requests: DataFrame, keys: DataFrame, applied: DataFrame) -> DataFrame:
+    """Sessions for requests(session_id, property_id, floor, created_by): open, with the number of items of their scope that are still
+    to decide. keys and applied: (property_id, floor, item_type, item_key)."""
+    left = keys.distinct().join(applied.distinct(), ["property_id", "floor", "item_type", "item_key"], "left_anti")
+    n = left.groupBy("property_id", "floor").agg(F.count(F.lit(1)).alias("n_open"))
+    return requests.join(n, ["property_id", "floor"], "left").select(
+        "session_id", "property_id", "floor", F.lit("open").alias("status"), "created_by", F.coalesce("n_open", F.lit(0)).cast("long").alias("n_open")
+    )
+
+
+ITEM = ["session_id", "item_type", "item_key"]
+
+
+def recorded(events: DataFrame, new: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new events to append, those refused with their rule): sessions have to be open, applied decisions are frozen."""
+    frozen = live_actions(events).where("applied").select(*ITEM, F.lit(True).alias("_frozen"))
+    open_ = sessions.where("status = 'open'").select("session_id", F.lit(True).alias("_open"))
+    rule = F.when(F.col("_open").isNull(), "session is not open").when(F.col("_frozen"), "action is already applied and frozen")
+    d = new.join(open_, "session_id", "left").join(frozen, ITEM, "left").withColumn("rule", rule).drop("_open", "_frozen")
+    return d.where("rule IS NULL").drop("rule").select(new.columns), d.where("rule IS NOT NULL")
+
+
+def cleared(events: DataFrame, session_id: str, at, action_id: str, item_type: str | None = None, item_key: str | None = None) -> DataFrame:
+    """Events that clear one undecided item of a session, or all of them; applied decisions stay. ``at`` is their created_at."""
+    d = live_actions(events).where((F.col("session_id") == session_id) & ~F.coalesce("applied", F.lit(False)))
+    if item_key is not None:
+        d = d.where((F.col("item_type") == item_type) & (F.col("item_key") == item_key.strip()))
+    kind = events.schema["action_id"].dataType.simpleString()
+    named = F.concat(F.lit(action_id), F.lit(":"), F.col("item_type"), F.lit(":"), F.col("item_key")) if kind == "string" else F.lit(action_id).cast(kind)
+    return d.withColumns({"action": F.lit("clear"), "created_at": F.lit(at).cast(events.schema["created_at"].dataType), "action_id": named}).select(events.columns)
+
+
+def session_state(sessions: DataFrame, events: DataFrame) -> DataFrame:
+    """sessions(session_id, n_open) with their counts; an engineer's own proposal (a live action with a source_item) is one item more."""
+    live = live_actions(events)
+    extra = live.where("source_item IS NOT NULL AND item_type = 'relationship'").groupBy("session_id").agg(F.count(F.lit(1)).alias("_extra"))
+    totals = sessions.join(extra, "session_id", "left").select("session_id", (F.col("n_open") + F.coalesce("_extra", F.lit(0))).alias("n_total"))
+    return session_counts(live, totals)
+
+
+CORRECTION_FIELDS = ("raw_label", "canonical_name", "equipment_type", "topics_raw_label", "drawing_raw_label")
+EQUIPMENT_FIELDS = ("canonical_name", "equipment_type", "floor", "zone", "space_ref")
+EDGE_FIELDS = ("child", "parent", "ref_type")
+MASTER_REFS = ("airRef", "chilledWaterRef", "hotWaterRef", "condenserWaterRef", "systemRef")
+
 
-    Actions already applied have no further effect, so a second run gives the same tables. Edges whose ends the
-    updated master lacks are left out and listed.
+def safe_fields(document: Column) -> Column:
+    """The correction fields of a JSON object that hold a scalar and aren't blank, trimmed, as JSON; nothing else passes."""
+    pairs = []
+    for f in CORRECTION_FIELDS:
+        raw = F.get_json_object(document, f"$.{f}")
+        value = F.nullif(strip(raw), F.lit(""))
+        pairs.append(F.when(~F.coalesce(value, F.lit("{")).rlike(r"^[\[{]"), value).alias(f))
+    return F.to_json(F.struct(*pairs))
+
+
+def _values(d: DataFrame, fields, required) -> DataFrame:
+    """Items with the fields of their payload laid over; ``problem`` names unknown fields and blank ones."""
+    o = overlay(d, F.col("payload"), list(fields))
+    blank = F.concat_ws(", ", *[F.when(F.coalesce(strip(F.col(f)), F.lit("")) == "", F.lit(f)) for f in required])
+    problem = F.when(F.col("unknown") != "", F.concat(F.lit("unsupported edit field(s): "), F.col("unknown"))).when(blank != "", F.concat(blank, F.lit(" must be a non-empty string")))
+    return o.withColumn("problem", problem).withColumns({f: strip(F.col(f)) for f in required}).drop("unknown", "blank")
+
+
+def commit(sessions: DataFrame, events: DataFrame, items: DataFrame, edges: DataFrame, master: DataFrame, *, save) -> dict[str, DataFrame]:
+    """All outputs of committing the open sessions, as new tables; nothing is changed in place.
+
+    sessions(session_id, property_id, floor, status, created_by); events: the action log (session_id, item_type, item_key, action, payload,
+    reason, reviewer, applied, created_at, action_id); items(property_id, item_key, canonical_name, equipment_type, floor); edges(property_id,
+    item_key, child, parent, ref_type); master(equipment_id long, property_id, name, floorRef, zone, spaceRef, and the ref columns).
+
+    A session is committed whole or not at all: a payload that isn't allowed, a decision without its reason, an item decided elsewhere already,
+    an identity that several master rows share or that belongs to another row, two items for one row, or an end that neither the master nor the
+    session's own equipment has, goes to ``problems``, and nothing of that session is applied. Equipment lands before references;
+    rows are matched by production identity, by the edited name first, then by the item's own. The last decision on a child's reference
+    wins. Decisions applied before have no further effect, so a second run gives the same tables.
+    Returns master (with ``change``), corrections, applied, problems, counts (session_id, n_committed, n_corrections).
     """
-    live = live_actions(actions.where("NOT applied"))
-    yes = live.where(F.col("action").isin("approve", "edit") & (F.col("item_type") == "equipment"))
-    made = yes.select(F.col("item_key").alias("name"), F.coalesce(F.get_json_object("payload", "$.zone"), F.get_json_object("source_item", "$.zone")).alias("zone"))
-    new = upsert(master.select("name", "zone"), made, "name", ["zone"])
-    ok = live.where(F.col("action").isin("approve", "edit") & (F.col("item_type") == "relationship")).select("item_key")
-    chosen = edges.withColumn("item_key", F.concat_ws("|", "child", "ref_type", "parent")).join(ok, "item_key", "left_semi")
-    lost = missing_endpoints(chosen, new)
-    usable = chosen.join(lost.select("seq").distinct(), "seq", "left_anti").withColumn("parent_id", F.col("parent"))
-    refs = last_per_key(usable, ["child", "ref_type"]).groupBy(F.col("child").alias("name")).agg(*[F.max(F.when(F.col("ref_type") == r, F.col("parent_id"))).alias(r) for r in REF_TYPES])
-    marks = live.select("session_id", "item_type", "item_key").withColumn("applied", F.lit(True))
-    return {"master": new.join(refs, "name", "left"), "corrections": corrections(live), "applied": marks, "missing_endpoints": lost}
+    own = sessions.where("status = 'open'").select("session_id", "property_id", F.col("floor").alias("_floor"), "created_by")
+    live = save(live_actions(events.drop("source_item")).where("NOT coalesce(applied, false)").join(own, "session_id"))
+    done = live_actions(events).where("applied").join(sessions.select("session_id", "property_id", F.col("floor").alias("_floor")), "session_id")
+    done = done.select("property_id", "_floor", "item_type", "item_key").distinct()
+    key = ["session_id", "item_type", "item_key"]
+    problem = lambda d, why: d.select(*key, F.lit(why).alias("problem"))
+    yes, changed = F.col("action").isin("approve", "edit"), F.col("action").isin("reject", "edit")
+    bad = [
+        problem(live.join(done, ["property_id", "_floor", "item_type", "item_key"], "left_semi"), "decided in an earlier commit"),
+        problem(live.where(changed & (F.coalesce(strip(F.col("reason")), F.lit("")) == "")), "no reason given"),
+        problem(live.where(~F.col("item_type").isin("equipment", "relationship")), "unsupported item type"),
+    ]
+    # equipment: values, identities, the master row each falls on
+    e = live.where("item_type = 'equipment'").join(items.withColumns({"zone": F.lit(None).cast("string"), "space_ref": F.lit(None).cast("string"), "_item": F.lit(True)}), ["property_id", "item_key"], "left")
+    bad.append(problem(e.where("_item IS NULL"), "no such item"))
+    e = e.where("_item").withColumn("original", F.to_json(F.struct("canonical_name", "equipment_type", "floor"))).withColumn("_was", F.col("canonical_name"))
+    e = _values(e, EQUIPMENT_FIELDS, EQUIPMENT_FIELDS[:3])
+    e = e.withColumn("identity", production_identity(F.col("canonical_name"))).withColumn("was", F.when(F.col("_was") != F.col("canonical_name"), production_identity(F.col("_was"))))
+    e = e.withColumn("floor_ref", F.when(~F.upper("equipment_type").endswith("-PLANT"), floor_digits(F.col("floor"))))
+    known = save(master.select("property_id", "equipment_id", production_identity(F.col("name")).alias("identity")))
+    per = known.groupBy("property_id", "identity").agg(F.min("equipment_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    at = lambda c, tag: per.select("property_id", F.col("identity").alias(c), F.col("id").alias(f"{tag}_id"), F.col("n").alias(f"{tag}_n"))
+    e = e.join(at("identity", "now"), ["property_id", "identity"], "left").join(at("was", "old"), ["property_id", "was"], "left")
+    made = F.xxhash64("property_id", "identity").bitwiseAND(F.lit(2**63 - 1))
+    e = save(e.withColumn("equipment_id", F.coalesce("now_id", "old_id", made)))
+    go = e.where(yes)
+    bad += [
+        go.where("problem IS NOT NULL").select(*key, "problem"),
+        problem(go.where("floor_ref IS NULL AND NOT upper(equipment_type) LIKE '%-PLANT'"), "floor can't be mapped"),
+        problem(go.where("now_n > 1 OR old_n > 1"), "identity matches multiple equipment rows"),
+        problem(go.where("now_id <> old_id"), "edited identity already belongs to another equipment row"),
+        problem(go.join(go.groupBy("property_id", "equipment_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), ["property_id", "equipment_id"], "left_semi"), "several items map to one equipment row"),
+    ]
+    # references: ends in the session's own equipment, else in the master under a name the session didn't change
+    r = live.where("item_type = 'relationship'").join(edges.withColumn("_item", F.lit(True)), ["property_id", "item_key"], "left")
+    bad.append(problem(r.where("_item IS NULL"), "no such item"))
+    r = r.where("_item").withColumn("original", F.to_json(F.struct(*EDGE_FIELDS)))
+    r = _values(r, EDGE_FIELDS, EDGE_FIELDS)
+    landed = go.select("session_id", "identity", F.col("equipment_id").alias("own_id"))
+    renamed = go.where("now_id IS NULL AND old_id IS NOT NULL").select(F.col("session_id").alias("gone_session"), F.col("old_id").alias("gone_id"))
+    for end in ("child", "parent"):
+        r = r.withColumn("identity", production_identity(F.col(end))).join(landed, ["session_id", "identity"], "left").join(per.withColumnRenamed("n", "_n"), ["property_id", "identity"], "left")
+        r = r.join(renamed, (F.col("session_id") == F.col("gone_session")) & (F.col("id") == F.col("gone_id")), "left")
+        r = r.withColumn(f"{end}_id", F.coalesce("own_id", F.when(F.col("gone_id").isNull() & (F.col("_n") == 1), F.col("id")))).drop("identity", "own_id", "id", "_n", "gone_session", "gone_id")
+    r = save(r)
+    ref = r.where(yes)
+    bad += [
+        ref.where("problem IS NOT NULL").select(*key, "problem"),
+        problem(ref.where(~F.col("ref_type").isin(*MASTER_REFS)), "not an equipment-to-equipment production reference"),
+        problem(ref.where("child_id IS NULL OR parent_id IS NULL"), "relationship endpoint is absent from equipment_details"),
+    ]
+    problems = bad[0]
+    for b in bad[1:]:
+        problems = problems.unionByName(b)
+    problems = save(problems.distinct())
+    stopped = problems.select("session_id").distinct()
+    fine = lambda d: d.join(stopped, "session_id", "left_anti")
+    # new version of the master
+    edits = fine(go).select("equipment_id", F.col("property_id").alias("_property"), F.col("canonical_name").alias("_name"), F.col("floor_ref").alias("_floorRef"), F.col("zone").alias("_zone"), F.col("space_ref").alias("_space"), F.lit(True).alias("_edit"))
+    j = master.withColumn("_old", F.lit(True)).join(edits, "equipment_id", "full_outer")
+    pick = lambda new, old: F.when(F.col("_edit"), F.col(new)).otherwise(F.col(old)).alias(old)
+    change = F.when(F.col("_old").isNull(), "insert").when(F.col("_edit"), "update").otherwise("keep")
+    new = j.select("equipment_id", F.coalesce("property_id", "_property").alias("property_id"), pick("_name", "name"), pick("_floorRef", "floorRef"), pick("_zone", "zone"), pick("_space", "spaceRef"), *MASTER_REFS, change.alias("change"))
+    last = first_per_key(fine(ref), ["child_id", "ref_type"], F.desc("created_at"), F.desc("action_id"))
+    wide = last.groupBy(F.col("child_id").alias("equipment_id")).agg(*[F.max(F.when(F.col("ref_type") == c, F.col("parent_id"))).alias(f"_{c}") for c in MASTER_REFS])
+    new = new.join(wide, "equipment_id", "left")
+    touched = F.coalesce(*[F.col(f"_{c}") for c in MASTER_REFS]).isNotNull()
+    new = new.withColumn("change", F.when((F.col("change") == "keep") & touched, "update").otherwise(F.col("change"))).withColumns({c: F.coalesce(f"_{c}", c) for c in MASTER_REFS}).drop(*[f"_{c}" for c in MASTER_REFS])
+    told = lambda d, fields: d.where(changed).select(*key, "original", F.when(F.col("action") == "edit", F.to_json(F.struct(*fields))).alias("corrected"), "reason", F.coalesce("reviewer", "created_by").alias("reviewer"))
+    log = fine(told(e, EQUIPMENT_FIELDS).unionByName(told(r, EDGE_FIELDS)))
+    applied = fine(live).select(*key, F.lit(True).alias("applied"))
+    n = fine(live).groupBy("session_id").agg(F.count_if(yes).alias("n_committed"), F.count_if(changed).alias("n_corrections"))
+    counts = fine(own.select("session_id")).join(n, "session_id", "left").fillna(0)
+    return {"master": new, "corrections": log, "applied": applied, "problems": problems, "counts": counts}
 
 
 def discrepancy_view(report: DataFrame, by: str | None = None) -> DataFrame:
@@ -142,10 +276,21 @@ def headlines(report: DataFrame, style: str = "store") -> DataFrame:
 def sorted_for_review(items: DataFrame, name: str, score: str = "confidence", ascending: bool = True, attention: bool = False) -> DataFrame:
     """Unscored items last; with ``attention`` flagged or doubtful ones first."""
     s = F.asc_nulls_last(score) if ascending else F.desc_nulls_last(score)
-    first = [F.desc(F.coalesce(F.col("review_required"), F.lit(False)) | F.coalesce(F.col(score) < 0.75, F.lit(False)))] if attention else []
+    first = [F.desc(needs_attention(score))] if attention else []
     return items.orderBy(*first, s, name)
 
 
+def placed_for_review(items: DataFrame, name: str, groups: list[str], score: str = "confidence", ascending: bool = True, attention: bool = False) -> DataFrame:
+    """``sorted_for_review`` within each of ``groups``, as a place from 1: an order that outlives the frame."""
+    s = F.asc_nulls_last(score) if ascending else F.desc_nulls_last(score)
+    first = [F.desc(needs_attention(score))] if attention else []
+    return items.withColumn("place", F.row_number().over(Window.partitionBy(*groups).orderBy(*first, s, name)))
+
+
+def needs_attention(score: str = "confidence") -> Column:
+    return F.coalesce(F.col("review_required"), F.lit(False)) | F.coalesce(F.col(score) < 0.75, F.lit(False))
+
+
 def filtered(items: DataFrame, property_id=None, floor=None, status=None, review_required=None, min_confidence=None) -> DataFrame:
     for c, v in (("property_id", property_id), ("floor", floor), ("status", status), ("review_required", review_required)):
         if v is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators import graph, points, reconcile, responses
+from ..operators import graph, reconcile, responses
 
 
 def building(topics: DataFrame, drawings: DataFrame, contested: DataFrame | None = None, edges: DataFrame | None = None, *, seq) -> dict[str, DataFrame]:
@@ -27,7 +27,3 @@ def evidence_to_edges(pages: DataFrame, seq, secondary: DataFrame | None = None,
 def runs_to_rows(runs: DataFrame) -> dict[str, DataFrame]:
     d = responses.parsed(runs)
     return {"runs": d, "rows": responses.flattened(d)}
-
-
-def point_units(topics: DataFrame) -> DataFrame:
-    return points.units(topics)

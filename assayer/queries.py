@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from .functions import labels as L
 from .functions import vocab as V
 from .operators import graph, images, inject, picks, points, reconcile, responses, review, runs
-from .sources import readers
 from .streaming import incremental
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels pages".split()
@@ -576,6 +575,28 @@ def corrections(t):
     return review.corrections(t(ACTIONS)).select("session_id", "item_key", "original", "corrected")
 
 
+LEDGER_MASTER = "SELECT s_suppkey AS equipment_id, 'p' AS property_id, CASE WHEN s_suppkey % 3 = 0 THEN 'VAVRH_2-0' ELSE 'AHU_2-' END || s_suppkey AS name, '9' AS floorRef, 'z' || (s_suppkey % 4) AS zone, cast(NULL AS string) AS spaceRef, cast(NULL AS bigint) AS airRef, cast(NULL AS bigint) AS chilledWaterRef, cast(NULL AS bigint) AS hotWaterRef, cast(NULL AS bigint) AS condenserWaterRef, cast(NULL AS bigint) AS systemRef FROM supplier WHERE s_suppkey % 5 <> 4"
+LEDGER_ITEMS = "SELECT 'p' AS property_id, 'i' || s_suppkey AS item_key, CASE WHEN s_suppkey % 3 = 0 THEN 'VAV-RH-HW_2-' ELSE 'AHU_2-0' END || s_suppkey AS canonical_name, CASE WHEN s_suppkey % 3 = 0 THEN 'VAV-RH-HW' ELSE 'AHU' END AS equipment_type, 'Floor_02' AS floor FROM supplier"
+LEDGER_EDGES = "SELECT 'p' AS property_id, 'e' || s_suppkey AS item_key, CASE WHEN s_suppkey % 3 = 0 THEN 'VAV-RH-HW_2-' ELSE 'AHU_2-' END || s_suppkey AS child, CASE WHEN s_suppkey % 13 = 5 THEN 'ghost_1' ELSE 'AHU_2-01' END AS parent, CASE WHEN s_suppkey % 2 = 0 THEN 'airRef' ELSE 'systemRef' END AS ref_type FROM supplier"
+LEDGER_SESSIONS = "SELECT DISTINCT 's' || (s_suppkey % 23) AS session_id, 'p' AS property_id, 'Floor_02' AS floor, CASE WHEN s_suppkey % 23 = 7 THEN 'committed' ELSE 'open' END AS status, 'boss' AS created_by FROM supplier"
+LEDGER_EVENTS = "SELECT 's' || (s_suppkey % 23) AS session_id, 'equipment' AS item_type, 'i' || s_suppkey AS item_key, CASE s_suppkey % 4 WHEN 0 THEN 'edit' WHEN 3 THEN 'reject' ELSE 'approve' END AS action, CASE s_suppkey % 4 WHEN 0 THEN '{\"zone\": \"new' || s_suppkey || '\"}' END AS payload, CASE s_suppkey % 4 WHEN 0 THEN 'moved' WHEN 3 THEN CASE WHEN s_suppkey % 23 = 3 THEN '' ELSE 'gone' END END AS reason, cast(NULL AS string) AS reviewer, false AS applied, s_suppkey AS created_at, s_suppkey AS action_id FROM supplier UNION ALL SELECT 's' || (s_suppkey % 23), 'relationship', 'e' || s_suppkey, 'approve', NULL, NULL, NULL, false, s_suppkey, s_suppkey + 1000000 FROM supplier WHERE s_suppkey % 4 = 1"
+
+
+@query(f"""WITH m AS ({LEDGER_MASTER}), ev AS (SELECT e.* FROM ({LEDGER_EVENTS}) e JOIN ({LEDGER_SESSIONS}) s USING (session_id) WHERE s.status = 'open'),
+go AS (SELECT ev.*, cast(substr(ev.item_key, 2) AS BIGINT) AS k, i.canonical_name AS name FROM ev JOIN ({LEDGER_ITEMS}) i USING (item_key) WHERE item_type = 'equipment' AND action IN ('approve', 'edit')),
+rel AS (SELECT ev.*, e.child, e.parent, e.ref_type, cast(substr(ev.item_key, 2) AS BIGINT) AS k FROM ev JOIN ({LEDGER_EDGES}) e USING (item_key) WHERE item_type = 'relationship'),
+bad AS (SELECT session_id FROM ev WHERE action = 'reject' AND reason = '' UNION SELECT session_id FROM rel WHERE parent = 'ghost_1' UNION SELECT session_id FROM rel WHERE k % 5 = 4 AND NOT EXISTS (SELECT 1 FROM go WHERE go.session_id = rel.session_id AND go.k = rel.k) UNION SELECT session_id FROM rel WHERE NOT EXISTS (SELECT 1 FROM m WHERE equipment_id = 1)),
+ok AS (SELECT * FROM go WHERE session_id NOT IN (SELECT session_id FROM bad)), r AS (SELECT k, max(ref_type) AS ref_type FROM rel WHERE session_id NOT IN (SELECT session_id FROM bad) GROUP BY k)
+SELECT coalesce(ok.name, m.name) AS name, CASE WHEN ok.k IS NOT NULL THEN '2' ELSE m.floorRef END AS floorRef, CASE WHEN ok.action = 'edit' THEN 'new' || ok.k WHEN ok.k IS NULL THEN m.zone END AS zone, r.ref_type = 'airRef' AS has_air, r.ref_type = 'systemRef' AS has_system,
+  CASE WHEN m.equipment_id IS NULL THEN 'insert' WHEN ok.k IS NOT NULL OR r.k IS NOT NULL THEN 'update' ELSE 'keep' END AS change
+FROM m FULL JOIN ok ON ok.k = m.equipment_id LEFT JOIN r ON r.k = coalesce(m.equipment_id, ok.k)""")
+def commit_sessions(t):
+    """The master after all open sessions that have no problem are committed."""
+    out = review.commit(t(LEDGER_SESSIONS), t(LEDGER_EVENTS), t(LEDGER_ITEMS), t(LEDGER_EDGES), t(LEDGER_MASTER), save=save)["master"]
+    has = lambda c, other: F.when(F.col(c).isNotNull(), True).when(F.col(other).isNotNull(), False)
+    return out.select("name", "floorRef", "zone", has("airRef", "systemRef").alias("has_air"), has("systemRef", "airRef").alias("has_system"), "change")
+
+
 EDITS = "SELECT l_suppkey * 2 AS s_suppkey, 'edited ' || count(*) AS s_name, cast(NULL AS double) AS s_acctbal FROM lineitem GROUP BY l_suppkey"
 
 
@@ -601,10 +622,9 @@ def missing_endpoints(t):
 SCORED = "SELECT d.doc_id, d.source, cast(l.quality AS double) AS confidence, false AS review_required FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 
 
-@query(f"SELECT doc_id, confidence, coalesce(confidence < 0.75, false) AS attention FROM ({SCORED})")
+@query(f"SELECT doc_id, source, confidence, coalesce(confidence < 0.75, false) AS attention, row_number() OVER (PARTITION BY source ORDER BY coalesce(confidence < 0.75, false) DESC, confidence ASC NULLS LAST, doc_id) AS place FROM ({SCORED})")
 def review_sort(t):
-    rows = review.sorted_for_review(t(SCORED), "doc_id", attention=True)
-    return rows.select("doc_id", "confidence", F.coalesce(F.col("confidence") < 0.75, F.lit(False)).alias("attention"))
+    return review.placed_for_review(t(SCORED), "doc_id", ["source"], attention=True).select("doc_id", "source", "confidence", review.needs_attention().alias("attention"), F.col("place").cast("long").alias("place"))
 
 
 @query("WITH l AS (SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id) SELECT event_id, user_id FROM l ORDER BY event_id DESC LIMIT 50")
@@ -669,16 +689,24 @@ def top_examples(t):
     return picks.top_examples(t("SELECT event_type AS category, 'u' || user_id AS value FROM events"), "category", "value")
 
 
-@query()
+FILES = "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN '../up' WHEN 2 THEN 'b' ELSE 'deep/er' END || '/' || CASE WHEN page_id % 9 = 0 THEN 'same' ELSE 'p' || page_id END || CASE page_id % 5 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpg' WHEN 2 THEN '.txt' WHEN 3 THEN '.pdf' ELSE '.json' END AS path, length(html) AS length, html FROM pages"
+KIND = "CASE WHEN p.path LIKE '%.PNG' THEN 'png' WHEN p.path LIKE '%.jpg' THEN 'jpeg' WHEN p.path LIKE '%.pdf' THEN 'pdf' WHEN p.path LIKE '%.json' THEN 'json' ELSE 'unsupported' END"
+
+
+@query(f"SELECT path, length AS size_bytes, sha256(coalesce(html, '')) AS sha256, {KIND} AS file_type, CASE WHEN {KIND} = 'unsupported' THEN 'unsupported' ELSE 'discovered' END AS status FROM ({FILES}) p")
 def file_inventory(t):
-    """Size and type of the tables' own files."""
-    return readers.listing(t.spark, t.dir).select(F.regexp_extract("key", r"([^/]+/?[^/]+)$", 1).alias("name"), "size", L.file_type(F.col("key")).alias("file_type"))
+    """Size, digest and type of every page as a file."""
+    f = t(FILES).select("path", F.col("length").cast("long").alias("length"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    return images.manifest(f)
 
 
-@query()
+@query(f"""WITH f AS (SELECT p.path AS relative_path, {KIND} AS file_type FROM ({FILES}) p), k AS (SELECT *, CASE WHEN relative_path NOT LIKE '../%' THEN 'raw/' || file_type || '/' || relative_path END AS object_key FROM f),
+n AS (SELECT *, count(object_key) OVER (PARTITION BY object_key) AS n FROM k)
+SELECT relative_path, object_key, CASE WHEN object_key IS NULL THEN 'rejected' WHEN file_type = 'unsupported' THEN 'skipped' WHEN n > 1 THEN 'duplicate' WHEN contains(object_key, '7') THEN 'conflict' ELSE 'planned' END AS status FROM n""")
 def raw_plan(t):
-    f = readers.listing(t.spark, t.dir).select(F.regexp_extract("key", r"([^/]+/[^/]+)$", 1).alias("relative_path"), L.file_type(F.col("key")).alias("file_type"))
-    return images.preservation_plan(f, f.limit(0).select(F.lit("").alias("key")), "raw")
+    f = t(FILES).select(F.col("path").alias("relative_path"), L.file_type(F.col("path")).alias("file_type"))
+    have = f.select(L.object_key("raw", F.col("file_type"), F.col("relative_path")).alias("key")).where("contains(key, '7')")
+    return images.preservation_plan(f, have, "raw").select("relative_path", "object_key", "status")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE upper(event_type) END AS payload, CASE WHEN event_id % 9 = 0 THEN 'parse_failure' ELSE 'succeeded' END AS run_status FROM events")

@@ -105,11 +105,24 @@ def listing(spark: SparkSession, path: str, without: str | None = None) -> DataF
 
 
 def names(df: DataFrame, column: str, seq: str = "seq") -> DataFrame:
-    """Distinct names that aren't blank, in the order of their first place."""
+    """Distinct names that aren't blank, in the order of their first place. None at all is an error."""
     d = df.withColumn("name", strip(F.col(column))).where("name <> ''")
+    if d.limit(1).count() == 0:
+        raise ContractError(f"no equipment names found in column '{column}'")
     return d.groupBy("name").agg(F.min(seq).alias(seq)).orderBy(seq)
 
 
+def topic_names(df: DataFrame, column: str) -> DataFrame:
+    """The names of a column that aren't blank, every one of them, as often as it stands."""
+    return df.select(strip(F.col(column)).alias("topic_name")).where("topic_name <> ''")
+
+
+def type_library(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines {type, point_types: [...], equip_tags: [...]}: one row a type, both lists as they stand."""
+    schema = T.StructType.fromDDL("type string, point_types array<string>, equip_tags array<string>")
+    return json_lines(spark, path, schema, strict=True)
+
+
 def topics(df: DataFrame, property_id, prefix: str) -> DataFrame:
     return df.where((F.col("property_id") == property_id) & F.col("topic_name").startswith(f"{prefix}/")).orderBy("topic_name")
 

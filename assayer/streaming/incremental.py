@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.picks import first_per_key
 from ..operators.review import live_actions, session_counts
-from ..sources.sinks import append, export_outbox, publish
+from ..sources.sinks import append, export_outbox, publish, published
 
 
 def _read(spark, path):
@@ -49,22 +50,28 @@ def outbox(stream: DataFrame, pool_path: str, checkpoint: str, key: str = "corre
     return _run(stream, lambda b, _: export_outbox(b.sparkSession, b, pool_path, key), checkpoint)
 
 
-def live_counters(stream: DataFrame, events_path: str, counts_root: str, checkpoint: str):
-    """Session counters after every batch of action events; a late older event never replaces a newer one."""
+def live_counters(stream: DataFrame, latest_root: str, counts_root: str, checkpoint: str):
+    """Session counters after every batch of action events; a late older event never replaces a newer one.
+
+    The state is the latest event of each (session, item): a batch is reduced to its latest events and meets the state, which is
+    published as a new version; the log is not read again. A repeated batch changes nothing.
+    """
 
     def each(batch, batch_id):
-        spark = batch.sparkSession
-        append(batch.dropDuplicates(["action_id"]), events_path)
-        every = _read(spark, events_path).dropDuplicates(["action_id"])
-        publish(session_counts(live_actions(every)), counts_root, f"{batch_id:012d}")
+        spark, version = batch.sparkSession, f"{batch_id:012d}"
+        before = _published(spark, latest_root)
+        every = batch if before is None else batch.unionByName(before.select(batch.columns))
+        keys = ["session_id", "item_type", "item_key"]
+        publish(first_per_key(every, keys, F.desc("created_at"), F.desc("action_id")), latest_root, version)
+        publish(session_counts(live_actions(published(spark, latest_root))), counts_root, version)
 
     return _run(stream, each, checkpoint)
 
 
-def latest_by_watermark(stream: DataFrame, time: str, delay: str, keys: list[str]) -> DataFrame:
-    """Short-range retries dropped inside the stream itself."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
-
-
-def windowed_counts(stream: DataFrame, time: str, delay: str, width: str, by: str) -> DataFrame:
-    return stream.withWatermark(time, delay).groupBy(F.window(time, width), by).agg(F.count(F.lit(1)).alias("n"))
+def _published(spark, root: str):
+    try:
+        return published(spark, root)
+    except Exception as e:  # no version yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None

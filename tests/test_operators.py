@@ -216,16 +216,92 @@ def test_review(spark):
     assert (o["unknown"], o["blank"]) == ("odd", True)
 
 
-def test_commit_again_changes_nothing(spark):
-    a = spark.createDataFrame([("s", "equipment", "N", "approve", 1, "1", False, None, '{"zone": "z"}', None), ("s", "relationship", "N|airRef|M", "approve", 1, "2", False, None, "{}", None), ("s", "equipment", "M", "reject", 1, "3", False, None, "{}", "no")],
-        "session_id string, item_type string, item_key string, action string, created_at int, action_id string, applied boolean, payload string, source_item string, reason string")
-    master = spark.createDataFrame([("M", "old")], "name string, zone string")
-    e = spark.createDataFrame([(1, "N", "airRef", "M")], "seq int, child string, ref_type string, parent string")
-    out = review.commit(a, master, e)
-    assert {(r["name"], r["zone"], r["airRef"]) for r in out["master"].collect()} == {("M", "old", None), ("N", "z", "M")}
-    assert out["corrections"].count() == 1 and out["missing_endpoints"].count() == 0
-    again = review.commit(a.withColumn("applied", F.lit(True)), out["master"].select("name", "zone"), e)
-    assert again["applied"].count() == 0 and again["master"].where("change <> 'keep'").count() == 0
+EVENT = "session_id string, item_type string, item_key string, action string, payload string, reason string, reviewer string, applied boolean, created_at int, action_id string"
+MASTER = "equipment_id long, property_id string, name string, floorRef string, zone string, spaceRef string, airRef long, chilledWaterRef long, hotWaterRef long, condenserWaterRef long, systemRef long"
+
+
+def ledger(spark, events, sessions=("s",), master=((1, "p", "AHU_2-01", "2", "old", None), (2, "p", "VAV_02_7", "2", None, None), (3, "q", "AHU_2-01", "2", None, None))):
+    items = [("p", "A", "AHU_2-1", "AHU", "Floor_02"), ("p", "N", "FCU_2-05", "FCU", "Floor_02"), ("p", "V", "VAV_2-07", "VAV", "Floor_02"), ("p", "C", "CHW-PLANT_1", "CHW-PLANT", "Floor_02"), ("p", "W", "AHU_2-001", "AHU", "Floor_02")]
+    edges = [("p", "N|airRef|A", "FCU_2-5", "AHU_2-01", "airRef"), ("p", "V|airRef|X", "VAV_2-07", "nobody_1", "airRef"), ("p", "V|spaceRef|A", "VAV_2-07", "AHU_2-01", "spaceRef"), ("p", "V|airRef|A", "VAV_2_7", "AHU_2-01", "airRef")]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    opened = [(s, "p", "Floor_02", "open", "boss") for s in sessions]
+    log = [(*(e[:4]), e[4], e[5], None, False, k, f"a{k}") for k, e in enumerate(events)]
+    return (
+        frame(opened, "session_id string, property_id string, floor string, status string, created_by string"), frame(log, EVENT),
+        frame(items, "property_id string, item_key string, canonical_name string, equipment_type string, floor string"),
+        frame(edges, "property_id string, item_key string, child string, parent string, ref_type string"), frame([(*m, None, None, None, None, None) for m in master], MASTER),
+    )
+
+
+def test_commit_and_again(spark):
+    sessions, events, items, edges, master = ledger(spark, [
+        ("s", "equipment", "A", "edit", '{"zone": "north"}', "moved"), ("s", "equipment", "N", "approve", None, None), ("s", "equipment", "V", "reject", None, "no such unit"),
+        ("s", "relationship", "N|airRef|A", "approve", None, None), ("s", "equipment", "C", "approve", None, None), ("s", "relationship", "V|airRef|A", "edit", '{"parent": "AHU_2-1"}', "shorter"),
+    ])
+    out = review.commit(sessions, events, items, edges, master, save=save)
+    assert out["problems"].count() == 0
+    rows = {r["name"]: r for r in out["master"].where("property_id = 'p'").collect()}
+    assert set(rows) == {"AHU_2-1", "VAV_02_7", "FCU_2-05", "CHW-PLANT_1"}
+    assert (rows["AHU_2-1"]["equipment_id"], rows["AHU_2-1"]["zone"], rows["AHU_2-1"]["change"]) == (1, "north", "update")
+    assert (rows["FCU_2-05"]["change"], rows["FCU_2-05"]["airRef"], rows["FCU_2-05"]["floorRef"], rows["CHW-PLANT_1"]["floorRef"]) == ("insert", 1, "2", None)
+    assert (rows["VAV_02_7"]["airRef"], rows["VAV_02_7"]["change"]) == (1, "update") and out["master"].where("property_id = 'q'").first()["change"] == "keep"
+    log = {r["item_key"]: r for r in out["corrections"].collect()}
+    assert set(log) == {"A", "V", "V|airRef|A"} and log["V"]["corrected"] is None and json.loads(log["A"]["corrected"])["zone"] == "north" and json.loads(log["A"]["original"])["canonical_name"] == "AHU_2-1" and log["A"]["reviewer"] == "boss"
+    assert tuple(out["counts"].first()) == ("s", 5, 3) and out["applied"].count() == 6
+    again = review.commit(sessions, events.withColumn("applied", F.lit(True)), items, edges, out["master"].drop("change"), save=save)
+    assert again["master"].where("change <> 'keep'").count() == 0 and again["corrections"].count() == again["applied"].count() == again["problems"].count() == 0
+    assert sorted(map(str, again["master"].drop("change").collect())) == sorted(map(str, out["master"].drop("change").collect()))
+
+
+@pytest.mark.parametrize("events, problem", [
+    ([("equipment", "A", "edit", '{"color": "red"}', "x")], "unsupported edit field(s): color"),
+    ([("equipment", "A", "edit", '{"canonical_name": " "}', "x")], "canonical_name must be a non-empty string"),
+    ([("equipment", "A", "reject", None, None)], "no reason given"),
+    ([("equipment", "A", "edit", '{"canonical_name": "VAV_2-7"}', "x")], "edited identity already belongs to another equipment row"),
+    ([("equipment", "A", "approve", None, None), ("equipment", "W", "approve", None, None)], "several items map to one equipment row"),
+    ([("relationship", "N|airRef|A", "approve", None, None)], "relationship endpoint is absent from equipment_details"),
+    ([("relationship", "V|airRef|X", "approve", None, None)], "relationship endpoint is absent from equipment_details"),
+    ([("relationship", "V|spaceRef|A", "approve", None, None)], "not an equipment-to-equipment production reference"),
+    ([("equipment", "zz", "approve", None, None)], "no such item"),
+    ([("point", "A", "approve", None, None)], "unsupported item type"),
+])
+def test_a_session_is_committed_whole_or_not_at_all(spark, events, problem):
+    events = [("s", *e) for e in events] + [("t", "equipment", "C", "approve", None, None), ("s", "equipment", "V", "approve", None, None)]
+    out = review.commit(*ledger(spark, events, ("s", "t")), save=save)
+    assert problem in {r["problem"] for r in out["problems"].collect()} and {r["session_id"] for r in out["problems"].collect()} == {"s"}
+    assert {(r["session_id"], r["item_key"]) for r in out["applied"].collect()} == {("t", "C")} and [r["name"] for r in out["master"].where("change <> 'keep'").collect()] == ["CHW-PLANT_1"]
+
+
+def test_sessions_as_operations(spark):
+    frame = spark.createDataFrame
+    keys = frame([("p", "F", "equipment", k) for k in "ABC"], "property_id string, floor string, item_type string, item_key string")
+    s = review.opened(frame([("s", "p", "F", "me"), ("u", "q", "F", "me")], "session_id string, property_id string, floor string, created_by string"), keys, keys.where("item_key = 'C'"))
+    assert {(r["session_id"], r["status"], r["n_open"]) for r in s.collect()} == {("s", "open", 2), ("u", "open", 0)}
+    schema = f"{EVENT}, source_item string"
+    ev = frame([("s", "equipment", "A", "approve", None, None, None, True, 1, "a1", None), ("s", "equipment", "B", "reject", None, "no", None, False, 2, "a2", None), ("s", "relationship", "x", "approve", None, None, None, False, 3, "a3", "{}")], schema)
+    state = lambda e: tuple(review.session_state(s.where("session_id = 's'"), e).select("n_approved", "n_rejected", "n_pending").first())
+    assert state(ev) == (2, 1, 0)
+    new = frame([("s", "equipment", "A", "reject", None, "no", None, False, 4, "a4", None), ("s", "equipment", "B", "approve", None, None, None, False, 5, "a5", None), ("gone", "equipment", "B", "approve", None, None, None, False, 6, "a6", None)], schema)
+    good, refused = review.recorded(ev, new, s)
+    assert [r["action_id"] for r in good.collect()] == ["a5"] and {r["rule"] for r in refused.collect()} == {"action is already applied and frozen", "session is not open"}
+    assert state(ev.unionByName(good)) == (3, 0, 0)
+    assert state(ev.unionByName(review.cleared(ev, "s", 9, "c1", "relationship", " x "))) == (1, 1, 0)
+    assert state(ev.unionByName(review.cleared(ev, "s", 9, "c1"))) == (1, 0, 1)
+
+
+def test_safe_correction_fields(spark):
+    text = '{"raw_label": " AHU 1 ", "canonical_name": "", "equipment_type": ["x"], "topics_raw_label": 7, "drawing_raw_label": {"a": 1}, "note": "secret"}'
+    assert json.loads(one(spark, review.safe_fields(F.lit(text)))) == {"raw_label": "AHU 1", "topics_raw_label": "7"}
+    assert json.loads(one(spark, review.safe_fields(F.lit("[1]")))) == {}
+
+
+def test_type_library(spark, tmp_path):
+    (tmp_path / "types.jsonl").write_text("\n".join(json.dumps({"type": t, "point_types": ["Zone_airtemp"], "equip_tags": ["equip"]}) for t in [*V.LIBRARY_TYPES[1:], "KILN"]))
+    library = readers.type_library(spark, str(tmp_path / "types.jsonl"))
+    assert {tuple(r) for r in V.library_gaps(library).collect()} == {("KILN", "vocabulary"), (V.LIBRARY_TYPES[0], "library")} and library.first()["point_types"] == ["Zone_airtemp"]
+    with pytest.raises(readers.ContractError, match="no equipment names"):
+        readers.names(spark.createDataFrame([(" ", 1)], "n string, seq int"), "n")
+    assert readers.topic_names(spark.createDataFrame([("a ",), ("a",), (" ",)], "n string"), "n").count() == 2
 
 
 def test_csv_contract(spark, tmp_path):
@@ -259,7 +335,7 @@ def test_live_counters(spark, tmp_path):
     for k, r in enumerate(rows):
         spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        incremental.live_counters(stream, str(tmp_path / "ev"), str(tmp_path / "n"), str(tmp_path / "cp"))
+        incremental.live_counters(stream, str(tmp_path / "state"), str(tmp_path / "n"), str(tmp_path / "cp"))
     r = sinks.published(spark, str(tmp_path / "n")).first()
     assert (r["n_approved"], r["n_rejected"]) == (1, 0)
 

@@ -63,12 +63,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps. Every step is one grouped minimum (combined before the shuffle)
     and one join; each round's edges are a table that goes when the next but one stands. Nodes without an edge don't occur in
-    the result. Rounds grow with the logarithm of the longest chain; only the count of changed edges reaches the driver.
+    the result. Rounds grow with the logarithm of the longest chain; only that mark reaches the driver.
     """
     e, path = tabled(
         edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     )
+    # distinct edges by their number and a 64-bit mark of all of them
+    mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+    seen = mark(e)
     for _ in range(max_rounds):
+        if not seen[0]:
+            break
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             e.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
@@ -80,10 +85,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
         new, at = tabled(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct())
-        changed = new.exceptAll(e).limit(1).count() + e.exceptAll(new).limit(1).count()
+        seen, before = mark(new), seen
         removed(e.sparkSession, path)
         e, path = new, at
-        if not changed:
+        if seen == before:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -42,6 +42,11 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def settled_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the context's checkpoint folder where it has one, else ``shared_folder``."""
+    return spark.sparkContext.getCheckpointDir() or shared_folder(spark)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder, without its lineage."""
     sc = df.sparkSession.sparkContext
@@ -53,7 +58,7 @@ def settled(df: DataFrame) -> DataFrame:
 def tabled(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, and its path. For iterations: a table's size is known, where the estimates of a
     checkpoint's size multiply from round to round until planning stands still."""
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir() or shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{settled_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chatformat, decontaminate, embeddings, licenses, lmscore, mixing, pagetext, simhash, tokencount, toxicity
+from . import chatformat, decontaminate, divergence, embeddings, exactdup, licenses, lmscore, manifest, mixing, pagetext, simhash, tokencount, toxicity
 from .common import table
 
 
@@ -52,11 +52,24 @@ def op10_source_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark, sf_dir):
+    return exactdup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_score, op2_license_scan, op3_simhash_near_dedup, op4_toxicity, op5_chat_format, op6_embedding_near_dedup,
-        op7_token_count, op8_html_text, op9_decontamination, op10_source_mixing,
+        op7_token_count, op8_html_text, op9_decontamination, op10_source_mixing, op11_exact_dedup, op12_source_divergence,
+        op13_merkle_manifest,
     )
 }
 #: the others fit a model, hash with XXH64, or run a tokenizer: no SQL for those
@@ -65,4 +78,7 @@ ORACLES = {
     "op5_chat_format": chatformat.oracle_sql(),
     "op9_decontamination": decontaminate.oracle_sql(),
     "op10_source_mixing": mixing.oracle_sql(),
+    "op11_exact_dedup": exactdup.oracle_sql(),
+    "op12_source_divergence": divergence.oracle_sql(),
+    "op13_merkle_manifest": manifest.oracle_sql(),
 }

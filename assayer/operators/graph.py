@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.labels import append_reason, canonical_key, strip, to_bool, type_prefix, widget_kind
-from .picks import first_by, ordered_distinct, side_by_side
+from .cycles import cycle_nodes
+from .picks import first_by, ordered_distinct
 
 # Review threshold, confidence by link state and kind, and the notes attached to edges.
 LOW = 0.75
@@ -34,6 +35,16 @@ def scope_of(df: DataFrame) -> list[str]:
     return [c for c in ("property_id", "floor") if c in df.columns]
 
 
+def _shared(df: DataFrame, other: DataFrame) -> list[str]:
+    """The scope columns by which two frames meet: those that both have."""
+    return [c for c in scope_of(df) if c in other.columns]
+
+
+def _filled(df: DataFrame) -> DataFrame:
+    """A null property or floor is the empty one, so that rows without it meet each other."""
+    return df.fillna("", scope_of(df)) if scope_of(df) else df
+
+
 def edges_from(df: DataFrame, floor: str = "2") -> DataFrame:
     """child_raw, parent_raw, ref_type, link_kind, confidence, source_drawing, evidence_kind, conflict, conflict_reason, notes -> edges,
     with the scope columns that df has; the floor in names is that of the row, else ``floor``."""
@@ -134,18 +145,20 @@ def review_notes(evidence: DataFrame, kinds=("no_oa_link", "no_ahu_link")) -> Da
 
 
 def merge_secondary(edges: DataFrame, secondary: DataFrame) -> DataFrame:
-    """``edges`` and those of a second source whose (child, ref_type) the first lacks."""
-    return edges.unionByName(secondary.join(edges.select("child", "ref_type").distinct(), ["child", "ref_type"], "left_anti"))
+    """``edges`` and those of a second source whose (child, ref_type) the first lacks, scope by scope."""
+    edges, secondary = _filled(edges), _filled(secondary)
+    keys = [*_shared(secondary, edges), "child", "ref_type"]
+    return edges.unionByName(secondary.join(edges.select(*keys).distinct(), keys, "left_anti"))
 
 
 def union_edges(edges: DataFrame) -> DataFrame:
-    """One row for each (child, ref_type, parent): best confidence, any conflict and its first reason, drawings in order, hits."""
-    flag = F.coalesce("conflict", F.lit(False))
-    each = edges.groupBy("child", "ref_type", "parent", "source_drawing").agg(
+    """One row for each (scope, child, ref_type, parent): best confidence, any conflict and its first reason, drawings in order, hits."""
+    flag, keys = F.coalesce("conflict", F.lit(False)), [*scope_of(edges), "child", "ref_type", "parent"]
+    each = edges.groupBy(*keys, "source_drawing").agg(
         F.max("confidence").alias("confidence"), F.bool_or(flag).alias("conflict"), F.min("seq").alias("seq"), F.min(F.when(flag, F.col("seq"))).alias("_at"),
         first_by(F.col("conflict_reason"), F.col("seq"), flag).alias("conflict_reason"), F.count(F.lit(1)).alias("tile_hits"),
     )
-    return each.groupBy("child", "ref_type", "parent").agg(
+    return each.groupBy(*keys).agg(
         F.max("confidence").alias("confidence"), F.bool_or("conflict").alias("conflict"),
         first_by(F.col("conflict_reason"), F.col("_at")).alias("conflict_reason"),
         F.array_join(ordered_distinct(F.col("source_drawing"), F.col("seq")), ";").alias("source_drawings"), F.sum("tile_hits").alias("tile_hits"),
@@ -153,48 +166,60 @@ def union_edges(edges: DataFrame) -> DataFrame:
 
 
 def candidates(edges: DataFrame) -> DataFrame:
-    """Parents with a name of their own that are nobody's child."""
-    own = F.lit(False)
+    """Parents with a name of their own that are nobody's child in their scope."""
+    edges = _filled(edges)
+    scope, own = scope_of(edges), F.lit(False)
     for p in vocab.PASSTHROUGH:
         own = own | F.col("name").startswith(p)
-    parents = edges.select(F.col("parent").alias("name")).distinct().where(own)
-    return parents.join(edges.select(F.col("child").alias("name")).distinct(), "name", "left_anti")
+    parents = edges.select(*scope, F.col("parent").alias("name")).distinct().where(own)
+    return parents.join(edges.select(*scope, F.col("child").alias("name")).distinct(), [*scope, "name"], "left_anti")
 
 
 def alias_targets(equipment: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """key -> set of canonical names; equipment(name, type), aliases(alias, name). A name stands under its own key, and a name
-    without a token under itself; aliases of names that aren't equipment count for nothing."""
+    """(scope, key) -> set of canonical names; equipment(name, type), aliases(alias, name), both with the scope columns they have. A name
+    stands under its own key, and a name without a token under itself; aliases of names that aren't equipment of their scope
+    count for nothing; aliases without scope columns hold in every scope that has the name."""
+    equipment = _filled(equipment)
+    scope = scope_of(equipment)
     own = F.coalesce(canonical_key(F.col("name")), F.concat(F.lit("="), F.col("name")))
-    d = equipment.select(own.alias("key"), "name")
+    d = equipment.select(*scope, own.alias("key"), "name")
     if aliases is not None:
-        d = d.unionByName(aliases.join(equipment.select("name").distinct(), "name", "left_semi").select(canonical_key(F.col("alias")).alias("key"), "name"))
-    return d.where("key IS NOT NULL").groupBy("key").agg(F.array_sort(F.collect_set("name")).alias("targets"))
+        aliases = _filled(aliases)
+        named = aliases.join(equipment.select(*scope, "name").distinct(), [*_shared(aliases, equipment), "name"])
+        d = d.unionByName(named.select(*scope, canonical_key(F.col("alias")).alias("key"), "name"))
+    return d.where("key IS NOT NULL").groupBy(*scope, "key").agg(F.array_sort(F.collect_set("name")).alias("targets"))
 
 
 def resolve(edges: DataFrame, equipment: DataFrame, aliases: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
-    """(seq, role) -> identity, labels, targets, status (resolved, unresolved, ambiguous), canonical, used_alias, declared, said (the edge).
+    """(scope, seq, role) -> identity, labels, targets, status (resolved, unresolved, ambiguous), canonical, used_alias, declared, said (the edge).
 
-    An end is named by its label and its raw label. Every distinct label is resolved once; ends look theirs up, and ends
-    without a raw label don't meet for it.
+    An end is named by its label and its raw label, and resolves among the equipment of its own property and floor, by the scope columns
+    that both frames have; ``seq`` numbers the edges of a scope. Every distinct label of a scope is resolved once; ends look
+    theirs up, and ends without a raw label don't meet for it.
     """
+    edges = _filled(edges)
+    scope, met = scope_of(edges), _shared(edges, equipment)
     text = lambda c: strip(F.col(c))
     shown = lambda c: F.coalesce(F.nullif(text(c), F.lit("")), F.lit("<blank>"))
     said = F.concat(shown("child"), F.lit(" -> "), shown("parent"), F.lit(" ("), shown("ref_type"), F.lit(")"))
     end = lambda role: F.struct(F.lit(role).alias("role"), text(role).alias("label"), text(f"{role}_raw").alias("raw"))
-    ends = edges.select("seq", "ref_type", said.alias("said"), F.explode(F.array(end("child"), end("parent"))).alias("e")).select("seq", "ref_type", "said", "e.*")
-    names = ends.select(F.explode(F.array("label", "raw")).alias("text")).where("text <> ''").distinct()
+    ends = edges.select(*scope, "seq", "ref_type", said.alias("said"), F.explode(F.array(end("child"), end("parent"))).alias("e")).select(*scope, "seq", "ref_type", "said", "e.*")
+    names = ends.select(*met, F.explode(F.array("label", "raw")).alias("text")).where("text <> ''").distinct()
     names = names.withColumn("own", canonical_key(F.col("text"))).withColumn("key", F.coalesce("own", F.concat(F.lit("="), F.col("text"))))
-    found = names.join(alias_targets(equipment, aliases), "key", "left")
+    found = names.join(alias_targets(equipment.select(*met, "name"), aliases), [*met, "key"], "left")
     if declared is not None:
-        found = found.join(declared.select(canonical_key(F.col("name")).alias("own")).where("own IS NOT NULL").distinct().withColumn("_d", F.lit(True)), "own", "left")
+        declared = _filled(declared)
+        told = [c for c in met if c in declared.columns]
+        known = declared.select(*told, canonical_key(F.col("name")).alias("own")).where("own IS NOT NULL").distinct()
+        found = found.join(known.withColumn("_d", F.lit(True)), [*told, "own"], "left")
     else:
         found = found.withColumn("_d", F.lit(False))
     none = F.array().cast("array<string>")
-    found = found.select("text", "own", F.coalesce("targets", none).alias("targets"), F.coalesce("_d", F.lit(False)).alias("declared"))
-    told = lambda c: found.select(F.col("text").alias(c), F.struct("own", "targets", "declared").alias(f"_{c}"))
-    d = ends.join(told("label"), "label", "left")
+    found = found.select(*met, "text", "own", F.coalesce("targets", none).alias("targets"), F.coalesce("_d", F.lit(False)).alias("declared"))
+    told = lambda c: found.select(*met, F.col("text").alias(c), F.struct("own", "targets", "declared").alias(f"_{c}"))
+    d = ends.join(told("label"), [*met, "label"], "left")
     blank = F.col("raw") == ""
-    d = d.where(~blank).join(told("raw"), "raw", "left").unionByName(d.where(blank).withColumn("_raw", F.lit(None).cast(d.schema["_label"].dataType)))
+    d = d.where(~blank).join(told("raw"), [*met, "raw"], "left").unionByName(d.where(blank).withColumn("_raw", F.lit(None).cast(d.schema["_label"].dataType)))
     targets = F.array_sort(F.array_union(F.coalesce("_label.targets", none), F.coalesce("_raw.targets", none)))
     labels = F.array_distinct(F.filter(F.array("label", "raw"), lambda x: x != ""))
     first = F.get(F.col("labels"), F.lit(0))
@@ -203,7 +228,7 @@ def resolve(edges: DataFrame, equipment: DataFrame, aliases: DataFrame | None =
     n = F.size("targets")
     one = F.when(n == 1, F.get("targets", F.lit(0)))
     return d.select(
-        "seq", "role", "ref_type", "said", identity.alias("identity"), F.when(F.size("labels") > 0, F.col("labels")).otherwise(F.array(F.concat(F.lit("<blank "), F.col("role"), F.lit(">")))).alias("labels"),
+        *scope, "seq", "role", "ref_type", "said", identity.alias("identity"), F.when(F.size("labels") > 0, F.col("labels")).otherwise(F.array(F.concat(F.lit("<blank "), F.col("role"), F.lit(">")))).alias("labels"),
         "targets", F.when(n > 1, "ambiguous").when(n == 1, "resolved").otherwise("unresolved").alias("status"), one.alias("canonical"),
         F.coalesce(one != F.col("label"), F.lit(False)).alias("used_alias"), (F.coalesce("_label.declared", F.lit(False)) | F.coalesce("_raw.declared", F.lit(False))).alias("declared"),
     )
@@ -211,30 +236,38 @@ def resolve(edges: DataFrame, equipment: DataFrame, aliases: DataFrame | None =
 
 def accepted(edges: DataFrame, resolution: DataFrame) -> DataFrame:
     """Edges with both ends resolved and no conflict, by canonical names."""
-    ends = resolution.where("status = 'resolved'").groupBy("seq").agg(
+    edges = _filled(edges)
+    scope = scope_of(edges)
+    ends = resolution.where("status = 'resolved'").groupBy(*scope, "seq").agg(
         F.max(F.when(F.col("role") == "child", F.col("canonical"))).alias("c"), F.max(F.when(F.col("role") == "parent", F.col("canonical"))).alias("p")
     )
-    return edges.where(~to_bool(F.col("conflict"))).join(ends.where("c IS NOT NULL AND p IS NOT NULL"), "seq").select("seq", F.col("c").alias("child"), F.col("p").alias("parent"), "ref_type")
+    both = ends.where("c IS NOT NULL AND p IS NOT NULL")
+    return edges.where(~to_bool(F.col("conflict"))).join(both, [*scope, "seq"]).select(*scope, "seq", F.col("c").alias("child"), F.col("p").alias("parent"), "ref_type")
 
 
 def orphans(edges: DataFrame, equipment: DataFrame) -> DataFrame:
-    fed = edges.where("ref_type = 'airRef'").select(F.col("child").alias("name")).distinct()
-    return equipment.where(vocab.is_terminal(F.col("type"))).join(fed, "name", "left_anti")
+    """Terminals that no air edge of their scope feeds."""
+    edges, equipment = _filled(edges), _filled(equipment)
+    met = _shared(equipment, edges)
+    fed = edges.where("ref_type = 'airRef'").select(*met, F.col("child").alias("name")).distinct()
+    return equipment.where(vocab.is_terminal(F.col("type"))).join(fed, [*met, "name"], "left_anti")
 
 
 def multiple_parents(edges: DataFrame, ref_type: str = "airRef") -> DataFrame:
-    d = edges.where(F.col("ref_type") == ref_type).groupBy("child").agg(F.array_sort(F.collect_set("parent")).alias("parents"))
+    d = edges.where(F.col("ref_type") == ref_type).groupBy(*scope_of(edges), "child").agg(F.array_sort(F.collect_set("parent")).alias("parents"))
     return d.where(F.size("parents") > 1)
 
 
 def ref_sanity(ends: DataFrame, equipment: DataFrame) -> DataFrame:
     """Resolved ends (role, ref_type, canonical) whose type their ref doesn't allow: check, name, type."""
-    d = ends.join(equipment.select(F.col("name").alias("canonical"), "type"), "canonical")
+    ends, equipment = _filled(ends), _filled(equipment)
+    met = _shared(ends, equipment)
+    d = ends.join(equipment.select(*met, F.col("name").alias("canonical"), "type"), [*met, "canonical"])
     child = (F.col("ref_type") == "airRef") & (F.col("role") == "child") & ~vocab.is_terminal(F.col("type"))
     parent = (F.col("ref_type") == "airRef") & (F.col("role") == "parent") & ~vocab.is_air_source(F.col("type"))
     water = F.col("ref_type").isin(*vocab.WATER_REFS) & (F.col("role") == "parent") & ~vocab.is_plant(F.col("type"))
     check = F.when(child, "child is not a terminal").when(parent, "parent is not an air source").when(water, "parent is not a plant")
-    return d.select("seq", "role", "ref_type", F.col("canonical").alias("name"), "type", check.alias("check")).where("check IS NOT NULL")
+    return d.select(*scope_of(ends), "seq", "role", "ref_type", F.col("canonical").alias("name"), "type", check.alias("check")).where("check IS NOT NULL")
 
 
 def review_items(edges: DataFrame) -> DataFrame:
@@ -243,90 +276,7 @@ def review_items(edges: DataFrame) -> DataFrame:
     low = F.coalesce(low, F.lit(False))
     why = F.concat_ws(", ", F.when(low, F.concat(F.lit("confidence "), F.col("confidence").cast("string"), F.lit(f" < {LOW}"))), F.when(conflict, "conflict=true"),
                       F.when(flagged & ~low & ~conflict, "review_required=true"), F.nullif(strip(F.col("review_reason")), F.lit("")))
-    return edges.where(low | conflict | flagged).select("seq", "child", "parent", "ref_type", why.alias("reason"))
-
-
-def _shrunk(e: DataFrame, save, max_rounds: int) -> tuple[DataFrame, list[DataFrame], int]:
-    """Edges without what can't be on a cycle and without chains, the chains' members as (node, child, parent) of the edge that
-    stands for them, and the number of edges left. Every round halves long chains or ends."""
-    members, n = [], e.count()
-    for k in range(max_rounds):
-        if not n:
-            break
-        kept = e.join(e.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(e.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
-        e = save(kept.select("child", "parent"))
-        # links of a chain: one parent, one child, and not itself
-        up = e.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("n_up"), F.min("parent").alias("parent"))
-        down = e.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n_down"), F.min("child").alias("child"))
-        links = up.join(down, "node").where("n_up = 1 AND n_down = 1 AND parent <> node").select("node", "child", "parent")
-        # of neighbouring links those with the smallest hash go, so that no two that go stand side by side
-        h = F.xxhash64("node", F.lit(k)).alias("h")
-        rank = links.select("node", h)
-        near = links.join(rank, "node").join(rank.select(F.col("node").alias("parent"), F.col("h").alias("hp")), "parent", "left").join(rank.select(F.col("node").alias("child"), F.col("h").alias("hc")), "child", "left")
-        gone = save(near.where("(hp IS NULL OR h < hp) AND (hc IS NULL OR h < hc)").select("node", "child", "parent"))
-        before, n_gone = n, gone.count()
-        if n_gone:
-            members.append(gone)
-            rest = e.join(gone.select(F.col("node").alias("child")), "child", "left_anti").join(gone.select(F.col("node").alias("parent")), "parent", "left_anti")
-            e = save(rest.select("child", "parent").unionByName(gone.select("child", "parent")).distinct())
-        n = e.count()
-        if n == before and not n_gone:
-            break
-    return e, members, n
-
-
-def _spread(labels: DataFrame, along: DataFrame, save, max_rounds: int) -> DataFrame:
-    """labels(node, label) after the smallest label of every node that leads to it along edges (a, b) has reached it."""
-    for _ in range(max_rounds):
-        came = along.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label")
-        new = save(labels.unionByName(came).groupBy("node").agg(F.min("label").alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
-    raise RuntimeError("labels did not settle")
-
-
-def cycle_nodes(edges: DataFrame, save, max_rounds: int = 1000) -> DataFrame:
-    """Every node on a cycle of child -> parent edges.
-
-    Nodes without a parent or without a child go, and chains shrink to single edges: a long chain or ring takes as many rounds
-    as the logarithm of its length. In what is left, strongly connected parts are found by colours: the smallest name that
-    reaches a node is its colour, and what reaches the colour's own node inside the colour is one part. Rows stay
-    in proportion to nodes and edges; pairs are never listed. ``save`` computes a frame once (a checkpoint).
-    """
-    e = save(edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct())
-    kind = e.schema["child"].dataType.simpleString()
-    e, members, n = _shrunk(e, save, max_rounds)
-    core, left, parts = e, e.where("child <> parent"), None
-    loops = e.where("child = parent").select(F.col("child").alias("node"))
-    for _ in range(max_rounds):
-        left = save(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent")) if n else left
-        if not n or not left.limit(1).count():
-            break
-        own = left.select(F.explode(F.array("child", "parent")).alias("node")).distinct().withColumn("label", F.col("node"))
-        colour = _spread(own, left.select(F.col("child").alias("a"), F.col("parent").alias("b")), save, max_rounds)
-        inside = left.join(colour.select(F.col("node").alias("child"), F.col("label").alias("c1")), "child").join(colour.select(F.col("node").alias("parent"), F.col("label").alias("c2")), "parent").where("c1 = c2")
-        back = save(inside.select(F.col("parent").alias("a"), F.col("child").alias("b")))
-        # from the colour's own node backwards: its name is the smallest, so others' names give way to it only there
-        start = colour.select("node", F.when(F.col("node") == F.col("label"), F.lit(0)).otherwise(1).alias("label"))
-        reached = _spread(start, back, save, max_rounds).where("label = 0").select("node")
-        part = save(reached.join(colour, "node").select("node", F.col("label").alias("part")))
-        parts = part if parts is None else parts.unionByName(part)
-        left = left.join(part.select(F.col("node").alias("child")), "child", "left_anti").join(part.select(F.col("node").alias("parent")), "parent", "left_anti")
-    empty = loops.where("false")
-    if parts is None:
-        parts = empty.withColumn("part", F.col("node"))
-    real = parts.join(parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part"), "part", "left_semi")
-    on = save(real.select("node", "part").unionByName(loops.join(real.select("node"), "node", "left_anti").withColumn("part", F.col("node"))))
-    out = on.select("node")
-    for gone in reversed(members):  # a link is on a cycle where the edge that stands for it is: both ends in one part
-        a, b = on.select(F.col("node").alias("child"), "part"), on.select(F.col("node").alias("parent"), F.col("part").alias("part_b"))
-        found = gone.join(a, "child").join(b, "parent").where("part = part_b").select("node", "part")
-        # two ends that are one node: the link and that node make a ring
-        on = save(on.unionByName(found))
-        out = on.select("node")
-    return out.select(F.col("node").cast(kind).alias("node")).distinct()
+    return edges.where(low | conflict | flagged).select(*scope_of(edges), "seq", "child", "parent", "ref_type", why.alias("reason"))
 
 
 # Findings and their messages.
@@ -354,17 +304,23 @@ def validate(edges: DataFrame, equipment: DataFrame, aliases=None, declared=None
     review_reason); equipment(name, type); aliases(alias, name); declared(name), candidates that aren't equipment yet.
 
     Ends that can't be resolved are told once for each identity, with every label they were given and the number of different edges.
+    Where edges and equipment have property_id or floor, each scope is a graph of its own, and findings name theirs.
     """
+    edges, equipment = _filled(edges), _filled(equipment)
+    scope = scope_of(edges)
+    if missing := [c for c in scope if c not in equipment.columns]:
+        raise ValueError(f"equipment lacks the edges' scope columns: {missing}")
     ends = save(resolve(edges, equipment, aliases, declared))
     good = save(accepted(edges, ends))
 
     def row(d, check, sev, message, nodes):
-        return d.select(F.lit(check).alias("check_id"), F.lit(sev).alias("severity"), message.alias("message"), nodes.alias("nodes"))
+        return d.select(*scope, F.lit(check).alias("check_id"), F.lit(sev).alias("severity"), message.alias("message"), nodes.alias("nodes"))
 
     bad = ends.where("status <> 'resolved'")
-    sets = lambda c: bad.select("identity", "status", F.explode(c).alias("x")).distinct().groupBy("identity", "status").agg(F.array_sort(F.collect_list("x")).alias(c))
-    issue = bad.groupBy("identity", "status").agg(F.count_distinct("said").alias("n"), F.bool_or("declared").alias("declared"))
-    issue = save(issue.join(sets("labels"), ["identity", "status"]).join(sets("targets"), ["identity", "status"], "left"))
+    sets = lambda c: bad.select(*scope, "identity", "status", F.explode(c).alias("x")).distinct().groupBy(*scope, "identity", "status").agg(F.array_sort(F.collect_list("x")).alias(c))
+    keys = [*scope, "identity", "status"]
+    issue = bad.groupBy(*keys).agg(F.count_distinct("said").alias("n"), F.bool_or("declared").alias("declared"))
+    issue = save(issue.join(sets("labels"), keys).join(sets("targets"), keys, "left"))
     times = F.concat(F.lit("; referenced by "), F.col("n").cast("string"), F.lit(" edge(s)"))
     unknown, unsure = issue.where("status = 'unresolved'"), issue.where("status = 'ambiguous'")
     lost = F.concat(F.lit("unresolved endpoint "), _listed(F.col("labels")), F.lit(": "), F.when(F.col("declared"), CANDIDATE_NOTE).otherwise(ABSENT_NOTE), times)
@@ -388,29 +344,41 @@ def validate(edges: DataFrame, equipment: DataFrame, aliases=None, declared=None
     return Validation(findings, ends, good, edges, equipment)
 
 
+COUNTS = ["edge_count", "accepted_edge_count", "equipment_count", "alias_resolution_count", "unresolved_endpoint_count", "ambiguous_endpoint_count", "error_count", "orphan_count", "review_item_count"]
+
+
 def report(v: Validation) -> DataFrame:
-    """One row: the ten counts of a report. It passes without errors and orphans; review items alone don't fail it."""
-    sev = F.col("severity")
-    found = v.findings.agg(
-        F.count_if(sev == "error").alias("error_count"), F.count_if(sev == "orphan").alias("orphan_count"), F.count_if(sev == "review").alias("review_item_count"),
-        (F.count_if(sev.isin("error", "orphan")) == 0).alias("passed"),
-    )
+    """The ten counts of a report, one row for each scope that has edges or equipment, or one row in all. A scope passes without errors and
+    orphans; review items alone don't fail it."""
+    scope, sev, one = scope_of(v.edges), F.col("severity"), F.lit(1)
     issues = lambda s: F.count_distinct(F.when(F.col("status") == s, F.col("identity")))
-    ends = v.ends.agg(
-        F.count_if(F.col("used_alias") & (F.col("status") == "resolved")).alias("alias_resolution_count"),
-        issues("unresolved").alias("unresolved_endpoint_count"), issues("ambiguous").alias("ambiguous_endpoint_count"),
-    )
-    n = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
-    return side_by_side(n(v.edges, "edge_count"), n(v.good, "accepted_edge_count"), v.equipment.agg(F.count_distinct("name").alias("equipment_count")), ends, found)
+    parts = [
+        v.edges.groupBy(*scope).agg(F.count(one).alias("edge_count")),
+        v.good.groupBy(*scope).agg(F.count(one).alias("accepted_edge_count")),
+        v.equipment.groupBy(*scope).agg(F.count_distinct("name").alias("equipment_count")),
+        v.ends.groupBy(*scope).agg(
+            F.count_if(F.col("used_alias") & (F.col("status") == "resolved")).alias("alias_resolution_count"),
+            issues("unresolved").alias("unresolved_endpoint_count"), issues("ambiguous").alias("ambiguous_endpoint_count"),
+        ),
+        v.findings.groupBy(*scope).agg(*[F.count_if(sev == s).alias(c) for s, c in (("error", "error_count"), ("orphan", "orphan_count"), ("review", "review_item_count"))]),
+    ]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    counts = every.groupBy(*scope).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS])
+    return counts.withColumn("passed", (F.col("error_count") == 0) & (F.col("orphan_count") == 0))
 
 
 def report_document(v: Validation) -> DataFrame:
-    """The report as one JSON document: its counts, and the findings by severity, in order. For one floor; the tables stay the primary form."""
-    lists = {"errors": "error", "orphans": "orphan", "review_items": "review"}
-    body = v.findings.agg(*[F.array_sort(F.collect_list(F.when(F.col("severity") == s, F.struct("check_id", "message", "nodes", "severity")))).alias(k) for k, s in lists.items()])
-    d = side_by_side(report(v), body)
-    return d.select(F.to_json(F.struct(*sorted(d.columns))).alias("document"))
+    """The report as a JSON document for each scope: its counts, and the findings by severity, in order. For graphs of a floor's size: a
+    document is one row; the tables stay the primary form."""
+    lists, scope = {"errors": "error", "orphans": "orphan", "review_items": "review"}, scope_of(v.edges)
+    body = v.findings.groupBy(*scope).agg(*[F.array_sort(F.collect_list(F.when(F.col("severity") == s, F.struct("check_id", "message", "nodes", "severity")))).alias(k) for k, s in lists.items()])
+    d = report(v)
+    d = d.join(body, scope, "left") if scope else d.withColumn("_one", F.lit(1)).join(body.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    none = F.array().cast(body.schema["errors"].dataType)
+    d = d.withColumns({k: F.coalesce(k, none) for k in lists})
+    return d.select(*scope, F.to_json(F.struct(*sorted(c for c in d.columns if c not in scope))).alias("document"))
 
 
 def node_set(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array("child", "parent")).alias("node")).where("node <> ''").distinct()
+    """Every name at an end of an edge, once for each scope."""
+    return edges.select(*scope_of(edges), F.explode(F.array("child", "parent")).alias("node")).where("node <> ''").distinct()

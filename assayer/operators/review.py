@@ -70,17 +70,22 @@ def identity_conflicts(master: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def refs_applied(master: DataFrame, edges: DataFrame, key: str = "name") -> DataFrame:
-    """Ref columns of the child rows filled from approved edges (child, ref_type, parent_id, seq), the last one for a ref."""
-    last = last_per_key(edges, ["child", "ref_type"])
-    wide = last.groupBy(F.col("child").alias(key)).agg(*[F.max(F.when(F.col("ref_type") == r, F.col("parent_id"))).alias(f"_{r}") for r in REF_TYPES])
-    out = master.join(wide, key, "left")
+    """Ref columns of the child rows filled from approved edges (child, ref_type, parent_id, seq), the last one for a ref, by the scope columns
+    that both frames have."""
+    scope = [c for c in ("property_id", "floor") if c in edges.columns and c in master.columns]
+    last = last_per_key(edges, [*scope, "child", "ref_type"])
+    wide = last.groupBy(*scope, F.col("child").alias(key)).agg(*[F.max(F.when(F.col("ref_type") == r, F.col("parent_id"))).alias(f"_{r}") for r in REF_TYPES])
+    out = master.join(wide, [*scope, key], "left")
     return out.withColumns({r: F.coalesce(f"_{r}", r) for r in REF_TYPES if r in master.columns}).drop(*[f"_{r}" for r in REF_TYPES])
 
 
 def missing_endpoints(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """Ends of edges that are no name: (seq, role, name)."""
-    ends = edges.select("seq", F.explode(F.array(F.struct(F.lit("child").alias("role"), F.col("child").alias("name")), F.struct(F.lit("parent").alias("role"), F.col("parent").alias("name")))).alias("e")).select("seq", "e.*")
-    return ends.join(names.select("name").distinct(), "name", "left_anti")
+    """Ends of edges that are no name of their scope: (scope, seq, role, name)."""
+    scope = [c for c in ("property_id", "floor") if c in edges.columns]
+    met = [c for c in scope if c in names.columns]
+    end = lambda role: F.struct(F.lit(role).alias("role"), F.col(role).alias("name"))
+    ends = edges.select(*scope, "seq", F.explode(F.array(end("child"), end("parent"))).alias("e")).select(*scope, "seq", "e.*")
+    return ends.join(names.select(*met, "name").distinct(), [*met, "name"], "left_anti")
 
 
 def corrections(actions: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ Inputs are written in SQL that Spark and DuckDB both read, so both sides start f
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import labels as L
 from .functions import vocab as V
 from .operators import graph, images, inject, picks, points, reconcile, responses, review, runs
+from .sources.scratch import Scratch, folder
 from .streaming import incremental
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels pages".split()
@@ -49,21 +49,9 @@ def query(oracle: str | None = None):
     return add
 
 
-def folder(spark) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; only a local session without one gets a temporary one."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named
-    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="assayer-")
-
-
 def save(df):
-    """Computed once, as a table in the shared folder. A table rather than a checkpoint: its size is known, where the estimates of
-    a checkpoint's size multiply from round to round of an iteration until planning stands still."""
-    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Computed once, as a table in the shared folder."""
+    return Scratch()(df)
 
 
 # --- SQL forms of the label functions, for DuckDB
@@ -369,13 +357,22 @@ RINGS = "SELECT p_partkey AS child, CASE WHEN p_partkey % 100 = 99 THEN p_partke
 
 @query(f"WITH RECURSIVE e AS ({CYCLE}), r(child, parent) AS (SELECT child, parent FROM e UNION SELECT r.child, e.parent FROM r JOIN e ON r.parent = e.child) SELECT DISTINCT child AS node FROM r WHERE child = parent")
 def graph_cycles(t):
-    return graph.cycle_nodes(t(CYCLE), save)
+    return graph.cycle_nodes(t(CYCLE))
 
 
 @query("SELECT p_partkey AS node FROM part")
 def graph_rings(t):
     """Rings of a hundred nodes, each with a node hanging on to it."""
-    return graph.cycle_nodes(t(RINGS), save)
+    return graph.cycle_nodes(t(RINGS))
+
+
+CORE = "SELECT DISTINCT l_partkey AS child, (l_partkey * 7 + l_linenumber % 3) % (SELECT count(*) FROM part) + 1 AS parent FROM lineitem, part WHERE l_partkey = p_partkey"
+
+
+@query(f"WITH RECURSIVE e AS ({CORE}), r(child, parent) AS (SELECT child, parent FROM e UNION SELECT r.child, e.parent FROM r JOIN e ON r.parent = e.child) SELECT DISTINCT child AS node FROM r WHERE child = parent")
+def graph_core(t):
+    """A branching core that grows with the table."""
+    return graph.cycle_nodes(t(CORE))
 
 
 FINDINGS = f"""WITH {RESOLVED}, i AS (SELECT identity, n > 1 AS torn, list_sort(list_distinct(flatten(list([a, b])))) AS ls, list_sort(list_distinct(flatten(list(targets)))) AS ts, count(DISTINCT edge) AS k FROM ends WHERE n <> 1 GROUP BY identity, n > 1),
@@ -399,6 +396,38 @@ def graph_report(t):
     return graph.report(graph.validate(_edges(t), t(EQUIP), t(ALIAS), save=save))
 
 
+# three buildings with equal names in three spellings. The SQL side tells them apart by a prefix in every name.
+HOUSES = "(VALUES (0), (1), (2)) v(x)"
+IN_HOUSE = "SELECT concat('b', x) AS property_id, CASE x WHEN 0 THEN s_name WHEN 1 THEN replace(s_name, '#', '_') ELSE upper(s_name) END AS name, "
+HOUSE_EQUIP = f"{IN_HOUSE} CASE (s_suppkey + x) % 4 WHEN 0 THEN 'AHU' WHEN 1 THEN 'VAV' WHEN 2 THEN 'FCU' ELSE 'CHW-PLANT' END AS type FROM supplier, {HOUSES}"
+HOUSE_ALIAS = f"{IN_HOUSE} concat('unit ', s_suppkey % (50 + x)) AS alias FROM supplier, {HOUSES}"
+HOUSE_EDGES = f"SELECT concat('b', rid % 3) AS property_id, * FROM ({EDGES})"
+
+
+def _prefixed(sql, *names):
+    each = ", ".join(f"CASE WHEN {c} = '' THEN '' ELSE property_id || '/' || {c} END AS {c}" for c in names)
+    return f"SELECT * REPLACE ({each}) FROM ({sql})"
+
+
+HOUSE_FINDINGS = (
+    FINDINGS.replace(f"({EQUIP})", f"({_prefixed(HOUSE_EQUIP, 'name')})").replace(f"({ALIAS})", f"({_prefixed(HOUSE_ALIAS, 'name', 'alias')})")
+    .replace(f"({EDGES})", f"({_prefixed(HOUSE_EDGES, 'child', 'parent', 'child_raw', 'parent_raw')})")
+)
+
+
+@query(f"""{HOUSE_FINDINGS}, p(property_id) AS (VALUES ('b0'), ('b1'), ('b2')),
+fp AS (SELECT severity, regexp_extract(m, 'b[0-2]') AS p FROM (SELECT severity, message AS m FROM f)), bp AS (SELECT torn, lower(identity[1:2]) AS p FROM bad)
+SELECT property_id, (SELECT count(*) FROM ed WHERE child LIKE p.property_id || '/%') AS edge_count, (SELECT count(*) FROM good WHERE child LIKE p.property_id || '/%') AS accepted_edge_count,
+  (SELECT count(*) FROM eq WHERE name LIKE p.property_id || '/%') AS equipment_count, (SELECT count(*) FROM ends WHERE n = 1 AND canonical <> a AND a LIKE p.property_id || '/%') AS alias_resolution_count,
+  (SELECT count(*) FROM bp WHERE NOT torn AND p = property_id) AS unresolved_endpoint_count, (SELECT count(*) FROM bp WHERE torn AND p = property_id) AS ambiguous_endpoint_count,
+  (SELECT count(*) FROM fp WHERE severity = 'error' AND p = property_id) AS error_count, (SELECT count(*) FROM fp WHERE severity = 'orphan' AND p = property_id) AS orphan_count,
+  (SELECT count(*) FROM fp WHERE severity = 'review' AND p = property_id) AS review_item_count, (SELECT count(*) FROM fp WHERE severity <> 'review' AND p = property_id) = 0 AS passed FROM p""")
+def graph_report_scoped(t):
+    """One report for each building, whose names meet only there."""
+    e = t(HOUSE_EDGES).withColumn("seq", F.col("rid")).drop("rid", "shipped", "l_suppkey")
+    return graph.report(graph.validate(e, t(HOUSE_EQUIP), t(HOUSE_ALIAS), save=save))
+
+
 @query(f"{FINDINGS} SELECT check_id, severity, message, count(*) AS n FROM f GROUP BY ALL")
 def graph_findings(t):
     return graph.validate(_edges(t), t(EQUIP), t(ALIAS), save=save).findings.groupBy("check_id", "severity", "message").agg(F.count(F.lit(1)).alias("n"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, tabled
 
 #: children of a parent; levels of the tree that one task builds, so a task holds ARITY ** DEPTH digests at most
-ARITY, DEPTH = 8, 5
+ARITY, DEPTH = 8, 4
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 HEX = 64  # characters of a digest
 

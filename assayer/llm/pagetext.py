@@ -15,7 +15,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S
 )
 _HINTED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-RAW = frozenset("script style textarea title template svg noframes iframe select option button object annotation".split())
+RAW = frozenset("script style textarea title template svg noframes noscript iframe select option button object annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
@@ -43,8 +43,15 @@ HINTS = {
 #: words that tell where or what a box is, and leave the kind of the word beside them as it is
 PLAIN = frozenset(
     "site page global primary secondary top bottom left right upper lower box block bar list item items wrapper wrap container outer inner section area "
-    "panel module group row col column links link small large fixed sticky user my the a of in on and main content article post entry c js mobile desktop".split()
+    "slot unit zone placement panel module group row col column links link small large fixed sticky user my the a of in on and main content article post entry c js mobile desktop".split()
 )
+#: words that make a name a state of the page or a layout, not a kind of box: has-sidebar, with-header, menu-open
+STATES = frozenset("has no not with without is open opened closed fixed sticky active enabled disabled visible hidden expanded collapsed on off large wide full".split())
+#: tags and kinds that can be told wrongly of a box that holds the page's text
+BOXES = frozenset("form aside header footer nav".split())
+WRAPPING = frozenset("side head menu form share".split())
+#: fixed values: words of headings that open a list of comments
+COMMENTS = re.compile(r"^\W*\d*\W*(comments?|replies|responses|discussion|kommentare?|commentaires?|comentarios?|respuestas|antworten|réponses)\W*\d*\W*$", re.I)
 #: words that mean one kind whatever stands beside them
 SURE = frozenset("disqus outbrain taboola gdpr navbar breadcrumb breadcrumbs colophon masthead contentinfo sidebar sidebars adsense guestbook".split())
 _CASES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -58,7 +65,9 @@ def _kind_of(name: str) -> tuple[str, bool] | None:
     joined = "".join(words)
     for kind, own in HINTS.items():
         if joined in own or any(w in own for w in words):
-            rest = [w for w in words if w not in own and w not in PLAIN]
+            if words[0] in STATES and len(words) > 1 and words[0] not in ("sticky", "fixed", "large", "wide", "full", "active"):
+                return None  # has-sidebar says that there is one
+            rest = [w for w in words if w not in own and w not in PLAIN and w not in STATES]
             if kind == "head" and any(w in HINTS["main"] for w in words):  # entry-header: the article's own
                 kind = "main"
             return kind, joined in own or not rest or not SURE.isdisjoint(words)
@@ -75,9 +84,46 @@ def _hint(attributes: str) -> str | None:
     return sure[0] if sure else f"{doubtful[0]}?" if doubtful else None
 
 
+class _Boxes:
+    """The elements of a page in the order of their opening: tag, hint, parent, and what they hold."""
+
+    def __init__(self):
+        self.tags, self.hints, self.parents, self.mass, self.holds = ["#page"], [None], [-1], [0], [0]
+
+    def open(self, tag: str, hint: str | None, parent: int) -> int:
+        self.tags.append(tag)
+        self.hints.append(hint)
+        self.parents.append(parent)
+        self.mass.append(0)
+        self.holds.append({"main": 1, "article": 2, "h1": 4, "nav": 8}.get(tag, 0))
+        return len(self.tags) - 1
+
+    def paths(self) -> list[tuple]:
+        """The path of every element. A box that holds the page's text isn't furniture, whatever it is called: body and main, what a
+        main stands in, and what holds most of the text with the first heading or an article. Classes of such boxes tell
+        their layout (no-sidebar, sticky-header, login-page), and a form around them is the page's."""
+        own = list(self.holds)
+        for i in range(len(self.tags) - 1, 0, -1):
+            p = self.parents[i]
+            self.mass[p] += self.mass[i]
+            self.holds[p] |= self.holds[i]
+        total, out = self.mass[0] or 1, [()]
+        for i in range(1, len(self.tags)):
+            tag, hint = self.tags[i], self.hints[i]
+            kind = hint.rstrip("?") if hint else None
+            if (kind and kind != "main") or tag in BOXES:
+                share, holds = self.mass[i] / total, self.holds[i] & ~(own[i] if tag != "main" else 0)
+                most = share >= 0.5 and (holds & 4 or holds & 2 and (kind != "comment" or holds & 8))
+                nearly = share >= 0.9 and (kind in WRAPPING or tag == "form") and tag not in BOXES - {"form"}
+                if tag in ("html", "body", "main") or holds & 1 or most or nearly:
+                    tag, hint = "div" if tag in BOXES else tag, None
+            out.append((*out[self.parents[i]], (tag, hint)))
+        return out
+
+
 def blocks(page: str | None):
     """(path, text, letters inside links) of each leaf block in page order; path: the open elements with their hints."""
-    stack: list[tuple[str, str | None]] = []
+    boxes, stack = _Boxes(), [0]
     parts: list[str] = []
     linked, in_link, out = 0, False, []
     page, at = page or "", 0
@@ -86,7 +132,13 @@ def blocks(page: str | None):
         nonlocal linked, parts
         if parts:
             if text := " ".join("".join(parts).split()):
-                out.append((tuple(stack), text, linked))
+                out.append((stack[-1], text, linked))
+                boxes.mass[stack[-1]] += max(len(text) - linked, 0)
+                leaf = boxes.tags[stack[-1]]
+                if len(text) < 60 and leaf in ("h2", "h3", "h4", "h5") and COMMENTS.match(text):
+                    box = stack[-2]
+                    if boxes.tags[box] in ("section", "div", "aside") and not boxes.holds[box] & 7:
+                        boxes.hints[box] = "comment"
             parts, linked = [], 0
 
     while m := _TOKEN.match(page, at):
@@ -115,16 +167,17 @@ def blocks(page: str | None):
             flush()
             in_link = False
             if closing:
-                if any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
+                if any(boxes.tags[i] == tag for i in stack):
+                    while boxes.tags[stack.pop()] != tag:
                         pass
             else:
-                ends = _ENDS.get(tag, set())
-                if stack and (stack[-1][0] == "p" or stack[-1][0] in ends):
+                ends, last = _ENDS.get(tag, set()), boxes.tags[stack[-1]]
+                if last == "p" or last in ends:
                     stack.pop()
-                stack.append((tag, _hint(m.group(3)) if m.group(3) else None))
+                stack.append(boxes.open(tag, _hint(m.group(3)) if m.group(3) else None, stack[-1]))
     flush()
-    return out
+    paths = boxes.paths()
+    return [(paths[i], text, links) for i, text, links in out]
 
 
 @functools.lru_cache(65536)
@@ -145,7 +198,7 @@ def text_features(text: str, linked: int, k: int, n: int) -> tuple[str, ...]:
     share = linked / len(text)
     return (
         "bias", f"words:{size}", f"links:{0 if not share else 1 if share < 0.4 else 2 if share < 0.9 else 3}",
-        f"stop:{text[-1] in '.!?…\"”»'}", f"sign:{'©' in text}", f"edge:{'first' if k == 0 else 'last' if k == n - 1 else '-'}",
+        f"stop:{text[-1] in '.!?…\"”»'}", f"sign:{'©' in text}", f"edge:{'only' if n == 1 else 'first' if k == 0 else 'last' if k == n - 1 else '-'}",
     )
 
 
@@ -197,6 +250,9 @@ def labelled_page(rng: random.Random) -> list[tuple[tuple, str, int, int]]:
             main(rng.choice(("h1", "h2")), say(2, 9) + rng.choice(("", ".")))
         for _ in range(rng.randint(1, 14)):
             main(rng.choices(("p", "h2", "h3", "li", "blockquote", "pre", "td", "figcaption", None), (20, 2, 1, 3, 1, 1, 1, 1, 1))[0], prose(1, rng.choice((3, 12, 40, 90))) if some(0.9) else " | ".join(say(1, 2) for _ in range(rng.randint(2, 9))), rng.choice((0, 0, 0, 0.2, 0.6)))
+            if not bare and some(0.1):  # a list of links that belongs to the article
+                for _ in range(rng.randint(2, 5)):
+                    main("li", say(1, 6), 1.0)
             if some(0.08):
                 x = rng.choice(("advert", "share", "side", "form", "notice"))
                 tag = rng.choice(("div", "aside") if x != "form" else ("form", "div"))
@@ -217,6 +273,9 @@ def labelled_page(rng: random.Random) -> list[tuple[tuple, str, int, int]]:
     if some(0.8):
         for _ in range(rng.randint(1, 3)):
             add("footer", "foot", rng.choice(("p", None, "li")), rng.choice(("© ", "")) + prose(2, 14), 0, rng.choice((0, 0, 1.0)))
+    if some(0.1):  # nothing but text, with line breaks or paragraphs
+        at = () if some(0.2) else rng.choice(((), base[1:], base)) + wrap + rng.choice(((), (("div", None),)))
+        return [(at + ((leaf, None),) if leaf else at, prose(8, 200), 0, 1) for leaf in (("p",) * rng.randint(1, 6) if some(0.5) else (None,))]
     return rows or [(base + (("p", None),), prose(), 0, 1)]
 
 

@@ -56,6 +56,53 @@ def test_layouts(name):
     assert text(PAGES[name]) == WANT
 
 
+LAYOUTS = (
+    "has-sidebar no-sidebar right-sidebar left-sidebar page-with-sidebar sticky-header header-fixed fixed-header page-header-large search-page search-results "
+    "login-page form-page social-share-on widgets-on with-comments comments-open no-comments menu-open nav-open has-navigation cookie-consent-shown modal-open "
+    "footer-visible ads-enabled sidebar-right layout-sidebar"
+).split()
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_names_of_layouts(name):
+    plain = f"<p>{A}</p><p>{B}</p><p>{C}</p>"
+    assert text(f'<body class="{name}">{NAV}<article>{BODY}</article>{FOOT}</body>') == WANT
+    assert text(f'<body class="{name}">{NAV}<div>{BODY}</div>{FOOT}</body>') == WANT
+    assert text(f'<body>{NAV}<div class="{name}">{BODY}</div>{FOOT}</body>') == WANT
+    assert text(f'<body>{NAV}<main class="{name}">{BODY}</main>{FOOT}</body>') == WANT
+    assert text(f'<body><div id="page" class="site {name}">{NAV}<div class="content">{BODY}</div><div class="sidebar"><p>Most read this week.</p></div>{FOOT}</div></body>') == WANT
+    assert text(f'<body class="{name}"><div class="{name}">{NAV}<article>{plain}</article>{FOOT}</div></body>') == f"{A} {B} {C}"
+
+
+LINKS = "<ul><li><a href=/1>Ten bridges to see</a></li><li><a href=/2>River news of old</a></li><li><a href=/3>Maps</a></li></ul>"
+LISTED = f"{A} Ten bridges to see River news of old Maps {B}"
+REPLIES = "".join(f"<article><p>What a waste of money, if you ask me, number {i}.</p></article>" for i in range(30))
+OTHERS = {
+    "form around": (f'<body><form action="/p.aspx">{NAV}<div>{BODY}</div>{FOOT}</form></body>', WANT),
+    "form around boxes": (f"<body><form id=aspnetForm><div class=wrap>{NAV}<article>{BODY}</article><div id=footer>Imprint</div></div></form></body>", WANT),
+    "breaks": (f"<body>{A}<br>{B}<br><br>{C}</body>", f"{A} {B} {C}"),
+    "text": (f"{A} {B}", f"{A} {B}"),
+    "div of text": (f"<body><div>{A}<br>{B}</div></body>", f"{A} {B}"),
+    "links in an article": (f"<body>{NAV}<article><p>{A}</p>{LINKS}<p>{B}</p></article>{FOOT}</body>", LISTED),
+    "links below a heading": (f"<body>{NAV}<article><h1>X</h1><p>{A}</p>{LINKS}<p>{B}</p></article>{FOOT}</body>", f"X {LISTED}"),
+    "links in a main": (f"<body>{NAV}<main><p>{A}</p>{LINKS}<p>{B}</p></main>{FOOT}</body>", LISTED),
+    "noscript": (f"<body>{NAV}<article>{BODY}</article><noscript><p>Please enable scripts to read this page fully.</p></noscript>{FOOT}</body>", WANT),
+    "ad slot": (f'<body>{NAV}<div id=content><h1>A bridge too far</h1><p>{A}</p><div class="ad-slot">Buy one, get one free now!</div><p>{B}</p><p>{C}</p></div>{FOOT}</body>', WANT),
+    "unmarked comments": (f"<body>{NAV}<article>{BODY}</article><section><h3>2 comments</h3><p>What a waste of money, if you ask me.</p><p>I like the bridge.</p></section>{FOOT}</body>", WANT),
+    "more comments than text": (f'<body>{NAV}<article>{BODY}</article><section class="comments"><h3>30 comments</h3>{REPLIES}</section>{FOOT}</body>', WANT),
+    "logo in a heading": (f"<body><header><h1>The Daily</h1></header>{NAV}<article><h2>A bridge too far</h2><p>{A}</p><p>{B}</p><p>{C}</p></article>{FOOT}</body>", WANT),
+    "furniture only": (f"<body>{NAV}<div class=footer><p>All rights reserved here.</p><p>Made in house.</p></div></body>", ""),
+    "notice only": (f"<body>{NAV}<div class=cookie-notice><p>We use cookies to give you the best experience.</p></div>{FOOT}</body>", ""),
+    "teasers beside": (f"<body>{NAV}<article>{BODY}</article><aside><article><p>Read on.</p></article><article><p>And on.</p></article></aside>{FOOT}</body>", WANT),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OTHERS))
+def test_other_layouts(name):
+    page, want = OTHERS[name]
+    assert text(page) == want
+
+
 def test_parts_of_an_article():
     inner = f"<h1>T &amp; U</h1><p>{A}</p><h2>Costs</h2><ul><li>Steel is dear.</li><li>Stone is not.</li></ul><blockquote>{B}</blockquote><pre>x = 1</pre><table><tr><td>One</td><td>Two</td></tr></table>"
     assert text(f"<body>{NAV}<article>{inner}</article>{FOOT}</body>") == f"T & U {A} Costs Steel is dear. Stone is not. {B} x = 1 One Two"

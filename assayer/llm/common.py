@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the same with underscores behind it, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words (runs of digits, letters and non-ASCII characters) as UTF-8; null has none."""
     return text.lower().encode("utf-8", "replace").translate(WORD_BYTES).split() if text else []

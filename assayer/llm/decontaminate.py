@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, words_of
+from .common import free_name, settled, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -167,7 +167,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
         here = settled(own.mapInArrow(search, "_digest string").distinct())
         found = here if found is None else found.unionByName(here)
-    return docs.withColumn("_digest", digest).join(found.distinct(), "_digest", "left_anti").select(docs.columns)
+    name = free_name(docs, "_digest")
+    gone = found.distinct().withColumnRenamed("_digest", name)
+    return docs.withColumn(name, digest).join(gone, name, "left_anti").select(docs.columns)
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:

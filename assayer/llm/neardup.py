@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settled
+from .common import components, free_name, settled
 from .simhash import fingerprint_links, majority
 
 SHINGLE = 5
@@ -185,12 +185,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = settled(rows.join(best, "component_id").select("doc_id", "mark", "n", (F.col("best") == F.struct("doc_id", "mark")).alias("first")))
     gone = rows.where("NOT first").select("doc_id", "mark")
     again = rows.where("first AND n > 1").select("doc_id", "mark")
-    marked, keys = docs.withColumn("_mark", text_mark()), lambda d: [F.col("doc_id") == d["_id"], F.col("_mark") == d["_of"]]
-    named = lambda d: d.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"))
+    mark, id_, of = (free_name(docs, c) for c in ("_mark", "_id", "_of"))
+    marked, keys = docs.withColumn(mark, text_mark()), lambda d: [F.col("doc_id") == d[id_], F.col(mark) == d[of]]
+    named = lambda d: d.select(F.col("doc_id").alias(id_), F.col("mark").alias(of))
     lost = few(named(gone))
     kept = marked.join(lost, keys(lost), "left_anti")
     if again.limit(1).count():  # repeated rows of a kept text: the only ones that have to meet
         more = few(named(again))
-        once = kept.join(more, keys(more), "left_semi").dropDuplicates(["doc_id", "_mark"])
+        once = kept.join(more, keys(more), "left_semi").dropDuplicates(["doc_id", mark])
         kept = kept.join(more, keys(more), "left_anti").unionByName(once)
     return kept.select(docs.columns)

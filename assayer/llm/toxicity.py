@@ -153,13 +153,16 @@ def held_out(c="doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """(text, toxic) of at most ``max_train`` labelled documents outside the held-out fifth, by a hash of the id."""
+    """(text, toxic) of at most ``max_train`` labelled documents outside the held-out fifth, by a hash of the id. An id of several
+    rows, repeated or not, gives one text: the one with the smallest hash."""
     ids = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "toxic")
 
 
 def _bare(text: str) -> list[str]:

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from assayer.llm import chatformat, decontaminate, embeddings, licenses, lmscore, mixing, pagetext, simhash, tokencount, toxicity
+from assayer.llm import chatformat, decontaminate, embeddings, licenses, lmscore, mixing, neardup, pagetext, simhash, tokencount, toxicity
 from assayer.llm.common import components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, label int"  # label: a column that clashes
@@ -636,3 +636,31 @@ def test_edited_copies_by_blocks():
     sets = [np.unique(np.concatenate([base[rng.random(400) < p], rng.integers(0, 2**62, k)])) for p in (0.85, 0.9, 0.95, 1.0) for k in (0, 9, 40) for _ in range(4)]
     want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(c := {*sets[a].tolist()} & {*sets[b].tolist()}) >= 0.8 * (len(sets[a]) + len(sets[b]) - len(c)) - 1e-9}
     assert 0 < len(want) < len(sets) * (len(sets) - 1) // 2 and set(zip(*(x.tolist() for x in neardup.block_links(sets)), strict=True)) == want
+
+
+def test_training_rows_are_bounded_by_rows(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][:30]
+    rows = [(i, f"text {i}") for i in ids] + [(ids[0], f"another {k}") for k in range(500)] + [(ids[1], "text again")] * 500
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(ids[0], 1)] * 50, "doc_id long, toxic int")
+    for bound in (10, 100):
+        got = toxicity.training_rows(docs(spark, rows), labels, bound).collect()
+        assert len(got) == min(bound, len(ids))
+
+
+HELPERS = ["_mark", "_id", "_of", "_digest", "_own", "_before", "mark", "node", "component_id", "root", "key", "t", "score", "toxic", "n_tokens", "rank_key", "bucket", "x", "y"]
+
+
+def test_columns_named_like_helpers_pass_through(spark, monkeypatch):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, "en", "s", 1), (2, text, "en", "s", 1), (3, "something else that nobody else says here", "en", "s", 1)]
+    d = spark.createDataFrame([(*r, *[77 + k for k in range(len(HELPERS))]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in HELPERS))
+    kept = neardup.keep_one(d)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, d.where("doc_id <> 2").collect())) and kept.columns == d.columns
+    items = spark.createDataFrame([(1, text), (2, "an item that stands in no document at all today")], "item_id long, text string")
+    for parts in (1, 2):
+        monkeypatch.setattr(decontaminate, "item_passes", lambda b, n=parts, own=decontaminate.item_passes: own(b) if n == 1 else [p for i in (1, 2) for p in own(b.where(f"item_id = {i}"))])
+        clean = decontaminate.drop_contaminated(d, items)
+        assert [tuple(r) for r in clean.collect()] == [tuple(d.where("doc_id = 3").first())] and clean.columns == d.columns
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.drop_toxic(d, labels).collect())) == sorted(map(tuple, d.collect()))
+    assert mixing.mix_sources(d).count() >= 3

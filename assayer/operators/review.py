@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -130,14 +132,25 @@ def recorded(events: DataFrame, new: DataFrame, sessions: DataFrame) -> tuple[Da
     return d.where("rule IS NULL").drop("rule").select(new.columns), d.where("rule IS NOT NULL")
 
 
-def cleared(events: DataFrame, session_id: str, at, action_id: str, item_type: str | None = None, item_key: str | None = None) -> DataFrame:
-    """Events that clear one undecided item of a session, or all of them; applied decisions stay. ``at`` is their created_at."""
-    d = live_actions(events).where((F.col("session_id") == session_id) & ~F.coalesce("applied", F.lit(False)))
+def cleared(
+    events: DataFrame, session_id: str, at, action_id: str, item_type: str | None = None, item_key: str | None = None, *, sessions: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(events that clear one undecided item of a session, or all of them; what is refused with its rule). The session has to be open; one
+    item that is applied already is refused, and clearing all leaves applied ones as they are. ``at`` is their created_at."""
+    d = live_actions(events).where(F.col("session_id") == session_id)
     if item_key is not None:
         d = d.where((F.col("item_type") == item_type) & (F.col("item_key") == item_key.strip()))
+    open_ = sessions.where("status = 'open'").select("session_id", F.lit(True).alias("_open"))
+    frozen = F.coalesce("applied", F.lit(False))
+    rule = F.when(F.col("_open").isNull(), "session is not open").when(frozen, "action is already applied and frozen")
+    d = d.join(open_, "session_id", "left").withColumn("rule", rule).drop("_open")
     kind = events.schema["action_id"].dataType.simpleString()
     named = F.concat(F.lit(action_id), F.lit(":"), F.col("item_type"), F.lit(":"), F.col("item_key")) if kind == "string" else F.lit(action_id).cast(kind)
-    return d.withColumns({"action": F.lit("clear"), "created_at": F.lit(at).cast(events.schema["created_at"].dataType), "action_id": named}).select(events.columns)
+    clear = d.where("rule IS NULL").withColumns({"action": F.lit("clear"), "created_at": F.lit(at).cast(events.schema["created_at"].dataType), "action_id": named})
+    refused = d.where("rule IS NOT NULL")
+    if item_key is None:
+        refused = refused.where("rule = 'session is not open'")
+    return clear.select(events.columns), refused.select(*events.columns, "rule")
 
 
 def session_state(sessions: DataFrame, events: DataFrame) -> DataFrame:
@@ -165,101 +178,148 @@ def safe_fields(document: Column) -> Column:
 
 
 def _values(d: DataFrame, fields, required) -> DataFrame:
-    """Items with the fields of their payload laid over; ``problem`` names unknown fields and blank ones."""
+    """Items with the fields of their payload laid over; ``problem`` names unknown fields, and required ones that the payload gives as
+    anything but a text, or that are blank."""
     o = overlay(d, F.col("payload"), list(fields))
-    blank = F.concat_ws(", ", *[F.when(F.coalesce(strip(F.col(f)), F.lit("")) == "", F.lit(f)) for f in required])
+    keys = F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>"))
+    kind = lambda f: F.schema_of_variant(F.try_variant_get(F.try_parse_json("payload"), f"$.{f}", "variant"))
+    wrong = lambda f: F.array_contains(keys, f) & (F.coalesce(kind(f), F.lit("VOID")) != "STRING")
+    blank = F.concat_ws(", ", *[F.when(wrong(f) | (F.coalesce(strip(F.col(f)), F.lit("")) == ""), F.lit(f)) for f in required])
     problem = F.when(F.col("unknown") != "", F.concat(F.lit("unsupported edit field(s): "), F.col("unknown"))).when(blank != "", F.concat(blank, F.lit(" must be a non-empty string")))
     return o.withColumn("problem", problem).withColumns({f: strip(F.col(f)) for f in required}).drop("unknown", "blank")
 
 
-def commit(sessions: DataFrame, events: DataFrame, items: DataFrame, edges: DataFrame, master: DataFrame, *, save) -> dict[str, DataFrame]:
-    """All outputs of committing the open sessions, as new tables; nothing is changed in place.
+def _yes() -> Column:
+    return F.col("action").isin("approve", "edit")
 
-    sessions(session_id, property_id, floor, status, created_by); events: the action log (session_id, item_type, item_key, action, payload,
-    reason, reviewer, applied, created_at, action_id); items(property_id, item_key, canonical_name, equipment_type, floor); edges(property_id,
-    item_key, child, parent, ref_type); master(equipment_id long, property_id, name, floorRef, zone, spaceRef, and the ref columns).
 
-    A session is committed whole or not at all: a payload that isn't allowed, a decision without its reason, an item decided elsewhere already,
-    an identity that several master rows share or that belongs to another row, two items for one row, or an end that neither the master nor the
-    session's own equipment has, goes to ``problems``, and nothing of that session is applied. Equipment lands before references;
-    rows are matched by production identity, by the edited name first, then by the item's own. The last decision on a child's reference
-    wins. Decisions applied before have no further effect, so a second run gives the same tables.
-    Returns master (with ``change``), corrections, applied, problems, counts (session_id, n_committed, n_corrections).
-    """
-    own = sessions.where("status = 'open'").select("session_id", "property_id", F.col("floor").alias("_floor"), "created_by")
-    live = save(live_actions(events.drop("source_item")).where("NOT coalesce(applied, false)").join(own, "session_id"))
+def _changed() -> Column:
+    return F.col("action").isin("reject", "edit")
+
+
+def _problem(d: DataFrame, why: str) -> DataFrame:
+    return d.select(*ITEM, F.lit(why).alias("problem"))
+
+
+def _decided(live: DataFrame, events: DataFrame, sessions: DataFrame) -> list[DataFrame]:
+    """Problems of decisions as such: made before, without a reason, on an unknown kind of item."""
     done = live_actions(events).where("applied").join(sessions.select("session_id", "property_id", F.col("floor").alias("_floor")), "session_id")
     done = done.select("property_id", "_floor", "item_type", "item_key").distinct()
-    key = ["session_id", "item_type", "item_key"]
-    problem = lambda d, why: d.select(*key, F.lit(why).alias("problem"))
-    yes, changed = F.col("action").isin("approve", "edit"), F.col("action").isin("reject", "edit")
-    bad = [
-        problem(live.join(done, ["property_id", "_floor", "item_type", "item_key"], "left_semi"), "decided in an earlier commit"),
-        problem(live.where(changed & (F.coalesce(strip(F.col("reason")), F.lit("")) == "")), "no reason given"),
-        problem(live.where(~F.col("item_type").isin("equipment", "relationship")), "unsupported item type"),
+    return [
+        _problem(live.join(done, ["property_id", "_floor", "item_type", "item_key"], "left_semi"), "decided in an earlier commit"),
+        _problem(live.where(_changed() & (F.coalesce(strip(F.col("reason")), F.lit("")) == "")), "no reason given"),
+        _problem(live.where(~F.col("item_type").isin("equipment", "relationship")), "unsupported item type"),
     ]
-    # equipment: values, identities, the master row each falls on
-    e = live.where("item_type = 'equipment'").join(items.withColumns({"zone": F.lit(None).cast("string"), "space_ref": F.lit(None).cast("string"), "_item": F.lit(True)}), ["property_id", "item_key"], "left")
-    bad.append(problem(e.where("_item IS NULL"), "no such item"))
+
+
+def _identities(master: DataFrame) -> DataFrame:
+    """(property_id, identity, id, n): the first master row of each production identity, and how many there are."""
+    known = master.select("property_id", "equipment_id", production_identity(F.col("name")).alias("identity"))
+    return known.groupBy("property_id", "identity").agg(F.min("equipment_id").alias("id"), F.count(F.lit(1)).alias("n"))
+
+
+def _equipment(live: DataFrame, items: DataFrame, per: DataFrame, save) -> tuple[DataFrame, list[DataFrame]]:
+    """Decided equipment with its values and the master row it falls on, by the edited name first, then by the item's own; its problems."""
+    extra = {"zone": F.lit(None).cast("string"), "space_ref": F.lit(None).cast("string"), "_item": F.lit(True)}
+    e = live.where("item_type = 'equipment'").join(items.withColumns(extra), ["property_id", "item_key"], "left")
+    bad = [_problem(e.where("_item IS NULL"), "no such item")]
     e = e.where("_item").withColumn("original", F.to_json(F.struct("canonical_name", "equipment_type", "floor"))).withColumn("_was", F.col("canonical_name"))
     e = _values(e, EQUIPMENT_FIELDS, EQUIPMENT_FIELDS[:3])
-    e = e.withColumn("identity", production_identity(F.col("canonical_name"))).withColumn("was", F.when(F.col("_was") != F.col("canonical_name"), production_identity(F.col("_was"))))
+    was = F.when(F.col("_was") != F.col("canonical_name"), production_identity(F.col("_was")))
+    e = e.withColumn("identity", production_identity(F.col("canonical_name"))).withColumn("was", was)
     e = e.withColumn("floor_ref", F.when(~F.upper("equipment_type").endswith("-PLANT"), floor_digits(F.col("floor"))))
-    known = save(master.select("property_id", "equipment_id", production_identity(F.col("name")).alias("identity")))
-    per = known.groupBy("property_id", "identity").agg(F.min("equipment_id").alias("id"), F.count(F.lit(1)).alias("n"))
     at = lambda c, tag: per.select("property_id", F.col("identity").alias(c), F.col("id").alias(f"{tag}_id"), F.col("n").alias(f"{tag}_n"))
     e = e.join(at("identity", "now"), ["property_id", "identity"], "left").join(at("was", "old"), ["property_id", "was"], "left")
     made = F.xxhash64("property_id", "identity").bitwiseAND(F.lit(2**63 - 1))
     e = save(e.withColumn("equipment_id", F.coalesce("now_id", "old_id", made)))
-    go = e.where(yes)
-    bad += [
-        go.where("problem IS NOT NULL").select(*key, "problem"),
-        problem(go.where("floor_ref IS NULL AND NOT upper(equipment_type) LIKE '%-PLANT'"), "floor can't be mapped"),
-        problem(go.where("now_n > 1 OR old_n > 1"), "identity matches multiple equipment rows"),
-        problem(go.where("now_id <> old_id"), "edited identity already belongs to another equipment row"),
-        problem(go.join(go.groupBy("property_id", "equipment_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), ["property_id", "equipment_id"], "left_semi"), "several items map to one equipment row"),
+    go = e.where(_yes())
+    twice = go.groupBy("property_id", "equipment_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return e, bad + [
+        go.where("problem IS NOT NULL").select(*ITEM, "problem"),
+        _problem(go.where("floor_ref IS NULL AND NOT upper(equipment_type) LIKE '%-PLANT'"), "floor can't be mapped"),
+        _problem(go.where("now_n > 1 OR old_n > 1"), "identity matches multiple equipment rows"),
+        _problem(go.where("now_id <> old_id"), "edited identity already belongs to another equipment row"),
+        _problem(go.join(twice, ["property_id", "equipment_id"], "left_semi"), "several items map to one equipment row"),
     ]
-    # references: ends in the session's own equipment, else in the master under a name the session didn't change
+
+
+def _references(live: DataFrame, edges: DataFrame, go: DataFrame, per: DataFrame, save) -> tuple[DataFrame, list[DataFrame]]:
+    """Decided references with the rows of their ends, and their problems. An end stands in the session's own equipment, else in the
+    master under a name that the session didn't change."""
     r = live.where("item_type = 'relationship'").join(edges.withColumn("_item", F.lit(True)), ["property_id", "item_key"], "left")
-    bad.append(problem(r.where("_item IS NULL"), "no such item"))
-    r = r.where("_item").withColumn("original", F.to_json(F.struct(*EDGE_FIELDS)))
-    r = _values(r, EDGE_FIELDS, EDGE_FIELDS)
+    bad = [_problem(r.where("_item IS NULL"), "no such item")]
+    r = _values(r.where("_item").withColumn("original", F.to_json(F.struct(*EDGE_FIELDS))), EDGE_FIELDS, EDGE_FIELDS)
     landed = go.select("session_id", "identity", F.col("equipment_id").alias("own_id"))
     renamed = go.where("now_id IS NULL AND old_id IS NOT NULL").select(F.col("session_id").alias("gone_session"), F.col("old_id").alias("gone_id"))
     for end in ("child", "parent"):
-        r = r.withColumn("identity", production_identity(F.col(end))).join(landed, ["session_id", "identity"], "left").join(per.withColumnRenamed("n", "_n"), ["property_id", "identity"], "left")
+        r = r.withColumn("identity", production_identity(F.col(end))).join(landed, ["session_id", "identity"], "left")
+        r = r.join(per.withColumnRenamed("n", "_n"), ["property_id", "identity"], "left")
         r = r.join(renamed, (F.col("session_id") == F.col("gone_session")) & (F.col("id") == F.col("gone_id")), "left")
-        r = r.withColumn(f"{end}_id", F.coalesce("own_id", F.when(F.col("gone_id").isNull() & (F.col("_n") == 1), F.col("id")))).drop("identity", "own_id", "id", "_n", "gone_session", "gone_id")
+        known = F.when(F.col("gone_id").isNull() & (F.col("_n") == 1), F.col("id"))
+        r = r.withColumn(f"{end}_id", F.coalesce("own_id", known)).drop("identity", "own_id", "id", "_n", "gone_session", "gone_id")
     r = save(r)
-    ref = r.where(yes)
-    bad += [
-        ref.where("problem IS NOT NULL").select(*key, "problem"),
-        problem(ref.where(~F.col("ref_type").isin(*MASTER_REFS)), "not an equipment-to-equipment production reference"),
-        problem(ref.where("child_id IS NULL OR parent_id IS NULL"), "relationship endpoint is absent from equipment_details"),
+    ref = r.where(_yes())
+    return r, bad + [
+        ref.where("problem IS NOT NULL").select(*ITEM, "problem"),
+        _problem(ref.where(~F.col("ref_type").isin(*MASTER_REFS)), "not an equipment-to-equipment production reference"),
+        _problem(ref.where("child_id IS NULL OR parent_id IS NULL"), "relationship endpoint is absent from equipment_details"),
     ]
-    problems = bad[0]
-    for b in bad[1:]:
-        problems = problems.unionByName(b)
-    problems = save(problems.distinct())
-    stopped = problems.select("session_id").distinct()
-    fine = lambda d: d.join(stopped, "session_id", "left_anti")
-    # new version of the master
-    edits = fine(go).select("equipment_id", F.col("property_id").alias("_property"), F.col("canonical_name").alias("_name"), F.col("floor_ref").alias("_floorRef"), F.col("zone").alias("_zone"), F.col("space_ref").alias("_space"), F.lit(True).alias("_edit"))
+
+
+def _new_master(master: DataFrame, go: DataFrame, ref: DataFrame) -> DataFrame:
+    """The master with equipment edited or added, then with references, the last decision on a child's reference first; ``change``."""
+    edits = go.select(
+        "equipment_id", F.col("property_id").alias("_property"), F.col("canonical_name").alias("_name"), F.col("floor_ref").alias("_floorRef"),
+        F.col("zone").alias("_zone"), F.col("space_ref").alias("_space"), F.lit(True).alias("_edit"),
+    )
     j = master.withColumn("_old", F.lit(True)).join(edits, "equipment_id", "full_outer")
     pick = lambda new, old: F.when(F.col("_edit"), F.col(new)).otherwise(F.col(old)).alias(old)
     change = F.when(F.col("_old").isNull(), "insert").when(F.col("_edit"), "update").otherwise("keep")
-    new = j.select("equipment_id", F.coalesce("property_id", "_property").alias("property_id"), pick("_name", "name"), pick("_floorRef", "floorRef"), pick("_zone", "zone"), pick("_space", "spaceRef"), *MASTER_REFS, change.alias("change"))
-    last = first_per_key(fine(ref), ["child_id", "ref_type"], F.desc("created_at"), F.desc("action_id"))
+    new = j.select(
+        "equipment_id", F.coalesce("property_id", "_property").alias("property_id"), pick("_name", "name"), pick("_floorRef", "floorRef"),
+        pick("_zone", "zone"), pick("_space", "spaceRef"), *MASTER_REFS, change.alias("change"),
+    )
+    last = first_per_key(ref, ["child_id", "ref_type"], F.desc("created_at"), F.desc("action_id"))
     wide = last.groupBy(F.col("child_id").alias("equipment_id")).agg(*[F.max(F.when(F.col("ref_type") == c, F.col("parent_id"))).alias(f"_{c}") for c in MASTER_REFS])
     new = new.join(wide, "equipment_id", "left")
     touched = F.coalesce(*[F.col(f"_{c}") for c in MASTER_REFS]).isNotNull()
-    new = new.withColumn("change", F.when((F.col("change") == "keep") & touched, "update").otherwise(F.col("change"))).withColumns({c: F.coalesce(f"_{c}", c) for c in MASTER_REFS}).drop(*[f"_{c}" for c in MASTER_REFS])
-    told = lambda d, fields: d.where(changed).select(*key, "original", F.when(F.col("action") == "edit", F.to_json(F.struct(*fields))).alias("corrected"), "reason", F.coalesce("reviewer", "created_by").alias("reviewer"))
-    log = fine(told(e, EQUIPMENT_FIELDS).unionByName(told(r, EDGE_FIELDS)))
-    applied = fine(live).select(*key, F.lit(True).alias("applied"))
-    n = fine(live).groupBy("session_id").agg(F.count_if(yes).alias("n_committed"), F.count_if(changed).alias("n_corrections"))
-    counts = fine(own.select("session_id")).join(n, "session_id", "left").fillna(0)
-    return {"master": new, "corrections": log, "applied": applied, "problems": problems, "counts": counts}
+    new = new.withColumn("change", F.when((F.col("change") == "keep") & touched, "update").otherwise(F.col("change")))
+    return new.withColumns({c: F.coalesce(f"_{c}", c) for c in MASTER_REFS}).drop(*[f"_{c}" for c in MASTER_REFS])
+
+
+def commit(sessions: DataFrame, events: DataFrame, items: DataFrame, edges: DataFrame, master: DataFrame, *, save) -> dict[str, DataFrame]:
+    """All outputs of committing the open sessions, as new tables; nothing is changed in place (``plans.ledger`` publishes them together).
+
+    sessions(session_id, property_id, floor, status, created_by); events: the action log (session_id, item_type, item_key, action, payload,
+    reason, reviewer, applied, created_at, action_id); items(property_id, item_key, canonical_name, equipment_type, floor); edges(property_id,
+    item_key, child, parent, ref_type); master(equipment_id long, property_id, name, floorRef, zone, spaceRef, and the ref columns).
+
+    A session is committed whole or not at all: a payload that isn't allowed, a decision without its reason, an item decided elsewhere already,
+    an identity that several master rows share or that belongs to another row, two items for one row, or an end that neither the master nor the
+    session's own equipment has, goes to ``problems``, and nothing of that session is applied. Equipment lands before references;
+    rows are matched by production identity, by the edited name first, then by the item's own. The last decision on a child's reference
+    wins. Decisions applied before have no further effect, so a second run gives the same tables.
+    Returns master (with ``change``), corrections, applied, problems, counts (session_id, n_committed, n_corrections).
+    """
+    own = sessions.where("status = 'open'").select("session_id", "property_id", F.col("floor").alias("_floor"), "created_by")
+    live = save(live_actions(events.drop("source_item")).where("NOT coalesce(applied, false)").join(own, "session_id"))
+    per = save(_identities(master))
+    e, wrong = _equipment(live, items, per, save)
+    go = e.where(_yes())
+    r, astray = _references(live, edges, go, per, save)
+    problems = save(reduce(DataFrame.unionByName, [*_decided(live, events, sessions), *wrong, *astray]).distinct())
+    stopped = problems.select("session_id").distinct()
+    fine = lambda d: d.join(stopped, "session_id", "left_anti")
+    corrected = lambda fields: F.when(F.col("action") == "edit", F.to_json(F.struct(*fields))).alias("corrected")
+    told = lambda d, fields: d.where(_changed()).select(*ITEM, "original", corrected(fields), "reason", F.coalesce("reviewer", "created_by").alias("reviewer"))
+    n = fine(live).groupBy("session_id").agg(F.count_if(_yes()).alias("n_committed"), F.count_if(_changed()).alias("n_corrections"))
+    return {
+        "master": _new_master(master, fine(go), fine(r.where(_yes()))),
+        "corrections": fine(told(e, EQUIPMENT_FIELDS).unionByName(told(r, EDGE_FIELDS))),
+        "applied": fine(live).select(*ITEM, F.lit(True).alias("applied")),
+        "problems": problems,
+        "counts": fine(own.select("session_id")).join(n, "session_id", "left").fillna(0),
+    }
 
 
 def discrepancy_view(report: DataFrame, by: str | None = None) -> DataFrame:

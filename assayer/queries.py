@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import labels as L
 from .functions import vocab as V
 from .operators import graph, images, inject, picks, points, reconcile, responses, review, runs
+from .plans import ledger
 from .sources.scratch import Scratch, folder
 from .streaming import incremental
 
@@ -611,21 +612,68 @@ LEDGER_SESSIONS = "SELECT DISTINCT 's' || (s_suppkey % 23) AS session_id, 'p' AS
 LEDGER_EVENTS = "SELECT 's' || (s_suppkey % 23) AS session_id, 'equipment' AS item_type, 'i' || s_suppkey AS item_key, CASE s_suppkey % 4 WHEN 0 THEN 'edit' WHEN 3 THEN 'reject' ELSE 'approve' END AS action, CASE s_suppkey % 4 WHEN 0 THEN '{\"zone\": \"new' || s_suppkey || '\"}' END AS payload, CASE s_suppkey % 4 WHEN 0 THEN 'moved' WHEN 3 THEN CASE WHEN s_suppkey % 23 = 3 THEN '' ELSE 'gone' END END AS reason, cast(NULL AS string) AS reviewer, false AS applied, s_suppkey AS created_at, s_suppkey AS action_id FROM supplier UNION ALL SELECT 's' || (s_suppkey % 23), 'relationship', 'e' || s_suppkey, 'approve', NULL, NULL, NULL, false, s_suppkey, s_suppkey + 1000000 FROM supplier WHERE s_suppkey % 4 = 1"
 
 
-@query(f"""WITH m AS ({LEDGER_MASTER}), ev AS (SELECT e.* FROM ({LEDGER_EVENTS}) e JOIN ({LEDGER_SESSIONS}) s USING (session_id) WHERE s.status = 'open'),
+LEDGER = f"""WITH m AS ({LEDGER_MASTER}), ev AS (SELECT e.* FROM ({LEDGER_EVENTS}) e JOIN ({LEDGER_SESSIONS}) s USING (session_id) WHERE s.status = 'open'),
 go AS (SELECT ev.*, cast(substr(ev.item_key, 2) AS BIGINT) AS k, i.canonical_name AS name FROM ev JOIN ({LEDGER_ITEMS}) i USING (item_key) WHERE item_type = 'equipment' AND action IN ('approve', 'edit')),
 rel AS (SELECT ev.*, e.child, e.parent, e.ref_type, cast(substr(ev.item_key, 2) AS BIGINT) AS k FROM ev JOIN ({LEDGER_EDGES}) e USING (item_key) WHERE item_type = 'relationship'),
 bad AS (SELECT session_id FROM ev WHERE action = 'reject' AND reason = '' UNION SELECT session_id FROM rel WHERE parent = 'ghost_1' UNION SELECT session_id FROM rel WHERE k % 5 = 4 AND NOT EXISTS (SELECT 1 FROM go WHERE go.session_id = rel.session_id AND go.k = rel.k) UNION SELECT session_id FROM rel WHERE NOT EXISTS (SELECT 1 FROM m WHERE equipment_id = 1)),
-ok AS (SELECT * FROM go WHERE session_id NOT IN (SELECT session_id FROM bad)), r AS (SELECT k, max(ref_type) AS ref_type FROM rel WHERE session_id NOT IN (SELECT session_id FROM bad) GROUP BY k)
+ok AS (SELECT * FROM go WHERE session_id NOT IN (SELECT session_id FROM bad)), r AS (SELECT k, max(ref_type) AS ref_type FROM rel WHERE session_id NOT IN (SELECT session_id FROM bad) GROUP BY k)"""
+
+
+@query(f"""{LEDGER}
 SELECT coalesce(ok.name, m.name) AS name, CASE WHEN ok.k IS NOT NULL THEN '2' ELSE m.floorRef END AS floorRef, CASE WHEN ok.action = 'edit' THEN 'new' || ok.k WHEN ok.k IS NULL THEN m.zone END AS zone, r.ref_type = 'airRef' AS has_air, r.ref_type = 'systemRef' AS has_system,
   CASE WHEN m.equipment_id IS NULL THEN 'insert' WHEN ok.k IS NOT NULL OR r.k IS NOT NULL THEN 'update' ELSE 'keep' END AS change
 FROM m FULL JOIN ok ON ok.k = m.equipment_id LEFT JOIN r ON r.k = coalesce(m.equipment_id, ok.k)""")
 def commit_sessions(t):
     """The master after all open sessions that have no problem are committed."""
-    out = review.commit(t(LEDGER_SESSIONS), t(LEDGER_EVENTS), t(LEDGER_ITEMS), t(LEDGER_EDGES), t(LEDGER_MASTER), save=save)["master"]
+    out = _committed(t)["master"]
     has = lambda c, other: F.when(F.col(c).isNotNull(), True).when(F.col(other).isNotNull(), False)
     return out.select("name", "floorRef", "zone", has("airRef", "systemRef").alias("has_air"), has("systemRef", "airRef").alias("has_system"), "change")
 
 
+def _committed(t):
+    return review.commit(t(LEDGER_SESSIONS), t(LEDGER_EVENTS), t(LEDGER_ITEMS), t(LEDGER_EDGES), t(LEDGER_MASTER), save=save)
+
+
+@query(f"""{LEDGER} SELECT session_id, item_key, 'no reason given' AS problem FROM ev WHERE action = 'reject' AND reason = ''
+UNION SELECT session_id, item_key, 'relationship endpoint is absent from equipment_details' FROM rel WHERE parent = 'ghost_1' OR NOT EXISTS (SELECT 1 FROM m WHERE equipment_id = 1)
+  OR (k % 5 = 4 AND NOT EXISTS (SELECT 1 FROM go WHERE go.session_id = rel.session_id AND go.k = rel.k))""")
+def commit_problems(t):
+    return _committed(t)["problems"].select("session_id", "item_key", "problem")
+
+
+FINE = "(SELECT * FROM ev WHERE session_id NOT IN (SELECT session_id FROM bad))"
+
+
+@query(f"{LEDGER} SELECT s.session_id, count(f.item_key) FILTER (action IN ('approve', 'edit')) AS n_committed, count(f.item_key) FILTER (action IN ('reject', 'edit')) AS n_corrections FROM ({LEDGER_SESSIONS}) s LEFT JOIN {FINE} f USING (session_id) WHERE s.status = 'open' AND s.session_id NOT IN (SELECT session_id FROM bad) GROUP BY 1")
+def commit_counts(t):
+    return _committed(t)["counts"]
+
+
+@query(f"""{LEDGER} SELECT f.session_id, f.item_key, i.canonical_name AS was, i.equipment_type AS was_type, CASE WHEN f.action = 'edit' THEN i.canonical_name END AS now, CASE WHEN f.action = 'edit' THEN 'new' || substr(f.item_key, 2) END AS zone, f.reason, 'boss' AS reviewer
+FROM {FINE} f JOIN ({LEDGER_ITEMS}) i USING (item_key) WHERE f.action IN ('edit', 'reject')""")
+def commit_corrections(t):
+    was, now = (lambda f, c=c: F.get_json_object(c, f"$.{f}") for c in ("original", "corrected"))
+    d = _committed(t)["corrections"]
+    return d.select("session_id", "item_key", was("canonical_name").alias("was"), was("equipment_type").alias("was_type"), now("canonical_name").alias("now"), now("zone").alias("zone"), "reason", "reviewer")
+
+
+@query(f"{LEDGER} SELECT 'events' AS t, e.session_id AS a, e.item_type || e.item_key AS b, (e.applied OR f.item_key IS NOT NULL)::VARCHAR AS c FROM ({LEDGER_EVENTS}) e LEFT JOIN {FINE} f USING (session_id, item_type, item_key) UNION ALL SELECT 'sessions', session_id, CASE WHEN status = 'committed' OR session_id NOT IN (SELECT session_id FROM bad) THEN 'committed' ELSE 'open' END, CASE WHEN status = 'open' AND session_id NOT IN (SELECT session_id FROM bad) THEN '2024-05-01' END FROM ({LEDGER_SESSIONS}) UNION ALL SELECT 'corrections', session_id, item_type || item_key, action FROM {FINE} WHERE action IN ('edit', 'reject') UNION ALL SELECT 'master', 'p', count(*)::VARCHAR, NULL FROM (SELECT equipment_id FROM m UNION SELECT k FROM go WHERE session_id NOT IN (SELECT session_id FROM bad))")
+def ledger_published(t):
+    """Sessions, events, corrections and master as one version of the ledger, read back; a second commit finds nothing to do."""
+    spark, root = t.spark, f"{folder(t.spark)}/ledger-{uuid.uuid4().hex}"
+    ledger.opened(spark, root, t(LEDGER_SESSIONS), t(LEDGER_EVENTS), t(LEDGER_MASTER))
+    for day in ("2024-05-01", "2024-06-01"):
+        now, _ = ledger.commit_open(spark, root, t(LEDGER_ITEMS), t(LEDGER_EDGES), day)
+    row = lambda d, name, *c: d.select(F.lit(name).alias("t"), *[x.cast("string").alias(a) for x, a in zip(c, "abc", strict=True)])
+    item, log = F.concat("item_type", "item_key"), now["corrections"]
+    return (
+        row(now["events"], "events", F.col("session_id"), item, F.col("applied"))
+        .unionByName(row(now["sessions"], "sessions", F.col("session_id"), F.col("status"), F.to_date("committed_at")))
+        .unionByName(row(log, "corrections", F.col("session_id"), item, F.when(F.col("corrected").isNull(), "reject").otherwise("edit")))
+        .unionByName(row(now["master"].agg(F.count(F.lit(1)).alias("n")), "master", F.lit("p"), F.col("n"), F.lit(None)))
+    )
+
+
 EDITS = "SELECT l_suppkey * 2 AS s_suppkey, 'edited ' || count(*) AS s_name, cast(NULL AS double) AS s_acctbal FROM lineitem GROUP BY l_suppkey"
 
 

@@ -256,6 +256,8 @@ def test_commit_and_again(spark):
 @pytest.mark.parametrize("events, problem", [
     ([("equipment", "A", "edit", '{"color": "red"}', "x")], "unsupported edit field(s): color"),
     ([("equipment", "A", "edit", '{"canonical_name": " "}', "x")], "canonical_name must be a non-empty string"),
+    ([("equipment", "A", "edit", '{"canonical_name": null}', "x")], "canonical_name must be a non-empty string"),
+    ([("equipment", "A", "edit", '{"canonical_name": 7}', "x")], "canonical_name must be a non-empty string"),
     ([("equipment", "A", "reject", None, None)], "no reason given"),
     ([("equipment", "A", "edit", '{"canonical_name": "VAV_2-7"}', "x")], "edited identity already belongs to another equipment row"),
     ([("equipment", "A", "approve", None, None), ("equipment", "W", "approve", None, None)], "several items map to one equipment row"),
@@ -285,8 +287,12 @@ def test_sessions_as_operations(spark):
     good, refused = review.recorded(ev, new, s)
     assert [r["action_id"] for r in good.collect()] == ["a5"] and {r["rule"] for r in refused.collect()} == {"action is already applied and frozen", "session is not open"}
     assert state(ev.unionByName(good)) == (3, 0, 0)
-    assert state(ev.unionByName(review.cleared(ev, "s", 9, "c1", "relationship", " x "))) == (1, 1, 0)
-    assert state(ev.unionByName(review.cleared(ev, "s", 9, "c1"))) == (1, 0, 1)
+    cleared = lambda *a: review.cleared(ev, *a, sessions=s.withColumn("status", F.when(F.col("session_id") == "u", "committed").otherwise("open")))
+    assert state(ev.unionByName(cleared("s", 9, "c1", "relationship", " x ")[0])) == (1, 1, 0)
+    assert state(ev.unionByName(cleared("s", 9, "c1")[0])) == (1, 0, 1) and cleared("s", 9, "c1")[1].count() == 0
+    assert [r["rule"] for r in cleared("s", 9, "c1", "equipment", "A")[1].collect()] == ["action is already applied and frozen"]
+    ev = ev.withColumn("session_id", F.lit("u"))
+    assert {r["rule"] for r in cleared("u", 9, "c1")[1].collect()} == {"session is not open"} and cleared("u", 9, "c1")[0].count() == 0
 
 
 def test_safe_correction_fields(spark):

@@ -43,14 +43,14 @@ def latest_n(df: DataFrame, key: str, n: int = 50, seq: str = "seq") -> DataFram
 
 
 def top_examples(df: DataFrame, category: str, value: str, n: int = 3) -> DataFrame:
-    """category, examples (first n distinct values in order), more (how many others)."""
+    """category, examples (first n distinct values in order), more (how many others). Each task keeps n values of a category before
+    they meet, so a category may be of any size."""
     d = df.select(category, value).distinct()
     w = Window.partitionBy(category).orderBy(value)
-    ranked = d.withColumn("_rn", F.row_number().over(w))
-    shown = F.array_sort(F.collect_list(F.when(F.col("_rn") <= n, F.col(value))))
-    return ranked.groupBy(category).agg(
-        F.array_join(shown, ",").alias("examples"), F.greatest(F.count(F.lit(1)) - n, F.lit(0)).cast("long").alias("more")
-    )
+    first = d.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    shown = first.groupBy(category).agg(F.array_join(F.array_sort(F.collect_list(value)), ",").alias("examples"))
+    counts = d.groupBy(F.col(category).alias("_c")).agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).cast("long").alias("more"))
+    return shown.join(counts, F.col(category).eqNullSafe(F.col("_c"))).select(category, "examples", "more")
 
 
 def side_by_side(*rows: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.labels import floor_digits, strip
 from ..functions.vocab import REF_TYPES, production_identity
 from .picks import first_per_key, last_per_key
+from .ranks import placed
 
 
 def inbox(equipment: DataFrame, relationships: DataFrame, applied: DataFrame) -> DataFrame:
@@ -349,7 +350,7 @@ def placed_for_review(items: DataFrame, name: str, groups: list[str], score: str
     """``sorted_for_review`` within each of ``groups``, as a place from 1: an order that outlives the frame."""
     s = F.asc_nulls_last(score) if ascending else F.desc_nulls_last(score)
     first = [F.desc(needs_attention(score))] if attention else []
-    return items.withColumn("place", F.row_number().over(Window.partitionBy(*groups).orderBy(*first, s, name)))
+    return placed(items, groups, *first, s, F.asc(name))
 
 
 def needs_attention(score: str = "confidence") -> Column:
@@ -375,7 +376,6 @@ def status_override(items: DataFrame, floor: str = "1") -> DataFrame:
 def ranked_groups(report: DataFrame) -> DataFrame:
     """Rows with the rank of their severity inside each type, high first."""
     rank = F.when(F.col("severity_hint") == "high", 0).when(F.col("severity_hint") == "medium", 1).otherwise(2)
-    w = Window.partitionBy("equipment_type").orderBy(rank, "equipment_id")
-    return report.withColumn("severity_rank", rank).withColumn("place", F.row_number().over(w))
+    return placed(report.withColumn("severity_rank", rank), ["equipment_type"], F.asc("severity_rank"), F.asc("equipment_id"))
 
 

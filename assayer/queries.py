@@ -594,6 +594,17 @@ def session_counts(t):
     return review.session_counts(review.live_actions(t(ACTIONS)), t(TOTALS))
 
 
+@query(f"WITH {LIVE} SELECT session_id, count(*) FILTER (action IN ('approve', 'edit')) AS n_approved, count(*) FILTER (action = 'reject') AS n_rejected FROM live GROUP BY session_id")
+def stream_counters(t):
+    """Counters kept by a stream of action events that come in three lots, the second one twice."""
+    spark, root = t.spark, f"{folder(t.spark)}/counters-{uuid.uuid4().hex}"
+    events = t(ACTIONS).select("session_id", "item_type", "item_key", "action", "created_at", "action_id")
+    for k in (1, 2, 2, 0):
+        events.where(F.pmod(F.xxhash64("action_id"), F.lit(3)) == k).write.mode("append").parquet(f"{root}/in")
+        incremental.live_counters(spark.readStream.schema(events.schema).parquet(f"{root}/in"), f"{root}/changes", f"{root}/log")
+    return incremental.counters(spark, f"{root}/changes")
+
+
 @query(f"SELECT coalesce(a.session_id, c.session_id) AS session_id, coalesce(n_applied, 0) AS n_applied, coalesce(n_corrections, 0) AS n_corrections FROM (SELECT session_id, count(*) AS n_applied FROM ({ACTIONS}) WHERE applied AND action <> 'reject' GROUP BY 1) a FULL JOIN (SELECT session_id, count(*) AS n_corrections FROM ({ACTIONS}) WHERE action IN ('reject', 'edit') GROUP BY 1) c USING (session_id)")
 def committed_counts(t):
     a = t(ACTIONS)

@@ -54,3 +54,10 @@ class Scratch:
     def clear(self, *but: DataFrame) -> None:
         keep = {id(df) for df in but}
         self.drop(*[df for key, (df, _) in list(self._at.items()) if key not in keep])
+
+
+def made_folder(spark: SparkSession, path: str) -> str:
+    """``path`` as a folder that stands, so that it can be read before anything is in it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    return path

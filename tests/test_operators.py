@@ -335,17 +335,6 @@ def test_sinks(spark, tmp_path):
     assert [sinks.export_outbox(spark, c, str(tmp_path / "pool")) for _ in range(2)] == [2, 0]
 
 
-def test_live_counters(spark, tmp_path):
-    rows = [("s", "e", "A", "approve", 5, "a1"), ("s", "e", "A", "reject", 3, "a0")]  # the older one comes later
-    schema = "session_id string, item_type string, item_key string, action string, created_at int, action_id string"
-    for k, r in enumerate(rows):
-        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        incremental.live_counters(stream, str(tmp_path / "state"), str(tmp_path / "n"), str(tmp_path / "cp"))
-    r = sinks.published(spark, str(tmp_path / "n")).first()
-    assert (r["n_approved"], r["n_rejected"]) == (1, 0)
-
-
 def test_ladder(spark):
     d = inject.ladder(spark.range(4), [lambda r: "ok" if r["id"] == 0 else "no", lambda r: "ok" if r["id"] < 2 else "no"], "id", F.col("result") == "ok", save=save)
     assert {r["id"]: (r["tier"], r["trail"], r["accepted"]) for r in d.collect()} == {0: (0, "0", True), 1: (1, "0,1", True), 2: (1, "0,1", False), 3: (1, "0,1", False)}

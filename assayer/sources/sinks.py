@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
+from ..operators.ranks import placed
+
 
 def write_csv(df: DataFrame, path: str, columns: list[str], overwrite: bool = False) -> None:
     """Booleans as true/false, lists joined by ';', empty text as an empty cell."""
@@ -32,6 +36,36 @@ def document(edges: DataFrame, header: dict, notes: DataFrame | None = None) ->
     return body.withColumns({k: F.lit(v) for k, v in header.items()}).select(F.to_json(F.struct(*header, *body.columns)).alias("document"))
 
 
+def write_documents(rows: DataFrame, header: dict, path: str, order: str = "seq", name: str = "relationships") -> None:
+    """One JSON document for each (property, floor) that rows have: header fields, then the rows in order as the list ``name``.
+
+    A document is a folder of ``path`` whose part files, one after another, are its text, a row a line. Rows stream from sorted
+    ranges to the files; none is gathered. A floor of any size goes through as many tasks as it has ranges.
+    """
+    scope = [c for c in ("property_id", "floor") if c in rows.columns]
+    if not scope:
+        raise ValueError("documents are told apart by property_id and floor")
+    own = [c for c in rows.columns if c not in scope]
+    at = placed(rows, scope, F.asc(order))
+    counts = at.groupBy(*scope).agg(F.max("place").alias("_n"))
+    lines = at.join(counts, scope).select(*scope, "place", F.concat(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}), F.when(F.col("place") < F.col("_n"), ",").otherwise("")).alias("value"))
+    top = "{" + "".join(f"{json.dumps(k)}:{json.dumps(v)}," for k, v in header.items()) + f"{json.dumps(name)}:["
+    ends = counts.select(*scope, F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit(top).alias("value")), F.struct((F.col("_n") + 1).alias("place"), F.lit("]}").alias("value")))).alias("e"))
+    every = lines.unionByName(ends.select(*scope, "e.*"))
+    every.repartitionByRange(*scope, "place").sortWithinPartitions(*scope, "place").select(*scope, "value").write.partitionBy(*scope).text(path)
+
+
+def write_counted(df: DataFrame, path: str, metrics: dict[str, Column], log: str | None = None, run: dict | None = None) -> dict:
+    """Writes ``df`` and counts ``metrics`` (aggregates) in the same pass. With ``log``, the counts are appended there as a row, with
+    the values of ``run``. A metric of no rows is what its aggregate gives for none."""
+    seen = Observation()
+    df.observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.mode("append").parquet(path)
+    told = dict(seen.get)
+    if log:
+        df.sparkSession.createDataFrame([Row(**(run or {}), **told)]).coalesce(1).write.mode("append").json(log)
+    return told
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -60,11 +94,4 @@ def export_outbox(spark, corrections: DataFrame, pool_path: str, key: str = "cor
         if "PATH_NOT_FOUND" not in str(e):
             raise
         new = corrections
-    new = new.dropDuplicates([key]).persist()
-    try:
-        n = new.count()
-        if n:
-            append(new, pool_path)
-        return n
-    finally:
-        new.unpersist()
+    return write_counted(new.dropDuplicates([key]), pool_path, {"n": F.count(F.lit(1))})["n"]

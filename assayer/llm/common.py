@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that a task holds the Python objects of few texts at once; then what the task's memory pool
+    holds beyond need goes back, as workers live on from task to task."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words (runs of digits, letters and non-ASCII characters) as UTF-8; null has none."""
     return text.lower().encode("utf-8", "replace").translate(WORD_BYTES).split() if text else []

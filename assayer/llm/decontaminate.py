@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, settled, words_of
+from .common import free_name, settled, sliced, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -130,7 +130,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
         items = _finder(part, threshold)
 
         def run(batches, items=items):
-            for b in batches:
+            for b in sliced(batches):
                 rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in items.within(t)]
                 cols = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_shared", "n_shingles"])
@@ -152,7 +152,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
         items = _finder(passes[0], threshold)
 
         def clean(batches):
-            for b in batches:
+            for b in sliced(batches):
                 yield b.filter(pa.array([not items.within(t) for t in b.column("text").to_pylist()], pa.bool_()))
 
         return docs.mapInArrow(clean, docs.schema)
@@ -162,7 +162,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
         items = _finder(part, threshold)
 
         def search(batches, items=items):
-            for b in batches:
+            for b in sliced(batches):
                 yield b.select(["_digest"]).filter(pa.array([bool(items.within(t)) for t in b.column("text").to_pylist()], pa.bool_()))
 
         here = settled(own.mapInArrow(search, "_digest string").distinct())

@@ -1,8 +1,9 @@
 """Language-model scoring: masked pseudo-likelihood of a network that sees a word's neighbours on both sides.
 
 log p(word | neighbours) = log p(class | neighbours) + log p(word | class). Classes are the edge of a text, the most frequent words,
-one each, and buckets of the other words by their last letters; the network predicts the class, the counts of the
-whole corpus tell the word within it.
+one each, up to a share of all tokens, and buckets of the other words by their last letters. The network reads the
+classes of the neighbours as embeddings and predicts the class in two steps, a group of classes and the class within it, both
+from its hidden layer; the counts of the whole corpus tell the word within a bucket.
 """
 
 from __future__ import annotations
@@ -27,6 +28,12 @@ PIECE = 1_000_000
 SIDE = 2
 WIDTH = 16
 BATCH = 1024
+#: words that are classes of their own: as many as cover this share of all tokens, and no more than this number
+COVER, OWN = 0.9, 512
+#: they stand at least so often, so that a text's own use of a word doesn't vouch for it
+LEAST_OWN = 20
+#: distinct words of a bucket, at least on average: a bucket of one word would tell nothing of how rare it is
+SHARED = 64
 #: rounds in which each task trains on its own texts, with the weights and the optimiser's moments averaged after each
 ROUNDS = 6
 #: a small corpus is passed over until so many windows have been seen
@@ -92,12 +99,14 @@ class Classes:
 
 
 def word_classes(counted: DataFrame) -> Classes:
-    """Classes for ``counted(key, n, tail)``, one row for each distinct word of the corpus; their number follows the logarithm
-    of that of the words. What reaches the driver is a row for each class."""
-    half = 2 * max(1, math.ceil(math.log2(counted.count() + 2)))
-    top = counted.orderBy(F.desc("n"), "key").limit(half).select("key").collect()
-    own = {r["key"]: k for k, r in enumerate(top, 1)}
-    classes = Classes(own, half, np.zeros(1), np.zeros(1))
+    """Classes for ``counted(key, n, tail)``, one row for each distinct word of the corpus: own words by COVER, OWN and LEAST_OWN, and
+    buckets of SHARED words, fewer than OWN. What reaches the driver is a row for each class."""
+    seen = counted.agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).first()
+    top = counted.where(F.col("n") >= LEAST_OWN).orderBy(F.desc("n"), "key").limit(OWN).select("key", "n").collect()
+    share = np.cumsum([r["n"] for r in top]) if top else np.zeros(0)
+    n_own = int(np.searchsorted(share, COVER * (seen["n"] or 0))) + 1
+    own = {r["key"]: k for k, r in enumerate(top[:n_own], 1)}
+    classes = Classes(own, max(1, min(OWN - 1, seen["words"] // SHARED)), np.zeros(1), np.zeros(1))
     per = classed(counted, classes).groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
     classes.totals, classes.distinct = np.zeros(classes.n), np.zeros(classes.n)
     for r in per:
@@ -133,7 +142,7 @@ def word_scores(ids: np.ndarray, sizes: np.ndarray, cls: np.ndarray, count: np.n
 
 
 def numbered(corpus: DataFrame, counted: DataFrame, classes: Classes) -> DataFrame:
-    """The corpus as classes: doc_ids, sizes, cls (a byte for each word), word_scores. Each piece meets the counts of its words
+    """The corpus as classes: doc_ids, sizes, cls (16 bits for each word, compressed), word_scores. Each piece meets the counts of its words
     in a shuffle by piece; words meet their counts in a shuffle by word."""
     words = classed(_dictionary(corpus), classes)
     rare = words.where("NOT own").select("key", "piece", "pos", "cls").join(counted.select("key", F.col("n").alias("count")), "key")
@@ -141,13 +150,13 @@ def numbered(corpus: DataFrame, counted: DataFrame, classes: Classes) -> DataFra
     kind = corpus.schema["doc_ids"].dataType.simpleString()
 
     def meet(texts: pa.Table, told: pa.Table) -> pa.Table:
-        cls, count = np.zeros(len(told) + 1, np.uint8), np.zeros(len(told) + 1, np.int64)
+        cls, count = np.zeros(len(told) + 1, np.uint16), np.zeros(len(told) + 1, np.int64)
         pos = told.column("pos").to_numpy()
         cls[pos], count[pos] = told.column("cls").to_numpy(), told.column("count").to_numpy()
         sizes = np.array(texts.column("sizes")[0].as_py(), np.int64)
         ids = np.frombuffer(pa.decompress(texts.column("ids")[0].as_py(), 4 * int(sizes.sum()), "zstd", asbytes=True), np.int32)
         scores = word_scores(ids, sizes, cls, count, classes)
-        return pa.table([texts.column("doc_ids"), texts.column("sizes"), pa.array([cls[ids].tobytes()], pa.binary()), pa.array([scores], pa.list_(pa.float64()))], ["doc_ids", "sizes", "cls", "word_scores"])
+        return pa.table([texts.column("doc_ids"), texts.column("sizes"), pa.array([pa.compress(cls[ids].tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([scores], pa.list_(pa.float64()))], ["doc_ids", "sizes", "cls", "word_scores"])
 
     left = corpus.select("piece", "doc_ids", "sizes", "ids").groupBy("piece")
     told_by = back.select(F.col("piece").alias("of"), "pos", "cls", "count").groupBy("of")
@@ -159,77 +168,125 @@ def _dictionary(corpus: DataFrame) -> DataFrame:
     return d.select("piece", "pos", F.col("w.keys").alias("key"), F.col("w.tails").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tail"), F.col("w.counts").alias("n"))
 
 
-def windows(cls: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """The classes of the SIDE neighbours before and after every word; beyond either end of a text stands class 0."""
+def unpacked(cls: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The classes of a piece's words."""
+    return np.frombuffer(pa.decompress(cls, 2 * int(sizes.sum()), "zstd", asbytes=True), np.uint16)
+
+
+def windows(cls: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The classes of the SIDE neighbours before and after every word, a row each; beyond either end of a text stands class 0."""
     text = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(cls)) + SIDE * (text + 1)
-    padded = np.zeros(len(cls) + SIDE * (len(sizes) + 1), np.uint8)
+    padded = np.zeros(len(cls) + SIDE * (len(sizes) + 1), np.uint16)
     padded[at] = cls
-    return [padded[at + k] for k in range(-SIDE, SIDE + 1) if k]
+    out = np.empty((len(cls), 2 * SIDE), np.uint16)
+    for column, k in enumerate(k for k in range(-SIDE, SIDE + 1) if k):
+        out[:, column] = padded[at + k]
+    return out
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Log-probabilities by rows, in place."""
+    z -= z.max(1, keepdims=True)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z
 
 
 class Network:
-    """Embeddings of the neighbours by their places, summed, one tanh layer, softmax over classes; with Adam's moments."""
+    """Embeddings of the neighbours, mixed by their places, one tanh layer, and a softmax of two steps: class ``c`` is member
+    ``c // side`` of group ``c % side``; with Adam's moments."""
 
     def __init__(self, n: int, flat: np.ndarray, steps: int = 0):
-        self.n, self.flat, self.steps = n, flat, steps
-        shapes = [(2 * SIDE, n, WIDTH), (WIDTH,), (WIDTH, n), (n,)]
+        self.n, self.flat, self.steps, self.side = n, flat, steps, math.ceil(math.sqrt(n))
+        self.weights, self.first, self.second = np.split(flat, 3)  # views: training changes ``flat``
+        self.parts = self._split(self.weights)
+
+    @staticmethod
+    def shapes(n: int) -> list[tuple]:
+        side = math.ceil(math.sqrt(n))
+        return [(n, WIDTH), (2 * SIDE * WIDTH, WIDTH), (WIDTH,), (WIDTH, side), (side,), (side, WIDTH, side), (side, side)]
+
+    def _split(self, flat: np.ndarray) -> list[np.ndarray]:
+        shapes = self.shapes(self.n)
         ends = np.cumsum([int(np.prod(s)) for s in shapes])
-        weights, self.first, self.second = np.split(flat, 3)  # views: training changes ``flat``
-        self.parts = [p.reshape(s) for p, s in zip(np.split(weights, ends[:-1]), shapes, strict=True)]
-        self.weights = weights
+        return [p.reshape(s) for p, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
 
     @classmethod
     def fresh(cls, totals: np.ndarray, seed: int = 3):
         n = len(totals)
-        size = 2 * SIDE * n * WIDTH + WIDTH + WIDTH * n + n
-        net = cls(n, np.zeros(3 * size, np.float32))
-        rng = np.random.default_rng(seed)
-        net.parts[0][:] = rng.normal(0, 0.1, net.parts[0].shape)
-        net.parts[2][:] = rng.normal(0, 0.1, net.parts[2].shape)
-        net.parts[3][:] = np.log((totals + 1.0) / (totals.sum() + n))
+        net = cls(n, np.zeros(3 * sum(int(np.prod(s)) for s in cls.shapes(n)), np.float32))
+        rng, (e, mix, _, u, c, inner, d) = np.random.default_rng(seed), net.parts
+        e[:] = rng.normal(0, 0.3, e.shape)
+        mix[:] = rng.normal(0, 0.25, mix.shape)
+        u[:] = rng.normal(0, 0.1, u.shape)
+        inner[:] = rng.normal(0, 0.1, inner.shape)
+        share = np.zeros(net.side**2)
+        share[: len(totals)] = (totals + 1.0) / (totals.sum() + n)
+        table = share.reshape(net.side, net.side).T  # group, member
+        c[:] = np.log(table.sum(1) + 1e-12)
+        d[:] = np.where(table > 0, np.log(np.where(table > 0, table, 1) / np.maximum(table.sum(1, keepdims=True), 1e-12)), -30)
         return net
 
-    def forward(self, context: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden layer and log-probabilities of every class."""
-        e, b, u, c = self.parts
-        h = e[0].take(context[0], 0)
-        for k in range(1, 2 * SIDE):
-            h += e[k].take(context[k], 0)
+    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The neighbours' embeddings side by side, and the hidden layer."""
+        e, mix, b = self.parts[:3]
+        x = e.take(context.ravel(), 0).reshape(len(context), -1)
+        h = x @ mix
         h += b
-        np.tanh(h, out=h)
-        z = h @ u
-        z += c
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return h, z
+        return x, np.tanh(h, out=h)
+
+    def within(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+        """Log-probabilities of the members of each row's group; rows stand by group. The rows of each group, as (group, slice)."""
+        inner, d = self.parts[5:]
+        begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        runs = [(int(group[i]), slice(i, j)) for i, j in zip(begins, [*begins[1:], len(group)], strict=True)]
+        z = np.empty((len(h), self.side), np.float32)
+        for g, part in runs:
+            np.matmul(h[part], inner[g], out=z[part])
+            z[part] += d[g]
+        return _softmax(z), runs
 
     def log_probs(self, cls: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log p(class | neighbours) of every word of the texts."""
         context, out = windows(cls, sizes), np.empty(len(cls), np.float32)
-        for at in range(0, len(cls), 4 * BATCH):
-            part = slice(at, at + 4 * BATCH)
-            z = self.forward([c[part] for c in context])[1]
-            out[part] = z[np.arange(len(z)), cls[part]]
+        u, c = self.parts[3:5]
+        for at in range(0, len(cls), 16 * BATCH):
+            target = cls[at : at + 16 * BATCH]
+            order = np.argsort(target % self.side, kind="stable")
+            group, member = (target % self.side)[order], (target // self.side)[order]
+            h = self.hidden(context[at : at + 16 * BATCH][order])[1]
+            rows = np.arange(len(order))
+            outer = _softmax(h @ u + c)[rows, group]
+            out[at + order] = outer + self.within(h, group)[0][rows, member]
         return out
 
-    def step(self, context: list[np.ndarray], target: np.ndarray) -> None:
+    def step(self, context: np.ndarray, target: np.ndarray) -> None:
         """One step of Adam on a batch of windows."""
-        h, z = self.forward(context)
-        dz = np.exp(z, out=z)
-        dz[np.arange(len(target)), target] -= 1
-        dz /= len(target)
-        dh = (dz @ self.parts[2].T) * (1 - h * h)
+        order = np.argsort(target % self.side, kind="stable")
+        context, group, member = context[order], (target % self.side)[order], (target // self.side)[order]
+        (x, h), rows, n = self.hidden(context), np.arange(len(order)), len(order)
+        e, mix, _, u, c, inner, d = self.parts
         grad = np.zeros_like(self.weights)
-        e, size = grad[: 2 * SIDE * self.n * WIDTH].reshape(2 * SIDE, self.n, WIDTH), 2 * SIDE * self.n * WIDTH
-        for k, ids in enumerate(context):
-            order = np.argsort(ids, kind="stable")
-            there = ids[order]
-            begins = np.flatnonzero(np.r_[True, there[1:] != there[:-1]])
-            e[k][there[begins]] = np.add.reduceat(dh[order], begins)
-        grad[size : size + WIDTH] = dh.sum(0)
-        grad[size + WIDTH : size + WIDTH + WIDTH * self.n] = (h.T @ dz).ravel()
-        grad[size + WIDTH + WIDTH * self.n :] = dz.sum(0)
+        de, dmix, db, du, dc, dinner, dd = self._split(grad)
+        dz = np.exp(_softmax(h @ u + c))
+        dz[rows, group] -= 1
+        dz /= n
+        dh = dz @ u.T
+        du[:], dc[:] = h.T @ dz, dz.sum(0)
+        z, runs = self.within(h, group)
+        dz = np.exp(z, out=z)
+        dz[rows, member] -= 1
+        dz /= n
+        for g, part in runs:
+            dh[part] += dz[part] @ inner[g].T
+            dinner[g], dd[g] = h[part].T @ dz[part], dz[part].sum(0)
+        dh *= 1 - h * h
+        dmix[:], db[:] = x.T @ dh, dh.sum(0)
+        ids = context.ravel()
+        by = np.argsort(ids, kind="stable")
+        there = ids[by]
+        begins = np.flatnonzero(np.r_[True, there[1:] != there[:-1]])
+        de[there[begins]] = np.add.reduceat((dh @ mix.T).reshape(-1, WIDTH)[by], begins)
         self.steps += 1
         self.first += 0.1 * (grad - self.first)
         self.second += 0.01 * (grad * grad - self.second)
@@ -252,14 +309,15 @@ def train(texts: DataFrame, classes: Classes, rounds: int = ROUNDS) -> Network:
             own, seen = Network(classes.n, flat.copy(), steps), 0
             for b in batches:
                 for raw, sizes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    cls = np.frombuffer(raw, np.uint8)
-                    context = windows(cls, np.array(sizes, np.int64))
+                    sizes = np.array(sizes, np.int64)
+                    cls = unpacked(raw, sizes)
+                    context = windows(cls, sizes)
                     short = len(cls) <= rounds * BATCH  # too few batches for turns: all of them train in every round
                     for _ in range(math.ceil(passes / rounds) if short else passes):
                         for at in range(0, len(cls), BATCH):
                             if short or at // BATCH % rounds == turn:
                                 part = slice(at, at + BATCH)
-                                own.step([c[part] for c in context], cls[part])
+                                own.step(context[part], cls[part])
                                 seen += len(cls[part])
             if seen:
                 yield _told(TaskContext.get().partitionId() % GROUPS, seen, own.steps, own.flat)
@@ -306,7 +364,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     rounding of sums. Null ids stay null; other columns are ignored. Empty tables give no rows.
     """
     texts, _, classes, net = fitted(docs, rounds)
-    weights = docs.sparkSession.sparkContext.broadcast(net.flat[: len(net.weights)])  # some 30 kB
+    weights = docs.sparkSession.sparkContext.broadcast(net.flat[: len(net.weights)])  # some 150 kB
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -314,7 +372,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 sizes = np.array(b.column("sizes")[i].as_py(), np.int64)
-                logp = own.log_probs(np.frombuffer(b.column("cls")[i].as_py(), np.uint8), sizes).astype(np.float64)
+                logp = own.log_probs(unpacked(b.column("cls")[i].as_py(), sizes), sizes).astype(np.float64)
                 text = np.repeat(np.arange(len(sizes)), sizes)
                 scores = np.bincount(text, logp, len(sizes)) + np.array(b.column("word_scores")[i].as_py())
                 yield pa.RecordBatch.from_arrays([b.column("doc_ids")[i].values, pa.array(sizes), pa.array(scores)], ["doc_id", "n_words", "score"])

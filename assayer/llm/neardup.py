@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free_name, settled
+from .common import components, free_name, settled, sliced
 from .simhash import fingerprint_links, majority
 
 SHINGLE = 5
@@ -102,18 +102,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def sign(batches):
-        for b in batches:
+        for b in sliced(batches, 256):
             got = [node(x) for x in b.column(1).cast(pa.binary()).to_pylist()]
             keys = pa.array([bands(h) for _, h in got], pa.list_(pa.int64()))
             fps = pa.array([majority(h) for _, h in got], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([d for d, _ in got], pa.binary()), fps, keys], ["doc_id", "mark", "node", "fp", "bands"])
 
     def shingled(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                got = [node(x) for x in b.column(1).slice(at, 256).cast(pa.binary()).to_pylist()]
-                sets = pa.array([h.view(np.int64) for _, h in got], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.binary()), sets], ["node", "shingles"])
+        for b in sliced(batches, 256):
+            got = [node(x) for x in b.column(1).cast(pa.binary()).to_pylist()]
+            sets = pa.array([h.view(np.int64) for _, h in got], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.binary()), sets], ["node", "shingles"])
 
     signed = settled(own.withColumn("mark", text_mark()).mapInArrow(sign, "doc_id long, mark long, node binary, fp long, bands array<long>"))
     nodes = settled(signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))

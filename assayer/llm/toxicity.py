@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: labelled rows that the lexicon and the weights are fitted on: those with the smallest hashes
 MAX_TRAIN = 20_000
 #: likely terms of at most so many bytes are carried to the tasks that count their neighbours; more are joined instead
@@ -194,7 +196,7 @@ def learn_lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
     """
 
     def by_document(batches):
-        for b in batches:
+        for b in sliced(batches):
             n, t = Counter(), Counter()
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 (t if toxic else n).update({x for w in set(_bare(text)) for x in _terms(w)} | {"$"})
@@ -215,7 +217,7 @@ def learn_lexicon(train: DataFrame) -> tuple[list[str], list[str]]:
     likely = {r["term"] for r in first.collect()} if carried else None
 
     def by_neighbours(batches):
-        for b in batches:
+        for b in sliced(batches):
             seen = set()
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ws = _bare(text)
@@ -244,7 +246,7 @@ def learn_reporting(train: DataFrame, words: list[str], stems: list[str]) -> lis
 
     def before_terms(batches):
         scanner = Scanner(words, stems)
-        for b in batches:
+        for b in sliced(batches):
             n, t = Counter(), Counter()
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ws = text.lower().split()
@@ -295,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
 
         def run(batches):
             scanner = Scanner(words, stems, reporting)
-            for b in batches:
+            for b in sliced(batches):
                 rows = [scanner.features(t) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
@@ -320,7 +322,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
 
     def run(batches):
         score = model.scorer()
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([score(t) for t in b.column(2).to_pylist()], pa.float64())],
                 ["doc_id", "held_out", "score"],
@@ -337,7 +339,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
 
     def run(batches):
         score = model.scorer()
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array([score(t) < 0.5 for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -64,7 +64,8 @@ def brute_lm_scores(rows, classes, counted, net):
     """Word by word: log p(class | neighbours) of the weights, and log p(word | class) of all other texts' counts."""
     words = {i: [w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()] for i, t in enumerate(t for _, t in rows)}
     keys = {w: k for k, w in counted}
-    e, b, u, c = (p.astype(float) for p in net.parts)
+    e, mix, b, u, c, inner, d = (p.astype(float) for p in net.parts)
+    softmax = lambda z: z - math.log(np.exp(z - z.max()).sum()) - z.max()
     total = {}
     for ws in words.values():
         for w in ws:
@@ -75,8 +76,9 @@ def brute_lm_scores(rows, classes, counted, net):
         padded, score = [0, 0, *(cls[w] for w in ws), 0, 0], 0.0
         for i, w in enumerate(ws):
             near = [padded[i], padded[i + 1], padded[i + 3], padded[i + 4]]
-            z = np.tanh(sum(e[k][x] for k, x in enumerate(near)) + b) @ u + c
-            score += z[cls[w]] - math.log(np.exp(z - z.max()).sum()) - z.max()
+            h = np.tanh(np.concatenate([e[x] for x in near]) @ mix + b)
+            group, member = cls[w] % net.side, cls[w] // net.side
+            score += softmax(h @ u + c)[group] + softmax(h @ inner[group] + d[group])[member]
             if keys[w] not in classes.own:
                 mates = [x for x in total if cls[x] == cls[w]]
                 of = sum(total[x] for x in mates) - sum(cls[x] == cls[w] for x in ws)
@@ -113,12 +115,27 @@ def test_lm_beats_unigrams_on_held_out_text(spark):
 
     texts, counted, classes, net = lmscore.fitted(docs(spark, [(i, text(200)) for i in range(60)]))
     keys = {r["w"]: r["k"] for r in spark.createDataFrame([(w, w.encode()) for w in after], "w string, b binary").select("w", F.xxhash64("b").alias("k")).collect()}
-    cls = np.array([classes.own[keys[w]] if keys[w] in classes.own else 1 + len(classes.own) + zlib.crc32(w.encode()) % classes.buckets for w in text(3000).split()], np.uint8)
+    cls = np.array([classes.own[keys[w]] if keys[w] in classes.own else 1 + len(classes.own) + zlib.crc32(w.encode()) % classes.buckets for w in text(3000).split()], np.uint16)
     own = -net.log_probs(cls, np.array([len(cls)])).mean()
     unigram = -np.log(classes.totals[cls] / classes.totals.sum()).mean()
     assert math.exp(own) < 0.5 * math.exp(unigram)
 
 
+def test_lm_reads_the_language_off_the_neighbours(spark):
+    rng = random.Random(21)
+    tongues = [["".join(rng.choice(letters) for _ in range(rng.randrange(2, 5))) for _ in range(400)] for letters in ("abcdef", "ghijkl", "mnopqr", "stuvwx")]
+    texts = [" ".join(rng.choices(rng.choice(tongues), k=150)) for _ in range(400)]
+    corpus, _, classes, net = lmscore.fitted(docs(spark, list(enumerate(texts))))
+    own = classes.totals[1 : 1 + len(classes.own)].sum() / classes.totals.sum()
+    gain = n = 0.0
+    for r in corpus.select("cls", "sizes").collect():
+        sizes = np.array(r["sizes"])
+        cls = lmscore.unpacked(r["cls"], sizes)
+        gain += (net.log_probs(cls, sizes) - np.log(classes.totals[cls] / classes.totals.sum())).sum()
+        n += len(cls)
+    assert gain / n > 0.7 and own > 0.3  # of log(4) that the language is worth
+
+
 def test_lm_tells_copies_from_single_texts(spark):
     rng = random.Random(19)
     text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7))) for _ in range(80))

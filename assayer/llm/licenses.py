@@ -20,8 +20,9 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 
 
 class Template(NamedTuple):
-    """A notice. Its words, as a set, are sought in every block; all of ``must`` have to be there and none of ``barred``,
-    which tells licenses apart whose notices are nearly the same set of words."""
+    """A notice. Its words, as a set, are sought in every block. A block gets the label if some run of its words, not much longer
+    than the notice, holds enough of them, all of ``must`` in that order, and none of ``barred``: what tells licenses apart whose notices are
+    nearly the same set of words counts where it stands among the notice's own words, and nowhere else."""
 
     label: str
     notice: str
@@ -36,20 +37,36 @@ class Template(NamedTuple):
     def length(self) -> int:
         return len(self.notice.split())
 
+    @property
+    def reach(self) -> int:
+        """The longest run that still reads as the notice: a few words may stand between its own."""
+        return self.length + max(2, self.length // 4)
+
 
 _CC = "noncommercial sharealike noderivatives noderivs nc sa nd"
 TEMPLATES = (
     Template("mit", "released under the mit license", "mit license"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission granted software"),
     Template("apache-2", "licensed under the apache license version 2 0", "apache 2"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc nc"),
-    Template("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", "creative commons noncommercial", "sharealike noderivatives noderivs"),
+    Template("cc-by", "licensed under cc by 4 0", "cc by", _CC),
+    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc nc", "sa nd"),
+    Template("cc-by-sa", "licensed under cc by sa 4 0", "cc sa", "nc"),
+    Template("cc-by-nd", "licensed under cc by nd 4 0", "cc nd", "nc"),
+    Template("cc-by-nc-sa", "licensed under cc by nc sa 4 0", "cc nc sa"),
+    Template("cc-by-nc-nd", "licensed under cc by nc nd 4 0", "cc nc nd"),
     Template("cc-by", "creative commons attribution 4 0 international license", "creative commons attribution", _CC),
+    Template("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", "creative commons noncommercial", "sharealike noderivatives noderivs"),
     Template("cc-by-sa", "creative commons attribution sharealike 4 0 international license", "creative commons sharealike", "noncommercial"),
+    Template("cc-by-nd", "creative commons attribution noderivatives 4 0 international license", "creative commons noderivatives", "noncommercial"),
+    Template("cc-by-nc-sa", "creative commons attribution noncommercial sharealike 4 0 international license", "creative commons noncommercial sharealike"),
+    Template("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives 4 0 international license", "creative commons noncommercial noderivatives"),
+    Template("gpl", "licensed under the gnu general public license version 3", "gnu general public license", "lesser library affero"),
     Template("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license", "lesser library affero"),
     Template("gpl", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license", "lesser library affero"),
     Template("lgpl", "licensed under the gnu lesser general public license version 3", "gnu lesser public license"),
     Template("lgpl", "redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser public license"),
+    Template("gpl", "or the gnu general public license version 3", "gnu general public license", "lesser library affero"),
+    Template("lgpl", "or the gnu lesser general public license version 3", "gnu lesser public license"),
     Template("agpl", "licensed under the gnu affero general public license version 3", "gnu affero public license"),
     Template("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license 2"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution permitted conditions"),
@@ -109,23 +126,23 @@ def read_texts(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold:
     d = d.withColumn("held", F.array_intersect(F.split("s", " "), F.array(*map(F.lit, vocabulary))))
     could = F.lit(False)
     for t in templates:
-        must = F.lit(True)
-        for w in t.must.split():
-            must = must & F.array_contains("held", w)
-        could = could | (must & (F.size(F.array_intersect("held", F.array(*map(F.lit, t.words)))) >= _need(t, threshold)))
+        could = could | (F.size(F.array_intersect("held", F.array(*map(F.lit, t.words)))) >= _need(t, threshold))
     columns = _phrase_columns(F.col("s"), F.col("n_words"), phrases)
     d = d.select("doc_id", "n_words", *[c.alias(k) for k, c in columns.items()], "held", F.when(could, F.col("s")).alias("s"))
     return settled(d.withColumn("row", F.monotonically_increasing_id()))
 
 
 def _runs(words: Column, templates: list[Template], threshold: float) -> Column:
-    """(length, block, ws) of the blocks that hold words enough for one of ``templates``, which are of one length."""
+    """(length, block, ws, cut) of the blocks that hold words enough for one of ``templates``, which are of one length: their distinct
+    template words, and all their words in order."""
     length, least = templates[0].length, min(_need(t, threshold) for t in templates)
     own = F.array(*map(F.lit, sorted({w for t in templates for w in [*t.words, *t.must.split(), *t.barred.split()]})))
     every = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / length).cast("int"))
     held = lambda c: F.array_intersect(F.slice(words, c * length + 1, 2 * length), own)
     cut = F.transform(every, lambda c: F.struct(F.lit(length).alias("length"), c.alias("block"), held(c).alias("ws")))
-    return F.filter(cut, lambda b: F.size(b["ws"]) >= least)
+    kept = F.filter(cut, lambda b: F.size(b["ws"]) >= least)
+    whole = lambda c: F.slice(words, c * length + 1, 2 * length).alias("cut")
+    return F.transform(kept, lambda b: F.struct(b["length"].alias("length"), b["block"].alias("block"), b["ws"].alias("ws"), whole(b["block"])))
 
 
 def template_blocks(texts: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -137,7 +154,8 @@ def template_blocks(texts: DataFrame, templates=TEMPLATES, threshold: float = TH
     template's first ``size - need + 1`` words (prefix filter), have ``need`` words at all (length filter), and leave
     enough words after the shared one on both sides (positional filter). What is left is counted.
     The statistics gathered are one count for each distinct template word.
-    Returns row, block (its number), template, label, containment.
+    ``shortest`` is the length of the shortest run in the block that reads as the notice (see ``Template``), null where none does.
+    Returns row, block (its number), template, label, containment, length, shortest.
     """
     vocabulary = sorted({w for t in templates for w in [*t.words, *t.must.split(), *t.barred.split()]})
     seen = texts.select(F.explode("held").alias("w")).groupBy("w").count().collect()  # <= size of the templates' vocabulary
@@ -147,25 +165,28 @@ def template_blocks(texts: DataFrame, templates=TEMPLATES, threshold: float = TH
     for k, t in enumerate(templates):
         order, need = sorted(rank[w] for w in t.words), _need(t, threshold)
         must, barred = ([rank[w] for w in ws.split()] for ws in (t.must, t.barred))
-        prefixes += [(t.length, r, k, t.label, p, len(order), need, order, must, barred) for p, r in enumerate(order[: len(order) - need + 1])]
+        prefixes += [(t.length, r, k, t.label, p, len(order), need, t.reach, order, must, barred) for p, r in enumerate(order[: len(order) - need + 1])]
     prefix = texts.sparkSession.createDataFrame(
-        prefixes, "length int, r int, template int, label string, p int, size int, need int, ranks array<int>, must array<int>, barred array<int>"
+        prefixes, "length int, r int, template int, label string, p int, size int, need int, reach int, ranks array<int>, must array<int>, barred array<int>"
     )
     ranks = F.create_map(*[x for w, r in rank.items() for x in (F.lit(w), F.lit(r))])
     words = F.split("s", " ")
     runs = F.concat(*[_runs(F.col("ws"), [t for t in templates if t.length == n], threshold) for n in sorted({t.length for t in templates})])
-    blocks = texts.where("s IS NOT NULL").select("row", words.alias("ws")).select("row", F.explode(runs).alias("b")).select("row", "b.length", "b.block", F.col("b.ws").alias("ws"))
-    ordered = blocks.select("row", "length", "block", F.array_sort(F.transform("ws", lambda w: ranks[w])).alias("rs"))
-    probes = ordered.select("row", "length", "block", "rs", F.posexplode("rs").alias("q", "r"))
+    blocks = texts.where("s IS NOT NULL").select("row", words.alias("ws")).select("row", F.explode(runs).alias("b")).select("row", "b.length", "b.block", "b.ws", "b.cut")
+    ordered = blocks.select("row", "length", "block", F.array_sort(F.transform("ws", lambda w: ranks[w])).alias("rs"), F.transform("cut", lambda w: F.coalesce(ranks[w], F.lit(-1))).alias("cut"))
+    probes = ordered.select("row", "length", "block", "rs", "cut", F.posexplode("rs").alias("q", "r"))
     left = F.least(F.col("size") - F.col("p"), F.size("rs") - F.col("q"))
-    told = (F.size(F.array_except("must", "rs")) == 0) & ~F.arrays_overlap("barred", "rs")
+    # runs begin and end anywhere in the block; those of up to ``reach`` words are tried
+    shortest = F.expr("""array_min(flatten(transform(filter(sequence(1, size(cut)), p -> array_contains(ranks, cut[p - 1])), p -> filter(sequence(need, reach), n ->
+      p + n - 1 <= size(cut) AND size(array_intersect(slice(cut, p, n), ranks)) >= need AND array_min(transform(must, m -> array_position(slice(cut, p, n), m))) > 0
+      AND array_sort(transform(must, m -> array_position(slice(cut, p, n), m))) = transform(must, m -> array_position(slice(cut, p, n), m)) AND NOT arrays_overlap(slice(cut, p, n), barred)))))""")
     return (
         probes.join(F.broadcast(prefix), ["length", "r"])
-        .where((F.size("rs") >= F.col("need")) & (left + F.least("p", "q") >= F.col("need")) & told)
+        .where((F.size("rs") >= F.col("need")) & (left + F.least("p", "q") >= F.col("need")))
         .withColumn("overlap", F.size(F.array_intersect("rs", "ranks")))
         .where("overlap >= need")
-        .select("row", "block", "template", "label", (F.col("overlap") / F.col("size")).alias("containment"))
-        .distinct()
+        .dropDuplicates(["row", "block", "template"])
+        .select("row", "block", "template", "label", (F.col("overlap") / F.col("size")).alias("containment"), "length", shortest.alias("shortest"))
     )
 
 
@@ -174,13 +195,15 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per row of ``docs``: phrase places, and the labels of phrases and of template blocks.
 
-    ``score`` is 1 where a phrase stands, else the best containment of a matching block, else 0. Texts are read and
+    A template's label holds where a run of a block reads as its notice. ``score`` is 1 where a phrase stands, else the best
+    containment of such a block, times the notice's length by the run's where that is longer, else 0. Texts are read and
     cut into words once. Null or empty text: no words, no labels, score 0. Repeated rows, and rows that share a ``doc_id``
     or have none, are each judged by their own text. Other columns are ignored. Very long texts are scanned whole.
     """
     texts = read_texts(docs.select("doc_id", "text"), phrases, templates, threshold)
     found = (
-        template_blocks(texts, templates, threshold)
+        template_blocks(texts, templates, threshold).where("shortest IS NOT NULL")
+        .withColumn("containment", F.col("containment") * (F.col("length") / F.greatest("length", "shortest")))
         .groupBy("row").agg(F.collect_set("label").alias("_labels"), F.max("containment").alias("_best"))
     )
     every = F.sort_array(F.array_union("base_labels", F.coalesce("_labels", F.array().cast("array<string>"))))
@@ -199,7 +222,7 @@ def oracle_sql(phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold
     """The same result by brute force, for DuckDB: every block against every template of its length."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     listed = lambda ws: "[" + ", ".join(repr(w) for w in ws) + "]::VARCHAR[]"
-    rows = ", ".join(f"('{t.label}', {t.length}, {listed(t.words)}, {_need(t, threshold)}, {listed(t.must.split())}, {listed(t.barred.split())})" for t in templates)
+    rows = ", ".join(f"('{t.label}', {t.length}, {listed(t.words)}, {_need(t, threshold)}, {t.reach}, {listed(t.must.split())}, {listed(t.barred.split())})" for t in templates)
     said = ", ".join(f"('{label}', string_split('{p}', ' '), {len(p.split())})" for p, label in phrases.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
@@ -211,14 +234,17 @@ places AS (
     WHERE list_has_all(w.ws, p.ps)
   ) WHERE ws[i:i + n - 1] = ps),
 base AS (SELECT id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS ls FROM places GROUP BY id),
-templates(label, size, ts, need, must, barred) AS (VALUES {rows}),
+templates(label, size, ts, need, reach, must, barred) AS (VALUES {rows}),
 blocks AS (SELECT id, size, ws[p + 1:p + 2 * size] AS bs FROM (
   SELECT id, ws, size, unnest(range(0, len(ws), size)) AS p FROM w, (SELECT DISTINCT size FROM templates) WHERE list_has_any(ws, (SELECT list(DISTINCT m) FROM (SELECT unnest(must) AS m FROM templates))))),
+told AS MATERIALIZED (SELECT b.id, b.bs, t.* FROM blocks b JOIN templates t USING (size) WHERE list_has_all(b.bs, t.must)),
+near AS (SELECT * FROM (SELECT *, len(list_intersect(bs, ts)) AS k FROM told) WHERE k >= need),
+runs AS (SELECT *, unnest(range(0, len(bs))) AS p FROM near),
+cuts AS (SELECT id, label, size, ts, need, must, barred, k, n, bs[p + 1:p + n] AS c FROM (SELECT *, unnest(range(need, reach + 1)) AS n FROM runs WHERE list_contains(ts, bs[p + 1])) WHERE p + n <= len(bs)),
 found AS (
-  SELECT id, list(DISTINCT label) AS ls, max(n) AS best FROM (
-    SELECT b.id, t.label, len(list_intersect(b.bs, t.ts)) AS k, t.need, len(list_intersect(b.bs, t.ts))::DOUBLE / len(t.ts) AS n FROM blocks b JOIN templates t USING (size)
-    WHERE list_has_all(b.bs, t.must) AND NOT list_has_any(b.bs, t.barred)
-  ) WHERE k >= need GROUP BY id)
+  SELECT id, list(DISTINCT label) AS ls, max((k::DOUBLE / len(ts)) * (size::DOUBLE / greatest(size, n))) AS best FROM cuts
+  WHERE len(list_intersect(c, ts)) >= need AND list_has_all(c, must) AND NOT list_has_any(c, barred)
+    AND list_sort(list_transform(must, lambda m: list_position(c, m))) = list_transform(must, lambda m: list_position(c, m)) GROUP BY id)
 SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(base.ls, []::VARCHAR[])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []::VARCHAR[]), coalesce(found.ls, []::VARCHAR[])))), ',') AS labels,

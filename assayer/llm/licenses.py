@@ -40,7 +40,7 @@ class Template(NamedTuple):
     @property
     def reach(self) -> int:
         """The longest run that still reads as the notice: a few words may stand between its own."""
-        return self.length + max(2, self.length // 4)
+        return self.length + max(3, self.length // 4)
 
 
 _CC = "noncommercial sharealike noderivatives noderivs nc sa nd"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.labels import file_type, image_class, image_quality, object_key, tile_starts
 
@@ -23,15 +22,18 @@ def png_size(content: Column) -> tuple[Column, Column]:
 
 
 def preservation_plan(files: DataFrame, listing: DataFrame, prefix: str) -> DataFrame:
-    """Target key of each file: planned, conflict (exists already), skipped (unsupported), duplicate or rejected path."""
+    """Target key of each file: planned, conflict (exists already), skipped (unsupported), duplicate or rejected path. Rejected paths have no
+    key and meet nothing; how often a key stands is counted before it is looked up."""
     d = files.withColumn("object_key", object_key(prefix, F.col("file_type"), F.col("relative_path")))
-    d = d.withColumn("_n", F.count("object_key").over(Window.partitionBy("object_key")))
+    keyed = d.where("object_key IS NOT NULL")
+    twice = keyed.groupBy("object_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     have = listing.select(F.col("key").alias("object_key"), F.lit(True).alias("_there")).distinct()
     status = (
-        F.when(F.col("object_key").isNull(), "rejected").when(F.col("file_type") == "unsupported", "skipped").when(F.col("_n") > 1, "duplicate")
-        .when(F.col("_there"), "conflict").otherwise("planned")
+        F.when(F.col("file_type") == "unsupported", "skipped").when(F.col("_n").isNotNull(), "duplicate").when(F.col("_there"), "conflict").otherwise("planned")
     )
-    return d.join(have, "object_key", "left").withColumn("status", status).drop("_n", "_there")
+    told = keyed.join(twice, "object_key", "left").join(have, "object_key", "left").withColumn("status", status)
+    rejected = d.where("object_key IS NULL").withColumn("status", F.lit("rejected"))
+    return told.select(*d.columns, "status").unionByName(rejected)
 
 
 def with_plan(manifest: DataFrame, plan: DataFrame) -> DataFrame:

@@ -87,6 +87,28 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, strict: boo
     return d.where("_ok").select("_v.*")
 
 
+def snapshot(spark: SparkSession, path: str, schema: T.StructType, scopes: DataFrame | None = None, **keys) -> DataFrame:
+    """A partitioned snapshot, or the folders of it that are asked for: ``keys`` (snapshot_version, property_id, floor) by value, ``scopes`` by a
+    frame of some of these columns, up to ``SCOPES`` of them. Other folders aren't read. Keys are texts, whatever they
+    look like. A folder that doesn't exist gives no rows."""
+    named = ["snapshot_version", "property_id", "floor"]
+    wide = T.StructType([f for f in schema.fields if f.name not in named] + [T.StructField(c, T.StringType()) for c in named if c in schema.names])
+    d = spark.read.schema(wide).parquet(path)
+    for c, value in keys.items():
+        d = d.where(F.col(c) == str(value))
+    if scopes is not None:
+        on = [c for c in named if c in scopes.columns]
+        asked = scopes.select(*[F.col(c).cast("string") for c in on]).dropna().distinct()
+        few = asked.limit(SCOPES + 1).collect()
+        named_by = F.concat_ws("\0", *on)
+        d = d.where(named_by.isin(["\0".join(r) for r in few])) if len(few) <= SCOPES else d.join(asked, on, "left_semi")
+    return d.select(*schema.names)
+
+
+#: scopes by which folders are chosen before the scan; more are met in a shuffle
+SCOPES = 10_000
+
+
 def edge_document(spark: SparkSession, path: str) -> DataFrame:
     """{relationships: [...]} or a bare list, one row an edge."""
     d = spark.read.option("multiLine", True).json(path)

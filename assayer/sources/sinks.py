@@ -10,17 +10,33 @@ from pyspark.sql import functions as F
 from ..operators.ranks import placed
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str], overwrite: bool = False) -> None:
-    """Booleans as true/false, lists joined by ';', empty text as an empty cell."""
+def snapshot_order(*columns: str) -> list[Column]:
+    """The order of snapshot rows: each column without regard to case, then as it is."""
+    return [F.asc(c) for name in columns for c in (F.lower(name), F.col(name))]
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str], overwrite: bool = False, order: list[str] | None = None) -> None:
+    """Booleans as true/false, lists joined by ';', empty text as an empty cell. With ``order`` rows stand in ``snapshot_order`` over all
+    files, whose names follow it."""
     def cell(c):
         kind = df.schema[c].dataType.simpleString()
         return (F.array_join(c, ";") if kind.startswith("array") else F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c)
 
-    df.select(*map(cell, columns)).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("emptyValue", "").csv(path)
+    d = df.orderBy(*snapshot_order(*order)) if order else df
+    d.select(*map(cell, columns)).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("emptyValue", "").csv(path)
+
+
+SNAPSHOT_KEYS = ("snapshot_version", "property_id", "floor")
 
 
-def write_snapshot(df: DataFrame, path: str, by=("snapshot_version", "property_id", "floor"), overwrite: bool = False) -> None:
-    df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(*[c for c in by if c in df.columns]).parquet(path)
+def write_snapshot(df: DataFrame, path: str, by=SNAPSHOT_KEYS, overwrite: bool = False, order: list[str] | None = None) -> None:
+    """Parquet in folders by the snapshot's keys. With ``order``, the rows of a folder stand in ``snapshot_order`` over its files;
+    rows are dealt by ranges of keys and order, so a folder of any size is written by many tasks."""
+    keys = [c for c in by if c in df.columns]
+    if order:
+        ranges = [*map(F.asc, keys), *snapshot_order(*order)]
+        df = df.repartitionByRange(*ranges).sortWithinPartitions(*ranges)
+    df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(*keys).parquet(path)
 
 
 def write_json_lines(df: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -185,19 +185,51 @@ def joined_edges(canonical: DataFrame, edges: DataFrame) -> DataFrame:
     return e.where("unit IS NOT NULL").drop(*[f"_{f}" for f in forms])
 
 
-def fold_refs(canonical: DataFrame, edges: DataFrame) -> DataFrame:
+# Notes of a fold.
+EVIDENCE_NOTE, UNCONFIRMED_NOTE = "evidence points to ", "flagged by relationship extraction"
+
+
+def telling_edges(joined: DataFrame) -> DataFrame:
+    """Those ``joined_edges`` that a fold can't do without.
+
+    As long as all parents of a unit's reference agree, a further edge that names the same one, unflagged and without conflict, leaves
+    cell, flag and notes as they are. Such edges go: those behind the first parent and before the first that differs, both of which are found by
+    the smallest seq of each name, before any edges meet. What stays for a unit grows with what is written into its row.
+    """
+    keys = [*SCOPE, "unit", "ref_type"]
+    conflict, review = (F.coalesce(c, F.lit(False)) for c in ("conflict", "review_required"))
+    names = joined.where(~conflict).groupBy(*keys, "name").agg(F.min(F.struct("seq")).alias("_at"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_at", "name"))
+    two = names.withColumn("_place", place).where("_place <= 2")
+    marks = two.groupBy(*keys).agg(
+        F.max(F.when(F.col("_place") == 1, F.col("_at.seq"))).alias("_first"), F.max(F.when(F.col("_place") == 2, F.col("_at.seq"))).alias("_differs"),
+        F.max("_place").alias("_names"),
+    )
+    agreed = (F.col("seq") > F.col("_first")) & ((F.col("_names") == 1) | (F.col("seq") < F.col("_differs")))
+    d = joined.join(marks, keys, "left")
+    return d.where(conflict | review | ~F.coalesce(agreed, F.lit(False))).drop("_first", "_differs", "_names")
+
+
+def fold_refs(canonical: DataFrame, edges: DataFrame, *, save=None) -> DataFrame:
     """canonical (seq, canonical_key, canonical_name) with a column for each ref type, filled from edges in the order of their seq.
 
     The first parent fills the cell; one that differs from the cell is appended with ';' and flags the row; conflicts only
-    flag it; parents flagged upstream are noted as unconfirmed. Notes stand in the order of the edges.
+    flag it; parents flagged upstream are noted as unconfirmed. Notes stand in the order of the edges. Only ``telling_edges`` meet in a
+    unit's row. ``save`` stores the joined edges, which are read twice.
     """
     e = joined_edges(canonical, edges)
+    e = telling_edges(save(e) if save else e)
     item = F.struct("seq", "name", F.coalesce("conflict", F.lit(False)).alias("conflict"), F.coalesce("conflict_reason", F.lit("")).alias("why"), F.coalesce("review_required", F.lit(False)).alias("review"), F.coalesce("review_reason", F.lit("")).alias("note"), "parent")
-    noted = lambda text: f"array_append(a.notes, named_struct('seq', x.seq, 'note', {text}))"
-    folded = F.expr(f"""aggregate(items, named_struct('cell', '', 'flag', false, 'notes', cast(array() as array<struct<seq: {e.schema['seq'].dataType.simpleString()}, note: string>>)), (a, x) ->
-        CASE WHEN x.conflict THEN named_struct('cell', a.cell, 'flag', true, 'notes', {noted("concat(ref_type, ' conflict: ', coalesce(nullif(trim(x.why), ''), concat('evidence points to ', x.parent)))")})
-             WHEN a.cell <> '' AND a.cell <> x.name THEN named_struct('cell', concat(a.cell, ';', x.name), 'flag', true, 'notes', {noted("concat('multiple ', ref_type, ' parents inferred: ', a.cell, ';', x.name)")})
-             ELSE named_struct('cell', x.name, 'flag', a.flag OR x.review, 'notes', CASE WHEN x.review THEN {noted("concat(ref_type, ' ', x.name, ' inferred but unconfirmed: ', coalesce(nullif(trim(x.note), ''), 'flagged by relationship extraction'))")} ELSE a.notes END) END)""")
+    notes = f"array<struct<seq: {e.schema['seq'].dataType.simpleString()}, note: string>>"
+    state = lambda cell, flag, note=None: f"named_struct('cell', {cell}, 'flag', {flag}, 'notes', " + (f"array_append(a.notes, named_struct('seq', x.seq, 'note', {note})))" if note else "a.notes)")
+    torn = f"concat(ref_type, ' conflict: ', coalesce(nullif(trim(x.why), ''), concat('{EVIDENCE_NOTE}', x.parent)))"
+    several = "concat('multiple ', ref_type, ' parents inferred: ', a.cell, ';', x.name)"
+    doubtful = f"concat(ref_type, ' ', x.name, ' inferred but unconfirmed: ', coalesce(nullif(trim(x.note), ''), '{UNCONFIRMED_NOTE}'))"
+    folded = F.expr(f"""aggregate(items, named_struct('cell', '', 'flag', false, 'notes', cast(array() as {notes})), (a, x) ->
+        CASE WHEN x.conflict THEN {state("a.cell", "true", torn)}
+             WHEN a.cell <> '' AND a.cell <> x.name THEN {state("concat(a.cell, ';', x.name)", "true", several)}
+             WHEN x.review THEN {state("x.name", "true", doubtful)}
+             ELSE {state("x.name", "a.flag")} END)""")
     cells = e.groupBy(*SCOPE, "unit", "ref_type").agg(F.sort_array(F.collect_list(item)).alias("items")).select(*SCOPE, "unit", "ref_type", folded.alias("f"))
     wide = cells.groupBy(*SCOPE, F.col("unit").alias("canonical_name")).agg(
         *[F.max(F.when(F.col("ref_type") == r, F.nullif("f.cell", F.lit("")))).alias(r) for r in vocab.REF_TYPES],

@@ -39,6 +39,14 @@ def write_snapshot(df: DataFrame, path: str, by=SNAPSHOT_KEYS, overwrite: bool =
     df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(*keys).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, by: list[str], buckets: int, overwrite: bool = False) -> None:
+    """A table of the warehouse in ``buckets`` by the columns ``by``, sorted by them, one file a bucket. Tables with the same ``by`` and
+    number of buckets meet on these columns without a shuffle; the number is chosen so that a bucket of the largest of them
+    fits a task."""
+    d = df.repartition(buckets, *by)
+    d.write.mode("overwrite" if overwrite else "errorifexists").format("parquet").bucketBy(buckets, *by).sortBy(*by).saveAsTable(table)
+
+
 def write_json_lines(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Keys in alphabetical order."""
     df.select(*sorted(df.columns)).write.mode("overwrite" if overwrite else "errorifexists").option("ignoreNullFields", False).json(path)

@@ -838,3 +838,5 @@ def stream_outbox(t):
 
 #: the query with which the package introduces itself
 FLAGSHIP = "reconcile_full_outer"
+
+from . import queries_stages  # noqa: E402, F401 - registers its queries

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -133,22 +134,43 @@ def shard_links(x: np.ndarray, which: int, radius: int = RADIUS) -> list[tuple[i
     return links
 
 
+def in_blocks(dense: DataFrame, limit: int) -> DataFrame:
+    """``dense(shard, fp, id)`` as shards of some ``limit`` rows: a shard's rows are dealt to blocks of half of that by a hash of the fingerprint,
+    and each two blocks meet in a shard of their own, so any two rows meet somewhere and no task holds the whole."""
+    n = dense.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / F.lit(limit / 2)).cast("int"))
+    d = dense.join(n, "shard").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("own")) | (F.col("blocks") == 1))
+    d = d.withColumn("other", F.explode(others))
+    pair = F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))
+    return d.select(_half_kept(pair).alias("shard"), "fp", "id")
+
+
+def _half_kept(name):
+    """A shard's new name; the last bit still names the half by which its tree divides."""
+    return name.bitwiseAND(F.lit(-2)).bitwiseOR(F.col("shard").bitwiseAND(F.lit(1)))
+
+
 def divided(dealt: DataFrame, limit: int | None = None, rounds: int = 12) -> DataFrame:
     """``dealt(shard, fp, id)`` with shards beyond ``limit`` rows divided by vantage points of their own over all 64 bits.
 
     The vantage point of a shard is one of its fingerprints, the cut the median distance from it; rows up to RADIUS beyond the cut
     go to both sides, so two rows within RADIUS of each other stay together somewhere. A shard whose larger side would
-    keep over 0.8 of it is one dense family, which its task connects row by row; it stays as it is.
+    keep over 0.8 of it is one dense family; it is dealt as pairs of blocks, and so is what is still beyond ``limit`` after
+    ``rounds``.
     """
     limit = SHARD_LIMIT if limit is None else limit
-    left, done = dealt, None
-    for k in range(rounds):
+    left, done, dense = dealt, [], []
+    for k in range(rounds + 1):
         big = settled(left.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias("point")).where(F.col("n") > limit))
         n = big.count()
         if not n:
             break
         small = F.broadcast if n <= BROADCAST_SHARDS else lambda d: d
-        rest = left.join(small(big.select("shard")), "shard", "left_anti")
+        done.append(left.join(small(big.select("shard")), "shard", "left_anti"))
+        if k == rounds:
+            dense.append(left.join(small(big.select("shard")), "shard", "left_semi"))
+            left = left.limit(0)
+            break
         far = left.join(small(big), "shard").withColumn("far", F.bit_count(F.col("fp").bitwiseXOR(F.col("point"))))
         cut = far.groupBy("shard").agg(F.percentile_approx("far", 0.5).alias("cut"))
         far = far.join(small(cut), "shard").withColumn("inner", F.col("far") <= F.col("cut") + RADIUS).withColumn("outer", F.col("far") > F.col("cut"))
@@ -156,12 +178,11 @@ def divided(dealt: DataFrame, limit: int | None = None, rounds: int = 12) -> Dat
         good = settled(sides.select("shard", (F.col("worst") <= 0.8 * F.col("n")).alias("good")))
         far = far.join(small(good), "shard")
         side = F.explode(F.array_compact(F.array(F.when(F.col("inner"), 0), F.when(F.col("outer"), 1))))
-        named = F.xxhash64("shard", "side").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("shard").bitwiseAND(F.lit(1)))  # the last bit names the half
-        halves = far.where("good").withColumn("side", side).select(named.alias("shard"), "fp", "id")
-        rest = rest.unionByName(far.where("NOT good").select("shard", "fp", "id"))
-        done = rest if done is None else done.unionByName(rest)
-        left = settled(halves)
-    return left if done is None else done.unionByName(left)
+        left = settled(far.where("good").withColumn("side", side).select(_half_kept(F.xxhash64("shard", "side")).alias("shard"), "fp", "id"))
+        dense.append(far.where("NOT good").select("shard", "fp", "id"))
+    for d in dense:
+        done.append(in_blocks(d, limit))
+    return reduce(DataFrame.unionByName, [left, *done])
 
 
 def fingerprint_links(nodes: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators for training corpora: small fixtures, edge cases, and brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -252,6 +253,24 @@ def test_simhash(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_dense_families_are_dealt_in_blocks(spark, monkeypatch):
+    """All fingerprints within three of fourteen bits of a center, far from those of another: no vantage point divides them."""
+    ball = [sum(1 << i for i in bits) for n in range(4) for bits in itertools.combinations(range(14), n)]
+    centers = [0x0123456789ABCDEF, 0x7EDCBA9876543210]
+    fps = [c ^ x for c in centers for x in ball]
+    nodes = spark.createDataFrame(list(enumerate(fps)), "id long, fp long")
+    whole = nodes.select(F.lit(6).cast("long").alias("shard"), "fp", "id")
+    for rounds in (12, 0):
+        dealt = simhash.divided(whole, 64, rounds)
+        sizes = [r["n"] for r in dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert max(sizes) <= 128 and len(sizes) > 10 and {r["shard"] & 1 for r in dealt.select("shard").distinct().collect()} == {0}
+        met = dealt.alias("x").join(dealt.alias("y"), F.expr("x.shard = y.shard AND x.id < y.id AND bit_count(x.fp ^ y.fp) <= 3")).select("x.id", F.col("y.id").alias("other")).distinct().count()
+        assert met == sum((x ^ y).bit_count() <= 3 for x, y in itertools.combinations(fps, 2))
+    monkeypatch.setattr(simhash, "SHARD_LIMIT", 64)
+    got = {r["node"]: r["root"] for r in components(simhash.fingerprint_links(nodes)).collect()}
+    assert got == {n: 0 if n < len(ball) else len(ball) for n in range(len(fps))}
+
+
 @pytest.mark.parametrize("limit", [8, 40])
 def test_large_shards_are_divided(spark, monkeypatch, limit):
     monkeypatch.setattr(simhash, "SHARD_LIMIT", limit)

@@ -293,7 +293,7 @@ n AS (SELECT unit, string_agg(u.n, '; ' ORDER BY u.s) AS notes FROM (SELECT unit
 g AS (SELECT unit, coalesce(max(s.cell) FILTER (ref_type = 'airRef'), '') AS airRef, coalesce(max(s.cell) FILTER (ref_type = 'hotWaterRef'), '') AS hotWaterRef, bool_or(s.flag) AS flag FROM f GROUP BY unit)
 SELECT c.seq, c.canonical_name, coalesce(airRef, '') AS airRef, coalesce(hotWaterRef, '') AS hotWaterRef, coalesce(flag, false) AS review_required, coalesce(notes, '') AS review_reason FROM c LEFT JOIN g ON g.unit = c.canonical_name LEFT JOIN n ON n.unit = c.canonical_name""")
 def ref_fold(t):
-    return reconcile.fold_refs(t(CANON), t(REFS)).select("seq", "canonical_name", "airRef", "hotWaterRef", "review_required", "review_reason")
+    return reconcile.fold_refs(t(CANON), t(REFS), save=save).select("seq", "canonical_name", "airRef", "hotWaterRef", "review_required", "review_reason")
 
 
 @query(f"WITH {JOINED} SELECT (SELECT count(*) FROM e WHERE NOT conflict) AS joined_edges, (SELECT count(*) FROM r WHERE ref_type IN ('systemRef', 'floorRef')) AS valid_uncolumned_edges")

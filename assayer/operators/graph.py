@@ -175,9 +175,9 @@ def candidates(edges: DataFrame) -> DataFrame:
     return parents.join(edges.select(*scope, F.col("child").alias("name")).distinct(), [*scope, "name"], "left_anti")
 
 
-def alias_targets(equipment: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(scope, key) -> set of canonical names; equipment(name, type), aliases(alias, name), both with the scope columns they have. A name
-    stands under its own key, and a name without a token under itself; aliases of names that aren't equipment of their scope
+def alias_names(equipment: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(scope, key, name) of the names that stand under a key; equipment(name, type), aliases(alias, name), both with the scope columns they
+    have. A name stands under its own key, and a name without a token under itself; aliases of names that aren't equipment of their scope
     count for nothing; aliases without scope columns hold in every scope that has the name."""
     equipment = _filled(equipment)
     scope = scope_of(equipment)
@@ -187,51 +187,108 @@ def alias_targets(equipment: DataFrame, aliases: DataFrame | None = None) -> Dat
         aliases = _filled(aliases)
         named = aliases.join(equipment.select(*scope, "name").distinct(), [*_shared(aliases, equipment), "name"])
         d = d.unionByName(named.select(*scope, canonical_key(F.col("alias")).alias("key"), "name"))
-    return d.where("key IS NOT NULL").groupBy(*scope, "key").agg(F.array_sort(F.collect_set("name")).alias("targets"))
+    return d.where("key IS NOT NULL")
+
+
+def _stripped(edges: DataFrame) -> DataFrame:
+    """Edges with the text of their ends: _child_label, _child_text (the raw label), and those of the parent."""
+    return edges.withColumns({f"_{role}_{c}": strip(F.col(f"{role}{raw}")) for role in ("child", "parent") for c, raw in (("label", ""), ("text", "_raw"))})
+
+
+def _each_end(scope: list[str], edges: DataFrame, *also: str) -> DataFrame:
+    """(scope, also, role, label, raw) of the ends of ``_stripped`` edges."""
+    end = lambda role: F.struct(F.lit(role).alias("role"), F.col(f"_{role}_label").alias("label"), F.col(f"_{role}_text").alias("raw"))
+    return edges.select(*scope, *also, F.explode(F.array(end("child"), end("parent"))).alias("e")).select(*scope, *also, "e.*")
+
+
+def _looked_up(pairs: DataFrame, met: list[str], equipment: DataFrame, aliases: DataFrame | None, declared: DataFrame | None) -> DataFrame:
+    """Rows with label and raw -> with identity, status, canonical, declared, targets. The status is told by the smallest and the largest
+    name alone, so rows only hold lists of names where somebody asks for ``targets``."""
+    known = alias_names(equipment.select(*met, "name"), aliases).groupBy(*met, "key").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.array_sort(F.collect_set("name")).alias("targets"))
+    d = pairs.withColumns({f"_own_{c}": F.when(F.col(c) != "", canonical_key(F.col(c))) for c in ("label", "raw")})
+    # a blank text has a key that nothing stands under, and not all the same one
+    d = d.withColumns({f"_key_{c}": F.when(F.col(c) == "", F.concat(F.lit("<"), "label", "raw")).otherwise(F.coalesce(f"_own_{c}", F.concat(F.lit("="), F.col(c)))) for c in ("label", "raw")})
+    for c in ("label", "raw"):
+        d = d.join(known.select(*met, F.col("key").alias(f"_key_{c}"), *[F.col(x).alias(f"_{x}_{c}") for x in ("low", "high", "targets")]), [*met, f"_key_{c}"], "left")
+        if declared is None:
+            d = d.withColumn(f"_declared_{c}", F.lit(False))
+        else:
+            told = _shared(declared, d.select(*met))
+            named = _filled(declared).select(*told, canonical_key(F.col("name")).alias(f"_own_{c}")).where(f"_own_{c} IS NOT NULL").distinct()
+            d = d.join(named.withColumn(f"_declared_{c}", F.lit(True)), [*told, f"_own_{c}"], "left")
+    low, high = F.least("_low_label", "_low_raw"), F.greatest("_high_label", "_high_raw")
+    none = F.array().cast("array<string>")
+    first = F.coalesce(F.nullif("label", F.lit("")), F.nullif("raw", F.lit("")))
+    return d.select(
+        *pairs.columns, F.coalesce(F.when(F.col("label") != "", F.col("_own_label")).otherwise(F.col("_own_raw")), F.upper(first)).alias("identity"),
+        F.when(low.isNull(), "unresolved").when(low == high, "resolved").otherwise("ambiguous").alias("status"), F.when(low == high, low).alias("canonical"),
+        (F.coalesce("_declared_label", F.lit(False)) | F.coalesce("_declared_raw", F.lit(False))).alias("declared"),
+        F.array_sort(F.array_union(F.coalesce("_targets_label", none), F.coalesce("_targets_raw", none))).alias("targets"),
+    )
+
+
+# What an edge holds of an end once it is resolved.
+TOLD = ["identity", "status", "canonical", "declared"]
+
+
+def _matched(edges: DataFrame, equipment: DataFrame, aliases=None, declared=None, *, save=None, told=TOLD) -> DataFrame:
+    """Edges with what is ``told`` of both ends, as _child_identity and so on. Every distinct pair of label and raw label of a scope is
+    resolved once; edges look theirs up."""
+    edges = _filled(edges)
+    met = _shared(edges, equipment)
+    d = _stripped(edges)
+    pairs = _looked_up(_each_end(met, d).drop("role").distinct(), met, equipment, aliases, declared).select(*met, "label", "raw", *told)
+    pairs = save(pairs) if save else pairs
+    for role in ("child", "parent"):
+        own = pairs.select(*met, F.col("label").alias(f"_{role}_label"), F.col("raw").alias(f"_{role}_text"), *[F.col(c).alias(f"_{role}_{c}") for c in told])
+        d = d.join(own, [*met, f"_{role}_label", f"_{role}_text"], "left")
+    return d
+
+
+def _ends(matched: DataFrame, told=TOLD) -> DataFrame:
+    """The two ends of each of the ``matched`` edges, with its seq and what it says."""
+    scope = scope_of(matched)
+    shown = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("<blank>"))
+    said = F.concat(shown(F.col("_child_label")), F.lit(" -> "), shown(F.col("_parent_label")), F.lit(" ("), shown(strip(F.col("ref_type"))), F.lit(")"))
+    end = lambda role: F.struct(F.lit(role).alias("role"), *[F.col(f"_{role}_{c}").alias(c) for c in ("label", "text", *told)])
+    d = matched.select(*scope, "seq", "ref_type", said.alias("said"), F.explode(F.array(end("child"), end("parent"))).alias("e")).select(*scope, "seq", "ref_type", "said", "e.*")
+    blank, labels = F.concat(F.lit("<blank "), F.col("role"), F.lit(">")), F.array_distinct(F.filter(F.array("label", "text"), lambda x: x != ""))
+    return d.select(
+        *scope, "seq", "role", "ref_type", "said", F.coalesce("identity", F.upper(blank)).alias("identity"), F.when(F.size(labels) > 0, labels).otherwise(F.array(blank)).alias("labels"),
+        *(["targets"] if "targets" in told else []), "status", "canonical", F.coalesce(F.col("canonical") != F.col("label"), F.lit(False)).alias("used_alias"), "declared",
+    )
 
 
 def resolve(edges: DataFrame, equipment: DataFrame, aliases: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
     """(scope, seq, role) -> identity, labels, targets, status (resolved, unresolved, ambiguous), canonical, used_alias, declared, said (the edge).
 
     An end is named by its label and its raw label, and resolves among the equipment of its own property and floor, by the scope columns
-    that both frames have; ``seq`` numbers the edges of a scope. Every distinct label of a scope is resolved once; ends look
-    theirs up, and ends without a raw label don't meet for it.
+    that both frames have; ``seq`` numbers the edges of a scope. ``targets`` lists all names in each row: where counts are enough,
+    ``end_counts`` and ``accepted_edges`` do without.
     """
+    told = [*TOLD, "targets"]
+    return _ends(_matched(edges, equipment, aliases, declared, told=told), told)
+
+
+def end_counts(edges: DataFrame, equipment: DataFrame, aliases: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
+    """(scope, role, ref_type, identity, status, canonical) -> n, the number of ends. Equal ends are counted before any is resolved."""
     edges = _filled(edges)
-    scope, met = scope_of(edges), _shared(edges, equipment)
-    text = lambda c: strip(F.col(c))
-    shown = lambda c: F.coalesce(F.nullif(text(c), F.lit("")), F.lit("<blank>"))
-    said = F.concat(shown("child"), F.lit(" -> "), shown("parent"), F.lit(" ("), shown("ref_type"), F.lit(")"))
-    end = lambda role: F.struct(F.lit(role).alias("role"), text(role).alias("label"), text(f"{role}_raw").alias("raw"))
-    ends = edges.select(*scope, "seq", "ref_type", said.alias("said"), F.explode(F.array(end("child"), end("parent"))).alias("e")).select(*scope, "seq", "ref_type", "said", "e.*")
-    names = ends.select(*met, F.explode(F.array("label", "raw")).alias("text")).where("text <> ''").distinct()
-    names = names.withColumn("own", canonical_key(F.col("text"))).withColumn("key", F.coalesce("own", F.concat(F.lit("="), F.col("text"))))
-    found = names.join(alias_targets(equipment.select(*met, "name"), aliases), [*met, "key"], "left")
-    if declared is not None:
-        declared = _filled(declared)
-        told = [c for c in met if c in declared.columns]
-        known = declared.select(*told, canonical_key(F.col("name")).alias("own")).where("own IS NOT NULL").distinct()
-        found = found.join(known.withColumn("_d", F.lit(True)), [*told, "own"], "left")
-    else:
-        found = found.withColumn("_d", F.lit(False))
-    none = F.array().cast("array<string>")
-    found = found.select(*met, "text", "own", F.coalesce("targets", none).alias("targets"), F.coalesce("_d", F.lit(False)).alias("declared"))
-    told = lambda c: found.select(*met, F.col("text").alias(c), F.struct("own", "targets", "declared").alias(f"_{c}"))
-    d = ends.join(told("label"), [*met, "label"], "left")
-    blank = F.col("raw") == ""
-    d = d.where(~blank).join(told("raw"), [*met, "raw"], "left").unionByName(d.where(blank).withColumn("_raw", F.lit(None).cast(d.schema["_label"].dataType)))
-    targets = F.array_sort(F.array_union(F.coalesce("_label.targets", none), F.coalesce("_raw.targets", none)))
-    labels = F.array_distinct(F.filter(F.array("label", "raw"), lambda x: x != ""))
-    first = F.get(F.col("labels"), F.lit(0))
-    identity = F.coalesce(F.when(F.col("label") != "", F.col("_label.own")).otherwise(F.col("_raw.own")), F.upper(first), F.upper(F.concat(F.lit("<blank "), F.col("role"), F.lit(">"))))
-    d = d.withColumn("targets", targets).withColumn("labels", labels)
-    n = F.size("targets")
-    one = F.when(n == 1, F.get("targets", F.lit(0)))
-    return d.select(
-        *scope, "seq", "role", "ref_type", "said", identity.alias("identity"), F.when(F.size("labels") > 0, F.col("labels")).otherwise(F.array(F.concat(F.lit("<blank "), F.col("role"), F.lit(">")))).alias("labels"),
-        "targets", F.when(n > 1, "ambiguous").when(n == 1, "resolved").otherwise("unresolved").alias("status"), one.alias("canonical"),
-        F.coalesce(one != F.col("label"), F.lit(False)).alias("used_alias"), (F.coalesce("_label.declared", F.lit(False)) | F.coalesce("_raw.declared", F.lit(False))).alias("declared"),
-    )
+    scope = scope_of(edges)
+    each = _each_end(scope, _stripped(edges), "ref_type").groupBy(*scope, "ref_type", "role", "label", "raw").agg(F.count(F.lit(1)).alias("n"))
+    d = _looked_up(each, _shared(edges, equipment), equipment, aliases, declared)
+    identity = F.coalesce("identity", F.upper(F.concat(F.lit("<blank "), F.col("role"), F.lit(">"))))
+    return d.groupBy(*scope, "role", "ref_type", identity.alias("identity"), "status", "canonical").agg(F.sum("n").alias("n"))
+
+
+def _accepted(matched: DataFrame, *also: str) -> DataFrame:
+    """The ``matched`` edges with both ends resolved and no conflict, by canonical names."""
+    good = matched.where(~to_bool(F.col("conflict")) & F.col("_child_canonical").isNotNull() & F.col("_parent_canonical").isNotNull())
+    return good.select(*scope_of(matched), *also, F.col("_child_canonical").alias("child"), F.col("_parent_canonical").alias("parent"), "ref_type")
+
+
+def accepted_edges(edges: DataFrame, equipment: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(scope, child, parent, ref_type) of edges with both ends resolved and no conflict, by canonical names, once for each edge."""
+    return _accepted(_matched(edges, equipment, aliases))
 
 
 def accepted(edges: DataFrame, resolution: DataFrame) -> DataFrame:
@@ -259,7 +316,7 @@ def multiple_parents(edges: DataFrame, ref_type: str = "airRef") -> DataFrame:
 
 
 def ref_sanity(ends: DataFrame, equipment: DataFrame) -> DataFrame:
-    """Resolved ends (role, ref_type, canonical) whose type their ref doesn't allow: check, name, type."""
+    """Resolved ends (role, ref_type, canonical; seq, or n of ``end_counts``) whose type their ref doesn't allow: check, name, type."""
     ends, equipment = _filled(ends), _filled(equipment)
     met = _shared(ends, equipment)
     d = ends.join(equipment.select(*met, F.col("name").alias("canonical"), "type"), [*met, "canonical"])
@@ -267,7 +324,8 @@ def ref_sanity(ends: DataFrame, equipment: DataFrame) -> DataFrame:
     parent = (F.col("ref_type") == "airRef") & (F.col("role") == "parent") & ~vocab.is_air_source(F.col("type"))
     water = F.col("ref_type").isin(*vocab.WATER_REFS) & (F.col("role") == "parent") & ~vocab.is_plant(F.col("type"))
     check = F.when(child, "child is not a terminal").when(parent, "parent is not an air source").when(water, "parent is not a plant")
-    return d.select(*scope_of(ends), "seq", "role", "ref_type", F.col("canonical").alias("name"), "type", check.alias("check")).where("check IS NOT NULL")
+    also = [c for c in ("seq", "n") if c in ends.columns]
+    return d.select(*scope_of(ends), *also, "role", "ref_type", F.col("canonical").alias("name"), "type", check.alias("check")).where("check IS NOT NULL")
 
 
 def review_items(edges: DataFrame) -> DataFrame:
@@ -310,17 +368,23 @@ def validate(edges: DataFrame, equipment: DataFrame, aliases=None, declared=None
     scope = scope_of(edges)
     if missing := [c for c in scope if c not in equipment.columns]:
         raise ValueError(f"equipment lacks the edges' scope columns: {missing}")
-    ends = save(resolve(edges, equipment, aliases, declared))
-    good = save(accepted(edges, ends))
+    # one table of edges that know their ends: ends and accepted edges are read from it
+    known = save(_matched(edges, equipment, aliases, declared, save=save))
+    edges, ends, good = known.select(*edges.columns), _ends(known), _accepted(known, "seq")
 
     def row(d, check, sev, message, nodes):
         return d.select(*scope, F.lit(check).alias("check_id"), F.lit(sev).alias("severity"), message.alias("message"), nodes.alias("nodes"))
 
     bad = ends.where("status <> 'resolved'")
-    sets = lambda c: bad.select(*scope, "identity", "status", F.explode(c).alias("x")).distinct().groupBy(*scope, "identity", "status").agg(F.array_sort(F.collect_list("x")).alias(c))
-    keys = [*scope, "identity", "status"]
+    keys, met = [*scope, "identity", "status"], _shared(edges, equipment)
+    # names meet the different labels of an identity, not its edges
+    texts = save(bad.select(*keys, F.explode("labels").alias("x")).distinct())
+    names = alias_names(equipment.select(*met, "name"), aliases).withColumnRenamed("key", "_key")
+    torn = texts.where("status = 'ambiguous'").withColumn("_key", F.coalesce(canonical_key(F.col("x")), F.concat(F.lit("="), F.col("x"))))
+    torn = torn.join(names, [*met, "_key"]).select(*keys, "name").distinct()
+    sets = lambda d, x, c: d.groupBy(*keys).agg(F.array_sort(F.collect_list(x)).alias(c))
     issue = bad.groupBy(*keys).agg(F.count_distinct("said").alias("n"), F.bool_or("declared").alias("declared"))
-    issue = save(issue.join(sets("labels"), keys).join(sets("targets"), keys, "left"))
+    issue = save(issue.join(sets(texts, "x", "labels"), keys).join(sets(torn, "name", "targets"), keys, "left"))
     times = F.concat(F.lit("; referenced by "), F.col("n").cast("string"), F.lit(" edge(s)"))
     unknown, unsure = issue.where("status = 'unresolved'"), issue.where("status = 'ambiguous'")
     lost = F.concat(F.lit("unresolved endpoint "), _listed(F.col("labels")), F.lit(": "), F.when(F.col("declared"), CANDIDATE_NOTE).otherwise(ABSENT_NOTE), times)

@@ -99,3 +99,24 @@ def test_scoped_merges_and_lookups(spark):
     names = spark.createDataFrame([("p", "a"), ("q", "y")], "property_id string, name string")
     lost = review.missing_endpoints(second.where("property_id IS NOT NULL").withColumn("seq", F.lit(1)), names)
     assert {(r["property_id"], r["role"], r["name"]) for r in lost.collect()} == {("p", "parent", "y"), ("q", "child", "a")}
+
+
+def test_shared_aliases_stay_out_of_edges(spark):
+    """Many edges under one alias of many units: only findings list the units, and rows of edges don't grow with them."""
+    equipment = spark.range(300).select(F.format_string("AHU_2-%03d", "id").alias("name"), F.lit("AHU").alias("type"))
+    aliases = equipment.select(F.lit("unit 1").alias("alias"), "name")
+    edges = spark.range(40).select(
+        F.col("id").alias("seq"), F.format_string("VAV %d", "id").alias("child"), F.lit("AHU 2 7").alias("parent"), F.lit("").alias("child_raw"), F.lit("unit 1").alias("parent_raw"),
+        F.lit("airRef").alias("ref_type"), F.lit(0.9).alias("confidence"), F.lit(False).alias("conflict"), F.lit(False).alias("review_required"), F.lit("").alias("review_reason"),
+    )
+    scratch = Scratch()
+    v = graph.validate(edges, equipment, aliases, save=scratch)
+    assert not any(f.dataType.simpleString().startswith("array") for df in scratch.frames() for f in df.schema if "_child_status" in df.columns or f.name == "raw")
+    assert "targets" not in v.ends.columns
+    torn = v.findings.where("check_id = 'ambiguous_node'").collect()
+    assert len(torn) == 1 and len(torn[0]["nodes"]) == 302 and torn[0]["message"].endswith("referenced by 40 edge(s)")
+    ends = graph.end_counts(edges, equipment, aliases).where("role = 'parent'").collect()
+    assert [(r["identity"], r["status"], r["n"]) for r in ends] == [("AHU_2_7", "ambiguous", 40)]
+    plan = graph.end_counts(edges, equipment, aliases)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "collect_set" not in graph.accepted_edges(edges, equipment, aliases)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(graph.resolve(edges, equipment, aliases).where("role = 'parent'").first()["targets"]) == 300

@@ -14,6 +14,8 @@ from ..sources.scratch import Scratch
 
 #: a round that shrinks the edges to less than this share of what they were goes on shrinking before it colours
 SHRUNK = 0.9
+#: how tables of the search meet: their size in memory is many times that of their files, so none is sent to all tasks by way of the driver
+SORTED = "merge"
 #: edges that are left for one task to finish
 LOCAL = 100_000
 
@@ -80,33 +82,36 @@ class _Search:
             self.log.append(("loop", loops))
         e = self.edges.where("a <> b")
         tail, head = e.select(F.col("a").alias("b")).distinct(), e.select(F.col("b").alias("a")).distinct()
-        self.put(e.join(tail, "b", "left_semi").join(head, "a", "left_semi").select("a", "b"))
+        self.put(e.join(tail.hint(SORTED), "b", "left_semi").join(head.hint(SORTED), "a", "left_semi").select("a", "b"))
 
     def chains(self) -> None:
         """Chains of nodes with one edge in and one out become single edges, all at once: both pointers of a link double until
         they leave the chain. What never leaves is a ring of its own."""
         out = self.edges.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("b").alias("up"))
         into = self.edges.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("a").alias("down"))
-        links = out.join(into, "node").where("n_out = 1 AND n_in = 1").select("node", "up", "down", F.col("node").alias("low"))
+        links = out.join(into.hint(SORTED), "node").where("n_out = 1 AND n_in = 1").select("node", "up", "down", F.col("node").alias("low"))
         own = links.select(F.col("node").alias("_at"))
-        links = links.join(own.withColumnRenamed("_at", "up").withColumn("on_up", F.lit(True)), "up", "left").join(own.withColumnRenamed("_at", "down").withColumn("on_down", F.lit(True)), "down", "left")
+        links = links.join(own.withColumnRenamed("_at", "up").withColumn("on_up", F.lit(True)).hint(SORTED), "up", "left").join(own.withColumnRenamed("_at", "down").withColumn("on_down", F.lit(True)).hint(SORTED), "down", "left")
         links = self.save(links.select("node", "up", "down", "low", F.coalesce("on_up", F.lit(False)).alias("on_up"), F.coalesce("on_down", F.lit(False)).alias("on_down")))
         if not (n := links.count()):
             return self.save.drop(links)
-        steps = 0
-        while 2**steps < 2 * n and not links.where("on_up OR on_down").isEmpty():
+        steps, moved = 0, True
+        while moved and 2**steps < 2 * n and not links.where("on_up OR on_down").isEmpty():
             far = lambda end, tag: links.select(F.col("node").alias(end), F.col(end).alias(f"{tag}_to"), F.col(f"on_{end}").alias(f"{tag}_on"), F.col("low").alias(f"{tag}_low"))
-            j = links.join(far("up", "u"), "up", "left").join(far("down", "d"), "down", "left")
+            j = links.join(far("up", "u").hint(SORTED), "up", "left").join(far("down", "d").hint(SORTED), "down", "left")
             new = self.save(j.select(
                 "node", F.coalesce("u_to", "up").alias("up"), F.coalesce("d_to", "down").alias("down"), F.least("low", "u_low", "d_low").alias("low"),
                 F.coalesce("u_on", F.lit(False)).alias("on_up"), F.coalesce("d_on", F.lit(False)).alias("on_down"),
+                (F.coalesce("u_on", F.lit(False)) != F.col("on_up")).alias("_up"), (F.coalesce("d_on", F.lit(False)) != F.col("on_down")).alias("_down"),
+                (F.least("low", "u_low", "d_low") != F.col("low")).alias("_low"),
             ))
             self.save.drop(links)
-            links, steps = new, steps + 1
+            # each step takes nodes off every chain that isn't done; where none goes and no smallest node is new, only rings are left, told in full
+            links, steps, moved = new, steps + 1, not new.where("_up OR _down OR _low").isEmpty()
         self.log.append(("rings", links.where("on_up OR on_down").select("node", F.col("low").alias("part"))))
         self.log.append(("chains", links.where("NOT (on_up OR on_down)").select("node", "up", "down")))
         gone = links.select(F.col("node").alias("a"))
-        rest = self.edges.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti")
+        rest = self.edges.join(gone.hint(SORTED), "a", "left_anti").join(gone.withColumnRenamed("a", "b").hint(SORTED), "b", "left_anti")
         short = links.where("NOT (on_up OR on_down)").select(F.col("down").alias("a"), F.col("up").alias("b"))
         self.put(rest.select("a", "b").unionByName(short).distinct())
         loops = self.edges.where("a = b").select(F.col("a").alias("node"))
@@ -117,18 +122,18 @@ class _Search:
     def merge(self) -> None:
         """Two nodes with edges both ways are on a cycle: the one gives its edges to the other. Of all that are so joined, nodes
         go to the neighbour with the smallest hash, if that one stays."""
-        pairs = self.edges.join(self.edges.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
+        pairs = self.edges.join(self.edges.select(F.col("b").alias("a"), F.col("a").alias("b")).hint(SORTED), ["a", "b"], "left_semi")
         to = self.save(pairs.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(self.hashed("b").alias("h"), F.col("b").alias("node"))).alias("to")))
         if to.isEmpty():
             return self.save.drop(to)
         mine = F.struct(self.hashed("node").alias("h"), F.col("node").alias("node"))
         stays = to.where(mine < F.col("to")).select(F.col("node").alias("rep"))
-        gone = self.save(to.where(F.col("to") < mine).select("node", F.col("to.node").alias("rep")).join(stays, "rep", "left_semi").select("node", "rep"))
+        gone = self.save(to.where(F.col("to") < mine).select("node", F.col("to.node").alias("rep")).join(stays.hint(SORTED), "rep", "left_semi").select("node", "rep"))
         self.save.drop(to)
         self.log.append(("merge", gone))
         e = self.edges
         for end in ("a", "b"):
-            e = e.join(gone.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
+            e = e.join(gone.withColumnRenamed("node", end).hint(SORTED), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
         self.put(e.where("a <> b").select("a", "b").distinct())
 
     # --- colouring
@@ -136,15 +141,15 @@ class _Search:
         """labels(node, label) after the smallest label that leads to a node along (a, b) has reached it. Every step follows the edges,
         and each node's pointer to one node before it, which doubles; it ends when no label changes."""
         back = along.groupBy(F.col("b").alias("node")).agg(F.min(F.struct(self.hashed("a", "b"), F.col("a").alias("ptr"))).alias("p")).select("node", "p.ptr")
-        labels = self.save(labels.join(back, "node", "left"))
+        labels = self.save(labels.join(back.hint(SORTED), "node", "left"))
         kind = labels.schema["label"].dataType
         none = F.lit(None)
         while True:
             at = labels.schema["ptr"].dataType
             own = labels.select("node", "label", none.cast(at).alias("ptr"), F.col("label").alias("was"))
-            came = along.join(labels.select(F.col("node").alias("a"), "label"), "a").select(F.col("b").alias("node"), "label", none.cast(at).alias("ptr"), none.cast(kind).alias("was"))
+            came = along.join(labels.select(F.col("node").alias("a"), "label").hint(SORTED), "a").select(F.col("b").alias("node"), "label", none.cast(at).alias("ptr"), none.cast(kind).alias("was"))
             far = labels.select(F.col("node").alias("ptr"), F.col("label").alias("far"), F.col("ptr").alias("next"))
-            leapt = labels.select("node", "ptr").where("ptr IS NOT NULL").join(far, "ptr").select("node", F.col("far").alias("label"), F.col("next").alias("ptr"), none.cast(kind).alias("was"))
+            leapt = labels.select("node", "ptr").where("ptr IS NOT NULL").join(far.hint(SORTED), "ptr").select("node", F.col("far").alias("label"), F.col("next").alias("ptr"), none.cast(kind).alias("was"))
             new = own.unionByName(came).unionByName(leapt).groupBy("node").agg(F.min("label").alias("label"), F.max("ptr").alias("ptr"), F.max("was").alias("was"))
             new = self.save(new.select("node", "label", "ptr", (F.col("label") != F.col("was")).alias("moved")))
             self.save.drop(labels)
@@ -159,15 +164,15 @@ class _Search:
         nodes = self.edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", mine)
         colours = self.spread(nodes, self.edges)
         c = lambda end: colours.select(F.col("node").alias(end), F.col("label").alias(f"c_{end}"))
-        inside = self.save(self.edges.join(c("a"), "a").join(c("b"), "b").where("c_a = c_b").select("a", "b"))
+        inside = self.save(self.edges.join(c("a").hint(SORTED), "a").join(c("b").hint(SORTED), "b").where("c_a = c_b").select("a", "b"))
         start = colours.select("node", F.when(F.col("node") == F.col("label.node"), 0).otherwise(1).alias("label"))
         led = self.spread(start, inside.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        part = led.where("label = 0").select("node").join(colours.select("node", F.col("label.node").alias("part")), "node")
+        part = led.where("label = 0").select("node").join(colours.select("node", F.col("label.node").alias("part")).hint(SORTED), "node")
         part = self.save(part)
         real = part.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part")
-        self.log.append(("rings", self.save(part.join(real, "part", "left_semi").select("node", "part"))))
+        self.log.append(("rings", self.save(part.join(real.hint(SORTED), "part", "left_semi").select("node", "part"))))
         gone = part.select(F.col("node").alias("a"))
-        self.put(inside.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b"))
+        self.put(inside.join(gone.hint(SORTED), "a", "left_anti").join(gone.withColumnRenamed("a", "b").hint(SORTED), "b", "left_anti").select("a", "b"))
 
     def finish(self) -> None:
         """What is left, in one task."""
@@ -194,17 +199,17 @@ class _Search:
                 new = frame if on is None else on.unionByName(frame)
             elif what == "loop":
                 alone = frame.select("node", F.col("node").alias("part"))
-                new = alone if on is None else on.unionByName(alone.join(on.select("node"), "node", "left_anti"))
+                new = alone if on is None else on.unionByName(alone.join(on.select("node").hint(SORTED), "node", "left_anti"))
             elif what == "merge":
                 if on is None:
                     on = self.save(frame.limit(0).select("node", F.col("rep").alias("part")))
-                reps = frame.select(F.col("rep").alias("node")).distinct().join(on, "node", "left").select("node", F.coalesce("part", "node").alias("part"))
-                new = on.join(reps.select("node"), "node", "left_anti").unionByName(reps).unionByName(frame.join(reps.withColumnRenamed("node", "rep"), "rep").select("node", "part"))
+                reps = frame.select(F.col("rep").alias("node")).distinct().join(on.hint(SORTED), "node", "left").select("node", F.coalesce("part", "node").alias("part"))
+                new = on.join(reps.select("node").hint(SORTED), "node", "left_anti").unionByName(reps).unionByName(frame.join(reps.withColumnRenamed("node", "rep").hint(SORTED), "rep").select("node", "part"))
             elif on is None:
                 continue
             else:  # a chain is on a cycle where both its ends are in one part
                 ends = lambda end: on.select(F.col("node").alias(end), F.col("part").alias(f"p_{end}"))  # noqa: E731, B023
-                found = frame.join(ends("up"), "up").join(ends("down"), "down").where("p_up = p_down").select("node", F.col("p_up").alias("part"))
+                found = frame.join(ends("up").hint(SORTED), "up").join(ends("down").hint(SORTED), "down").where("p_up = p_down").select("node", F.col("p_up").alias("part"))
                 new = on.unionByName(found)
             new = self.save(new)
             if on is None and new.isEmpty():
@@ -240,7 +245,8 @@ def cycle_nodes(edges: DataFrame, save: Callable | None = None, local: int = LOC
                 s.finish()
             if s.n and (step != s.colour or s.n >= before * SHRUNK):
                 step()
-    if (on := s.told()) is None:
+    on = s.told()
+    scratch.clear(s.edges if on is None else on, *held)
+    if on is None:
         on = s.edges.select(F.col("a").alias("node")).where("false")
-    scratch.clear(on, s.edges, *held)
     return on.select(*[F.col(f"node.{c}") for c in scope], F.col("node.node").alias("node")).distinct() if scope else on.select("node").distinct()

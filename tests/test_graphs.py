@@ -120,3 +120,27 @@ def test_shared_aliases_stay_out_of_edges(spark):
     plan = graph.end_counts(edges, equipment, aliases)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan and "collect_set" not in graph.accepted_edges(edges, equipment, aliases)._jdf.queryExecution().optimizedPlan().toString()
     assert len(graph.resolve(edges, equipment, aliases).where("role = 'parent'").first()["targets"]) == 300
+
+
+class Watched(Scratch):
+    """Keeps the plans of its tables."""
+
+    def __init__(self):
+        super().__init__()
+        self.plans = []
+
+    def __call__(self, df):
+        self.plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return super().__call__(df)
+
+
+def test_rings_end_when_they_are_told(spark):
+    """Steps follow the length of the rings, not the number of nodes, and chains beside them are followed to their ends."""
+    rings = "SELECT id AS child, CASE WHEN id % 5 = 4 THEN id - 4 ELSE id + 1 END AS parent FROM range(5000)"
+    chain = "SELECT id + 100000 AS child, id + 100001 AS parent FROM range(70) UNION ALL SELECT 100000L, 100069L UNION ALL SELECT 100069L, 200000L UNION ALL SELECT 200000L, 100000L"
+    scratch = Watched()
+    got = {r["node"] for r in cycle_nodes(spark.sql(rings), scratch, local=0).collect()}
+    assert got == set(range(5000)) and scratch.written < 14
+    assert not any("Broadcast" in p for p in scratch.plans)
+    got = {r["node"] for r in cycle_nodes(spark.sql(f"{rings} UNION ALL {chain}"), local=0).collect()}
+    assert got == set(range(5000)) | set(range(100000, 100070)) | {200000}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import asyncio
 import hashlib
 import inspect
+import time
 import uuid
 from collections.abc import Callable
 
@@ -109,14 +110,29 @@ def extracted(
         gate = asyncio.Semaphore(concurrency)
         return await asyncio.gather(*[ask(r, gate) for r in part])
 
+    def one(row: dict) -> tuple:
+        for attempt in range(retries + 1):
+            try:
+                return row[key], fn(row), "succeeded", None
+            except Exception as e:  # noqa: BLE001
+                error = str(e)[:300]
+                if attempt < retries:
+                    time.sleep(pause * 2**attempt)
+        return row[key], None, "parse_failure", error
+
     def run(batches):
         for b in batches:
             every = b.to_dict("records")
+            if plain:
+                yield pd.DataFrame([one(row) for row in every], columns=[key, "payload", "run_status", "error"])
+                continue
             for at in range(0, len(every), HELD):
                 yield pd.DataFrame(asyncio.run(together(every[at : at + HELD])), columns=[key, "payload", "run_status", "error"])
 
     if concurrency < 1:
         raise ValueError("concurrency must be at least 1")
+    # one call at a time of a plain function needs no loop and no threads, which cost more than a small call
+    plain = concurrency == 1 and log is None and not inspect.iscoroutinefunction(fn)
     dealt = rows.repartition(tasks) if tasks else rows
     return dealt.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, payload string, run_status string, error string")
 

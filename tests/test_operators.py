@@ -415,3 +415,15 @@ def test_extrapolated_names_each_image_for_each_row(spark):
     assert r.first()["source_drawing"] == "i0, i0, i0, i1, i1"
     plan = r._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(source_image" not in plan
+
+
+def test_plain_calls_need_no_threads(spark):
+    import threading
+
+    def fn(row):
+        if row["id"] == 2:
+            raise ValueError("no")
+        return str(threading.current_thread() is threading.main_thread())
+
+    got = {r["id"]: (r["payload"], r["run_status"], r["error"]) for r in inject.extracted(spark.range(4), fn, "id", retries=1, pause=0.0).collect()}
+    assert got == {0: ("True", "succeeded", None), 1: ("True", "succeeded", None), 2: (None, "parse_failure", "no"), 3: ("True", "succeeded", None)}

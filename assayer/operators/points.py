@@ -110,7 +110,9 @@ def only_candidate(units: DataFrame, candidates: DataFrame) -> DataFrame:
     keys = lambda *cs: F.explode(F.filter(F.array_distinct(F.array(*[match_key(F.col(c)) for c in cs])), lambda k: k != ""))
     u = units.select("unit_id", keys("raw_context", "raw_label").alias("_k"))
     c = candidates.select("candidate_id", F.nullif(strip(F.col("equipment_type")), F.lit("")).alias("_t"), keys("raw_label", "canonical_name").alias("_k"))
-    met = u.join(c, "_k").groupBy("unit_id").agg(F.min("candidate_id").alias("_a"), F.max("candidate_id").alias("_b"), F.min("_t").alias("detected"))
+    # a key that many units and many candidates have meets as one row of either, not as all pairs
+    c = c.groupBy("_k").agg(F.min("candidate_id").alias("_a"), F.max("candidate_id").alias("_b"), F.min("_t").alias("_t"))
+    met = u.join(c, "_k").groupBy("unit_id").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.min("_t").alias("detected"))
     return units.join(met.where("_a = _b").select("unit_id", "detected"), "unit_id", "left")
 
 

@@ -435,3 +435,15 @@ def test_drawings_are_ordered_without_a_window(spark):
     for name in ("stage_counters", "reconcile_full_outer"):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "row_number" not in plan
+
+
+def test_shared_keys_meet_once(spark):
+    """Candidates under a key that many units have are reduced before they meet."""
+    units = spark.range(50).select(F.col("id").alias("unit_id"), F.format_string("DEV1_U_%d", "id").alias("raw_context"), F.lit("unit 1").alias("raw_label"))
+    found = spark.range(60).select(F.col("id").alias("candidate_id"), F.when(F.col("id") == 7, "U 3").otherwise("UNIT_01").alias("raw_label"), F.lit("x").alias("canonical_name"), F.lit("AHU").alias("equipment_type"))
+    assert points.only_candidate(units, found).where("detected IS NOT NULL").count() == 0
+    one = points.only_candidate(units, found.where("candidate_id < 1"))
+    assert one.where("detected = 'AHU'").count() == 50
+    assert points.only_candidate(units.withColumn("raw_label", F.lit("")), found).where("detected IS NOT NULL").select("unit_id").first()["unit_id"] == 3
+    # two aggregates: of the candidates of a key, and of the keys of a unit
+    assert points.only_candidate(units, found)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
